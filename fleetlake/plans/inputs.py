@@ -104,24 +104,33 @@ def index_from_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @lru_cache(maxsize=64)
-def _stored(application: str, sf_dir: str, name: str) -> str:
+def _stored(application: str, sf_dir: str, name: str) -> str | None:
     """Write a table once per session into the shared folder, the way ingestion keeps it."""
     spark = SparkSession.active()
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/{application}"
-    path = f"{folder}/{name}-{abs(hash(sf_dir)):x}"
-    rows = {"arrivals": arrivals_from_raw, "index": index_from_raw}[name](spark, sf_dir)
-    write_event_index(rows.drop("payload"), path, mode="overwrite")
+    folder = checkpoint_dir(spark)
+    if folder is None:
+        return None
+    path = f"{folder.rstrip('/')}/{application}/{name}-{sf_dir.strip('/').replace('/', '-')}"
+    write_event_index(FROM_RAW[name](spark, sf_dir).drop("payload"), path, mode="overwrite")
     return path
 
 
+FROM_RAW = {"arrivals": arrivals_from_raw, "index": index_from_raw}
+
+
+def _table_or_plan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    path = _stored(spark.sparkContext.applicationId, sf_dir, name)
+    return read_event_index(spark, path) if path else FROM_RAW[name](spark, sf_dir).drop("payload")
+
+
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored normalized deliveries."""
-    return read_event_index(spark, _stored(spark.sparkContext.applicationId, sf_dir, "arrivals"))
+    return _table_or_plan(spark, sf_dir, "arrivals")
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored event index; device queries read this table, not the raw bodies."""
-    return read_event_index(spark, _stored(spark.sparkContext.applicationId, sf_dir, "index"))
+    return _table_or_plan(spark, sf_dir, "index")
 
 
 @lru_cache(maxsize=64)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,21 +33,21 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a local one only when none is configured and the master is local."""
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """The shared folder the session names; on a local master without one, a folder of our own."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="fleetlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            return None
+        configured = tempfile.mkdtemp(prefix="fleetlake-ckpt-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(configured)
+    return configured
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so that a lost executor does not replay the whole loop."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Reliable checkpoint, so that a lost executor does not replay the whole loop.
+
+    Without a shared folder the plan is kept as it is; results are the same.
+    """
+    return df.checkpoint(eager=True) if checkpoint_dir(df.sparkSession) else df
