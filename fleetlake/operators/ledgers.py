@@ -70,17 +70,24 @@ def classify_fetches(fetches: DataFrame) -> DataFrame:
     }).drop("_m", "_i", "_d", "body")
 
 
-def accept(fetches: DataFrame, slices: Slices | None = None) -> DataFrame:
+def accept(fetches: DataFrame, slices: Slices | None = None, stored: DataFrame | None = None) -> DataFrame:
     """What every classified fetch does to the stored snapshot, in fetch order.
 
     ``updated`` only when strictly newer than the stored one, else ``stale``. A missing settings ledger
-    clears the stored snapshot (``cleared``), after which any snapshot is newer.
+    clears the stored snapshot (``cleared``), after which any snapshot is newer. ``stored`` continues from
+    saved snapshots.
     """
+    order = FETCH_ORDER
+    rows = fetches.withColumn("_turn", F.lit(1))
+    if stored is not None:
+        order = ["_turn", *FETCH_ORDER]
+        seeds = stored.select(*FETCH_KEY, F.lit(0).alias("_turn"), "updated_at", "fetched_at", F.lit("ok").alias("outcome"))
+        rows = rows.unionByName(seeds, allowMissingColumns=True)
     clears = (F.col("ledger_name") == SETTINGS_LEDGER) & (F.col("outcome") == "missing_ledger")
     snapshot = (F.col("outcome") == "ok") & F.col("updated_at").isNotNull()
-    marked = scan(fetches.withColumn("clears", clears), FETCH_KEY, FETCH_ORDER,
+    marked = scan(rows.withColumn("clears", clears), FETCH_KEY, order,
                   {"era": running_sum(F.when(clears, 1).otherwise(0).cast("bigint"))}, slices)
-    seen = scan(marked, [*FETCH_KEY, "era"], FETCH_ORDER,
+    seen = scan(marked, [*FETCH_KEY, "era"], order,
                 {"newest_before": running_max(F.when(snapshot, F.col("updated_at")), inclusive=False)}, slices)
     effect = (
         F.when(F.col("clears"), "cleared")
@@ -89,7 +96,7 @@ def accept(fetches: DataFrame, slices: Slices | None = None) -> DataFrame:
         .when(F.col("newest_before").isNull() | (F.col("updated_at") > F.col("newest_before")), "updated")
         .otherwise("stale")
     )
-    return seen.withColumn("effect", effect).drop("clears", "era", "newest_before")
+    return seen.filter(F.col("_turn") == 1).withColumn("effect", effect).drop("clears", "era", "newest_before", "_turn")
 
 
 def stored_snapshots(accepted: DataFrame) -> DataFrame:

@@ -30,9 +30,9 @@ def q1(spark, sf_dir):
     return device.timeline(inputs.index(spark, sf_dir), week("10"))
 
 
-@query("p19_timeline_row", sql=idx_sql(f"SELECT {_text_times(device.TIMELINE_COLUMNS)} FROM wk WHERE device_id = '7'", WEEK_IDX))
+@query("p19_timeline_row", sql=idx_sql(f"SELECT {_text_times(device.TIMELINE_COLUMNS)} FROM wk QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY event_time DESC, event_id DESC) <= 1000", WEEK_IDX))
 def p19(spark, sf_dir):
-    return device.timeline(inputs.index(spark, sf_dir), week(), "7")
+    return device.timeline(inputs.index(spark, sf_dir), week())
 
 
 def _stats(m: str) -> str:
@@ -166,10 +166,10 @@ def r3(spark, sf_dir):
     return device.payload_health(inputs.index(spark, sf_dir), reported_archive(spark, sf_dir), event_slices(spark, sf_dir))
 
 
-@query("q9_payload_health", sql=idx_sql("""SELECT device_id, count(*) AS readings, b1 AS latest_battery FROM per JOIN pay USING (device_id) GROUP BY device_id, b1""", ARCHIVE_SQL, PAYLOAD, PAYLOAD_FINDINGS))
+@query("q9_payload_health", sql=idx_sql(f"""SELECT i.device_id, event_count, {iso('first_event')} AS first_event, {iso('last_event')} AS last_event, round(epoch_ms(last_event - first_event) / 3600000.0, 1) AS hours,
+    coalesce(firmware_versions, '') AS firmware_versions, {', '.join(f"{m}_latest, {m}_count" for m in device.HEALTH_METRICS)}
+  FROM (SELECT device_id, count(*) AS event_count, min(event_time) AS first_event, max(event_time) AS last_event FROM idx GROUP BY 1) i
+  LEFT JOIN (SELECT device_id, string_agg(DISTINCT fw_version, ',' ORDER BY fw_version) AS firmware_versions, {', '.join(_stats(m) for m in device.HEALTH_METRICS)} FROM pay GROUP BY 1) p ON p.device_id = i.device_id""", ARCHIVE_SQL, PAYLOAD))
 def q9(spark, sf_dir):
-    from fleetlake.operators.archive import payload_metrics, with_payload
-
-    rows = payload_metrics(with_payload(inputs.index(spark, sf_dir), reported_archive(spark, sf_dir)).filter("has_payload"))
-    at = F.when(F.col("battery").isNotNull(), F.col("event_time"))
-    return rows.groupBy("device_id").agg(F.count(F.lit(1)).alias("readings"), F.max_by("battery", at).alias("latest_battery"))
+    rows = device.payload_summary(inputs.index(spark, sf_dir), reported_archive(spark, sf_dir))
+    return rows.select("device_id", "event_count", "first_event", "last_event", "hours", "firmware_versions", *[f"{m}_{s}" for m in device.HEALTH_METRICS for s in ("latest", "count")])

@@ -223,10 +223,19 @@ def p25(spark, sf_dir):
 
 # ---- filters and limits
 
-@query("f1_device_range", sql=idx_sql(f"""SELECT event_id, device_id, {iso('event_time')} AS event_time FROM idx
-  WHERE device_id = '7' AND event_time BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00'"""))
+A, B = "TIMESTAMP '2024-01-05 00:00:00'", "TIMESTAMP '2024-01-20 00:00:00'"
+
+
+@query("f1_device_range", sql=idx_sql(f"""SELECT device_id, count(*) FILTER (event_time BETWEEN {A} AND {B}) AS closed, count(*) FILTER (event_time >= {A}) AS since,
+  count(*) FILTER (event_time <= {B}) AS until FROM idx GROUP BY device_id"""))
 def f1(spark, sf_dir):
-    return filters.events_between(inputs.index(spark, sf_dir), "2024-01-05", "2024-01-20", "7").select("event_id", "device_id", "event_time")
+    index = inputs.index(spark, sf_dir)
+    ranges = {"closed": ("2024-01-05", "2024-01-20"), "since": ("2024-01-05", None), "until": (None, "2024-01-20")}
+    out = index.select("device_id").distinct()
+    for name, (start, end) in ranges.items():
+        counted = filters.events_between(index, start, end).groupBy("device_id").agg(F.count(F.lit(1)).alias(name))
+        out = out.join(counted, "device_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
 
 
 @query("f2_window_parameters", sql=idx_sql("""SELECT 'hours' AS query, count(*) AS n FROM idx WHERE event_time BETWEEN TIMESTAMP '2024-01-29 00:00:00' AND TIMESTAMP '2024-01-31 00:00:00'

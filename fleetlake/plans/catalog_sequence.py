@@ -109,10 +109,10 @@ def f3(spark, sf_dir):
 
 
 @query("l2_anomaly_order", sql=idx_sql(f"""SELECT device_id, {iso('event_time')} AS event_time, severity, type FROM anomalies
-  ORDER BY CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, event_time DESC, device_id, type LIMIT 50""", ANOMALIES.format(src="idx")))
+  ORDER BY CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, event_time DESC, device_id, type""", ANOMALIES.format(src="idx")))
 def l2(spark, sf_dir):
     found = rules.device_anomalies(inputs.index(spark, sf_dir), event_slices(spark, sf_dir))
-    return rules.by_severity_then_newest(found).select("device_id", "event_time", "severity", "type").limit(50)
+    return rules.by_severity_then_newest(found).select("device_id", "event_time", "severity", "type")
 
 
 @query("a8_ingest_delay", sql=idx_sql("""SELECT device_id, CAST(floor(avg(epoch_ms(received_at - event_time)) + 0.5) AS BIGINT) AS avg_delay_ms,

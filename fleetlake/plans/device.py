@@ -159,6 +159,15 @@ def payload_stats(events: DataFrame, archive: DataFrame) -> DataFrame:
     return metrics.groupBy("device_id").agg(*[c for m in HEALTH_METRICS for c in metric_stats(m)])
 
 
+def payload_summary(events: DataFrame, archive: DataFrame) -> DataFrame:
+    """Time span over all events; versions and statistics over those with a payload."""
+    rows = payload_metrics(with_payload(events, archive))
+    return rows.withColumns({m: F.when(F.col("has_payload"), F.col(m)) for m in HEALTH_METRICS}).groupBy("device_id").agg(
+        F.count(F.lit(1)).alias("event_count"), F.min("event_time").alias("first_event"), F.max("event_time").alias("last_event"),
+        version_list("archived_fw_version").alias("firmware_versions"), *[c for m in HEALTH_METRICS for c in metric_stats(m)],
+    ).withColumn("hours", F.round(hours_between(F.col("first_event"), F.col("last_event")), 1))
+
+
 def correlation(events: DataFrame, archive: DataFrame, minutes: float = 5, slices: Slices | None = None):
     """Members, windows and inferences of anchored windows."""
     members = correlate.window_members(events, archive, minutes, slices)

@@ -30,4 +30,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from fleetlake.plans import catalog_device, catalog_events, catalog_fleet, catalog_sequence  # noqa: F401
+    from fleetlake.plans import catalog_device, catalog_events, catalog_fleet, catalog_sequence, catalog_stream  # noqa: F401
