@@ -77,18 +77,18 @@ def accept(fetches: DataFrame, slices: Slices | None = None, stored: DataFrame |
     clears the stored snapshot (``cleared``), after which any snapshot is newer. ``stored`` continues from
     saved snapshots.
     """
-    order = FETCH_ORDER
-    rows = fetches.withColumn("_turn", F.lit(1))
-    if stored is not None:
-        order = ["_turn", *FETCH_ORDER]
-        seeds = stored.select(*FETCH_KEY, F.lit(0).alias("_turn"), "updated_at", "fetched_at", F.lit("ok").alias("outcome"))
-        rows = rows.unionByName(seeds, allowMissingColumns=True)
     clears = (F.col("ledger_name") == SETTINGS_LEDGER) & (F.col("outcome") == "missing_ledger")
     snapshot = (F.col("outcome") == "ok") & F.col("updated_at").isNotNull()
-    marked = scan(rows.withColumn("clears", clears), FETCH_KEY, order,
+    marked = scan(fetches.withColumn("clears", clears), FETCH_KEY, FETCH_ORDER,
                   {"era": running_sum(F.when(clears, 1).otherwise(0).cast("bigint"))}, slices)
-    seen = scan(marked, [*FETCH_KEY, "era"], order,
+    seen = scan(marked, [*FETCH_KEY, "era"], FETCH_ORDER,
                 {"newest_before": running_max(F.when(snapshot, F.col("updated_at")), inclusive=False)}, slices)
+    if stored is not None:
+        # The saved snapshot counts until the first clearing fetch of this batch.
+        saved = stored.select(*FETCH_KEY, F.col("updated_at").alias("_saved"))
+        seen = seen.join(saved, FETCH_KEY, "left").withColumn(
+            "newest_before", F.greatest("newest_before", F.when(F.col("era") == 0, F.col("_saved")))
+        ).drop("_saved")
     effect = (
         F.when(F.col("clears"), "cleared")
         .when(F.col("outcome") != "ok", "failed")
@@ -96,7 +96,7 @@ def accept(fetches: DataFrame, slices: Slices | None = None, stored: DataFrame |
         .when(F.col("newest_before").isNull() | (F.col("updated_at") > F.col("newest_before")), "updated")
         .otherwise("stale")
     )
-    return seen.filter(F.col("_turn") == 1).withColumn("effect", effect).drop("clears", "era", "newest_before", "_turn")
+    return seen.withColumn("effect", effect).drop("clears", "era", "newest_before")
 
 
 def stored_snapshots(accepted: DataFrame) -> DataFrame:

@@ -58,51 +58,53 @@ def own_health(plane, battery, connect_time, alert_count, severity, watchdog, re
 def state_history(arrivals: DataFrame, slices: Slices | None = None, stored: DataFrame | None = None) -> DataFrame:
     """One row per arrival: the state after it, and the previous state values history needs.
 
-    ``stored`` continues from saved states (``STATE_COLUMNS``): each becomes the first row of its device.
+    ``stored`` continues from saved states (``STATE_COLUMNS``). They are joined on the key the fold is
+    partitioned by, and fill in where the batch has no value of its own yet.
     """
-    order = ARRIVAL_ORDER
-    rows = arrivals.withColumn("_seed", F.lit(None).cast("struct<dummy:int>")) if stored is None else None
-    if stored is not None:
-        order = ["_turn", *ARRIVAL_ORDER]
-        seeds = stored.select(
-            *KEY, F.lit(0).alias("_turn"), F.col("last_event_time").alias("event_time"), F.col("last_ingest_time").alias("received_at"),
-            F.col("last_event_id").alias("event_id"), F.struct(*STATE_COLUMNS).alias("_seed"),
-        )
-        rows = arrivals.withColumn("_turn", F.lit(1)).unionByName(seeds, allowMissingColumns=True)
-    is_seed = F.col("_seed").isNotNull()
-
-    def value(own: Column, saved: str) -> Column:
-        return own if stored is None else F.when(is_seed, F.col(f"_seed.{saved}")).otherwise(own)
-
     is_serial, is_log = F.col("plane") == "serial", F.col("event_type") == "serial.log"
-    error = F.when(F.col("severity") == "ERROR", 1).otherwise(0).cast("bigint")
-    category = F.struct(F.col("serial_category").alias("v"))
-    seed_category = category if stored is None else F.struct(F.col("_seed.serial_category").alias("v"))
-    outputs = {f"eff_{m}": last_known(value(F.col(m), m)) for m in METRICS}
-    outputs |= {f"eff_{f}": last_known(value(F.col(f), f)) for f in FLAGS}
+    outputs = {f"eff_{m}": last_known(F.col(m)) for m in METRICS}
+    outputs |= {f"eff_{f}": last_known(F.col(f)) for f in FLAGS}
     outputs |= {
-        "eff_fw_version": last_known(value(F.col("fw_version"), "fw_version")),
-        "eff_network_state": last_known(value(F.col("network_state"), "network_state")),
-        "eff_severity": last_known(value(F.col("severity"), "severity")),
-        "eff_category": last_known(F.when(is_seed, seed_category).when(is_serial, category)),
-        "last_serial_log_line": last_known(value(F.when(is_log, F.col("serial_log_line")), "last_serial_log_line")),
-        "eff_device_name": first_known(value(F.col("device_name"), "device_name")),
-        "recent_serial_error_count": running_sum(value(error, "recent_serial_error_count")),
-        "last_application_report_at": last_known(value(F.when(F.col("plane") == "telemetry", F.col("event_time")), "last_application_report_at")),
-        "prev_fw_version": last_known(value(F.col("fw_version"), "fw_version"), inclusive=False),
-        "prev_battery": last_known(value(F.col("battery"), "battery"), inclusive=False),
+        "eff_fw_version": last_known(F.col("fw_version")),
+        "eff_network_state": last_known(F.col("network_state")),
+        "eff_severity": last_known(F.col("severity")),
+        "eff_category": last_known(F.when(is_serial, F.struct(F.col("serial_category").alias("v")))),
+        "last_serial_log_line": last_known(F.when(is_log, F.col("serial_log_line"))),
+        "eff_device_name": first_known(F.col("device_name")),
+        "recent_serial_error_count": running_sum(F.when(F.col("severity") == "ERROR", 1).otherwise(0).cast("bigint")),
+        "last_application_report_at": last_known(F.when(F.col("plane") == "telemetry", F.col("event_time"))),
+        "prev_fw_version": last_known(F.col("fw_version"), inclusive=False),
+        "prev_battery": last_known(F.col("battery"), inclusive=False),
         "prev_event_time": previous(F.col("event_time")),
     }
-    folded = scan(rows, KEY, order, outputs, slices)
+    folded = scan(arrivals, KEY, ARRIVAL_ORDER, outputs, slices)
+    if stored is not None:
+        folded = _continued(folded.join(stored.select(*KEY, F.struct(*STATE_COLUMNS).alias("_saved")), KEY, "left"))
     effective = [F.col(f"eff_{m}") for m in ("battery", "connect_time", "alert_count")]
     flags = [F.col(f"eff_{f}") for f in ("watchdog_detected", "reconnect_detected", "reset_detected")]
     judged = folded.withColumns({
-        "own_status": value(own_health(F.col("plane"), *effective, F.col("severity"), *flags), "health_status"),
+        "own_status": own_health(F.col("plane"), *effective, F.col("severity"), *flags),
         "anomalies": state_anomalies(*effective, F.col("severity"), *flags),
     })
-    carried = scan(judged, KEY, order, {"carried_status": last_known(F.col("own_status"))}, slices)
-    done = carried.withColumn("health_status", F.coalesce(F.col("carried_status"), F.lit("unknown")))
-    return done.filter(~is_seed).drop("_seed", "_turn")
+    carried = scan(judged, KEY, ARRIVAL_ORDER, {"carried_status": last_known(F.col("own_status"))}, slices)
+    saved_status = [] if stored is None else [F.col("_saved.health_status")]
+    return carried.withColumn("health_status", F.coalesce("carried_status", *saved_status, F.lit("unknown"))).drop("_saved")
+
+
+def _continued(folded: DataFrame) -> DataFrame:
+    """Fill values the batch does not have yet from the saved state."""
+    same = ["last_serial_log_line", "last_application_report_at"]
+    filled = {c: F.coalesce(c, f"_saved.{c}") for c in same}
+    filled |= {f"eff_{c}": F.coalesce(f"eff_{c}", f"_saved.{c}") for c in [*METRICS, *FLAGS, "fw_version", "network_state", "severity"]}
+    filled |= {
+        "eff_category": F.coalesce("eff_category", F.struct(F.col("_saved.serial_category").alias("v"))),
+        "eff_device_name": F.coalesce("_saved.device_name", "eff_device_name"),
+        "recent_serial_error_count": F.col("recent_serial_error_count") + F.coalesce("_saved.recent_serial_error_count", F.lit(0)),
+        "prev_fw_version": F.coalesce("prev_fw_version", "_saved.fw_version"),
+        "prev_battery": F.coalesce("prev_battery", "_saved.battery"),
+        "prev_event_time": F.coalesce("prev_event_time", "_saved.last_event_time"),
+    }
+    return folded.withColumns(filled)
 
 
 def after_event(history: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from fleetlake.plans.catalog_events import KIND, SUMMARY
 from fleetlake.plans.oracle import arr_sql, idx_sql, iso
 from fleetlake.plans.registry import query
 from fleetlake.session import checkpoint_dir
-from fleetlake.sources import inventory, webhook
+from fleetlake.sources import inventory, tables, webhook
 from fleetlake.streaming import ingest, tail
 from fleetlake.streaming import ledgers as ledger_stream
 
@@ -115,14 +115,14 @@ def _tailed(application: str, sf_dir: str) -> str:
     rows = inputs.arrivals(spark, sf_dir).select(*TAIL_COLUMNS, "received_at")
 
     def start():
-        return _to_parquet(tail.tail_events(spark.readStream.schema(rows.schema).json(landing), TAIL_COLUMNS), out)
+        return tail.start_tail(spark.readStream.schema(rows.schema).json(landing).select(*TAIL_COLUMNS), out, availableNow=True)
 
     _drain(rows, "received_at", landing, start)
     return out
 
 
 def tailed(spark, sf_dir):
-    return spark.read.parquet(_tailed(spark.sparkContext.applicationId, sf_dir))
+    return tables.read_batches(spark, _tailed(spark.sparkContext.applicationId, sf_dir))
 
 
 TAIL = f"""cut AS MATERIALIZED (SELECT *, CASE WHEN received_at < TIMESTAMP '{CUTS[0]}' THEN 0 WHEN received_at < TIMESTAMP '{CUTS[1]}' THEN 1 ELSE 2 END AS part FROM arr),

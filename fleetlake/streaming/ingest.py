@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fleetlake.operators import history, state
 from fleetlake.operators.archive import archive_records
 from fleetlake.operators.normalize import DEFAULTS, Settings, event_index, normalize
-from fleetlake.operators.ordered import newest
+from fleetlake.operators.ordered import newest, plan_slices
 from fleetlake.sources import tables, webhook
 
 
@@ -68,7 +68,8 @@ def ingest_batch(landed: DataFrame, batch_id: int, store: Store, settings: Setti
     if stored is not None:
         # Only devices of this batch continue; the others keep their stored row.
         stored = stored.join(arrivals.select(*state.KEY).distinct(), state.KEY, "left_semi")
-    folded = state.state_history(arrivals, stored=stored).persist()
+    slices = plan_slices(arrivals, state.KEY, "received_at")
+    folded = state.state_history(arrivals, slices, stored).persist()
     tables.append_once(history.derive_history(folded), store.table("history"), batch_id, ["device_id", "history_key"])
     tables.write_batch(state.last_states(state.after_event(folded)), store.table("state"), batch_id)
     for df in (folded, arrivals, parsed):

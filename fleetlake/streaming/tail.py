@@ -1,12 +1,14 @@
-"""Stateful tails: events after a per-device cursor, and snapshot changes."""
+"""Tails: events after a per-device cursor, and snapshot changes as a stateful operator."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from fleetlake.sources import tables
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -15,33 +17,11 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-class EventCursor(StatefulProcessor):
-    """Emits events after the device's (time, id) cursor, in order and once; late events are dropped."""
-
-    def __init__(self, columns: list[str]):
-        self.columns = columns
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.cursor = handle.getValueState("cursor", "event_time timestamp, event_id string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows).sort_values(["event_time", "event_id"]).drop_duplicates(["event_time", "event_id"])
-        if self.cursor.exists():
-            time, event_id = self.cursor.get()
-            time = pd.Timestamp(time)
-            after = (batch["event_time"] > time) | ((batch["event_time"] == time) & (batch["event_id"] > event_id))
-            batch = batch[after]
-        if len(batch):
-            last = batch.iloc[-1]
-            self.cursor.update((last["event_time"].to_pydatetime(), last["event_id"]))
-            yield batch[self.columns]
-
-    def close(self) -> None:
-        pass
-
-
 class SnapshotCursor(StatefulProcessor):
-    """Emits the first and every changed snapshot time of a device, in fetch order."""
+    """Emits the first and every changed snapshot time of a device, in fetch order.
+
+    A device has few snapshots per batch: fetches are throttled per device.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "updated_at timestamp")
@@ -66,11 +46,38 @@ class SnapshotCursor(StatefulProcessor):
         pass
 
 
-def tail_events(events: DataFrame, columns: list[str]) -> DataFrame:
-    """Streaming events after each device's cursor; ``columns`` must include device_id, event_time and event_id."""
-    use_rocksdb(events.sparkSession)
-    return events.select(*columns).groupBy("device_id").transformWithStateInPandas(
-        statefulProcessor=EventCursor(columns), outputStructType=events.select(*columns).schema, outputMode="Append", timeMode="None"
+def cursors(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """Latest (time, id) cursor per device, optionally as of the batches before one."""
+    if not tables.path_exists(spark, path):
+        return None
+    rows = tables.read_batches(spark, path)
+    if before is not None:
+        rows = rows.filter(F.col(tables.BATCH) < before)
+    return rows.groupBy("device_id").agg(F.max("cursor").alias("cursor"))
+
+
+def tail_batch(events: DataFrame, batch_id: int, out: str, cursor_path: str) -> None:
+    """Write the events after each device's cursor, once and in order, and move the cursors.
+
+    A join and a maximum per device instead of a per-device loop, so a device that fills the batch stays spread.
+    """
+    position = F.struct("event_time", "event_id")
+    fresh = events.dropDuplicates(["device_id", "event_time", "event_id"])
+    saved = cursors(events.sparkSession, cursor_path, before=batch_id)
+    if saved is not None:
+        fresh = fresh.join(saved, "device_id", "left").filter(F.col("cursor").isNull() | (position > F.col("cursor"))).drop("cursor")
+    fresh = fresh.persist()
+    tables.write_batch(fresh.sortWithinPartitions("event_time", "event_id"), out, batch_id)
+    tables.write_batch(fresh.groupBy("device_id").agg(F.max(position).alias("cursor")), cursor_path, batch_id)
+    fresh.unpersist()
+
+
+def start_tail(events: DataFrame, out: str, **trigger) -> StreamingQuery:
+    """Continuous tail; late events (behind the cursor) are dropped."""
+    return (
+        events.writeStream.option("checkpointLocation", f"{out}-checkpoint")
+        .foreachBatch(lambda df, batch_id: tail_batch(df, batch_id, out, f"{out}-cursors"))
+        .trigger(**(trigger or {"processingTime": "3 seconds"})).start()
     )
 
 
