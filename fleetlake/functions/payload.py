@@ -18,13 +18,18 @@ def decode_entities(text: Column) -> Column:
     return F.when(text.contains("&"), decoded).otherwise(text)
 
 
+JSON_BLANKS = " \t\r\n"
+
+
 def json_object(text: Column) -> Column:
     """``map<string,string>`` when the whole text is one JSON object, else null.
 
-    Wrapping the text in an array makes Spark's lenient reader reject trailing text.
+    Text without the outer braces is not handed to the parser. Wrapping the text in an array makes Spark's
+    lenient reader reject trailing text.
     """
+    bare = F.trim(text, F.lit(JSON_BLANKS))
     rows = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", STRICT_JSON)
-    return F.when(F.size(rows) == 1, F.get(rows, 0))
+    return F.when(bare.startswith("{") & bare.endswith("}") & (F.size(rows) == 1), F.get(rows, 0))
 
 
 def _single_value(text: Column) -> Column:
@@ -37,6 +42,12 @@ def json_array_text(text: Column) -> Column:
     return F.trim(text).startswith("[") & _single_value(text)
 
 
+def _starts_inside(text: Column) -> Column:
+    """True when an opening brace in front can make an object of the text: a key or the closing brace comes first."""
+    first = F.substring(F.ltrim(text, F.lit(JSON_BLANKS)), 1, 1)
+    return first.isin('"', "}", "")
+
+
 def ingest_payload(text: Column, is_text: Column) -> Column:
     """Ingestion rule: the decoded text, then with an opening brace, then with both braces.
 
@@ -45,8 +56,9 @@ def ingest_payload(text: Column, is_text: Column) -> Column:
     decoded = decode_entities(text)
     repaired = F.coalesce(
         json_object(decoded),
-        json_object(F.concat(F.lit("{"), decoded)),
-        json_object(F.concat(F.lit("{"), decoded, F.lit("}"))),
+        F.when(_starts_inside(decoded), F.coalesce(
+            json_object(F.concat(F.lit("{"), decoded)), json_object(F.concat(F.lit("{"), decoded, F.lit("}")))
+        )),
     )
     return F.when(F.coalesce(is_text, F.lit(True)), repaired).otherwise(json_object(text))
 
@@ -65,18 +77,23 @@ def analytics_payload(text: Column) -> Column:
         F.when(json_array_text(decoded), no_fields),
         json_object(text),
         F.when(json_array_text(text), no_fields),
-        json_object(closed),
+        F.when(_starts_inside(decoded), json_object(closed)),
     )
 
 
-def field_ignoring_case(payload: Column, body: Column, name: str) -> Column:
-    """First payload entry whose key matches ignoring case; the body is used only when the key is absent."""
+def lower_keys(payload: Column) -> Column:
+    """Keys in lower case, in document order."""
+    return F.transform(F.map_keys(payload), F.lower)
 
-    def entries(m: Column) -> Column:
-        return F.filter(F.map_entries(m), lambda e: F.lower(e["key"]) == F.lit(name))
 
-    hits = entries(payload)
-    return F.when(F.size(hits) > 0, F.get(hits, 0)["value"]).otherwise(F.get(entries(body), 0)["value"])
+def field_ignoring_case(payload: Column, keys: Column, body: Column, body_keys: Column, name: str) -> Column:
+    """First payload entry whose key matches ignoring case; the body is used only when the key is absent.
+
+    ``keys`` and ``body_keys`` come from ``lower_keys``, computed once per row.
+    """
+    at, body_at = F.array_position(keys, name), F.array_position(body_keys, name)
+    own = F.get(F.map_values(payload), (at - 1).cast("int"))
+    return F.when(at > 0, own).otherwise(F.get(F.map_values(body), (body_at - 1).cast("int")))
 
 
 def field_exact(payload: Column, body: Column, name: str) -> Column:
@@ -84,17 +101,13 @@ def field_exact(payload: Column, body: Column, name: str) -> Column:
     return F.coalesce(F.try_element_at(payload, F.lit(name)), F.try_element_at(body, F.lit(name)))
 
 
-def has_key(payload: Column, names: list[str]) -> Column:
-    return F.coalesce(F.exists(F.map_keys(payload), lambda k: F.lower(k).isin(names)), F.lit(False))
+def has_key(keys: Column, names: list[str]) -> Column:
+    return F.coalesce(F.arrays_overlap(keys, F.array(*map(F.lit, names))), F.lit(False))
 
 
 def json_type(text: Column) -> Column:
     """Type name of a payload text: object (also array and null), number, boolean, string or undefined."""
-    first = F.substring(F.trim(text), 1, 1)
-    return (
-        F.when(text.isNull(), "undefined")
-        .when(~F.coalesce(_single_value(text), F.lit(False)) | (first == '"'), "string")
-        .when(first.isin("{", "[", "n"), "object")
-        .when(first.isin("t", "f"), "boolean")
-        .otherwise("number")
-    )
+    first = F.substring(F.ltrim(text, F.lit(JSON_BLANKS)), 1, 1)
+    kind = F.when(first.isin("{", "[", "n"), "object").when(first.isin("t", "f"), "boolean").when(first.rlike("[-0-9]"), "number")
+    # Only text that can start a JSON value is parsed.
+    return F.when(text.isNull(), "undefined").when(kind.isNotNull() & _single_value(text), kind).otherwise("string")

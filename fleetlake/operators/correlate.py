@@ -162,8 +162,11 @@ def inference_summary(found: DataFrame) -> DataFrame:
 def evidence(members: DataFrame, found: DataFrame) -> DataFrame:
     """One row per evidence line of a fired rule; order by part, then event time.
 
-    Candidate lines are made per event and joined with the fired rules, so no window is collected.
+    Members of windows in which a rule fired are kept first, then each event makes the lines of the fired rules;
+    no window is collected.
     """
+    fired = found.groupBy(*WINDOW).agg(F.bit_or(F.expr("shiftleft(1, rule)")).alias("fired"))
+    members = members.join(fired, WINDOW)
     cls, member = F.col("class"), F.col("member")
     telemetry, watchdog = (cls == "telemetry") & member, (cls == "watchdog") & member
     at = iso(F.col("event_time"))
@@ -178,7 +181,8 @@ def evidence(members: DataFrame, found: DataFrame) -> DataFrame:
     power_line = F.concat(F.lit("battery="), or_missing(battery), F.lit("%, alerts="), or_missing(alerts), F.lit(" at "), at)
 
     def candidate(rule: int, part: int, condition: Column, text: Column) -> Column:
-        return F.when(condition, F.struct(F.lit(rule).alias("rule"), F.lit(part).alias("part"), text.alias("line")))
+        wanted = F.col("fired").bitwiseAND(1 << rule) != 0
+        return F.when(wanted & condition, F.struct(F.lit(rule).alias("rule"), F.lit(part).alias("part"), text.alias("line")))
 
     lines = F.array_compact(F.array(
         candidate(1, 1, telemetry & (connect > 60), connect_line),
@@ -192,10 +196,9 @@ def evidence(members: DataFrame, found: DataFrame) -> DataFrame:
         candidate(7, 1, telemetry & (connect > 180), connect_line),
         candidate(8, 1, telemetry & (battery != 0) & (battery < 20), F.concat(F.lit("battery="), number_text(battery), F.lit("% at "), at)),
     ))
-    per_event = members.filter(F.size(lines) > 0).select(*WINDOW, "event_time", F.explode(lines).alias("c")).select(*WINDOW, "event_time", "c.*")
-    fired = found.select(*WINDOW, "rule")
+    per_event = members.select(*WINDOW, "event_time", F.explode(lines).alias("c")).select(*WINDOW, "event_time", "c.*")
     counts = found.filter(F.col("rule") == 4).select(
         *WINDOW, F.lit(None).cast("timestamp").alias("event_time"), "rule", F.lit(2).alias("part"),
         F.concat(F.lit("reset count: "), number_text(F.col("first_resets")), F.lit(" → "), number_text(F.col("last_resets"))).alias("line"),
     )
-    return per_event.join(fired, [*WINDOW, "rule"]).select(*WINDOW, "event_time", "rule", "part", "line").unionByName(counts)
+    return per_event.select(*WINDOW, "event_time", "rule", "part", "line").unionByName(counts)

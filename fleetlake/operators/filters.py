@@ -97,13 +97,19 @@ def health_status(text: str | None) -> str | None:
 
 
 def events_between(events: DataFrame, start=None, end=None, device_id: str | None = None) -> DataFrame:
-    """Closed time range of all devices or of one; plain column predicates, so they reach the scan."""
+    """Closed time range of all devices or of one; plain column predicates, so they reach the scan.
+
+    On a table partitioned by ``event_date`` the range also prunes directories.
+    """
+    dated = "event_date" in events.columns
     if device_id is not None:
         events = events.filter(F.col("device_id") == device_id)
     if start is not None:
         events = events.filter(F.col("event_time") >= F.lit(instant_text(utc(start))).cast("timestamp"))
+        events = events.filter(F.col("event_date") >= F.lit(utc(start).date())) if dated else events
     if end is not None:
         events = events.filter(F.col("event_time") <= F.lit(instant_text(utc(end))).cast("timestamp"))
+        events = events.filter(F.col("event_date") <= F.lit(utc(end).date())) if dated else events
     return events
 
 

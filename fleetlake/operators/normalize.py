@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetlake.functions.payload import field_ignoring_case, has_key, ingest_payload, json_type
+from fleetlake.functions.payload import field_ignoring_case, has_key, ingest_payload, json_type, lower_keys
 from fleetlake.functions.values import empty_to_null, iso, whole_number
 from fleetlake.operators.ordered import newest
 
@@ -88,7 +88,7 @@ def plane(name: Column, source_type: Column, settings: Settings = DEFAULTS) -> C
     )
 
 
-def event_type(name: Column, plane_: Column, source_event_type: Column, log_line: Column, payload: Column) -> Column:
+def event_type(name: Column, plane_: Column, source_event_type: Column, log_line: Column, keys: Column) -> Column:
     source = F.upper(source_event_type)
     effective = F.coalesce(empty_to_null(source), F.upper(name))
     lower = F.lower(name)
@@ -103,8 +103,8 @@ def event_type(name: Column, plane_: Column, source_event_type: Column, log_line
         F.when(plane_ == "serial", serial)
         .when(lower.contains("watchdog"), "fault.watchdog")
         .when(lower.contains("status"), "telemetry.status")
-        .when(has_key(payload, OCCUPANCY_KEYS), "telemetry.occupancy")
-        .when(has_key(payload, HEALTH_KEYS), "telemetry.health")
+        .when(has_key(keys, OCCUPANCY_KEYS), "telemetry.occupancy")
+        .when(has_key(keys, HEALTH_KEYS), "telemetry.health")
         .otherwise("telemetry.event")
     )
 
@@ -148,13 +148,12 @@ def normalize(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         "payload": ingest_payload(F.col("data"), F.col("data_is_text")),
         "plane": plane(F.col("event_name"), F.col("sourceType"), settings),
         "_line": serial_line(F.col("logLine"), F.col("data"), F.col("data_is_text"), F.col("eventType")),
-    })
-    body = F.col("body_fields")
+    }).withColumns({"_keys": lower_keys(F.col("payload")), "_body_keys": lower_keys(F.col("body_fields"))})
     is_serial = F.col("plane") == "serial"
     line, lower = F.col("_line"), F.lower(F.coalesce(F.col("_line"), F.lit("")))
 
     def field(name: str) -> Column:
-        return field_ignoring_case(F.col("payload"), body, name)
+        return field_ignoring_case(F.col("payload"), F.col("_keys"), F.col("body_fields"), F.col("_body_keys"), name)
 
     def when_serial(c: Column) -> Column:
         return F.when(is_serial, c)
@@ -165,7 +164,7 @@ def normalize(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         F.struct(F.col("archive_key").alias("s3_key")).alias("raw_ref"),
         F.lit("1.0").alias("schema_version"), F.lit("1.0").alias("event_version"),
         "plane",
-        event_type(F.col("event_name"), F.col("plane"), F.col("eventType"), F.col("logLine"), F.col("payload")).alias("event_type"),
+        event_type(F.col("event_name"), F.col("plane"), F.col("eventType"), F.col("logLine"), F.col("_keys")).alias("event_type"),
         F.col("eventType").alias("source_event_type"),
         F.when(is_serial, F.lit(settings.serial_source))
         .otherwise(F.coalesce(empty_to_null(F.col("sourceType")), F.lit(settings.default_source))).alias("source_type"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetlake.functions.payload import analytics_payload, field_exact, field_ignoring_case, ingest_payload
+from fleetlake.functions.payload import analytics_payload, field_exact, field_ignoring_case, ingest_payload, lower_keys
 from fleetlake.operators import archive, correlate, filters, normalize, presentation
 from fleetlake.operators.ordered import newest
 from fleetlake.plans import inputs
@@ -117,10 +117,11 @@ def p03(spark, sf_dir):
 @query("p04_field_lookup", sql=arr_sql("""SELECT event_id, CASE WHEN readable THEN ks END AS battery,
   CASE WHEN readable OR et = 'click' THEN CAST(value AS VARCHAR) END AS connecttime FROM arr"""))
 def p04(spark, sf_dir):
-    rows = inputs.arrivals_from_raw(spark, sf_dir)
-    return rows.select("event_id", *[
-        field_ignoring_case(F.col("payload"), F.col("body_fields"), f).alias(f) for f in ("battery", "connecttime")
-    ])
+    rows = inputs.arrivals_from_raw(spark, sf_dir).withColumns({
+        "keys": lower_keys(F.col("payload")), "body_keys": lower_keys(F.col("body_fields")),
+    })
+    maps = [F.col(c) for c in ("payload", "keys", "body_fields", "body_keys")]
+    return rows.select("event_id", *[field_ignoring_case(*maps, f).alias(f) for f in ("battery", "connecttime")])
 
 
 @query("p06_analytics_metrics", sql=arr_sql("""SELECT event_id, CASE WHEN n % 6 <> 0 THEN battery END AS battery, connect_time, reset_count, alert_count,

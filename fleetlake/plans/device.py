@@ -36,7 +36,7 @@ def in_window(events: DataFrame, window: QueryWindow | None, device_id: str | No
 
 def timeline(events: DataFrame, window: QueryWindow, device_id: str | None = None) -> DataFrame:
     """Newest events of the window, optional columns null when absent."""
-    return in_window(events.select(*TIMELINE_COLUMNS), window, device_id, True, True)
+    return in_window(events, window, device_id, True, True).select(*TIMELINE_COLUMNS)
 
 
 def metric_stats(metric: str) -> list[Column]:

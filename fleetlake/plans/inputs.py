@@ -10,7 +10,7 @@ from fleetlake.functions.values import iso
 from fleetlake.operators.normalize import event_index, normalize
 from fleetlake.operators.ordered import Slices, plan_slices
 from fleetlake.session import checkpoint_dir
-from fleetlake.sources.tables import read_event_index, write_event_index
+from fleetlake.sources.tables import read_event_index, write_arrivals, write_event_index
 
 AS_OF = "2024-01-31 00:00:00"
 POSIX_EASTERN = "EST5EDT,M3.2.0/2:00:00,M11.1.0/2:00:00"
@@ -111,7 +111,8 @@ def _stored(application: str, sf_dir: str, name: str) -> str | None:
     if folder is None:
         return None
     path = f"{folder.rstrip('/')}/{application}/{name}-{sf_dir.strip('/').replace('/', '-')}"
-    write_event_index(FROM_RAW[name](spark, sf_dir).drop("payload"), path, mode="overwrite")
+    write = {"arrivals": write_arrivals, "index": write_event_index}[name]
+    write(FROM_RAW[name](spark, sf_dir).drop("payload"), path, mode="overwrite")
     return path
 
 

@@ -14,18 +14,24 @@ from fleetlake.operators.ordered import newest
 BATCH = "batch_id"
 
 
-def _ranged(df: DataFrame, *columns: str) -> DataFrame:
-    """Range partitioning splits a device that fills a day over several files, and keeps files few."""
-    return df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+def _write_by_date(df: DataFrame, path: str, mode: str, *order: str) -> None:
+    df.sortWithinPartitions("event_date", *order).write.mode(mode).partitionBy("event_date").parquet(path)
 
 
 def write_archive(records: DataFrame, path: str, mode: str = "append") -> None:
-    _ranged(records, "event_date", "device_id", "archive_key").write.mode(mode).partitionBy("event_date").parquet(path)
+    """No shuffle: landed files hold few dates each, so every task writes few files."""
+    _write_by_date(records, path, mode, "device_id", "archive_key")
+
+
+def write_arrivals(arrivals: DataFrame, path: str, mode: str = "append") -> None:
+    """Normalized deliveries in landing order, without a shuffle."""
+    _write_by_date(arrivals.withColumn("event_date", F.to_date("event_time")), path, mode, "device_id", "event_time")
 
 
 def write_event_index(index: DataFrame, path: str, mode: str = "append") -> None:
+    """Range partitioning after the de-duplication splits a device that fills a day over several files."""
     dated = index.withColumn("event_date", F.to_date("event_time"))
-    _ranged(dated, "event_date", "device_id", "event_time").write.mode(mode).partitionBy("event_date").parquet(path)
+    _write_by_date(dated.repartitionByRange("event_date", "device_id", "event_time"), path, mode, "device_id", "event_time")
 
 
 def read_event_index(spark: SparkSession, path: str, schema=None) -> DataFrame:
