@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from fleetlake.operators.ordered import COLD, SLICE, Slices
 from fleetlake.session import cut_lineage
@@ -72,10 +72,14 @@ def _fold(times: DataFrame, key: list[str], width: int, min_size: int) -> DataFr
 def _sliced(rows: DataFrame, key: list[str], width: int, min_size: int, slices: Slices) -> DataFrame:
     micros = slices.bucket_micros
     own = rows.groupBy(*key, SLICE, "t").agg(F.count(F.lit(1)).alias("n"))
+    # Slices are numbered anew over those that hold rows: a filtered input may leave some of them empty.
+    number = F.dense_rank().over(Window.partitionBy(*key).orderBy(SLICE)) - 1
     borders = slices.table.groupBy(*key, SLICE).agg(
         (F.min("_bucket") * micros).alias("start"), ((F.max("_bucket") + 1) * micros - 1).alias("end")
-    )
-    own = own.join(slices.per_slice(borders.select(*key, SLICE, "start")), [*key, SLICE])
+    ).join(slices.per_slice(own.select(*key, SLICE).distinct()), [*key, SLICE], "left_semi").withColumn("_number", number)
+    own = own.join(slices.per_slice(borders.select(*key, SLICE, "start", "_number")), [*key, SLICE]).withColumn(
+        SLICE, F.col("_number")).drop("_number")
+    borders = borders.withColumn(SLICE, F.col("_number")).drop("_number")
     # Each slice also sees the times after its end that a window opened inside it can still cover.
     earlier = borders.select(*key, (F.col(SLICE) + 1).alias(SLICE), "end", F.col("start").alias("_start"))
     halo = (

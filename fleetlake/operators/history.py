@@ -26,7 +26,10 @@ def canonical(fields: dict[str, Column]) -> Column:
 
 
 def derive_history(states: DataFrame) -> DataFrame:
-    """ANOMALY, FIRMWARE_UPDATE, BATTERY_CRITICAL and DEVICE_RECOVERED rows. Row-local on the folded states."""
+    """ANOMALY, FIRMWARE_UPDATE, BATTERY_CRITICAL and DEVICE_RECOVERED rows. Row-local on the folded states.
+
+    The payload enters the key by its digest, so the fold does not have to shuffle payload texts.
+    """
     fw, prev_fw = F.col("fw_version"), F.col("prev_fw_version")
     battery, prev_battery = F.col("eff_battery"), F.col("prev_battery")
     t, prev_t = F.col("event_time"), F.col("prev_event_time")
@@ -48,9 +51,9 @@ def derive_history(states: DataFrame) -> DataFrame:
         F.when((battery < 20) & ~F.coalesce(prev_battery < 20, F.lit(False)), item("BATTERY_CRITICAL", level=battery)),
         F.when(recovered, item("DEVICE_RECOVERED")),
     ))
-    rows = states.select("device_id", "event_time", "event_time_text", "event_id", "data", "log_line", F.explode(found).alias("i"))
+    rows = states.select("device_id", "event_time", "event_time_text", "event_id", "payload_digest", F.explode(found).alias("i"))
     content = canonical({
-        "data": F.col("data"), "logLine": F.col("log_line"),
+        "payload": F.col("payload_digest"),
         "anomalies": F.array_join(F.transform("i.anomalies", lambda a: a["type"]), ","),
         "fromFwVersion": F.col("i.from_fw_version"), "toFwVersion": F.col("i.to_fw_version"),
         "batteryLevel": number_text(F.col("i.battery_level")),

@@ -173,6 +173,7 @@ def normalize(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         F.coalesce(F.col("product_id"), F.col("productId")).alias("product_id"),
         F.col("logLine").alias("log_line"),
         json_type(F.col("data")).alias("data_type"),
+        F.sha2(F.concat_ws("\u0000", *[F.coalesce(c, F.lit("")) for c in ("data", "logLine", "eventType")]), 256).alias("payload_digest"),
         "data", "payload", "body_fields",
         "is_synthetic_time",
         *[c.alias(m) for m, c in metrics.items()],

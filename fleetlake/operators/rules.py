@@ -1,4 +1,7 @@
-"""Anomaly and health rules over the event index and over payload metrics."""
+"""Anomaly and health rules over the event index and over payload metrics.
+
+The index has one row per device and event time, so event time alone orders a device.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,7 @@ from fleetlake.functions.values import fixed_text, number_text
 from fleetlake.operators.ordered import Slices, previous, scan
 
 SEVERITY_RANK = {"low": 1, "medium": 2, "high": 3}
-ORDER = ["event_time", "event_id"]
+ORDER = ["event_time"]
 ANOMALY_COLUMNS = ["device_id", "event_time", "severity", "type", "message", "value_num", "value_str"]
 
 
@@ -57,10 +60,7 @@ def firmware_changes(events: DataFrame, slices: Slices | None = None) -> DataFra
 
 
 def first_and_last(events: DataFrame, metric: str) -> DataFrame:
-    """First and last reading of a metric per device; hash aggregation, partial before the shuffle.
-
-    Event time alone is a total order: the index has one row per device and time.
-    """
+    """First and last reading of a metric per device; hash aggregation, partial before the shuffle."""
     at = F.when(F.col(metric).isNotNull(), F.col("event_time"))
     return events.groupBy("device_id").agg(
         F.min_by(metric, at).alias("first_value"),

@@ -1,4 +1,7 @@
-"""Gaps, bursts, anchored windows, throttled triggers and timeline anomalies per device."""
+"""Gaps, bursts, anchored windows, throttled triggers and timeline anomalies per device.
+
+Inputs are index rows: one per device and event time.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,7 @@ from fleetlake.operators.anchored import label_events, window_labels
 from fleetlake.operators.ordered import Slices, newest, previous, scan
 
 DEVICE = ["device_id"]
-ORDER = ["event_time", "event_id"]
+ORDER = ["event_time"]
 
 
 def gaps(events: DataFrame, minutes: float = 90, slices: Slices | None = None) -> DataFrame:

@@ -34,8 +34,12 @@ FETCH = """fet AS MATERIALIZED (SELECT *, CASE WHEN code IS NULL THEN 'network_f
   stored AS MATERIALIZED (SELECT * FROM acc WHERE effect IN ('updated', 'cleared') QUALIFY row_number() OVER (PARTITION BY scope_value, ledger_name ORDER BY fetched_at DESC, seq DESC) = 1)"""
 
 
+def fetch_slices(spark, sf_dir):
+    return inputs.slices(spark, sf_dir, ledgers.FETCH_KEY, "fetched_at", source="fetches")
+
+
 def accepted(spark, sf_dir):
-    return ledgers.accept(ledgers.classify_fetches(inputs.ledger_fetches(spark, sf_dir)))
+    return ledgers.accept(ledgers.classify_fetches(inputs.ledger_fetches(spark, sf_dir)), fetch_slices(spark, sf_dir))
 
 
 @query("s8_ledger_outcomes", sql=plain(f"""SELECT seq, ledger_name, scope_value, CAST(code AS BIGINT) AS http_status, outcome, outcome IN ('retryable_failure', 'network_failure') AS retryable, {iso('updated_at')} AS updated_at FROM timed""", FETCH))
@@ -74,7 +78,7 @@ CHANGES = """SELECT scope_value AS device_id, 'RUNTIME' AS kind, {time} AS time,
 
 @query("t5_snapshot_changes", sql=plain(CHANGES.format(time=iso("updated_at")), FETCH))
 def t5(spark, sf_dir):
-    return ledgers.snapshot_changes(accepted(spark, sf_dir))
+    return ledgers.snapshot_changes(accepted(spark, sf_dir), fetch_slices(spark, sf_dir))
 
 
 # ---- inventory and names

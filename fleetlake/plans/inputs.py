@@ -135,16 +135,17 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @lru_cache(maxsize=64)
-def _slices(application: str, sf_dir: str, key: tuple[str, ...], time: str, rows: int | None, bucket: int) -> Slices | None:
+def _slices(application: str, sf_dir: str, source: str, key: tuple[str, ...], time: str, rows: int | None, bucket: int) -> Slices | None:
     spark = SparkSession.active()
+    table_of = {"arrivals": arrivals, "fetches": ledger_fetches}[source]
     extra = {} if rows is None else {"rows_per_slice": rows}
-    return plan_slices(arrivals(spark, sf_dir).select(*key, time), list(key), time, bucket_seconds=bucket, **extra)
+    return plan_slices(table_of(spark, sf_dir).select(*key, time), list(key), time, bucket_seconds=bucket, **extra)
 
 
-def slices(spark: SparkSession, sf_dir: str, key: list[str], time: str, bucket_seconds: int = 60) -> Slices | None:
+def slices(spark: SparkSession, sf_dir: str, key: list[str], time: str, bucket_seconds: int = 60, source: str = "arrivals") -> Slices | None:
     """Slicing of the large devices, measured once per session and input, like table statistics."""
     rows = spark.conf.get("fleetlake.rows.per.slice", None)
-    return _slices(spark.sparkContext.applicationId, sf_dir, tuple(key), time, int(rows) if rows else None, bucket_seconds)
+    return _slices(spark.sparkContext.applicationId, sf_dir, source, tuple(key), time, int(rows) if rows else None, bucket_seconds)
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fleetlake.operators import history, state
 from fleetlake.operators.archive import archive_records
 from fleetlake.operators.normalize import DEFAULTS, Settings, event_index, normalize
-from fleetlake.operators.ordered import newest, plan_slices
+from fleetlake.operators.ordered import plan_slices
 from fleetlake.sources import tables, webhook
 
 
@@ -40,13 +40,7 @@ class Store:
 
     def states(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
         """Latest state per device, optionally as of the batches before one."""
-        path = self.table("state")
-        if not tables.path_exists(spark, path):
-            return None
-        rows = tables.read_batches(spark, path)
-        if before is not None:
-            rows = rows.filter(F.col(tables.BATCH) < before)
-        return newest(rows, state.KEY, [F.col(tables.BATCH).desc()]).drop(tables.BATCH)
+        return tables.read_version(spark, self.table("state"), state.KEY, before)
 
     def history(self, spark: SparkSession) -> DataFrame:
         return tables.read_batches(spark, self.table("history")).drop(tables.BATCH)
@@ -70,8 +64,9 @@ def ingest_batch(landed: DataFrame, batch_id: int, store: Store, settings: Setti
         stored = stored.join(arrivals.select(*state.KEY).distinct(), state.KEY, "left_semi")
     slices = plan_slices(arrivals, state.KEY, "received_at")
     folded = state.state_history(arrivals, slices, stored).persist()
-    tables.append_once(history.derive_history(folded), store.table("history"), batch_id, ["device_id", "history_key"])
-    tables.write_batch(state.last_states(state.after_event(folded)), store.table("state"), batch_id)
+    items = history.derive_history(folded).withColumn("report_date", F.to_date("report_time"))
+    tables.append_once(items, store.table("history"), batch_id, ["device_id", "history_key"], "report_date")
+    tables.write_version(state.last_states(state.after_event(folded)), store.table("state"), batch_id, state.KEY)
     for df in (folded, arrivals, parsed):
         df.unpersist()
 

@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetlake.operators import ledgers
-from fleetlake.operators.ordered import newest
+from fleetlake.operators.ordered import plan_slices
 from fleetlake.sources import tables
 
 
 def stored(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """Stored snapshots over all batches, optionally before one batch."""
-    if not tables.path_exists(spark, path):
-        return None
-    rows = tables.read_batches(spark, path)
-    if before is not None:
-        rows = rows.filter(F.col(tables.BATCH) < before)
-    return newest(rows, ledgers.FETCH_KEY, [F.col(tables.BATCH).desc()]).drop(tables.BATCH)
+    """Stored snapshots, optionally as of the batches before one."""
+    return tables.read_version(spark, path, ledgers.FETCH_KEY, before)
 
 
 def project_batch(fetches: DataFrame, batch_id: int, path: str) -> None:
@@ -25,8 +20,9 @@ def project_batch(fetches: DataFrame, batch_id: int, path: str) -> None:
     saved = stored(fetches.sparkSession, path, before=batch_id)
     if saved is not None:
         saved = saved.join(fetches.select(*ledgers.FETCH_KEY).distinct(), ledgers.FETCH_KEY, "left_semi")
-    accepted = ledgers.accept(ledgers.classify_fetches(fetches), stored=saved)
-    tables.write_batch(ledgers.stored_snapshots(accepted), path, batch_id)
+    slices = plan_slices(fetches, ledgers.FETCH_KEY, "fetched_at")
+    accepted = ledgers.accept(ledgers.classify_fetches(fetches), slices, saved)
+    tables.write_version(ledgers.stored_snapshots(accepted), path, batch_id, ledgers.FETCH_KEY)
 
 
 def start_projection(fetches: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:

@@ -48,12 +48,7 @@ class SnapshotCursor(StatefulProcessor):
 
 def cursors(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """Latest (time, id) cursor per device, optionally as of the batches before one."""
-    if not tables.path_exists(spark, path):
-        return None
-    rows = tables.read_batches(spark, path)
-    if before is not None:
-        rows = rows.filter(F.col(tables.BATCH) < before)
-    return rows.groupBy("device_id").agg(F.max("cursor").alias("cursor"))
+    return tables.read_version(spark, path, ["device_id"], before)
 
 
 def tail_batch(events: DataFrame, batch_id: int, out: str, cursor_path: str) -> None:
@@ -68,7 +63,7 @@ def tail_batch(events: DataFrame, batch_id: int, out: str, cursor_path: str) ->
         fresh = fresh.join(saved, "device_id", "left").filter(F.col("cursor").isNull() | (position > F.col("cursor"))).drop("cursor")
     fresh = fresh.persist()
     tables.write_batch(fresh.sortWithinPartitions("event_time", "event_id"), out, batch_id)
-    tables.write_batch(fresh.groupBy("device_id").agg(F.max(position).alias("cursor")), cursor_path, batch_id)
+    tables.write_version(fresh.groupBy("device_id").agg(F.max(position).alias("cursor")), cursor_path, batch_id, ["device_id"])
     fresh.unpersist()
 
 

@@ -15,13 +15,13 @@ from fleetlake.operators.ordered import first_known, last_known, plan_slices, pr
 SLICED = [
     "w1_gaps", "w2_firmware_changes", "w5_anchored_windows", "w6_bursts", "w6_burst_events", "w7_current_state", "w8_health_carry_forward",
     "w9_serial_error_count", "w10_last_application_report", "w11_throttled_refresh", "j4_product_resolution", "j9_previous_state",
-    "r2_device_anomalies", "r4_timeline_anomalies", "s6_history_append", "q8_timeline_analytics", "i1_modem_connectivity", "r7_window_assembly",
+    "r2_device_anomalies", "r4_timeline_anomalies", "s6_history_append", "q8_timeline_analytics", "i1_modem_connectivity", "r7_window_assembly", "j5_ledger_upsert", "j6_stored_snapshots", "t5_snapshot_changes",
 ]
 
 
 @pytest.fixture()
 def tiny_slices(spark):
-    spark.conf.set("fleetlake.rows.per.slice", "7")
+    spark.conf.set("fleetlake.rows.per.slice", "4")
     yield
     spark.conf.unset("fleetlake.rows.per.slice")
 
@@ -85,6 +85,15 @@ def test_windows_equal_the_loop(spark, seed, n, spread, width, min_size, step, r
     assert got == want
 
 
+def test_empty_slices_do_not_break_the_chain(spark):
+    """Slices planned on all events, windows cut over a few of them."""
+    events = frame(spark, random_events(21, 600, 86400))
+    few = events.filter(F.col("event_id").rlike("[05]$") & (F.hour("event_time") % 5 < 2))
+    slices = plan_slices(events, ["device_id"], "event_time", 10, bucket_seconds=1200)
+    plain, sliced = (sequence.anchored_windows(few, 10, s).select("event_id", "window_start").collect() for s in (None, slices))
+    assert sorted(plain) == sorted(sliced) and len(plain) > 20
+
+
 @pytest.mark.parametrize("rows_per_slice", [None, 15])
 def test_throttle_equals_the_loop(spark, rows_per_slice):
     rows = random_events(9, 300, 3000, step_ms=1000)

@@ -13,7 +13,7 @@ ARRIVAL = (
     "event_type string, plane string, source_type string, source_event_type string, device_name string, fw_version string, battery double, "
     "connect_time double, reset_count double, alert_count double, occupancy double, daily_occupancy double, temperature double, severity string, "
     "network_state string, serial_category string, serial_log_line string, log_line string, reconnect_detected boolean, watchdog_detected boolean, "
-    "reset_detected boolean, data string, archive_key string"
+    "reset_detected boolean, payload_digest string, archive_key string"
 )
 FIELDS = [f.strip().split(" ")[0] for f in ARRIVAL.split(",")]
 

@@ -34,6 +34,10 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     assert same(store.states(spark), state.current_state(arrivals))
     whole = history.derive_history(state.state_history(arrivals))
     assert same(store.history(spark).select(*whole.columns), whole)
+    # Delivered once more as a later batch: no key is stored twice.
+    ingest.ingest_batch(second, 2, store)
+    stored = store.history(spark)
+    assert stored.count() == stored.select("device_id", "history_key").distinct().count()
 
 
 def test_stream_restarts_from_its_checkpoint(spark, tmp_path):
@@ -70,13 +74,22 @@ def test_older_snapshot_does_not_replace_a_newer_one(spark, tmp_path):
     assert same(ledger_stream.stored(spark, path), whole)
 
 
-def test_compaction_keeps_the_latest_rows(spark, tmp_path):
-    df = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int")
-    path, target = str(tmp_path / "t"), str(tmp_path / "c")
-    tables.write_batch(df, path, 0)
-    tables.write_batch(df.filter("k = 'a'").withColumn("v", F.lit(2)), path, 1)
-    tables.compact(spark, path, target, ["k"])
-    assert sorted(tuple(r) for r in tables.latest_rows(spark, target, ["k"]).collect()) == [("a", 2), ("b", 1)]
+def test_versions_read_the_last_full_batch_and_later_deltas(spark, tmp_path):
+    path = str(tmp_path / "t")
+
+    def put(batch, **rows):
+        tables.write_version(spark.createDataFrame(list(rows.items()), "k string, v int"), path, batch, ["k"], full_every=2)
+
+    def read(before=None):
+        return sorted(tuple(r) for r in tables.read_version(spark, path, ["k"], before).collect())
+
+    put(0, a=1, b=1)
+    put(1, a=2)
+    put(2, c=3)
+    put(2, c=4)
+    assert read() == [("a", 2), ("b", 1), ("c", 4)]
+    assert read(before=2) == [("a", 2), ("b", 1)] and read(before=1) == [("a", 1), ("b", 1)]
+    assert tables.read_version(spark, path, ["k"], before=0) is None
 
 
 def test_archive_layout(spark, tmp_path):
