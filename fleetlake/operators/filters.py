@@ -61,6 +61,18 @@ class QueryWindow:
         return QueryWindow(start, end, limit, severity.lower() if severity else None)
 
 
+    @staticmethod
+    def since(duration: str, as_of: str | datetime, limit: int = 25) -> QueryWindow:
+        """The last ``30s``, ``5m`` or ``1h``."""
+        now = utc(as_of)
+        return QueryWindow(now - parse_duration(duration), now, limit)
+
+    @staticmethod
+    def starting(start: str, as_of: str | datetime, until: str | None = None, limit: int = 25) -> QueryWindow:
+        """From an instant to another one or to now."""
+        return QueryWindow(_instant(start, "start"), _instant(until, "until") if until else utc(as_of), limit)
+
+
 def _instant(text: str, name: str) -> datetime:
     try:
         return utc(text)

@@ -58,14 +58,20 @@ def offline_devices(states: DataFrame, as_of: str, hours: float = 3, limit: int
 
 def normalize_inventory(rows: DataFrame, product_id: str) -> DataFrame:
     """Inventory rows with id, name and product fallbacks; rows without an id are dropped."""
-    return rows.withColumns({
-        "device_id": F.coalesce(*[blank_to_null(F.col(c)) for c in ("id", "device_id", "deviceId")]),
-        "inventory_name": blank_to_null(F.col("name")),
-        "inventory_product_id": F.coalesce(F.col("product_id"), F.col("productId"), F.lit(product_id)),
-        "device_os_inventory": blank_to_null(F.col("system_firmware_version")),
-    }).filter(F.col("device_id").isNotNull()).select(
-        "device_id", "inventory_name", "inventory_product_id", "connected", "device_os_inventory", "last_heard"
-    )
+    def first(*columns: str) -> Column:
+        found = [F.col(c) if c in ("last_heard", "lastHeard") else blank_to_null(F.col(c)) for c in columns if c in rows.columns]
+        return F.coalesce(*found) if found else F.lit(None).cast("string")
+
+    return rows.select(
+        first("id", "device_id", "deviceId").alias("device_id"),
+        first("name").alias("inventory_name"),
+        F.coalesce(first("product_id", "productId"), F.lit(product_id)).alias("inventory_product_id"),
+        "connected",
+        first("system_firmware_version", "systemFirmwareVersion", "firmware_version", "firmwareVersion").alias("device_os_inventory"),
+        first("last_heard", "lastHeard").alias("last_heard"),
+        first("platform_id", "platformId").alias("platform_id"),
+        first("last_ip_address", "lastIpAddress").alias("last_ip_address"),
+    ).filter(F.col("device_id").isNotNull())
 
 
 def canonical_name(*names: Column) -> Column:
@@ -170,6 +176,7 @@ def device_facts(devices: DataFrame) -> DataFrame:
         "device_os_version": F.coalesce(
             F.col("device_os_inventory"), text("system.firmwareVersion"), text("deviceOS.version"), text("startup.deviceOS")),
         "runtime_connection_state": runtime,
+        "schema_version": F.try_variant_get("_status", "$.schemaVersion", "string"),
         "is_connected": F.coalesce("connected", F.when(F.lower(runtime) == "connected", True).when(F.lower(runtime) == "disconnected", False)),
         "soc_percent": F.coalesce(ledger_soc, state_soc),
         "soc_source": F.when(ledger_soc.isNotNull(), "device-status").when(state_soc.isNotNull(), "telemetry"),

@@ -68,14 +68,26 @@ def derive_history(states: DataFrame) -> DataFrame:
     )
 
 
-def sync_failures(failures: DataFrame, time_text: Column) -> DataFrame:
-    """LEDGER_SYNC_FAILED rows for failed device-status fetches (columns of classified fetches)."""
+def sync_failures(failures: DataFrame, time_text: Column, triggers: DataFrame | None = None) -> DataFrame:
+    """LEDGER_SYNC_FAILED rows for failed device-status fetches (columns of classified fetches).
+
+    With ``triggers`` (arrivals) a failure takes time and id of the arrival that caused the fetch: same device,
+    received when the fetch was made.
+    """
+    rows = failures.select(F.col("scope_value").alias("device_id"), "fetched_at", "outcome", "http_status", time_text.alias("_text"))
+    if triggers is None:
+        event_id, time, text = F.lit(None).cast("string"), F.col("fetched_at"), F.col("_text")
+    else:
+        cause = triggers.select(
+            "device_id", F.col("received_at").alias("fetched_at"), F.col("event_id"), "event_time", "event_time_text"
+        )
+        rows = rows.join(cause, ["device_id", "fetched_at"], "left")
+        event_id, time, text = F.col("event_id"), F.coalesce("event_time", "fetched_at"), F.coalesce("event_time_text", "_text")
     kind, status = F.col("outcome"), F.col("http_status")
     content = canonical({"errorKind": kind, "httpStatus": status})
-    return failures.select(
-        F.col("scope_value").alias("device_id"),
-        history_key(time_text, F.lit("LEDGER_SYNC_FAILED"), F.lit(None).cast("string"), content).alias("history_key"),
-        F.lit("LEDGER_SYNC_FAILED").alias("event_type"), F.col("fetched_at").alias("report_time"),
+    return rows.select(
+        "device_id", history_key(text, F.lit("LEDGER_SYNC_FAILED"), event_id, content).alias("history_key"),
+        F.lit("LEDGER_SYNC_FAILED").alias("event_type"), time.alias("report_time"),
         F.lit(None).cast(ANOMALY_TYPE).alias("anomalies"), F.lit(None).cast("int").alias("anomaly_count"),
         F.lit(None).cast("string").alias("from_fw_version"), F.lit(None).cast("string").alias("to_fw_version"),
         F.lit(None).cast("double").alias("battery_level"),

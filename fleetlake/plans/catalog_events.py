@@ -8,7 +8,7 @@ from fleetlake.functions.payload import analytics_payload, field_exact, field_ig
 from fleetlake.operators import archive, correlate, filters, normalize, presentation
 from fleetlake.operators.ordered import newest
 from fleetlake.plans import inputs
-from fleetlake.plans.oracle import arr_sql, idx_sql, iso
+from fleetlake.plans.oracle import SENT, arr_sql, idx_sql, iso
 from fleetlake.plans.registry import query
 from fleetlake.sources import webhook
 
@@ -41,9 +41,9 @@ def s1_quarantine(spark, sf_dir):
 
 
 @query("s3_raw_archive", sql=arr_sql(f"""SELECT archive_key, substr(event_time_text, 1, 10) AS event_date, device_id, event_name,
-  event_time_text AS published_at, data_type, legacy_fw_version AS fw_version, {iso('received_at')} AS received_at FROM arr"""))
+  event_time_text AS published_at, data, data_type, legacy_fw_version AS fw_version, {iso('received_at')} AS received_at FROM arr JOIN sent ON sent_n = n""", SENT))
 def s3(spark, sf_dir):
-    return archive.archive_records(inputs.arrivals_from_raw(spark, sf_dir)).drop("data", "body_fields")
+    return archive.archive_records(inputs.arrivals_from_raw(spark, sf_dir)).drop("body_fields")
 
 
 def redelivered(spark, sf_dir):

@@ -72,6 +72,28 @@ def h5(spark, sf_dir):
     return rows.select("device_id", "report_time", "error_kind", F.col("http_status").cast("bigint").alias("http_status"))
 
 
+def triggered(spark, sf_dir):
+    """Refresh triggers, and what each fetch returned by the first letter of its event id."""
+    triggers = inputs.arrivals(spark, sf_dir).filter(F.col("event_name") == "sensor-hook")
+    letter = F.substring("event_id", 1, 1)
+    fetches = triggers.select(
+        F.col("device_id").alias("scope_value"), F.lit("device-status").alias("ledger_name"), F.col("received_at").alias("fetched_at"),
+        F.when(letter < "3", 503).when(letter < "4", 404).when(letter < "5", F.lit(None)).otherwise(200).alias("http_status"), F.lit("{}").alias("body"),
+    )
+    return triggers, ledgers.classify_fetches(fetches)
+
+
+@query("h5_triggered_failures", sql=arr_sql(f"""SELECT device_id, {iso('event_time')} AS report_time, error_kind, CAST(http_status AS BIGINT) AS http_status,
+    event_time_text || '#LEDGER_SYNC_FAILED#' || event_id || '#' || substr(sha256('errorKind=' || error_kind || coalesce('&httpStatus=' || http_status, '')), 1, 32) AS history_key
+  FROM (SELECT *, CASE WHEN c < '3' THEN 503 WHEN c < '4' THEN 404 WHEN c < '5' THEN NULL ELSE 200 END AS http_status,
+      CASE WHEN c < '3' THEN 'retryable_failure' WHEN c < '4' THEN 'missing_ledger' WHEN c < '5' THEN 'network_failure' ELSE 'permanent_failure' END AS error_kind
+    FROM (SELECT *, substr(event_id, 1, 1) AS c FROM arr WHERE et = 'view'))"""))
+def h5_triggered(spark, sf_dir):
+    triggers, fetches = triggered(spark, sf_dir)
+    rows = history.sync_failures(fetches.filter(F.col("outcome") != "ok"), iso_text(F.col("fetched_at")), triggers)
+    return rows.select("device_id", "report_time", "error_kind", F.col("http_status").cast("bigint").alias("http_status"), "history_key")
+
+
 CHANGES = """SELECT scope_value AS device_id, 'RUNTIME' AS kind, {time} AS time, CASE WHEN before IS NULL THEN 'device-status snapshot available' ELSE 'device-status snapshot updated' END AS summary
   FROM (SELECT scope_value, updated_at, lag(updated_at) OVER (PARTITION BY scope_value ORDER BY fetched_at, seq) AS before FROM acc WHERE effect = 'updated' AND ledger_name = 'device-status')"""
 
@@ -92,12 +114,12 @@ INV = f"""inv AS MATERIALIZED (SELECT c_custkey AS key, CAST(c_custkey AS VARCHA
 def s7(spark, sf_dir):
     """Every device as a page of one of the three shapes, then normalized."""
     rows = inputs.inventory(spark, sf_dir)
-    item = F.to_json(F.struct(*INVENTORY_COLUMNS))
+    item = F.to_json(F.struct(*[c for c in INVENTORY_COLUMNS if c in rows.columns]))
     number = F.crc32("name") % 3
     page = F.when(number == 0, F.concat(F.lit("["), item, F.lit("]"))).when(
         number == 1, F.concat(F.lit('{"devices":['), item, F.lit("]}"))
     ).otherwise(F.concat(F.lit('{"meta":{"total_pages":1},"data":['), item, F.lit("]}")))
-    return fleet.normalize_inventory(explode_pages(rows.select(page.alias("page"))), PRODUCT)
+    return fleet.normalize_inventory(explode_pages(rows.select(page.alias("page"))), PRODUCT).drop("platform_id", "last_ip_address")
 
 
 def devices(spark, sf_dir):

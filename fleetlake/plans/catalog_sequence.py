@@ -9,7 +9,7 @@ from fleetlake.operators.normalize import METRICS
 from fleetlake.plans import inputs
 from fleetlake.plans.catalog_events import ARCHIVE_SQL, reported_archive
 from fleetlake.plans.device import correlation
-from fleetlake.plans.oracle import ANOMALIES, arr_sql, idx_sql, iso, num
+from fleetlake.plans.oracle import ANOMALIES, SENT, arr_sql, idx_sql, iso, num
 from fleetlake.plans.registry import query
 
 DEVICE = ["device_id"]
@@ -272,10 +272,11 @@ def h4(spark, sf_dir):
     return derived(spark, sf_dir).filter(F.col("event_type") == "DEVICE_RECOVERED").select("device_id", "report_time")
 
 
-@query("h6_history_key", sql=arr_sql("""SELECT device_id, event_type, regexp_replace(history_key, '#[0-9a-f]{32}$', '') AS key_head FROM (
-    SELECT device_id, event_type, event_time_text || '#' || event_type || '#' || event_id || '#' || substr(sha256(''), 1, 32) AS history_key FROM items)""", FOLD, RAW_ITEMS))
+@query("h6_history_key", sql=arr_sql(f"""SELECT device_id, event_type, event_time_text || '#' || event_type || '#' || event_id || '#' || substr(sha256(concat_ws('&', 'anomalies=' || types,
+    'batteryLevel=' || {num('battery_level')}, 'fromFwVersion=' || from_fw, 'payload=' || digest, 'toFwVersion=' || to_fw)), 1, 32) AS history_key
+  FROM items JOIN sent ON sent_n = n""", FOLD, RAW_ITEMS, SENT))
 def h6(spark, sf_dir):
-    return derived(spark, sf_dir).select("device_id", "event_type", F.regexp_replace("history_key", "#[0-9a-f]{32}$", "").alias("key_head"))
+    return derived(spark, sf_dir).select("device_id", "event_type", "history_key")
 
 
 @query("s6_history_append", sql=arr_sql(f"""SELECT device_id, event_type, {iso('event_time')} AS report_time FROM items WHERE event_time >= TIMESTAMP '2024-01-20 00:00:00'""", FOLD, RAW_ITEMS))

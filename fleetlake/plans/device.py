@@ -57,16 +57,20 @@ def version_list(*columns: str) -> Column:
     return F.array_join(F.array_sort(F.collect_set(value)), ",")
 
 
-def health(events: DataFrame, window: QueryWindow | None = None, device_id: str | None = None, limited: bool = False) -> DataFrame:
+def health(
+    events: DataFrame, window: QueryWindow | None = None, device_id: str | None = None, limited: bool = False, digits: int | None = None
+) -> DataFrame:
     """Metric statistics, occupancy, versions and time span per device in one aggregation."""
     rows = in_window(events, window, device_id, False, limited)
+    shown = [f"{m}_{s}" for m in HEALTH_METRICS for s in ("latest", "min", "max", "average", "change")]
     at = F.when(F.col("occupancy").isNotNull(), F.col("event_time"))
-    return rows.groupBy("device_id").agg(
+    stats = rows.groupBy("device_id").agg(
         F.count(F.lit(1)).alias("event_count"), F.min("event_time").alias("first_event"), F.max("event_time").alias("last_event"),
         *[c for m in HEALTH_METRICS for c in metric_stats(m)],
         F.max_by("occupancy", at).alias("occupancy_latest"), F.sum("occupancy").alias("occupancy_total"),
         version_list("fw_version").alias("firmware_versions"),
     ).withColumn("hours", F.round(hours_between(F.col("first_event"), F.col("last_event")), 1))
+    return stats if digits is None else stats.withColumns({c: F.round(c, digits) for c in shown})
 
 
 def anomalies(

@@ -71,6 +71,15 @@ arr AS MATERIALIZED (
 IDX = """idx AS MATERIALIZED (
   SELECT * FROM arr QUALIFY row_number() OVER (PARTITION BY device_id, event_time ORDER BY received_at DESC, event_id DESC) = 1)"""
 
+# Payload text as sent, and its digest.
+SENT = """sent AS MATERIALIZED (SELECT n AS sent_n, data, sha256(coalesce(data, '') || chr(0) || coalesce(log_line, '') || chr(0) || coalesce(source_event_type, '')) AS digest FROM (
+    SELECT n, log_line, source_event_type, CASE et WHEN 'error' THEN 'wdt fired' WHEN 'click' THEN '{"cloudRecoverStage":' || (k % 5) || ',"networkState":"up","queueDepth":' || ks || '}'
+      WHEN 'purchase' THEN CASE WHEN n % 7 = 0 THEN line END
+      WHEN 'view' THEN CASE n % 4 WHEN 0 THEN '{' || m || '}' WHEN 1 THEN replace('{' || m || '}', '"', '&quot;') WHEN 2 THEN replace(m || '}', '"', '&quot;') ELSE '{' || m END END AS data
+    FROM (SELECT *, concat_ws(',', CASE WHEN n % 6 = 0 THEN '"Battery":' ELSE '"battery":' END || ks, '"connecttime":' || CAST(value AS VARCHAR), '"resets":' || (n // 1000),
+      '"alerts":' || CASE WHEN k % 10 = 0 THEN '1' ELSE '0' END, CASE WHEN n % 10 <> 9 THEN '"occupancy":' || (k % 7) || ',"dailyoccupancy":"' || (k * 2) || '"' END,
+      CASE WHEN n % 5 = 0 THEN '"temperature":' ELSE '"temp":' END || CAST(CAST(20 + k / 4.0 AS DOUBLE) AS VARCHAR), CASE WHEN n % 2 = 0 THEN '"fw_version":"' || fw || '"' END) AS m FROM arr)))"""
+
 # Anomalies per device, used by several checks. ``{src}`` is the event relation.
 ANOMALIES = f"""thr AS (
   SELECT device_id, event_time, CASE WHEN battery < 20 THEN 'high' ELSE 'medium' END AS severity,

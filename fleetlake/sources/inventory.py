@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-DEVICE = (
-    "struct<id:string,device_id:string,deviceId:string,name:string,product_id:string,productId:string,connected:boolean,"
-    "system_firmware_version:string,last_heard:timestamp>"
-)
-INVENTORY_COLUMNS = ["id", "device_id", "deviceId", "name", "product_id", "productId", "connected", "system_firmware_version", "last_heard"]
+# Device fields of an inventory payload; alternatives of one fact stand next to each other.
+INVENTORY_COLUMNS = [
+    "id", "device_id", "deviceId", "name", "product_id", "productId", "connected",
+    "system_firmware_version", "systemFirmwareVersion", "firmware_version", "firmwareVersion", "last_heard", "lastHeard",
+    "platform_id", "platformId", "last_ip_address", "lastIpAddress",
+]
+TYPES = {"connected": "boolean", "last_heard": "timestamp", "lastHeard": "timestamp"}
+DEVICE = "struct<" + ",".join(f"{c}:{TYPES.get(c, 'string')}" for c in INVENTORY_COLUMNS) + ">"
 FETCH_SCHEMA = (
     "ledger_name string, product_id string, scope_value string, http_status int, body string, fetched_at timestamp, seq bigint"
 )
