@@ -305,17 +305,33 @@ def r10(spark, sf_dir):
     return rows.select("seq", "next_scheduled_report")
 
 
-@query("j10_posix_offsets", sql=plain("SELECT seq, epoch(timezone('America/New_York', timezone('UTC', last)) - last)::BIGINT AS offset_seconds FROM cases", CASES))
+POSIX_ZONES = [inputs.POSIX_EASTERN, "CET-1CEST,M3.5.0,M10.5.0/3", "UTC0"]
+POSIX_OFFSETS = "SELECT seq, epoch(timezone(z, timezone('UTC', last)) - last)::BIGINT AS offset_seconds FROM (SELECT *, (['America/New_York','Europe/Berlin','UTC'])[seq % 3 + 1] AS z FROM cases)"
+
+
+def posix_cases(spark, sf_dir):
+    zone = F.element_at(F.array(*map(F.lit, POSIX_ZONES)), (F.col("seq") % 3 + 1).cast("int"))
+    return schedule_cases(spark, sf_dir).select("seq", "last", zone.alias("zone"))
+
+
+@query("j10_posix_transitions", sql=plain(POSIX_OFFSETS, CASES))
 def j10(spark, sf_dir):
-    """Transitions per zone and year, joined by year range with the instants."""
-    cases = schedule_cases(spark, sf_dir).select("seq", "last").withColumn("zone", F.lit(inputs.POSIX_EASTERN))
+    """Offset of every instant from the table of transitions per zone and year."""
+    cases = posix_cases(spark, sf_dir).withColumn("year", F.year("last"))
     zones = schedule.zone_rules(cases.select("zone").distinct(), "zone")
-    table = schedule.posix_transitions(zones, 2023, 2026).select("zone", "year", "posix", "daylight_start", "daylight_end")
-    at = cases.withColumn("year", F.year("last")).join(table, ["zone", "year"])
+    table = schedule.posix_transitions(zones, 2023, 2026).select("zone", "year", "daylight_start", "daylight_end")
+    at = cases.join(zones.select("zone", "posix"), "zone").join(table, ["zone", "year"], "left")
     summer = (F.col("last") >= F.col("daylight_start")) & (F.col("last") < F.col("daylight_end"))
     return at.select("seq", F.when(summer, F.col("posix.daylight")).otherwise(F.col("posix.standard")).cast("bigint").alias("offset_seconds"))
 
 
+@query("j10_posix_offsets", sql=plain(POSIX_OFFSETS, CASES))
+def j10_offsets(spark, sf_dir):
+    """The same offsets computed in place from the zone's rules, without a join."""
+    ruled = schedule.zone_rules(posix_cases(spark, sf_dir), "zone")
+    return ruled.select("seq", schedule.posix_offset(F.unix_seconds("last"), F.col("posix")).cast("bigint").alias("offset_seconds"))
+
+
 @query("r11_relative_age", sql=arr_sql(f"""SELECT event_id, CASE WHEN s < 60 THEN s || ' sec' WHEN s < 3600 THEN s // 60 || ' min' WHEN s < 172800 THEN s // 3600 || ' hr' WHEN s // 86400 = 1 THEN '1 day' ELSE s // 86400 || ' days' END AS age
   FROM (SELECT event_id, greatest(0, epoch_ms({AS_OF} - event_time) // 1000) AS s FROM arr)"""))
 def r11(spark, sf_dir):
