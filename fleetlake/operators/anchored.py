@@ -18,8 +18,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from fleetlake.operators.ordered import COLD, SLICE, Slices
 from fleetlake.session import cut_lineage
 
-LABELS = "array<struct<t:bigint,anchor:bigint>>"
-CHUNK = 256
+NO_WINDOW = -(2**63)
 
 
 def window_labels(
@@ -39,33 +38,39 @@ def window_labels(
     return cold.unionByName(_sliced(sliced.filter(F.col(SLICE) != COLD), key, width_micros, min_size, slices))
 
 
+def _walk(opens: np.ndarray, following: np.ndarray, entry: int, stop: int) -> np.ndarray:
+    """Position of the window each time belongs to, -1 outside; jumps from window to window."""
+    anchor = np.full(len(opens), -1)
+    candidates, pos = np.flatnonzero(opens[:stop]), entry
+    while pos < stop:
+        at = np.searchsorted(candidates, pos)
+        if at == len(candidates):
+            break
+        first = candidates[at]
+        pos = int(following[first])
+        anchor[first:pos] = first
+    return anchor
+
+
 def _fold(times: DataFrame, key: list[str], width: int, min_size: int) -> DataFrame:
-    """One pass over the sorted times of a device. Output grows in chunks so that appending stays cheap."""
-    points = f"""transform(times, (t, i) -> named_struct('t', t,
-        'opens', coalesce(get(times, i + {min_size - 1}) <= t + {width}L, false)))"""
-    step = f"""CASE
-        WHEN p.t = a.last THEN a
-        WHEN p.t <= a.until THEN named_struct('anchor', a.anchor, 'until', a.until, 'last', p.t,
-            'out', concat(a.out, array(named_struct('t', p.t, 'anchor', a.anchor))))
-        WHEN p.opens THEN named_struct('anchor', p.t, 'until', p.t + {width}L, 'last', p.t,
-            'out', concat(a.out, array(named_struct('t', p.t, 'anchor', p.t))))
-        ELSE named_struct('anchor', cast(null as bigint), 'until', cast(null as bigint), 'last', p.t, 'out', a.out) END"""
-    none = f"""'anchor', cast(null as bigint), 'until', cast(null as bigint), 'last', cast(null as bigint),
-        'out', cast(array() as {LABELS})"""
-    labels = f"""aggregate(
-        transform(sequence(0, cast(floor((size(points) - 1) / {CHUNK}) as int)), c -> slice(points, c * {CHUNK} + 1, {CHUNK})),
-        named_struct('cur', named_struct({none}), 'done', cast(array() as array<{LABELS}>)),
-        (s, chunk) -> named_struct(
-            'cur', aggregate(chunk,
-                named_struct('anchor', s.cur.anchor, 'until', s.cur.until, 'last', s.cur.last, 'out', cast(array() as {LABELS})),
-                (a, p) -> {step}),
-            'done', concat(s.done, array(s.cur.out))),
-        s -> concat(flatten(s.done), s.cur.out))"""
+    """One walk over the sorted times of each device; a batch hands many devices to one call."""
+
+    def anchors_of(times: np.ndarray) -> np.ndarray:
+        t = np.asarray(times)
+        following = np.searchsorted(t, t + width, side="right")
+        anchor = _walk(following - np.arange(len(t)) >= min_size, following, 0, len(t))
+        repeated = np.concatenate([[False], t[1:] == t[:-1]])
+        return np.where((anchor < 0) | repeated, NO_WINDOW, t[anchor])
+
+    @F.pandas_udf("array<bigint>")
+    def anchors(times: pd.Series) -> pd.Series:
+        return times.map(anchors_of)
+
     return (
-        times.groupBy(*key).agg(F.array_sort(F.collect_list("t")).alias("times"))
-        .withColumn("points", F.expr(points))
-        .select(*key, F.explode(F.expr(labels)).alias("l"))
-        .select(*key, "l.t", "l.anchor")
+        times.groupBy(*key).agg(F.sort_array(F.collect_list("t")).alias("times"))
+        .withColumn("anchors", anchors("times"))
+        .select(*key, F.explode(F.arrays_zip(F.col("times").alias("t"), F.col("anchors").alias("anchor"))).alias("l"))
+        .select(*key, "l.t", "l.anchor").filter(F.col("anchor") != NO_WINDOW)
     )
 
 
@@ -112,15 +117,7 @@ def _sliced(rows: DataFrame, key: list[str], width: int, min_size: int, slices:
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         t, opens, following, m = ordered(pdf)
-        candidates = np.flatnonzero(opens[:m])
-        anchor, pos = np.full(len(t), -1), int(pdf["entry"].iloc[0])
-        while pos < m:
-            at = np.searchsorted(candidates, pos)
-            if at == len(candidates):
-                break
-            first = candidates[at]
-            pos = int(following[first])
-            anchor[first:pos] = first
+        anchor = _walk(opens, following, int(pdf["entry"].iloc[0]), m)
         inside = anchor >= 0
         return pd.DataFrame({**{k: pdf[k].iloc[0] for k in key}, "t": t[inside], "anchor": t[anchor[inside]]})
 

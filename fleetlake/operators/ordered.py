@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetlake.session import cut_lineage
 
-ROWS_PER_SLICE = 2_000_000
+ROWS_PER_SLICE = 500_000
 BROADCAST_ROWS = 200_000
 SLICE = "_slice"
 COLD = -1

@@ -30,6 +30,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Settings that change results, applied to whatever session the caller has."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    # Devices differ in size; a batch sent to Python is bounded by bytes, not only by rows.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 * 1024 * 1024))
     return spark
 
 
