@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,6 +34,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     # Devices differ in size; a batch sent to Python is bounded by bytes, not only by rows.
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 * 1024 * 1024))
+    # Functions sent to Python workers travel by value, so executors need no copy of this package.
+    cloudpickle.register_pickle_by_value(sys.modules["fleetlake"])
     return spark
 
 
