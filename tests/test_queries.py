@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from fleetlake.plans import registry
 from compare import check
 from conftest import SF
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = registry.QUERIES, registry.ORACLE
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
