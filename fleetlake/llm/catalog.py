@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fleetlake.llm import bpe
+from fleetlake.llm import bpe, fingerprint
 
 QUERIES = {
     "op8_bpe": bpe.query,
+    "op10_fingerprint": fingerprint.query,
 }
 ORACLE: dict[str, str] = {}
