@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fleetlake.llm import bpe, fingerprint, secrets
+from fleetlake.llm import bpe, fingerprint, language, secrets
 
 QUERIES = {
+    "op4_language": language.query,
     "op6_secrets": secrets.query,
     "op8_bpe": bpe.query,
     "op10_fingerprint": fingerprint.query,
