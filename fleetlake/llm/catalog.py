@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fleetlake.llm import bpe, fingerprint, language, secrets
+from fleetlake.llm import bpe, fingerprint, language, quality, secrets
 
 QUERIES = {
+    "op2_quality": quality.query,
     "op4_language": language.query,
     "op6_secrets": secrets.query,
     "op8_bpe": bpe.query,
