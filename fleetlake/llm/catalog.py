@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from fleetlake.llm import bpe, fingerprint, language, quality, secrets
+from fleetlake.llm import bpe, fingerprint, language, quality, repeats, secrets
 
 QUERIES = {
     "op2_quality": quality.query,
     "op4_language": language.query,
     "op6_secrets": secrets.query,
     "op8_bpe": bpe.query,
+    "op9_repeats": repeats.query,
     "op10_fingerprint": fingerprint.query,
 }
 ORACLE: dict[str, str] = {}
