@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from fleetlake.llm import bpe, fingerprint, language, quality, repeats, secrets
+from fleetlake.llm import bpe, fingerprint, katz, language, quality, repeats, secrets
 
 QUERIES = {
     "op2_quality": quality.query,
+    "op3_katz": katz.query,
     "op4_language": language.query,
     "op6_secrets": secrets.query,
     "op8_bpe": bpe.query,
