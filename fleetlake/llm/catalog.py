@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from fleetlake.llm import bpe, fingerprint, katz, language, quality, repeats, secrets
+from fleetlake.llm import bpe, fingerprint, katz, language, near, quality, repeats, secrets
 
 QUERIES = {
     "op2_quality": quality.query,
     "op3_katz": katz.query,
     "op4_language": language.query,
+    "op5_near_duplicates": near.query,
     "op6_secrets": secrets.query,
     "op8_bpe": bpe.query,
     "op9_repeats": repeats.query,
