@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fleetlake.llm import bpe, fingerprint, katz, language, near, quality, repeats, secrets
+from fleetlake.llm import bpe, decontaminate, fingerprint, katz, language, near, quality, repeats, secrets
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.query,
     "op2_quality": quality.query,
     "op3_katz": katz.query,
     "op4_language": language.query,
