@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fleetlake.llm import bpe, decontaminate, fingerprint, katz, language, near, quality, repeats, secrets
+from fleetlake.llm import bpe, decontaminate, fingerprint, katz, language, licenses, near, quality, repeats, secrets
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language": language.query,
     "op5_near_duplicates": near.query,
     "op6_secrets": secrets.query,
+    "op7_licenses": licenses.query,
     "op8_bpe": bpe.query,
     "op9_repeats": repeats.query,
     "op10_fingerprint": fingerprint.query,
