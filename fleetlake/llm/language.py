@@ -5,8 +5,8 @@ rows of every language or so, whole texts). A word's score for a language is the
 language; languages that were never seen with the word's script are out, unless no language was. The best sequence of labels pays
 ``penalty`` for every change of language. Labels are merged to spans of code points (from a word's first letter to the last word's end).
 
-A text whose best single language loses nothing by any run of another one (the largest such gain is below the penalty) is labelled at once;
-this is the same labelling, because every run of another language costs one penalty at least. Ties go to the first language in order.
+A text is labelled by its best single language at once if no run of another language gains more than the penalty, and no first and last
+run together: n runs cost n - 1 penalties, and so no labelling is better. Ties go to the first language in order.
 
 Null texts and texts without a letter have no spans and the label ``und`` with score 0. Rows without text or language are not learnt
 from; without any learnt language every text is ``und``. Repeated rows give repeated results. Only named columns are returned.
@@ -108,7 +108,8 @@ class Labeller:
         best = int(scores.sum(axis=0, dtype=np.float64).argmax())
         gain = np.cumsum(scores.astype(np.float64) - scores[:, best : best + 1], axis=0)
         lowest = np.minimum.accumulate(np.concatenate([np.zeros((1, k)), gain[:-1]]), axis=0)
-        if (gain - lowest).max() <= self.penalty:
+        ends = max(0.0, gain.max()) + max(0.0, (gain[-1] - lowest[-1]).max())
+        if (gain - lowest).max() <= self.penalty and ends <= self.penalty:
             return np.full(n, best)
         rows, back, penalty = scores.tolist(), [], self.penalty
         value = rows[0]
