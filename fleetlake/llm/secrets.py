@@ -60,13 +60,13 @@ class Scanner:
         most = w * (math.log2(w) - self.thresholds[class_of(text)])  # entropy = log2(w) - sum(c log2 c) / w
         total, spans = 0.0, []
         for i, c in enumerate(text):
-            n = counts.get(c, 0)
-            counts[c] = n + 1
-            total += weight[n + 1] - weight[n]
             if i >= w:
                 n = counts[old := text[i - w]]
                 counts[old] = n - 1
                 total += weight[n - 1] - weight[n]
+            n = counts.get(c, 0)
+            counts[c] = n + 1
+            total += weight[n + 1] - weight[n]
             if i >= w - 1 and total <= most + 1e-9:
                 if spans and i - w + 1 <= spans[-1][1]:
                     spans[-1] = (spans[-1][0], i + 1)
