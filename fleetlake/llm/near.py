@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlake.llm.common import WordHashes, checkpointed, documents, mixed, slices, window_hashes
+from fleetlake.llm.common import Hasher, checkpointed, distinct, documents, mixed, slices, window_hashes
 
 ROWS, BANDS, MANTISSA = 5, 42, 10
 REGISTERS = ROWS * BANDS
@@ -41,12 +41,11 @@ FEW_KEYS = 1_000_000  # up to 8 MB of keys are sent to every task, more are join
 CHANCE = 0.1699
 
 
-def shingles(text: bytes | None, size: int, hashes: WordHashes) -> np.ndarray:
-    """The different hashes of all runs of ``size`` words, sorted."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    return np.unique(window_hashes(hashes.of(words), min(size, len(words))))
+def shingles(texts: list[bytes | None], size: int, hasher: Hasher) -> list[np.ndarray]:
+    """The different hashes of all runs of ``size`` words of each text, sorted."""
+    hashes, counts = hasher.of_texts(texts)
+    ends = np.cumsum(counts)
+    return [distinct(window_hashes(hashes[e - n : e], min(size, n))) if n else hashes[:0] for e, n in zip(ends.tolist(), counts.tolist())]
 
 
 def permutations() -> np.ndarray:
@@ -89,10 +88,10 @@ def sketches(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("binary").alias("text"))
 
     def run(batches):
-        hashes = WordHashes()
+        hasher = Hasher(lower=True)
         for batch in batches:
             for part in slices(batch):
-                sets = [shingles(t, size, hashes) for t in part.column("text").to_pylist()]
+                sets = shingles(part.column("text").to_pylist(), size, hasher)
                 filled = [s for s in sets if len(s)]
                 packed = iter(registers(filled)) if filled else iter(())
                 regs = [next(packed).tobytes() if len(s) else None for s in sets]
@@ -155,10 +154,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: int, key:
     others = pairs.join(slots, "a").withColumn("slot", F.pmod(F.xxhash64("b"), "slots").cast("int")).join(whole.withColumnRenamed("k", "b"), "b").select("a", "slot", "b", "text").toDF("a", "slot", "b", "text")
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        hashes, found = WordHashes(), []
+        found = []
         if left.num_rows and right.num_rows:
-            own = shingles(left.column("text")[0].as_py(), size, hashes)
-            found = [b for b, t in zip(right.column("b").to_pylist(), right.column("text").to_pylist()) if similar(own, shingles(t, size, hashes), threshold)]
+            own, *sets = shingles([left.column("text")[0].as_py(), *right.column("text").to_pylist()], size, Hasher(lower=True))
+            found = [b for b, s in zip(right.column("b").to_pylist(), sets) if similar(own, s, threshold)]
         a = left.column("a")[0].as_py() if found else None
         return pa.table({"a": pa.array([a] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
 
@@ -188,9 +187,8 @@ def _tied(table: pa.Table, least: float) -> pa.Table:
 
 def _between(table: pa.Table, size: int, threshold: int) -> pa.Table:
     """Links between texts of different components in one block (or between two), by an index of their shingles."""
-    hashes = WordHashes()
     k, component, side = (table.column(c).to_numpy() for c in ("k", "component", "side"))
-    sets = [shingles(t, size, hashes) for t in table.column("text").to_pylist()]
+    sets = shingles(table.column("text").to_pylist(), size, Hasher(lower=True))
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
     order = np.argsort(flat, kind="stable")

@@ -2,8 +2,7 @@
 
 Corpus-wide questions of the kind "who else has this key" would move one row per word. Here every chunk of documents (a few MB of text,
 chosen by a hash of the row) sorts its own different keys first and sends one binary value per key range ("shelf"): the
-differences of neighbouring keys, byte by byte, which Spark's shuffle compression shrinks to little more than their information. A
-shelf answers with arrays in the order of the keys it was sent, which the chunk can rebuild from its texts.
+differences of neighbouring keys, byte by byte and compressed to little more than their information. A shelf answers with arrays in the order of the keys it was sent, which the chunk can rebuild from its texts.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,16 +20,16 @@ from fleetlake.llm.common import CHUNK_CHARS, parts, total_chars
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Unsigned values as byte planes, without leading planes of zeros."""
+    """Unsigned values as compressed byte planes, without leading planes of zeros."""
     values = np.ascontiguousarray(values, dtype=np.uint64)
     width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T[:width]).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T[:width]).tobytes())
 
 
 def unpack(data: bytes, count: int) -> np.ndarray:
     if not count:
         return np.zeros(0, np.uint64)
-    planes = np.frombuffer(data, np.uint8).reshape(-1, count)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(-1, count)
     out = np.zeros((count, 8), np.uint8)
     out[:, : len(planes)] = planes.T
     return out.view(np.uint64).reshape(-1)

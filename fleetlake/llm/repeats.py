@@ -13,12 +13,14 @@ smaller than all others. Null and empty texts have no words. Only named columns
 
 from __future__ import annotations
 
+from itertools import compress
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlake.llm.common import WordHashes, documents, window_hashes
+from fleetlake.llm.common import Hasher, distinct, documents, places, window_hashes
 from fleetlake.llm.packed import Layout, bits, chunked, layout, pack, pack_sorted, rows, unbits, unpack, unpack_sorted
 
 LEAST = 13
@@ -34,16 +36,16 @@ SAID_DDL = "chunk int, round int, shelf int, a binary, b binary"
 class Words:
     """The words of a chunk's documents (in key order) and where their runs start."""
 
-    def __init__(self, table: pa.Table, hashes: WordHashes, least: int, block: int):
+    def __init__(self, table: pa.Table, least: int, block: int):
         order = np.argsort(np.array([NONE if k is None else k for k in table.column("k").to_pylist()], np.int64), kind="stable")
         self.order, keys, texts = order, table.column("k").to_pylist(), table.column("text").to_pylist()
         self.raw_keys = [keys[i] for i in order]
         self.keys = np.array([NONE if k is None else k for k in self.raw_keys], np.int64)
-        self.words = [(texts[i] or b"").split() for i in order]
-        sizes = np.array([len(w) for w in self.words], np.int64)
+        self.texts = [texts[i] or b"" for i in order]
+        h, sizes = Hasher(lower=False).of_texts(self.texts)
+        self.sizes = sizes
         self.begins = np.cumsum(sizes) - sizes
         self.doc = np.repeat(np.arange(len(sizes)), sizes)
-        h = np.concatenate([hashes.of(w) for w in self.words]) if len(sizes) else np.zeros(0, np.uint64)
         self.n, self.least, self.block, self.h = len(h), least, block, h
         room = (self.begins + sizes)[self.doc] - np.arange(self.n) if self.n else np.zeros(0, np.int64)
         self.fits = room >= least  # a window starts here
@@ -80,7 +82,7 @@ def _anchors(table: pa.Table) -> pa.Table:
     sent = sorted(zip(*(table.column(c).to_pylist() for c in ("chunk", "shelf", "n_a", "a", "n_b", "b"))), key=lambda x: x[0])
     blocks = [unpack_sorted(b, n) for _, _, _, _, n, b in sent]
     owner = np.repeat([x[0] for x in sent], [len(b) for b in blocks])
-    known, at = np.unique(np.concatenate(blocks), return_inverse=True)
+    known, at = places(np.concatenate(blocks))
     first, last = np.full(len(known), np.iinfo(np.int64).max), np.full(len(known), -1)
     np.minimum.at(first, at, owner)
     np.maximum.at(last, at, owner)
@@ -105,7 +107,7 @@ def _owners(table: pa.Table) -> pa.Table:
     sent = sorted(zip(*(table.column(c).to_pylist() for c in ("chunk", "shelf", "n_a", "a", "b"))), key=lambda x: x[0])
     keys = np.concatenate([unpack_sorted(a, n) for _, _, n, a, _ in sent])
     docs = np.concatenate([unpack(b, n) for _, _, n, _, b in sent]).view(np.int64)
-    known, at = np.unique(keys, return_inverse=True)
+    known, at = places(keys)
     least = np.full(len(known), np.iinfo(np.int64).max)
     np.minimum.at(least, at, docs)
     earlier = least[at] < docs
@@ -126,8 +128,8 @@ def _answers(plan: Layout, keys: np.ndarray, said: dict[int, bytes], width: int)
 def _candidates(w: Words, plan: Layout, said: dict[int, tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Windows of a chunk that touch an anchor: their starts, and of each different hash: the hash, its windows' index, its first document's key."""
     short = w.short(plan.filter_bits)
-    probes, at = np.unique(short[w.block_fits], return_inverse=True)
-    blocks, of = np.unique(short[w.aligned], return_inverse=True)
+    probes, at = places(short[w.block_fits], plan.filter_bits)
+    blocks, of = places(short[w.aligned], plan.filter_bits)
     hit, active = np.zeros(w.n, bool), np.zeros(w.n, bool)
     hit[w.block_fits] = _answers(plan, probes, {s: x for s, (x, _) in said.items()}, plan.filter_bits)[at]
     active[w.aligned] = _answers(plan, blocks, {s: y for s, (_, y) in said.items()}, plan.filter_bits)[of]
@@ -146,8 +148,10 @@ def _candidates(w: Words, plan: Layout, said: dict[int, tuple[bytes, bytes]]) ->
     np.add.at(near, np.maximum(anchor - (w.least - w.block), 0), 1)
     np.add.at(near, anchor + 1, -1)
     starts = np.flatnonzero((np.cumsum(near)[:-1] > 0) & w.fits)
-    keys, first, of = np.unique(w.long()[starts], return_index=True, return_inverse=True)
-    return starts, keys, of, w.keys[w.doc[starts[first]]]
+    keys, of = places(w.long()[starts])
+    first = np.full(len(keys), w.n, np.int64)
+    np.minimum.at(first, of, starts)
+    return starts, keys, of, w.keys[w.doc[first]]
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
@@ -158,15 +162,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     width = plan.filter_bits
 
     def first_round(table: pa.Table) -> pa.Table:
-        w = Words(table, WordHashes(), least, block)
+        w = Words(table, least, block)
         short = w.short(width)
-        return _send(plan, table.column("chunk")[0].as_py(), np.unique(short[w.block_fits]), np.unique(short[w.aligned]), width)
+        return _send(plan, table.column("chunk")[0].as_py(), distinct(short[w.block_fits]), distinct(short[w.aligned]), width)
 
     def of_round(said: pa.Table, number: int) -> dict[int, tuple[bytes, bytes]]:
         return {s: (a, b) for r, s, a, b in zip(*(said.column(c).to_pylist() for c in ("round", "shelf", "a", "b"))) if r == number}
 
     def second_round(table: pa.Table, said: pa.Table) -> pa.Table:
-        w = Words(table, WordHashes(), least, block)
+        w = Words(table, least, block)
         _, keys, _, owners = _candidates(w, plan, of_round(said, 0))
         out: dict[str, list] = {n: [] for n in SENT.names}
         for shelf, i, j in plan.cuts(keys):
@@ -177,7 +181,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     result = pa.schema([("k", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def last_round(table: pa.Table, said: pa.Table) -> pa.Table:
-        w = Words(table, WordHashes(), least, block)
+        w = Words(table, least, block)
         starts, keys, of, owners = _candidates(w, plan, of_round(said, 0))
         earlier = _answers(plan, keys, {s: a for s, (a, _) in of_round(said, 1).items()}, 64)
         found = starts[earlier[of] | (owners[of] < w.keys[w.doc[starts]])] if len(starts) else starts
@@ -186,9 +190,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
         np.add.at(cover, found + least, -1)
         kept = np.cumsum(cover)[:-1] == 0
         out: dict[str, list] = {n: [] for n in result.names}
-        for k, words, start in zip(w.raw_keys, w.words, w.begins):
-            here = kept[start : start + len(words)]
-            left = words if here.all() else [x for x, y in zip(words, here.tolist()) if y]
+        for k, words, start, size in zip(w.raw_keys, map(bytes.split, w.texts), w.begins, w.sizes):
+            here = kept[start : start + size]
+            left = words if here.all() else list(compress(words, here.tolist()))
             for name, value in zip(result.names, (k, len(words), len(words) - len(left), b" ".join(left).decode())):
                 out[name].append(value)
         return rows(result, out)
