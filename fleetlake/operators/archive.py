@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetlake.functions.payload import analytics_payload, field_exact, json_object
 from fleetlake.functions.values import prefix_number
+from fleetlake.operators.ordered import newest
 
 # Metric column and the case-sensitive fields analytics reads it from.
 PAYLOAD_METRICS = {
@@ -23,9 +24,14 @@ def archive_records(arrivals: DataFrame) -> DataFrame:
     )
 
 
+def objects(archive: DataFrame) -> DataFrame:
+    """The archive as its readers see it: of deliveries that share a key the last received replaces the others."""
+    return newest(archive, ["archive_key"], [F.col("received_at").desc(), F.col("data").desc()])
+
+
 def with_payload(events: DataFrame, archive: DataFrame) -> DataFrame:
-    """Events with the archived payload; events whose object is missing keep nulls."""
-    stored = archive.select(
+    """Events with the archived payload; events whose object is missing keep nulls, none has more than one."""
+    stored = objects(archive).select(
         "archive_key", F.lit(True).alias("has_payload"), F.col("data").alias("archived_data"),
         F.col("fw_version").alias("archived_fw_version"), F.col("body_fields").alias("archived_fields"),
         *[F.col(c).alias(f"archived_{c}") for c in ("reset_cause", "details", "message") if c in archive.columns],

@@ -191,5 +191,8 @@ def normalize(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 
 def event_index(arrivals: DataFrame) -> DataFrame:
-    """One row per (device, event time), the last received wins."""
-    return newest(arrivals, ["device_id", "event_time"], [F.col("received_at").desc(), F.col("event_id").desc()])
+    """One row per (device, event time as sent), the last received wins.
+
+    The text is the key: times that cannot be read, or that name one instant in two ways, are different events.
+    """
+    return newest(arrivals, ["device_id", "event_time_text"], [F.col("received_at").desc(), F.col("event_id").desc()])

@@ -58,7 +58,7 @@ def redelivered(spark, sf_dir):
 @query("s4_event_index", sql=arr_sql(f"""SELECT device_id, {iso('event_time')} AS event_time, event_name, event_type, plane, source_type, battery,
     CASE WHEN substr(event_id, 1, 1) < '4' THEN 'again' ELSE fw_version END AS fw_version,
     {iso("CASE WHEN substr(event_id, 1, 1) < '4' THEN received_at + INTERVAL 10 MINUTE ELSE received_at END")} AS received_at
-  FROM idx""", """idx AS (SELECT * FROM arr QUALIFY row_number() OVER (PARTITION BY device_id, event_time
+  FROM idx""", """idx AS (SELECT * FROM arr QUALIFY row_number() OVER (PARTITION BY device_id, event_time_text
     ORDER BY CASE WHEN substr(event_id, 1, 1) < '4' THEN received_at + INTERVAL 10 MINUTE ELSE received_at END DESC, event_id DESC) = 1)"""))
 def s4(spark, sf_dir):
     return normalize.event_index(redelivered(spark, sf_dir)).select(
@@ -66,6 +66,30 @@ def s4(spark, sf_dir):
     )
 
 
+def oddly_timed(spark, sf_dir):
+    """Raw events of which some have times that cannot be read, and some name their instant with an offset."""
+    n = F.col("seq")
+    text = (
+        F.when(n % 17 == 0, F.concat(F.lit("no time "), (n % 3).cast("string")))
+        .when(n % 19 == 0, F.concat(F.substring("timestamp", 1, 23), F.lit("+00:00"))).otherwise(F.col("timestamp"))
+    )
+    return inputs.raw_events(spark, sf_dir).withColumns({"timestamp": text, "published_at": F.when(~((n % 17 == 0) | (n % 19 == 0)), F.col("published_at"))})
+
+
+@query("s4_index_by_time_text", sql=f"""WITH odd AS (SELECT event_id AS n, user_id, date_trunc('milliseconds', ts) AS t0,
+    date_trunc('milliseconds', ts) + to_milliseconds(event_id * 37 % 9000) AS received_at FROM events),
+  sent AS (SELECT *, CASE WHEN n % 11 <> 0 OR n % 13 <> 0 THEN CAST(user_id AS VARCHAR) ELSE 'unknown' END AS device_id,
+    CASE WHEN n % 17 = 0 THEN 'no time ' || (n % 3)
+      WHEN n % 19 = 0 AND n % 7 <> 0 THEN strftime(t0, '%Y-%m-%dT%H:%M:%S.%g') || '+00:00'
+      WHEN n % 19 = 0 OR (n % 7 = 0 AND n % 13 = 0) THEN {iso('received_at')} ELSE {iso('t0')} END AS event_time_text FROM odd),
+  kept AS (SELECT * FROM sent QUALIFY row_number() OVER (PARTITION BY device_id, event_time_text ORDER BY received_at DESC) = 1)
+  SELECT device_id, event_time_text, CASE WHEN n % 17 = 0 THEN NULL WHEN n % 19 = 0 AND n % 7 = 0 OR (n % 19 <> 0 AND n % 7 = 0 AND n % 13 = 0) THEN {iso('received_at')} ELSE {iso('t0')} END AS event_time,
+    {iso('received_at')} AS received_at FROM kept""")
+def s4_by_text(spark, sf_dir):
+    rows = normalize.event_index(normalize.normalize(oddly_timed(spark, sf_dir)))
+    return rows.select("device_id", "event_time_text", "event_time", "received_at")
+
+
 # ---- normalization projections
 
 def _events(*columns):
@@ -195,6 +219,18 @@ def j1(spark, sf_dir):
     return joined.select("event_id", "has_payload", "archived_fw_version")
 
 
+@query("j1_redelivered", sql=idx_sql("""SELECT event_id, true AS has_payload,
+    CASE WHEN substr(event_id, 1, 1) < '4' THEN 'again' ELSE legacy_fw_version END AS archived_fw_version FROM idx""", ))
+def j1_redelivered(spark, sf_dir):
+    """Objects delivered again replace the first delivery; every event meets one object."""
+    first = archive.archive_records(inputs.arrivals(spark, sf_dir))
+    again = archive.archive_records(inputs.arrivals(spark, sf_dir).filter(F.substring("event_id", 1, 1) < "4")).withColumns({
+        "received_at": F.timestamp_micros(F.unix_micros("received_at") + 600_000_000), "fw_version": F.lit("again"),
+    })
+    joined = archive.with_payload(inputs.index(spark, sf_dir), first.unionByName(again))
+    return joined.select("event_id", "has_payload", "archived_fw_version")
+
+
 TELEMETRY_TEXT = """concat_ws(' ', 'occupancy=' || CAST(occupancy AS BIGINT), 'dailyOccupancy=' || CAST(daily_occupancy AS BIGINT), 'battery=' || CAST(battery AS BIGINT),
   'temperature=' || CASE WHEN temperature = floor(temperature) THEN CAST(CAST(temperature AS BIGINT) AS VARCHAR) ELSE CAST(temperature AS VARCHAR) END,
   'connectTime=' || CASE WHEN connect_time = floor(connect_time) THEN CAST(CAST(connect_time AS BIGINT) AS VARCHAR) ELSE CAST(connect_time AS VARCHAR) END,

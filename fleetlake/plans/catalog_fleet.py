@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fleetlake.operators import filters, fleet, history, ledgers, schedule, state
 from fleetlake.functions.values import age_text, iso as iso_text
 from fleetlake.plans import inputs
-from fleetlake.plans.catalog_sequence import FOLD, current
+from fleetlake.plans.catalog_sequence import FOLD
 from fleetlake.plans.oracle import AS_OF, arr_sql, iso
 from fleetlake.plans.registry import query
 from fleetlake.sources.inventory import INVENTORY_COLUMNS, explode_pages
@@ -123,7 +123,7 @@ def s7(spark, sf_dir):
 
 
 def devices(spark, sf_dir):
-    return fleet.fleet_devices(inputs.inventory(spark, sf_dir), current(spark, sf_dir), PRODUCT)
+    return fleet.fleet_devices(inputs.inventory(spark, sf_dir), inputs.states(spark, sf_dir), PRODUCT)
 
 
 DEV = "dev AS MATERIALIZED (SELECT i.*, coalesce(inventory_name, i.device_id) AS device_name, c.* EXCLUDE (device_id, device_name, k, n), c.device_id IS NOT NULL AS has_current_state FROM inv i LEFT JOIN cur c ON c.device_id = i.device_id)"
@@ -141,7 +141,7 @@ def names(spark, sf_dir):
 
 @query("j3_device_names", sql=arr_sql("SELECT project_id, device_id, coalesce(c_name, device_name) AS device_name FROM cur LEFT JOIN customer ON c_custkey % 2 = 0 AND CAST(c_custkey AS VARCHAR) = device_id", FOLD))
 def j3(spark, sf_dir):
-    return state.with_names(current(spark, sf_dir), names(spark, sf_dir)).select(*state.KEY, "device_name")
+    return state.with_names(inputs.states(spark, sf_dir), names(spark, sf_dir)).select(*state.KEY, "device_name")
 
 
 @query("p27_canonical_name", sql=plain("SELECT device_id, coalesce(inventory_name, device_id) AS device_name FROM inv", INV))
@@ -193,23 +193,23 @@ COUNTERS = f"""SELECT project_id, count(*) AS device_count, {', '.join(f"count(*
 
 @query("q5_fleet_summary", sql=arr_sql(f"{COUNTERS} GROUP BY project_id", FOLD))
 def q5(spark, sf_dir):
-    return fleet.counters(current(spark, sf_dir), inputs.AS_OF)
+    return fleet.counters(inputs.states(spark, sf_dir), inputs.AS_OF)
 
 
 @query("a9_fleet_counters", sql=arr_sql(f"{COUNTERS} WHERE health_status = 'critical' GROUP BY project_id", FOLD))
 def a9(spark, sf_dir):
-    return fleet.counters(current(spark, sf_dir), inputs.AS_OF, status="CRITICAL")
+    return fleet.counters(inputs.states(spark, sf_dir), inputs.AS_OF, status="CRITICAL")
 
 
 @query("f4_status_filter", sql=arr_sql("SELECT project_id, device_id FROM cur WHERE health_status = 'warning'", FOLD))
 def f4(spark, sf_dir):
-    return fleet.by_status(current(spark, sf_dir), "Warning").select(*state.KEY)
+    return fleet.by_status(inputs.states(spark, sf_dir), "Warning").select(*state.KEY)
 
 
 @query("f5_recent_and_offline", sql=arr_sql(f"""SELECT device_id, 'recent' AS kind FROM cur WHERE event_time >= {AS_OF} - INTERVAL 6 HOUR
   UNION ALL SELECT device_id, 'offline' FROM cur WHERE event_time < {AS_OF} - INTERVAL 6 HOUR""", FOLD))
 def f5(spark, sf_dir):
-    states = current(spark, sf_dir)
+    states = inputs.states(spark, sf_dir)
     recent = filters.recent(states, "last_event_time", 6, inputs.AS_OF).select("device_id", F.lit("recent").alias("kind"))
     return recent.unionByName(filters.offline(states, "last_event_time", 6, inputs.AS_OF).select("device_id", F.lit("offline").alias("kind")))
 
@@ -220,7 +220,7 @@ RISK = f"""SELECT project_id, device_id, health_status, {iso('event_time')} AS l
 
 
 def _risk(spark, sf_dir, limit):
-    rows = fleet.at_risk(current(spark, sf_dir), inputs.AS_OF, 48, limit=limit)
+    rows = fleet.at_risk(inputs.states(spark, sf_dir), inputs.AS_OF, 48, limit=limit)
     types = F.array_join(F.transform("anomalies", lambda a: a["type"]), ",")
     return rows.select(*state.KEY, "health_status", "last_event_time", "battery", types.alias("anomaly_types"))
 
@@ -239,7 +239,7 @@ OFFLINE = f"SELECT project_id, device_id, event_type AS last_event_type, plane A
 
 
 def _offline(spark, sf_dir, limit):
-    return fleet.offline_devices(current(spark, sf_dir), inputs.AS_OF, limit=limit).select(*state.KEY, "last_event_type", "last_plane", "last_event_time")
+    return fleet.offline_devices(inputs.states(spark, sf_dir), inputs.AS_OF, limit=limit).select(*state.KEY, "last_event_type", "last_plane", "last_event_time")
 
 
 @query("q7_fleet_offline", sql=arr_sql(OFFLINE, FOLD))

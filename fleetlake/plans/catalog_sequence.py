@@ -176,16 +176,13 @@ def folded(spark, sf_dir):
     return state.state_history(inputs.arrivals(spark, sf_dir), arrival_slices(spark, sf_dir, state.KEY))
 
 
-def current(spark, sf_dir):
-    return state.current_state(inputs.arrivals(spark, sf_dir), arrival_slices(spark, sf_dir, state.KEY))
-
-
 @query("w7_current_state", sql=arr_sql(f"""SELECT project_id, device_id, device_name, {iso('event_time')} AS last_event_time, {iso('last_application_report_at')} AS last_application_report_at,
     {iso('received_at')} AS last_ingest_time, event_type AS last_event_type, plane AS last_plane, source_type AS last_source_type, fw_version,
     {', '.join(METRICS)}, severity, network_state, serial_category, last_serial_log_line, recent_serial_error_count, {', '.join(FLAGS)}, health_status,
     CAST(len(types) AS BIGINT) AS anomaly_count, array_to_string(types, ',') AS anomaly_types FROM cur""", FOLD))
 def w7(spark, sf_dir):
-    return current(spark, sf_dir).drop("last_event_id").withColumns({
+    rows = state.current_state(inputs.arrivals(spark, sf_dir), arrival_slices(spark, sf_dir, state.KEY))
+    return rows.drop("last_event_id").withColumns({
         "anomaly_count": F.col("anomaly_count").cast("bigint"),
         "anomaly_types": F.array_join(F.transform("anomalies", lambda a: a["type"]), ","),
     }).drop("anomalies")

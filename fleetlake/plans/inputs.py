@@ -7,10 +7,11 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlake.functions.values import iso
+from fleetlake.operators import state
 from fleetlake.operators.normalize import event_index, normalize
 from fleetlake.operators.ordered import Slices, plan_slices
-from fleetlake.session import checkpoint_dir
-from fleetlake.sources.tables import read_event_index, write_arrivals, write_event_index
+from fleetlake.session import shared_folder
+from fleetlake.sources.tables import read_event_index, write_arrivals, write_event_index, write_states
 
 AS_OF = "2024-01-31 00:00:00"
 POSIX_EASTERN = "EST5EDT,M3.2.0/2:00:00,M11.1.0/2:00:00"
@@ -98,40 +99,46 @@ def arrivals_from_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize(raw_events(spark, sf_dir))
 
 
-def index_from_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The de-duplicated event index, built from the raw bodies."""
-    return event_index(arrivals_from_raw(spark, sf_dir))
+def index_from_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The de-duplicated event index of the stored arrivals: bodies are parsed once."""
+    return event_index(arrivals(spark, sf_dir).drop("event_date"))
+
+
+def states_from_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold over all arrivals, done once; ingestion keeps this table up to date batch by batch."""
+    return state.current_state(arrivals(spark, sf_dir), slices(spark, sf_dir, state.KEY, "received_at"))
 
 
 @lru_cache(maxsize=64)
-def _stored(application: str, sf_dir: str, name: str) -> str | None:
+def _stored(application: str, sf_dir: str, name: str) -> str:
     """Write a table once per session into the shared folder, the way ingestion keeps it."""
     spark = SparkSession.active()
-    folder = checkpoint_dir(spark)
-    if folder is None:
-        return None
-    path = f"{folder.rstrip('/')}/{application}/{name}-{sf_dir.strip('/').replace('/', '-')}"
-    write = {"arrivals": write_arrivals, "index": write_event_index}[name]
-    write(FROM_RAW[name](spark, sf_dir).drop("payload"), path, mode="overwrite")
+    path = f"{shared_folder(spark).rstrip('/')}/{application}/{name}-{sf_dir.strip('/').replace('/', '-')}"
+    build, write = TABLES[name]
+    write(build(spark, sf_dir).drop("payload"), path, mode="overwrite")
     return path
 
 
-FROM_RAW = {"arrivals": arrivals_from_raw, "index": index_from_raw}
+TABLES = {"arrivals": (arrivals_from_raw, write_arrivals), "index": (index_from_arrivals, write_event_index), "states": (states_from_arrivals, write_states)}
 
 
-def _table_or_plan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = _stored(spark.sparkContext.applicationId, sf_dir, name)
-    return read_event_index(spark, path) if path else FROM_RAW[name](spark, sf_dir).drop("payload")
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return read_event_index(spark, _stored(spark.sparkContext.applicationId, sf_dir, name))
 
 
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored normalized deliveries."""
-    return _table_or_plan(spark, sf_dir, "arrivals")
+    return _table(spark, sf_dir, "arrivals")
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored event index; device queries read this table, not the raw bodies."""
-    return _table_or_plan(spark, sf_dir, "index")
+    return _table(spark, sf_dir, "index")
+
+
+def states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored current state, one row per device; fleet questions read this table and never fold arrivals."""
+    return _table(spark, sf_dir, "states")
 
 
 @lru_cache(maxsize=64)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetlake.operators import fleet, presentation
 from fleetlake.operators.filters import QueryWindow
-from fleetlake.operators.ordered import Slices, newest
+from fleetlake.operators.ordered import Slices
 from fleetlake.plans import device
 from fleetlake.plans.fleet import fleet_report
 
@@ -17,8 +17,9 @@ from fleetlake.plans.fleet import fleet_report
 class Lake:
     """Tables and the instant questions refer to.
 
-    Device questions look at ``hours`` before ``as_of`` or an explicit range (``params``) and, as long as ``limited``
-    is set, at no more than the parameter ``limit`` of events per device. Without ``device_id`` they answer for all devices.
+    Device questions look at ``hours`` before ``as_of`` or an explicit range (``params``) and at all events in it; a ``limit`` in the
+    parameters, where one is given, takes that many events of each device. The timeline alone has a limit of its own (100).
+    Fleet questions look at all states; their ``limit`` is one on the answer. Without ``device_id`` all devices are answered for.
     """
 
     as_of: str
@@ -28,7 +29,6 @@ class Lake:
     inventory: DataFrame | None = None
     snapshots: DataFrame | None = None
     configuration: DataFrame | None = None
-    limited: bool = True
     slices: Slices | None = None
 
     def _window(self, params: dict[str, str] | None, hours: float, most: float, limit: int) -> QueryWindow:
@@ -40,35 +40,33 @@ class Lake:
         return rows.orderBy("device_id", F.col("event_time").desc())
 
     def health(self, params: dict[str, str] | None = None, device_id: str | None = None) -> DataFrame:
-        return device.health(self.index, self._window(params, 24, 168, 1000), device_id, self.limited, digits=2)
+        return device.health(self.index, self._window(params, 24, 168, 1000), device_id, "limit" in (params or {}), digits=2)
 
     def anomalies(self, params: dict[str, str] | None = None, device_id: str | None = None) -> DataFrame:
-        return device.anomalies(self.index, self._window(params, 24, 168, 1000), device_id, self.limited, self.slices)
+        return device.anomalies(self.index, self._window(params, 24, 168, 1000), device_id, "limit" in (params or {}), self.slices)
 
     def summary(self, params: dict[str, str] | None = None, device_id: str | None = None) -> DataFrame:
-        return device.summary(self.index, self._window(params, 168, 720, 1000), device_id, self.limited, self.slices)
+        return device.summary(self.index, self._window(params, 168, 720, 1000), device_id, "limit" in (params or {}), self.slices)
 
     def type_counts(self, params: dict[str, str] | None = None, device_id: str | None = None) -> DataFrame:
-        return device.type_counts(device.in_window(self.index, self._window(params, 168, 720, 1000), device_id, False, self.limited))
+        return device.type_counts(device.in_window(self.index, self._window(params, 168, 720, 1000), device_id, False, "limit" in (params or {})))
 
     def serial(self, window: QueryWindow, device_id: str | None = None, include_collector: bool = False, contains: str | None = None) -> DataFrame:
         """Serial lines of the newest events of a window, oldest first."""
-        rows = device.in_window(self.index.drop("data"), window, device_id, True, self.limited)
+        rows = device.in_window(self.index.drop("data"), window, device_id, True, True)
         return presentation.serial_log(rows, include_collector, contains, window.limit).orderBy("device_id", "event_time", "event_id")
 
-    def _project(self, project: str | None, limit: int | None) -> DataFrame:
-        """States of a project; a limit takes the first devices by id, before any status filter."""
-        rows = self.states if project is None else self.states.filter(F.col("project_id") == project)
-        return newest(rows, ["project_id"], [F.col("device_id").asc()], limit) if limit and self.limited else rows
+    def _project(self, project: str | None) -> DataFrame:
+        return self.states if project is None else self.states.filter(F.col("project_id") == project)
 
-    def fleet_summary(self, project: str | None = None, hours: float = 24, status: str | None = None, limit: int | None = 100) -> DataFrame:
-        return fleet.counters(self._project(project, limit), self.as_of, hours, status)
+    def fleet_summary(self, project: str | None = None, hours: float = 24, status: str | None = None) -> DataFrame:
+        return fleet.counters(self._project(project), self.as_of, hours, status)
 
-    def fleet_anomalies(self, project: str | None = None, hours: float = 24, status: str | None = None, limit: int | None = 100) -> DataFrame:
-        return fleet.at_risk(self._project(project, limit), self.as_of, hours, status, limit)
+    def fleet_anomalies(self, project: str | None = None, hours: float = 24, status: str | None = None, limit: int | None = None) -> DataFrame:
+        return fleet.at_risk(self._project(project), self.as_of, hours, status, limit)
 
-    def fleet_offline(self, project: str | None = None, threshold_hours: float = 3, limit: int | None = 100) -> DataFrame:
-        return fleet.offline_devices(self._project(project, limit), self.as_of, threshold_hours, limit)
+    def fleet_offline(self, project: str | None = None, threshold_hours: float = 3, limit: int | None = None) -> DataFrame:
+        return fleet.offline_devices(self._project(project), self.as_of, threshold_hours, limit)
 
     def timeline_analytics(self, gap_minutes: float = 90, burst_minutes: float = 10) -> DataFrame:
         return device.timeline_analytics(self.index, gap_minutes, burst_minutes, self.slices)

@@ -69,7 +69,7 @@ arr AS MATERIALIZED (
   FROM keyed)"""
 
 IDX = """idx AS MATERIALIZED (
-  SELECT * FROM arr QUALIFY row_number() OVER (PARTITION BY device_id, event_time ORDER BY received_at DESC, event_id DESC) = 1)"""
+  SELECT * FROM arr QUALIFY row_number() OVER (PARTITION BY device_id, event_time_text ORDER BY received_at DESC, event_id DESC) = 1)"""
 
 # Payload text as sent, and its digest.
 SENT = """sent AS MATERIALIZED (SELECT n AS sent_n, data, sha256(coalesce(data, '') || chr(0) || coalesce(log_line, '') || chr(0) || coalesce(source_event_type, '')) AS digest FROM (

@@ -51,9 +51,15 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so that a lost executor does not replay the whole loop.
+def shared_folder(spark: SparkSession) -> str:
+    """The same, for work that cannot do without: a loop whose plan would grow, a table that several jobs read."""
+    folder = checkpoint_dir(spark)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
+
 
-    Without a shared folder the plan is kept as it is; results are the same.
-    """
-    return df.checkpoint(eager=True) if checkpoint_dir(df.sparkSession) else df
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint, so that a lost executor does not replay the whole loop and the plan does not grow with its rounds."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

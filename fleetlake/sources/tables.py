@@ -34,6 +34,11 @@ def write_event_index(index: DataFrame, path: str, mode: str = "append") -> None
     _write_by_date(dated.repartitionByRange("event_date", "device_id", "event_time"), path, mode, "device_id", "event_time")
 
 
+def write_states(states: DataFrame, path: str, mode: str = "append") -> None:
+    """One row per device, sorted by project and device inside the files."""
+    states.sortWithinPartitions("project_id", "device_id").write.mode(mode).parquet(path)
+
+
 def read_event_index(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 

@@ -218,10 +218,9 @@ def test_fleet_report_blocks(spark):
     from conftest import SF
     from fleetlake.plans import inputs
     from fleetlake.plans.catalog_fleet import PRODUCT, accepted
-    from fleetlake.plans.catalog_sequence import current
 
     blocks = fleet_report(
-        inputs.inventory(spark, SF), current(spark, SF), ledgers.stored_snapshots(accepted(spark, SF)), inputs.configuration(spark, SF), PRODUCT, inputs.AS_OF)
+        inputs.inventory(spark, SF), inputs.states(spark, SF), ledgers.stored_snapshots(accepted(spark, SF)), inputs.configuration(spark, SF), PRODUCT, inputs.AS_OF)
     devices = blocks["devices"].count()
     c = blocks["coverage"].first()
     assert c.inventory == devices == c.connected + c.disconnected + c.unknown
