@@ -15,24 +15,23 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fleetlake.operators.ordered import COLD, SLICE, Slices
+from fleetlake.operators.ordered import AUTO, COLD, SLICE, Slices, resolved
 from fleetlake.session import cut_lineage
 
 NO_WINDOW = -(2**63)
 
 
 def window_labels(
-    events: DataFrame, key: list[str], time: str, width_micros: int, min_size: int = 1, slices: Slices | None = None
+    events: DataFrame, key: list[str], time: str, width_micros: int, min_size: int = 1, slices: Slices | str | None = AUTO
 ) -> DataFrame:
     """(key, t, anchor) for every distinct time inside a window, times in microseconds.
 
     A window opens at an uncovered time with at least ``min_size`` rows in [t, t + width] and covers that range.
     """
     rows = events.filter(F.col(time).isNotNull())
+    slices = resolved(slices, rows, key, time, max(60, math.ceil(2 * width_micros / 1_000_000)))
     if slices is None:
         return _fold(rows.select(*key, F.unix_micros(time).alias("t")), key, width_micros, min_size)
-    if slices.bucket_micros < 2 * width_micros:
-        raise ValueError("slices for windows need buckets of at least twice the window width")
     sliced = slices.assign(rows).select(*key, SLICE, F.unix_micros(time).alias("t"))
     cold = _fold(sliced.filter(F.col(SLICE) == COLD).select(*key, "t"), key, width_micros, min_size)
     return cold.unionByName(_sliced(sliced.filter(F.col(SLICE) != COLD), key, width_micros, min_size, slices))
@@ -139,7 +138,7 @@ def _sliced(rows: DataFrame, key: list[str], width: int, min_size: int, slices:
 
 
 def label_events(
-    events: DataFrame, key: list[str], time: str, width_micros: int, min_size: int = 1, slices: Slices | None = None
+    events: DataFrame, key: list[str], time: str, width_micros: int, min_size: int = 1, slices: Slices | str | None = AUTO
 ) -> DataFrame:
     """Events inside a window with its ``window_start``; events outside every window are left out."""
     labels = window_labels(events, key, time, width_micros, min_size, slices)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlake.functions.values import iso, micros_between, number_text
 from fleetlake.operators.archive import payload_metrics, with_payload
-from fleetlake.operators.ordered import Slices
+from fleetlake.operators.ordered import AUTO, Slices
 from fleetlake.operators.sequence import anchored_windows
 
 WINDOW = ["device_id", "window_start"]
@@ -76,7 +76,7 @@ def details(events: DataFrame) -> DataFrame:
     })
 
 
-def window_members(events: DataFrame, archive: DataFrame, minutes: float = 5, slices: Slices | None = None) -> DataFrame:
+def window_members(events: DataFrame, archive: DataFrame, minutes: float = 5, slices: Slices | str | None = AUTO) -> DataFrame:
     """Every event with its window, class and extracted details."""
     detailed = details(payload_metrics(with_payload(events, archive)))
     return anchored_windows(detailed, minutes, slices)

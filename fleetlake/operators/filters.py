@@ -139,17 +139,22 @@ def select_devices(devices: DataFrame, selectors: DataFrame) -> DataFrame:
     """Match selectors to devices: full id, then exact name, then partial name, ignoring case.
 
     Returns one row per selector: ``device_id`` when unique, ``matches`` and ``match`` (id, exact, partial,
-    ambiguous or none). Ids and exact names are equality joins; a partial match is an equality join on the first
-    three letters of the selector against the letter triples of the names, then verified.
+    ambiguous or none). Only a full id is taken for an id; a device without a name goes by its id. Ids and exact names
+    are equality joins; a partial match is an equality join on the selector's letter triple that the fewest names
+    have, then verified, so a prefix that all names share is no join key.
     """
-    named = devices.select("device_id", F.lower(F.trim("device_name")).alias("_name"))
+    shown = F.coalesce(F.nullif(F.trim("device_name"), F.lit("")), F.col("device_id"))
+    named = devices.select("device_id", F.lower(shown).alias("_name"))
     wanted = selectors.select("selector").distinct()
-    by_id = wanted.join(named, F.col("selector") == F.col("device_id")).select("selector", "device_id", F.lit("id").alias("match"))
+    by_id = wanted.filter(F.col("selector").rlike(FULL_ID)).join(named, F.col("selector") == F.col("device_id")).select("selector", "device_id", F.lit("id").alias("match"))
     rest = wanted.filter(~F.col("selector").rlike(FULL_ID)).join(by_id.select("selector"), "selector", "left_anti")
     exact = rest.join(named, F.lower("selector") == F.col("_name")).select("selector", "device_id", F.lit("exact").alias("match"))
     rest = rest.join(exact.select("selector").distinct(), "selector", "left_anti")
     grams = named.withColumn("_gram", F.explode(_grams(F.col("_name"))))
-    wanted_gram = rest.withColumn("_gram", F.substring(F.lower("selector"), 1, GRAM))
+    use = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_uses"))
+    whole = F.filter(_grams(F.lower("selector")), lambda g: F.length(g) == F.least(F.length("selector"), F.lit(GRAM)))
+    rarest = F.min(F.struct(F.coalesce("_uses", F.lit(0)), "_gram"))["_gram"]
+    wanted_gram = rest.withColumn("_gram", F.explode(whole)).join(use, "_gram", "left").groupBy("selector").agg(rarest.alias("_gram"))
     partial = wanted_gram.join(grams, "_gram").filter(F.col("_name").contains(F.lower("selector"))).select(
         "selector", "device_id", F.lit("partial").alias("match")
     )

@@ -98,12 +98,14 @@ def inventory_order(devices: DataFrame) -> DataFrame:
 
 
 def with_ledgers(devices: DataFrame, snapshots: DataFrame, configuration: DataFrame) -> DataFrame:
-    """Attach the status snapshot and the two configuration documents."""
+    """Attach the status snapshot, when the data snapshot was updated, and the two configuration documents."""
     status = snapshots.filter(F.col("ledger_name") == "device-status").select(
         F.col("scope_value").alias("device_id"), F.col("updated_at").alias("status_updated_at"),
         F.col("fetched_at").alias("status_fetched_at"), F.col("data").alias("status_data"),
     )
-    return devices.join(status, "device_id", "left").join(configuration, "device_id", "left")
+    data = snapshots.filter((F.col("ledger_name") == "device-data") & F.coalesce("updated_at", "fetched_at").isNotNull()).select(
+        F.col("scope_value").alias("device_id"), F.coalesce("updated_at", "fetched_at").alias("device_data_updated_at"))
+    return devices.join(status, "device_id", "left").join(data, "device_id", "left").join(configuration, "device_id", "left")
 
 
 def effective(path: tuple[str, str], read) -> Column:

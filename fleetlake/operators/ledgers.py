@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlake.functions.payload import json_object
 from fleetlake.functions.values import NUMBER, blank_to_null
-from fleetlake.operators.ordered import Slices, last_known, newest, previous, running_max, running_sum, scan
+from fleetlake.operators.ordered import AUTO, Slices, last_known, newest, previous, resolved, running_max, running_sum, scan
 
 SETTINGS_LEDGER = "device-settings"
 STATUS_LEDGER = "device-status"
+DATA_LEDGER = "device-data"
+# How changes of a ledger are shown.
+SNAPSHOT_KINDS = {STATUS_LEDGER: "RUNTIME", DATA_LEDGER: "DATA"}
 # Http status classes of a failed fetch.
 AUTH_STATUS = [401, 403]
 MISSING_STATUS = [404]
@@ -70,13 +73,14 @@ def classify_fetches(fetches: DataFrame) -> DataFrame:
     }).drop("_m", "_i", "_d", "body")
 
 
-def accept(fetches: DataFrame, slices: Slices | None = None, stored: DataFrame | None = None) -> DataFrame:
+def accept(fetches: DataFrame, slices: Slices | str | None = AUTO, stored: DataFrame | None = None) -> DataFrame:
     """What every classified fetch does to the stored snapshot, in fetch order.
 
     ``updated`` only when strictly newer than the stored one, else ``stale``. A missing settings ledger
     clears the stored snapshot (``cleared``), after which any snapshot is newer. ``stored`` continues from
     saved snapshots.
     """
+    slices = resolved(slices, fetches, FETCH_KEY, FETCH_ORDER[0])
     clears = (F.col("ledger_name") == SETTINGS_LEDGER) & (F.col("outcome") == "missing_ledger")
     snapshot = (F.col("outcome") == "ok") & F.col("updated_at").isNotNull()
     marked = scan(fetches.withColumn("clears", clears), FETCH_KEY, FETCH_ORDER,
@@ -128,7 +132,7 @@ def sync_failures(accepted: DataFrame) -> DataFrame:
     return accepted.filter((F.col("ledger_name") == STATUS_LEDGER) & (F.col("outcome") != "ok"))
 
 
-def resolve_product(arrivals: DataFrame, lookup: DataFrame, slices: Slices | None = None) -> DataFrame:
+def resolve_product(arrivals: DataFrame, lookup: DataFrame, slices: Slices | str | None = AUTO) -> DataFrame:
     """Product id of every arrival: its own, the last one known for the device, then the lookup table."""
     known = scan(arrivals, ["device_id"], ["received_at", "event_time", "event_id"],
                  {"_known": last_known(blank_to_null(F.col("product_id")))}, slices)
@@ -143,11 +147,15 @@ def refresh_eligible(resolved: DataFrame, event_names: list[str], devices: list[
     )
 
 
-def snapshot_changes(accepted: DataFrame, slices: Slices | None = None) -> DataFrame:
-    """A row for every first seen or changed snapshot time of a status ledger."""
-    rows = accepted.filter((F.col("effect") == "updated") & (F.col("ledger_name") == STATUS_LEDGER))
+def snapshot_kind(ledger: Column) -> Column:
+    return F.when(ledger == STATUS_LEDGER, SNAPSHOT_KINDS[STATUS_LEDGER]).when(ledger == DATA_LEDGER, SNAPSHOT_KINDS[DATA_LEDGER])
+
+
+def snapshot_changes(accepted: DataFrame, slices: Slices | str | None = AUTO) -> DataFrame:
+    """A row for every first seen or changed snapshot time of a status or data ledger."""
+    rows = accepted.filter((F.col("effect") == "updated") & F.col("ledger_name").isin(*SNAPSHOT_KINDS))
     seen = scan(rows, FETCH_KEY, FETCH_ORDER, {"before": previous(F.col("updated_at"))}, slices)
     return seen.filter(F.col("before").isNull() | (F.col("before") != F.col("updated_at"))).select(
-        F.col("scope_value").alias("device_id"), F.lit("RUNTIME").alias("kind"), F.col("updated_at").alias("time"),
-        F.concat(F.lit("device-status snapshot "), F.when(F.col("before").isNull(), "available").otherwise("updated")).alias("summary"),
+        F.col("scope_value").alias("device_id"), snapshot_kind(F.col("ledger_name")).alias("kind"), F.col("updated_at").alias("time"),
+        F.concat("ledger_name", F.lit(" snapshot "), F.when(F.col("before").isNull(), "available").otherwise("updated")).alias("summary"),
     )

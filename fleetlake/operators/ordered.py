@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetlake.session import cut_lineage
 
+AUTO = "auto"  # large keys are looked for where the operator runs
 ROWS_PER_SLICE = 500_000
 BROADCAST_ROWS = 200_000
 SLICE = "_slice"
@@ -30,6 +31,7 @@ class Slices:
     bucket_micros: int
     buckets: int
     max_slices: int
+    rows: int = ROWS_PER_SLICE
 
     def _small(self, df: DataFrame, rows: int) -> DataFrame:
         return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -83,7 +85,15 @@ def plan_slices(
         per_bucket.withColumn("_share", share).select(*key, "_bucket", consecutive.alias(SLICE))
     )
     buckets, top = table.agg(F.count(F.lit(1)), F.max(SLICE)).first()
-    return Slices(table, tuple(key), time, micros, buckets, top + 1)
+    return Slices(table, tuple(key), time, micros, buckets, top + 1, rows_per_slice)
+
+
+def resolved(slices: Slices | str | None, df: DataFrame, key: list[str], time: str, bucket_seconds: int = 60) -> Slices | None:
+    """``AUTO`` looks for large keys; given slices are kept, cut anew where their buckets are too narrow; None is the plain window."""
+    if slices is None or isinstance(slices, Slices) and slices.bucket_micros >= bucket_seconds * 1_000_000:
+        return slices
+    rows = ROWS_PER_SLICE if slices == AUTO else slices.rows
+    return plan_slices(df.select(*key, time), key, time, rows, bucket_seconds)
 
 
 @dataclass(frozen=True)
@@ -116,9 +126,10 @@ def running_max(value: Column, inclusive: bool = True) -> Running:
 
 
 def scan(
-    df: DataFrame, key: list[str], order: list[str], outputs: dict[str, Running], slices: Slices | None = None
+    df: DataFrame, key: list[str], order: list[str], outputs: dict[str, Running], slices: Slices | str | None = AUTO
 ) -> DataFrame:
     """Add one column per running value, ordered by ``order`` inside every key."""
+    slices = resolved(slices, df, key, order[0])
     names = list(outputs)
     inputs = {n: f"_in_{n}" for n in names}
     df = df.withColumns({inputs[n]: F.struct(r.value.alias("v")) if r.kind == "previous" else r.value for n, r in outputs.items()})

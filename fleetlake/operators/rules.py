@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlake.functions.values import fixed_text, number_text
-from fleetlake.operators.ordered import Slices, previous, scan
+from fleetlake.operators.ordered import AUTO, Slices, previous, scan
 
 SEVERITY_RANK = {"low": 1, "medium": 2, "high": 3}
 ORDER = ["event_time"]
@@ -50,7 +50,7 @@ def threshold_anomalies(events: DataFrame) -> DataFrame:
     )
 
 
-def firmware_changes(events: DataFrame, slices: Slices | None = None) -> DataFrame:
+def firmware_changes(events: DataFrame, slices: Slices | str | None = AUTO) -> DataFrame:
     """Neighbouring reports with different firmware; reports without a version are skipped first."""
     reports = events.filter(F.coalesce(F.col("fw_version"), F.lit("")) != "").select("device_id", *ORDER, "fw_version")
     seen = scan(reports, ["device_id"], ORDER, {"from_version": previous(F.col("fw_version"))}, slices)
@@ -99,7 +99,7 @@ def change_message(old: Column, new: Column) -> Column:
     return F.concat(F.lit("Firmware changed from "), old, F.lit(" to "), new)
 
 
-def device_anomalies(events: DataFrame, slices: Slices | None = None) -> DataFrame:
+def device_anomalies(events: DataFrame, slices: Slices | str | None = AUTO) -> DataFrame:
     """Threshold, firmware-change and battery-drain anomalies of all devices."""
     none_num, none_str = F.lit(None).cast("double"), F.lit(None).cast("string")
     old, new = F.col("from_version"), F.col("to_version")

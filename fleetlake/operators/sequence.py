@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetlake.functions.values import MICROS_PER_MINUTE, micros_between
 from fleetlake.operators.anchored import label_events, window_labels
-from fleetlake.operators.ordered import Slices, newest, previous, scan
+from fleetlake.operators.ordered import AUTO, Slices, newest, previous, scan
 
 DEVICE = ["device_id"]
 ORDER = ["event_time"]
 
 
-def gaps(events: DataFrame, minutes: float = 90, slices: Slices | None = None) -> DataFrame:
+def gaps(events: DataFrame, minutes: float = 90, slices: Slices | str | None = AUTO) -> DataFrame:
     """Neighbouring events of a device more than ``minutes`` apart."""
     seen = scan(
         events.select(*DEVICE, *ORDER, "event_name"), DEVICE, ORDER,
@@ -29,17 +29,17 @@ def gaps(events: DataFrame, minutes: float = 90, slices: Slices | None = None) -
     )
 
 
-def anchored_windows(events: DataFrame, minutes: float, slices: Slices | None = None) -> DataFrame:
+def anchored_windows(events: DataFrame, minutes: float, slices: Slices | str | None = AUTO) -> DataFrame:
     """Every event with the start of its anchored window (an event at start + width still belongs)."""
     return label_events(events, DEVICE, "event_time", int(minutes * MICROS_PER_MINUTE), 1, slices)
 
 
-def burst_events(events: DataFrame, minutes: float = 10, min_size: int = 3, slices: Slices | None = None) -> DataFrame:
+def burst_events(events: DataFrame, minutes: float = 10, min_size: int = 3, slices: Slices | str | None = AUTO) -> DataFrame:
     """Members of bursts: at least ``min_size`` events within ``minutes`` of the first."""
     return label_events(events, DEVICE, "event_time", int(minutes * MICROS_PER_MINUTE), min_size, slices)
 
 
-def bursts(events: DataFrame, minutes: float = 10, min_size: int = 3, slices: Slices | None = None) -> DataFrame:
+def bursts(events: DataFrame, minutes: float = 10, min_size: int = 3, slices: Slices | str | None = AUTO) -> DataFrame:
     """One row per burst; ``burst_events`` has the members."""
     members = burst_events(events.select(*DEVICE, "event_time", "event_name"), minutes, min_size, slices)
     return members.groupBy(*DEVICE, F.col("window_start").alias("burst_start")).agg(
@@ -47,7 +47,7 @@ def bursts(events: DataFrame, minutes: float = 10, min_size: int = 3, slices: Sl
     )
 
 
-def throttled(eligible: DataFrame, seconds: float, time: str = "received_at", slices: Slices | None = None) -> DataFrame:
+def throttled(eligible: DataFrame, seconds: float, time: str = "received_at", slices: Slices | str | None = AUTO) -> DataFrame:
     """First eligible event of a device, then the first one at least ``seconds`` after the last trigger."""
     if seconds <= 0:
         return eligible
@@ -68,7 +68,7 @@ def ingest_delay(events: DataFrame) -> DataFrame:
 
 
 def timeline_anomalies(
-    events: DataFrame, burst_minutes: float = 10, burst_limit: int = 3, delay_limit_ms: float = 5000, slices: Slices | None = None
+    events: DataFrame, burst_minutes: float = 10, burst_limit: int = 3, delay_limit_ms: float = 5000, slices: Slices | str | None = AUTO
 ) -> DataFrame:
     """Repeated bursts, missing event times and deliveries far slower than the device's average."""
     none = F.lit(None).cast("timestamp")

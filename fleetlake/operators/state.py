@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlake.operators.normalize import METRICS
-from fleetlake.operators.ordered import Slices, first_known, last_known, previous, running_sum, scan
+from fleetlake.operators.ordered import AUTO, Slices, first_known, last_known, previous, resolved, running_sum, scan
 
 KEY = ["project_id", "device_id"]
 ARRIVAL_ORDER = ["received_at", "event_time", "event_id"]
@@ -55,12 +55,13 @@ def own_health(plane, battery, connect_time, alert_count, severity, watchdog, re
     return F.when(plane == "serial", serial).otherwise(other)
 
 
-def state_history(arrivals: DataFrame, slices: Slices | None = None, stored: DataFrame | None = None) -> DataFrame:
+def state_history(arrivals: DataFrame, slices: Slices | str | None = AUTO, stored: DataFrame | None = None) -> DataFrame:
     """One row per arrival: the state after it, and the previous state values history needs.
 
     ``stored`` continues from saved states (``STATE_COLUMNS``). They are joined on the key the fold is
     partitioned by, and fill in where the batch has no value of its own yet.
     """
+    slices = resolved(slices, arrivals, KEY, ARRIVAL_ORDER[0])
     is_serial, is_log = F.col("plane") == "serial", F.col("event_type") == "serial.log"
     outputs = {f"eff_{m}": last_known(F.col(m)) for m in METRICS}
     outputs |= {f"eff_{f}": last_known(F.col(f)) for f in FLAGS}
@@ -139,7 +140,7 @@ def last_states(states: DataFrame) -> DataFrame:
     return states.groupBy(*KEY).agg(F.max_by(rest, position).alias("s")).select(*KEY, "s.*")
 
 
-def current_state(arrivals: DataFrame, slices: Slices | None = None, stored: DataFrame | None = None) -> DataFrame:
+def current_state(arrivals: DataFrame, slices: Slices | str | None = AUTO, stored: DataFrame | None = None) -> DataFrame:
     """Current state of every device with an arrival."""
     return last_states(after_event(state_history(arrivals, slices, stored)))
 

@@ -23,7 +23,7 @@ def plain(body: str, *ctes: str) -> str:
 
 FETCH = """fet AS MATERIALIZED (SELECT *, CASE WHEN code IS NULL THEN 'network_failure' WHEN code = 401 THEN 'auth_failure' WHEN code = 404 THEN 'missing_ledger' WHEN code = 503 THEN 'retryable_failure'
       WHEN code = 418 THEN 'permanent_failure' WHEN seq % 29 = 0 THEN 'malformed_json' WHEN seq % 31 = 0 THEN 'permanent_failure' ELSE 'ok' END AS outcome
-    FROM (SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN 'device-settings' ELSE 'device-status' END AS ledger_name, CAST(o_custkey AS VARCHAR) AS scope_value, o_orderdate AS od,
+    FROM (SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN 'device-settings' WHEN o_orderkey % 6 = 5 THEN 'device-data' ELSE 'device-status' END AS ledger_name, CAST(o_custkey AS VARCHAR) AS scope_value, o_orderdate AS od,
       o_orderdate + to_seconds(o_orderkey % 86400) AS fetched_at, CAST(floor(o_totalprice) AS BIGINT) % 120 AS soc,
       CASE o_orderstatus WHEN 'P' THEN CASE WHEN o_orderkey % 41 = 0 THEN NULL ELSE 200 END WHEN 'O' THEN CASE WHEN o_orderkey % 10 = 3 THEN 401 ELSE 404 END ELSE CASE WHEN o_orderkey % 10 = 3 THEN 418 ELSE 503 END END AS code
       FROM orders)),
@@ -94,8 +94,8 @@ def h5_triggered(spark, sf_dir):
     return rows.select("device_id", "report_time", "error_kind", F.col("http_status").cast("bigint").alias("http_status"), "history_key")
 
 
-CHANGES = """SELECT scope_value AS device_id, 'RUNTIME' AS kind, {time} AS time, CASE WHEN before IS NULL THEN 'device-status snapshot available' ELSE 'device-status snapshot updated' END AS summary
-  FROM (SELECT scope_value, updated_at, lag(updated_at) OVER (PARTITION BY scope_value ORDER BY fetched_at, seq) AS before FROM acc WHERE effect = 'updated' AND ledger_name = 'device-status')"""
+CHANGES = """SELECT scope_value AS device_id, CASE ledger_name WHEN 'device-status' THEN 'RUNTIME' ELSE 'DATA' END AS kind, {time} AS time, ledger_name || CASE WHEN before IS NULL THEN ' snapshot available' ELSE ' snapshot updated' END AS summary
+  FROM (SELECT scope_value, ledger_name, updated_at, lag(updated_at) OVER (PARTITION BY scope_value, ledger_name ORDER BY fetched_at, seq) AS before FROM acc WHERE effect = 'updated' AND ledger_name <> 'device-settings')"""
 
 
 @query("t5_snapshot_changes", sql=plain(CHANGES.format(time=iso("updated_at")), FETCH))
@@ -160,12 +160,17 @@ def q13(spark, sf_dir):
     return fleet.inventory_order(devices(spark, sf_dir)).select("device_id", "device_name", "last_event_type", "fw_version", "last_event_time")
 
 
+def long_id(key):
+    """24 hexadecimal digits."""
+    return F.lpad(F.lower(F.hex(key)), 24, "0")
+
+
 def selectors(spark, sf_dir):
-    """Full ids, exact names in other case, name endings (some ambiguous) and unknown words."""
+    """Full ids, exact names in other case, endings of names and ids (some ambiguous) and unknown words."""
     c = inputs.table(spark, sf_dir, "customer")
     key = F.col("c_custkey")
     text = (
-        F.when(key % 7 == 0, key.cast("string")).when(key % 7 == 1, F.upper("c_name"))
+        F.when(key % 7 == 0, long_id(key)).when(key % 7 == 4, F.substr(long_id(key), F.lit(18))).when(key % 7 == 1, F.upper("c_name"))
         .when(key % 7 == 2, F.substr("c_name", F.length("c_name") - 4)).when(key % 7 == 3, F.concat(F.lit("nosuch"), key.cast("string")))
     )
     return c.select(text.alias("selector")).filter(F.col("selector").isNotNull())
@@ -173,14 +178,15 @@ def selectors(spark, sf_dir):
 
 @query("f9_device_selector", sql=plain("""SELECT selector, CASE WHEN m = 1 THEN device_id END AS device_id, m AS matches, CASE WHEN m > 1 THEN 'ambiguous' ELSE coalesce(match, 'none') END AS match
   FROM (SELECT s.selector, count(h.device_id) AS m, min(h.device_id) AS device_id, min(h.match) AS match FROM sel s LEFT JOIN hits h USING (selector) GROUP BY 1)""",
-    "sel AS MATERIALIZED (SELECT DISTINCT selector FROM (SELECT CASE c_custkey % 7 WHEN 0 THEN CAST(c_custkey AS VARCHAR) WHEN 1 THEN upper(c_name) WHEN 2 THEN substr(c_name, length(c_name) - 4) WHEN 3 THEN 'nosuch' || c_custkey END AS selector FROM customer) WHERE selector IS NOT NULL)",
-    "nm AS MATERIALIZED (SELECT CAST(c_custkey AS VARCHAR) AS device_id, lower(c_name) AS name FROM customer)",
+    "sel AS MATERIALIZED (SELECT DISTINCT selector FROM (SELECT CASE c_custkey % 7 WHEN 0 THEN lpad(lower(hex(c_custkey)), 24, '0') WHEN 4 THEN substr(lpad(lower(hex(c_custkey)), 24, '0'), 18) WHEN 1 THEN upper(c_name) WHEN 2 THEN substr(c_name, length(c_name) - 4) WHEN 3 THEN 'nosuch' || c_custkey END AS selector FROM customer) WHERE selector IS NOT NULL)",
+    "nm AS MATERIALIZED (SELECT lpad(lower(hex(c_custkey)), 24, '0') AS device_id, lower(CASE WHEN c_custkey % 11 = 0 THEN lpad(lower(hex(c_custkey)), 24, '0') ELSE c_name END) AS name FROM customer)",
     "ids AS (SELECT selector, device_id, 'id' AS match FROM sel JOIN nm ON selector = device_id)",
     "exact AS (SELECT selector, device_id, 'exact' AS match FROM sel JOIN nm ON lower(selector) = name WHERE selector NOT IN (SELECT selector FROM ids))",
     "part AS (SELECT selector, device_id, 'partial' AS match FROM sel JOIN nm ON contains(name, lower(selector)) WHERE selector NOT IN (SELECT selector FROM ids) AND selector NOT IN (SELECT selector FROM exact))",
     "hits AS (SELECT * FROM ids UNION ALL SELECT * FROM exact UNION ALL SELECT * FROM part)"))
 def f9(spark, sf_dir):
-    c = inputs.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("device_id"), F.col("c_name").alias("device_name"))
+    key = F.col("c_custkey")
+    c = inputs.table(spark, sf_dir, "customer").select(long_id(key).alias("device_id"), F.when(key % 11 != 0, F.col("c_name")).alias("device_name"))
     return filters.select_devices(c, selectors(spark, sf_dir))
 
 
@@ -344,12 +350,12 @@ REP = f"""rep AS MATERIALIZED (SELECT *, CASE WHEN expected IS NULL THEN 'unknow
     SELECT *, nxt + to_seconds(660) AS expected FROM (
       SELECT d.*, coalesce(d.fw_version, CASE WHEN s.seq IS NOT NULL THEN 'fw-' || (s.seq % 4) END) AS firmware_version, d.os AS device_os_version,
         CASE WHEN s.seq IS NULL THEN NULL WHEN s.seq % 2 = 0 THEN 'connected' ELSE 'disconnected' END AS runtime_state,
-        coalesce(d.connected, s.seq % 2 = 0) AS is_connected, s.seq IS NOT NULL AS has_runtime_status,
+        coalesce(d.connected, s.seq % 2 = 0) AS is_connected, s.seq IS NOT NULL AS has_runtime_status, x.seq IS NOT NULL AS has_device_data,
         CASE WHEN s.soc <= 100 THEN CAST(s.soc AS DOUBLE) WHEN d.battery BETWEEN 0 AND 100 THEN d.battery END AS soc_percent,
         CASE WHEN s.soc <= 100 THEN 'device-status' WHEN d.battery BETWEEN 0 AND 100 THEN 'telemetry' END AS soc_source,
         CASE WHEN s.soc <= 100 THEN s.updated_at WHEN d.battery BETWEEN 0 AND 100 THEN d.event_time END AS soc_observed_at,
         f.interval_s, CASE WHEN d.last_application_report_at IS NOT NULL AND f.interval_s IS NOT NULL THEN {next_sql('d.last_application_report_at', 'f.interval_s', 'f.open_hour', 'f.close_hour', 'f.tz')} END AS nxt
-      FROM dev d LEFT JOIN (SELECT * FROM stored WHERE ledger_name = 'device-status') s ON s.scope_value = d.device_id JOIN conf f ON f.device_id = d.device_id)))"""
+      FROM dev d LEFT JOIN (SELECT * FROM stored WHERE ledger_name = 'device-status') s ON s.scope_value = d.device_id LEFT JOIN (SELECT * FROM stored WHERE ledger_name = 'device-data') x ON x.scope_value = d.device_id JOIN conf f ON f.device_id = d.device_id)))"""
 REPORT = (FOLD, INV, DEV, FETCH, CONF, REP)
 
 
@@ -369,7 +375,7 @@ def r9(spark, sf_dir):
     return report(spark, sf_dir).select("device_id", "last_application_report_at", "reporting_interval_seconds", "next_scheduled_report", "expected_next_report", "expectation_status")
 
 
-@query("a10_coverage", sql=arr_sql("""SELECT count(*) AS inventory, count(*) FILTER (has_current_state) AS current_state, count(*) FILTER (has_runtime_status) AS runtime_status, CAST(0 AS BIGINT) AS device_data,
+@query("a10_coverage", sql=arr_sql("""SELECT count(*) AS inventory, count(*) FILTER (has_current_state) AS current_state, count(*) FILTER (has_runtime_status) AS runtime_status, count(*) FILTER (has_device_data) AS device_data,
   count(*) FILTER (is_connected) AS connected, count(*) FILTER (NOT is_connected) AS disconnected, count(*) FILTER (is_connected IS NULL) AS unknown FROM rep""", *REPORT))
 def a10(spark, sf_dir):
     return fleet.coverage(report(spark, sf_dir))
@@ -401,6 +407,7 @@ ATTENTION = f"""obs AS MATERIALIZED (SELECT device_id, device_name, [x FOR x IN
     CASE WHEN NOT waiting AND NOT has_current_state THEN 'No Current State' END,
     CASE WHEN NOT waiting AND (NOT has_current_state OR NOT has_runtime_status) THEN 'Last heard ' || {_age('coalesce(last_heard, event_time)', True)} || ' ago' END,
     CASE WHEN NOT waiting AND NOT has_runtime_status THEN 'Runtime status not yet observed' END,
+    CASE WHEN NOT has_device_data THEN 'Device Data not observed' END,
     CASE WHEN soc_percent IS NOT NULL AND {AS_OF} - soc_observed_at >= INTERVAL 6 HOUR THEN 'Last reported SOC ' || CAST(floor(soc_percent + 0.5) AS BIGINT) || '%' END,
     CASE WHEN soc_percent IS NOT NULL AND {AS_OF} - soc_observed_at >= INTERVAL 6 HOUR THEN 'SOC observation is ' || {_age('soc_observed_at')} || ' old' END,
     CASE WHEN event_type = 'serial.log' AND event_time > last_heard + INTERVAL 5 MINUTE AND event_time >= {AS_OF} - INTERVAL 1 HOUR THEN 'Recent serial activity; cloud last heard ' || {_age('last_heard')} || ' ago' END,
@@ -410,7 +417,7 @@ ATTENTION = f"""obs AS MATERIALIZED (SELECT device_id, device_name, [x FOR x IN
 
 @query("r8_attention", sql=arr_sql("SELECT device_id, device_name, CAST(i - 1 AS BIGINT) AS position, lines[i] AS observation FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM obs)", *REPORT, ATTENTION))
 def r8(spark, sf_dir):
-    rows = fleet.attention(report(spark, sf_dir), inputs.AS_OF)
+    rows = fleet.attention(report(spark, sf_dir), inputs.AS_OF, device_data_enabled=True)
     return rows.withColumn("position", F.col("position").cast("bigint"))
 
 

@@ -162,7 +162,7 @@ def _snapshot_tail(application: str, sf_dir: str) -> str:
     spark = SparkSession.active()
     landing, out = _folder(spark, sf_dir, "snapshot-landing"), _folder(spark, sf_dir, "snapshots")
     accepted = ledgers.accept(ledgers.classify_fetches(inputs.ledger_fetches(spark, sf_dir)))
-    rows = accepted.filter((F.col("effect") == "updated") & (F.col("ledger_name") == ledgers.STATUS_LEDGER)).select("scope_value", "updated_at", "fetched_at", "seq")
+    rows = accepted.filter((F.col("effect") == "updated") & F.col("ledger_name").isin(*ledgers.SNAPSHOT_KINDS)).select("scope_value", "ledger_name", "updated_at", "fetched_at", "seq")
 
     def start():
         return _to_parquet(tail.tail_snapshots(spark.readStream.schema(rows.schema).json(landing)), out)

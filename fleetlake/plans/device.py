@@ -11,7 +11,7 @@ from fleetlake.functions.values import hours_between
 from fleetlake.operators import correlate, rules, sequence
 from fleetlake.operators.archive import payload_metrics, with_payload
 from fleetlake.operators.filters import QueryWindow, events_between
-from fleetlake.operators.ordered import Slices, newest
+from fleetlake.operators.ordered import AUTO, Slices, newest
 
 TIMELINE_COLUMNS = [
     "device_id", "event_time", "event_name", "archive_key", "event_id", "event_type", "plane", "severity", "fw_version",
@@ -74,7 +74,7 @@ def health(
 
 
 def anomalies(
-    events: DataFrame, window: QueryWindow | None = None, device_id: str | None = None, limited: bool = False, slices: Slices | None = None
+    events: DataFrame, window: QueryWindow | None = None, device_id: str | None = None, limited: bool = False, slices: Slices | str | None = AUTO
 ) -> DataFrame:
     """Anomalies, worst first, then newest; a device without any simply has no rows."""
     found = rules.device_anomalies(in_window(events, window, device_id, False, limited), slices)
@@ -95,7 +95,7 @@ def plane_counts(events: DataFrame) -> DataFrame:
 
 
 def summary(
-    events: DataFrame, window: QueryWindow, device_id: str | None = None, limited: bool = False, slices: Slices | None = None
+    events: DataFrame, window: QueryWindow, device_id: str | None = None, limited: bool = False, slices: Slices | str | None = AUTO
 ) -> DataFrame:
     """Counts in the window, first and last event ever, versions and number of anomalies per device."""
     rows = in_window(events, window, device_id, False, limited)
@@ -126,7 +126,7 @@ def name_counts(events: DataFrame) -> DataFrame:
 
 
 def timeline_analytics(
-    events: DataFrame, gap_minutes: float = 90, burst_minutes: float = 10, slices: Slices | None = None
+    events: DataFrame, gap_minutes: float = 90, burst_minutes: float = 10, slices: Slices | str | None = AUTO
 ) -> DataFrame:
     """Timeline summary per device: counts, delays, versions, lifecycle counters, gaps, bursts and anomalies."""
     name = F.col("event_name")
@@ -149,7 +149,7 @@ def timeline_analytics(
     return base
 
 
-def payload_health(events: DataFrame, archive: DataFrame, slices: Slices | None = None) -> DataFrame:
+def payload_health(events: DataFrame, archive: DataFrame, slices: Slices | str | None = AUTO) -> DataFrame:
     """Findings over archived payloads; firmware comes from the payload records."""
     joined = with_payload(events, archive).filter("has_payload")
     metrics = payload_metrics(joined)
@@ -172,7 +172,7 @@ def payload_summary(events: DataFrame, archive: DataFrame) -> DataFrame:
     ).withColumn("hours", F.round(hours_between(F.col("first_event"), F.col("last_event")), 1))
 
 
-def correlation(events: DataFrame, archive: DataFrame, minutes: float = 5, slices: Slices | None = None):
+def correlation(events: DataFrame, archive: DataFrame, minutes: float = 5, slices: Slices | str | None = AUTO):
     """Members, windows and inferences of anchored windows."""
     members = correlate.window_members(events, archive, minutes, slices)
     windows = correlate.windows(members)

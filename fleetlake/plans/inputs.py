@@ -195,7 +195,7 @@ def ledger_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.when(key % 10 == 3, 418).otherwise(503)).cast("int")
     )
     return o.select(
-        F.when(key % 3 == 0, "device-settings").otherwise("device-status").alias("ledger_name"),
+        F.when(key % 3 == 0, "device-settings").when(key % 6 == 5, "device-data").otherwise("device-status").alias("ledger_name"),
         F.lit("9").alias("product_id"),
         F.col("o_custkey").cast("string").alias("scope_value"),
         code.alias("http_status"),

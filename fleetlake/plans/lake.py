@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetlake.operators import fleet, presentation
 from fleetlake.operators.filters import QueryWindow
-from fleetlake.operators.ordered import Slices
+from fleetlake.operators.ordered import AUTO, Slices
 from fleetlake.plans import device
 from fleetlake.plans.fleet import fleet_report
 
@@ -29,7 +29,7 @@ class Lake:
     inventory: DataFrame | None = None
     snapshots: DataFrame | None = None
     configuration: DataFrame | None = None
-    slices: Slices | None = None
+    slices: Slices | str | None = AUTO
 
     def _window(self, params: dict[str, str] | None, hours: float, most: float, limit: int) -> QueryWindow:
         return QueryWindow.parse(params or {}, self.as_of, hours, most, limit, 1000)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from fleetlake.operators.ledgers import FETCH_KEY, SNAPSHOT_KINDS
 from fleetlake.sources import tables
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -18,7 +19,7 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class SnapshotCursor(StatefulProcessor):
-    """Emits the first and every changed snapshot time of a device, in fetch order.
+    """Emits the first and every changed snapshot time of a device's ledger, in fetch order.
 
     A device has few snapshots per batch: fetches are throttled per device.
     """
@@ -38,8 +39,8 @@ class SnapshotCursor(StatefulProcessor):
         if len(changed):
             first = earlier[changed.index].isna()
             yield pd.DataFrame({
-                "device_id": key[0], "kind": "RUNTIME", "time": changed["updated_at"].to_numpy(),
-                "summary": ["device-status snapshot " + ("available" if f else "updated") for f in first],
+                "device_id": key[0], "kind": SNAPSHOT_KINDS[key[1]], "time": changed["updated_at"].to_numpy(),
+                "summary": [f"{key[1]} snapshot " + ("available" if f else "updated") for f in first],
             })
 
     def close(self) -> None:
@@ -77,9 +78,9 @@ def start_tail(events: DataFrame, out: str, **trigger) -> StreamingQuery:
 
 
 def tail_snapshots(accepted: DataFrame) -> DataFrame:
-    """Streaming snapshot changes from accepted status snapshots (scope_value, updated_at, fetched_at, seq)."""
+    """Streaming snapshot changes from accepted status and data snapshots (scope_value, ledger_name, updated_at, fetched_at, seq)."""
     use_rocksdb(accepted.sparkSession)
-    return accepted.select("scope_value", "updated_at", "fetched_at", "seq").groupBy("scope_value").transformWithStateInPandas(
+    return accepted.select(*FETCH_KEY, "updated_at", "fetched_at", "seq").groupBy(*FETCH_KEY).transformWithStateInPandas(
         statefulProcessor=SnapshotCursor(), outputStructType="device_id string, kind string, time timestamp, summary string",
         outputMode="Append", timeMode="None",
     )

@@ -67,3 +67,12 @@ def test_serial_and_report(lake):
     blocks = lake.report("p")
     assert blocks["coverage"].first().inventory == blocks["devices"].count()
     blocks["devices"].unpersist()
+
+
+def test_narrow_slices_are_cut_anew(spark, lake):
+    from dataclasses import replace
+
+    from fleetlake.operators.ordered import plan_slices
+
+    sliced = replace(lake, slices=plan_slices(lake.index, ["device_id"], "event_time", 4))
+    assert sorted(map(str, sliced.timeline_analytics().collect())) == sorted(map(str, lake.timeline_analytics().collect()))
