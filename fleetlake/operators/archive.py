@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlake.functions.payload import analytics_payload, field_exact, json_object
 from fleetlake.functions.values import prefix_number
@@ -29,21 +29,32 @@ def objects(archive: DataFrame) -> DataFrame:
     return newest(archive, ["archive_key"], [F.col("received_at").desc(), F.col("data").desc()])
 
 
+def payload_columns(data: Column, body: Column) -> tuple[Column, dict[str, Column]]:
+    """The fields of a payload by the analytics rule, and the metrics read from them."""
+    content = F.coalesce(json_object(data), analytics_payload(data))
+
+    def metric(fields: list[str]) -> Column:
+        return F.coalesce(*[prefix_number(field_exact(F.col("content"), body, f)) for f in fields])
+
+    return content, {m: metric(fields) for m, fields in PAYLOAD_METRICS.items()}
+
+
 def with_payload(events: DataFrame, archive: DataFrame) -> DataFrame:
-    """Events with the archived payload; events whose object is missing keep nulls, none has more than one."""
-    stored = objects(archive).select(
-        "archive_key", F.lit(True).alias("has_payload"), F.col("data").alias("archived_data"),
-        F.col("fw_version").alias("archived_fw_version"), F.col("body_fields").alias("archived_fields"),
+    """Events with what their archived payload says; events whose object is missing keep nulls, none has more than one.
+
+    Payloads are read before the join: numbers and the few fields of status reports travel, the text does not.
+    """
+    content, metrics = payload_columns(F.col("data"), F.col("body_fields"))
+    name = F.lower("event_name")
+    stored = objects(archive).withColumn("content", content).select(
+        "archive_key", F.lit(True).alias("has_payload"), F.col("fw_version").alias("archived_fw_version"),
+        F.when(name.contains("status") | name.contains("state"), F.col("content")).alias("content"),
+        *[c.alias(f"archived_{m}") for m, c in metrics.items()],
         *[F.col(c).alias(f"archived_{c}") for c in ("reset_cause", "details", "message") if c in archive.columns],
     )
     return events.join(stored, "archive_key", "left").withColumn("has_payload", F.coalesce("has_payload", F.lit(False)))
 
 
 def payload_metrics(joined: DataFrame) -> DataFrame:
-    """Metrics read from the archived payload by the analytics rule, replacing the indexed ones."""
-    parsed = joined.withColumn("content", F.coalesce(json_object(F.col("archived_data")), analytics_payload(F.col("archived_data"))))
-
-    def metric(fields: list[str]):
-        return F.coalesce(*[prefix_number(field_exact(F.col("content"), F.col("archived_fields"), f)) for f in fields])
-
-    return parsed.withColumns({m: metric(fields) for m, fields in PAYLOAD_METRICS.items()})
+    """The metrics of the archived payload in place of the indexed ones."""
+    return joined.withColumns({m: F.col(f"archived_{m}") for m in PAYLOAD_METRICS})

@@ -151,10 +151,9 @@ def p04(spark, sf_dir):
 @query("p06_analytics_metrics", sql=arr_sql("""SELECT event_id, CASE WHEN n % 6 <> 0 THEN battery END AS battery, connect_time, reset_count, alert_count,
   occupancy, daily_occupancy, temperature FROM arr"""))
 def p06(spark, sf_dir):
-    rows = inputs.arrivals_from_raw(spark, sf_dir).withColumns({
-        "archived_data": F.col("data"), "archived_fields": F.col("body_fields"),
-    })
-    return archive.payload_metrics(rows).select("event_id", *archive.PAYLOAD_METRICS)
+    content, metrics = archive.payload_columns(F.col("data"), F.col("body_fields"))
+    rows = inputs.arrivals_from_raw(spark, sf_dir).withColumn("content", content)
+    return rows.select("event_id", *[c.alias(m) for m, c in metrics.items()])
 
 
 @query("p06_exact_lookup", sql=arr_sql("SELECT event_id, CASE WHEN readable AND n % 6 <> 0 THEN ks END AS battery FROM arr"))

@@ -178,7 +178,7 @@ def correlated(spark, *events, minutes=5):
     """(rule, severity, category, message) fired, and evidence lines by rule."""
     rows = arrivals(spark, *[{k: v for k, v in e.items() if k not in ("payload", "cause")} for e in events])
     stored = [(f"k{i:03d}", e.get("payload", "{}"), None, None, e.get("cause"), None, None) for i, e in enumerate(events) if e.get("payload", "{}") is not None]
-    archive = spark.createDataFrame(stored, ARCHIVE)
+    archive = spark.createDataFrame(stored, ARCHIVE).withColumns({"received_at": F.lit("2024-01-01").cast("timestamp"), "event_name": F.lit("status")})
     members = correlate.window_members(rows, archive, minutes)
     windows = correlate.windows(members)
     fired = correlate.inferences(windows)
