@@ -2,8 +2,8 @@
 
 Every three neighbouring bytes of the UTF-8 text fall into one of 256 buckets. A bucket's digit says between which quartiles of all
 256 counts its own count lies (0 to 3); the digest is one length byte, the quartile shape and 64 bytes of digits, in hex. The
-difference of two digests adds up the digit distances (opposite ends count double), the length and the shape distances, each bounded;
-``likeness`` is 1 for equal digests and falls linearly to 0 at the largest difference that counts.
+difference of two digests is the sum of the digits' distances over the sum of the larger digits, raised by a bounded share for
+different lengths, so it lies between 0 and 1 for texts of any length; ``likeness`` is 1 minus it.
 
 Null text is empty text. Texts of fewer than three bytes have no triplets; their digests differ by length alone. Equal texts have
 equal digests. Null keys sort first; rows with one key follow each other by text. Only the named columns are returned.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from fleetlake.llm.common import checkpointed, documents, mixed, parts, slices, total_chars
 
 BUCKETS = 256
-FAR = 320  # a difference from which two texts are not alike at all
+FAR = 48  # steps of length (a factor of 64) beyond which only half of the likeness is left, however much longer one text is
 HEX = 2 * (2 + BUCKETS // 4)
 
 
@@ -54,19 +54,19 @@ def digest_bytes(texts: list[bytes]) -> np.ndarray:
 
 
 def difference(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Bounded difference of digests, row by row."""
+    """Bounded difference of digests, row by row: 0 for equal ones, 1 where no bucket's digits meet."""
 
     def digits(d: np.ndarray) -> np.ndarray:
-        return np.concatenate([d[:, 2:] >> s & 3 for s in (6, 4, 2, 0)], axis=1).astype(np.int16)
+        return np.concatenate([d[:, 2:] >> s & 3 for s in (6, 4, 2, 0)], axis=1).astype(np.int64)
 
-    far = np.abs(digits(x) - digits(y))
-    length = np.minimum(np.abs(x[:, 0].astype(np.int64) - y[:, 0]), 48)
-    shape = np.abs((x[:, 1] >> 4).astype(np.int64) - (y[:, 1] >> 4)) + np.abs((x[:, 1] & 15).astype(np.int64) - (y[:, 1] & 15))
-    return (far + 3 * (far == 3)).sum(axis=1) + length + np.minimum(shape, 12)
+    a, b = digits(x), digits(y)
+    apart = np.abs(a - b).sum(axis=1) / np.maximum(np.maximum(a, b).sum(axis=1), 1)
+    length = np.minimum(np.abs(x[:, 0].astype(np.int64) - y[:, 0]), FAR) / (2 * FAR)
+    return 1 - (1 - apart) * (1 - length)
 
 
 def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.maximum(0.0, 1.0 - difference(x, y) / FAR)
+    return 1.0 - difference(x, y)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
