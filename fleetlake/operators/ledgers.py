@@ -151,11 +151,15 @@ def snapshot_kind(ledger: Column) -> Column:
     return F.when(ledger == STATUS_LEDGER, SNAPSHOT_KINDS[STATUS_LEDGER]).when(ledger == DATA_LEDGER, SNAPSHOT_KINDS[DATA_LEDGER])
 
 
-def snapshot_changes(accepted: DataFrame, slices: Slices | str | None = AUTO) -> DataFrame:
-    """A row for every first seen or changed snapshot time of a status or data ledger."""
-    rows = accepted.filter((F.col("effect") == "updated") & F.col("ledger_name").isin(*SNAPSHOT_KINDS))
-    seen = scan(rows, FETCH_KEY, FETCH_ORDER, {"before": previous(F.col("updated_at"))}, slices)
+def changed_snapshots(seen: DataFrame) -> DataFrame:
+    """A row for every first seen or changed snapshot time, from rows with the time ``before``."""
     return seen.filter(F.col("before").isNull() | (F.col("before") != F.col("updated_at"))).select(
         F.col("scope_value").alias("device_id"), snapshot_kind(F.col("ledger_name")).alias("kind"), F.col("updated_at").alias("time"),
         F.concat("ledger_name", F.lit(" snapshot "), F.when(F.col("before").isNull(), "available").otherwise("updated")).alias("summary"),
     )
+
+
+def snapshot_changes(accepted: DataFrame, slices: Slices | str | None = AUTO) -> DataFrame:
+    """Changes of the status and data ledgers."""
+    rows = accepted.filter((F.col("effect") == "updated") & F.col("ledger_name").isin(*SNAPSHOT_KINDS))
+    return changed_snapshots(scan(rows, FETCH_KEY, FETCH_ORDER, {"before": previous(F.col("updated_at"))}, slices))

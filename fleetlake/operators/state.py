@@ -151,12 +151,10 @@ def offline_candidate(event_time: Column, as_of: Column, hours: float = OFFLINE_
 
 
 def with_names(devices: DataFrame, names: DataFrame) -> DataFrame:
-    """Resolved names win over the ones devices sent; Spark broadcasts the names side when its size allows."""
+    """A stored name is kept; devices without one take the looked-up name."""
     looked_up = names.select(F.col("device_id"), F.nullif(F.trim("device_name"), F.lit("")).alias("_name"))
-    return (
-        devices.join(looked_up, "device_id", "left")
-        .withColumn("device_name", F.coalesce(F.col("_name"), F.col("device_name"))).drop("_name")
-    )
+    own = F.nullif(F.trim("device_name"), F.lit(""))
+    return devices.join(looked_up, "device_id", "left").withColumn("device_name", F.coalesce(own, F.col("_name"))).drop("_name")
 
 
 def merge_state(stored: DataFrame, update: DataFrame, value_columns: list[str]) -> DataFrame:

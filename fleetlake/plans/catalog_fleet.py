@@ -139,9 +139,11 @@ def names(spark, sf_dir):
     return c.filter(F.col("c_custkey") % 2 == 0).select(F.col("c_custkey").cast("string").alias("device_id"), F.col("c_name").alias("device_name"))
 
 
-@query("j3_device_names", sql=arr_sql("SELECT project_id, device_id, coalesce(c_name, device_name) AS device_name FROM cur LEFT JOIN customer ON c_custkey % 2 = 0 AND CAST(c_custkey AS VARCHAR) = device_id", FOLD))
+@query("j3_device_names", sql=arr_sql("SELECT project_id, device_id, coalesce(CASE WHEN battery < 50 THEN NULL ELSE device_name END, c_name) AS device_name FROM cur LEFT JOIN customer ON c_custkey % 2 = 0 AND CAST(c_custkey AS VARCHAR) = device_id", FOLD))
 def j3(spark, sf_dir):
-    return state.with_names(inputs.states(spark, sf_dir), names(spark, sf_dir)).select(*state.KEY, "device_name")
+    """Names of devices at low charge are taken away first, so that some have none."""
+    rows = inputs.states(spark, sf_dir).withColumn("device_name", F.when(F.coalesce(F.col("battery") >= 50, F.lit(True)), F.col("device_name")))
+    return state.with_names(rows, names(spark, sf_dir)).select(*state.KEY, "device_name")
 
 
 @query("p27_canonical_name", sql=plain("SELECT device_id, coalesce(inventory_name, device_id) AS device_name FROM inv", INV))
@@ -311,24 +313,24 @@ def r10(spark, sf_dir):
     return rows.select("seq", "next_scheduled_report")
 
 
-POSIX_ZONES = [inputs.POSIX_EASTERN, "CET-1CEST,M3.5.0,M10.5.0/3", "UTC0"]
-POSIX_OFFSETS = "SELECT seq, epoch(timezone(z, timezone('UTC', last)) - last)::BIGINT AS offset_seconds FROM (SELECT *, (['America/New_York','Europe/Berlin','UTC'])[seq % 3 + 1] AS z FROM cases)"
+POSIX_ZONES = [inputs.POSIX_EASTERN, "CET-1CEST,M3.5.0,M10.5.0/3", "UTC0", "AEST-10AEDT,M10.1.0,M4.1.0/3"]
+POSIX_OFFSETS = "SELECT seq, epoch(timezone(z, timezone('UTC', last)) - last)::BIGINT AS offset_seconds FROM (SELECT *, (['America/New_York','Europe/Berlin','UTC','Australia/Sydney'])[seq % 4 + 1] AS z FROM cases)"
 
 
 def posix_cases(spark, sf_dir):
-    zone = F.element_at(F.array(*map(F.lit, POSIX_ZONES)), (F.col("seq") % 3 + 1).cast("int"))
+    zone = F.element_at(F.array(*map(F.lit, POSIX_ZONES)), (F.col("seq") % 4 + 1).cast("int"))
     return schedule_cases(spark, sf_dir).select("seq", "last", zone.alias("zone"))
 
 
 @query("j10_posix_transitions", sql=plain(POSIX_OFFSETS, CASES))
 def j10(spark, sf_dir):
-    """Offset of every instant from the table of transitions per zone and year."""
-    cases = posix_cases(spark, sf_dir).withColumn("year", F.year("last"))
+    """Offset of every instant from the ranges of each distinct zone, over the years that occur."""
+    cases = posix_cases(spark, sf_dir).withColumns({"year": F.year("last"), "second": F.unix_seconds("last")})
+    first, last = cases.agg(F.min("year"), F.max("year")).first()
     zones = schedule.zone_rules(cases.select("zone").distinct(), "zone")
-    table = schedule.posix_transitions(zones, 2023, 2026).select("zone", "year", "daylight_start", "daylight_end")
-    at = cases.join(zones.select("zone", "posix"), "zone").join(table, ["zone", "year"], "left")
-    summer = (F.col("last") >= F.col("daylight_start")) & (F.col("last") < F.col("daylight_end"))
-    return at.select("seq", F.when(summer, F.col("posix.daylight")).otherwise(F.col("posix.standard")).cast("bigint").alias("offset_seconds"))
+    ranges = schedule.offset_ranges(zones, first or 1970, last or 1970).select("zone", "year", "begin", "end", "offset")
+    at = cases.join(ranges, ["zone", "year"]).where((F.col("second") >= F.col("begin")) & (F.col("second") < F.col("end")))
+    return at.select("seq", F.col("offset").cast("bigint").alias("offset_seconds"))
 
 
 @query("j10_posix_offsets", sql=plain(POSIX_OFFSETS, CASES))

@@ -15,7 +15,7 @@ from fleetlake.plans.catalog_sequence import FLAGS, FOLD, RAW_ITEMS
 from fleetlake.plans.catalog_events import KIND, SUMMARY
 from fleetlake.plans.oracle import arr_sql, idx_sql, iso
 from fleetlake.plans.registry import query
-from fleetlake.session import checkpoint_dir
+from fleetlake.session import shared_folder
 from fleetlake.sources import inventory, tables, webhook
 from fleetlake.streaming import ingest, tail
 from fleetlake.streaming import ledgers as ledger_stream
@@ -27,10 +27,7 @@ MAX_FILES = 1_000_000
 
 
 def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
-    root = checkpoint_dir(spark)
-    if root is None:
-        raise RuntimeError("streaming queries need spark.checkpoint.dir")
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{sf_dir.strip('/').replace('/', '-')}"
+    return f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{sf_dir.strip('/').replace('/', '-')}"
 
 
 def _drain(rows: DataFrame, time: str, landing: str, start, cuts: list[str] = CUTS) -> None:
@@ -45,11 +42,6 @@ def _drain(rows: DataFrame, time: str, landing: str, start, cuts: list[str] = CU
         start().awaitTermination()
 
 
-def _to_parquet(stream: DataFrame, out: str):
-    sink = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-checkpoint").option("path", out)
-    return sink.trigger(availableNow=True).start()
-
-
 def webhook_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete webhook bodies: the wire fields and the extra body fields in one object."""
     raw = inputs.raw_events(spark, sf_dir)
@@ -165,7 +157,7 @@ def _snapshot_tail(application: str, sf_dir: str) -> str:
     rows = accepted.filter((F.col("effect") == "updated") & F.col("ledger_name").isin(*ledgers.SNAPSHOT_KINDS)).select("scope_value", "ledger_name", "updated_at", "fetched_at", "seq")
 
     def start():
-        return _to_parquet(tail.tail_snapshots(spark.readStream.schema(rows.schema).json(landing)), out)
+        return tail.start_snapshot_tail(spark.readStream.schema(rows.schema).json(landing), out, availableNow=True)
 
     _drain(rows, "fetched_at", landing, start, FETCH_CUTS)
     return out
@@ -173,4 +165,4 @@ def _snapshot_tail(application: str, sf_dir: str) -> str:
 
 @query("t5_stream_snapshot_changes", sql=plain(CHANGES.format(time=iso("updated_at")), FETCH))
 def t5_stream(spark, sf_dir):
-    return spark.read.parquet(_snapshot_tail(spark.sparkContext.applicationId, sf_dir))
+    return tables.read_batches(spark, _snapshot_tail(spark.sparkContext.applicationId, sf_dir)).drop(tables.BATCH)

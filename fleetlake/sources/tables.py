@@ -53,6 +53,12 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
 
 
+def write_dated_batch(df: DataFrame, path: str, batch_id: int, *order: str) -> None:
+    """The same below a date (column ``event_date``): readers prune by date first, a replay replaces its own files."""
+    rows = df.withColumn(BATCH, F.lit(batch_id)).sortWithinPartitions("event_date", *order)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date", BATCH).parquet(path)
+
+
 def read_batches(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return (spark.read.schema(schema) if schema else spark.read).option("basePath", path).parquet(path)
 

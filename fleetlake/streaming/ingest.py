@@ -55,8 +55,8 @@ def ingest_batch(landed: DataFrame, batch_id: int, store: Store, settings: Setti
     parsed = webhook.parse_bodies(landed).persist()
     tables.write_batch(webhook.quarantined(parsed), store.table("quarantine"), batch_id)
     arrivals = normalize(webhook.accepted(parsed), settings).drop("payload").persist()
-    tables.write_batch(archive_records(arrivals), store.table("archive"), batch_id)
-    tables.write_batch(arrivals, store.table("index"), batch_id)
+    tables.write_dated_batch(archive_records(arrivals), store.table("archive"), batch_id, "device_id", "archive_key")
+    tables.write_dated_batch(arrivals.withColumn("event_date", F.to_date("event_time")), store.table("index"), batch_id, "device_id", "event_time")
 
     stored = store.states(spark, before=batch_id)
     if stored is not None:

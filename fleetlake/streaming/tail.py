@@ -1,52 +1,14 @@
-"""Tails: events after a per-device cursor, and snapshot changes as a stateful operator."""
+"""Tails: events after a per-device cursor, and snapshot changes after a per-ledger one."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
-from fleetlake.operators.ledgers import FETCH_KEY, SNAPSHOT_KINDS
+from fleetlake.operators.ledgers import FETCH_KEY, FETCH_ORDER, changed_snapshots
+from fleetlake.operators.ordered import previous, scan
 from fleetlake.sources import tables
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
-
-class SnapshotCursor(StatefulProcessor):
-    """Emits the first and every changed snapshot time of a device's ledger, in fetch order.
-
-    A device has few snapshots per batch: fetches are throttled per device.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "updated_at timestamp")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows).sort_values(["fetched_at", "seq"]).dropna(subset=["updated_at"])
-        before = pd.Timestamp(self.seen.get()[0]) if self.seen.exists() else pd.NaT
-        earlier = batch["updated_at"].shift()
-        if len(batch):
-            earlier.iloc[0] = before
-        changed = batch[earlier.isna() | (earlier != batch["updated_at"])]
-        if len(batch):
-            self.seen.update((batch["updated_at"].iloc[-1].to_pydatetime(),))
-        if len(changed):
-            first = earlier[changed.index].isna()
-            yield pd.DataFrame({
-                "device_id": key[0], "kind": SNAPSHOT_KINDS[key[1]], "time": changed["updated_at"].to_numpy(),
-                "summary": [f"{key[1]} snapshot " + ("available" if f else "updated") for f in first],
-            })
-
-    def close(self) -> None:
-        pass
-
-
 def cursors(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """Latest (time, id) cursor per device, optionally as of the batches before one."""
     return tables.read_version(spark, path, ["device_id"], before)
@@ -77,10 +39,26 @@ def start_tail(events: DataFrame, out: str, **trigger) -> StreamingQuery:
     )
 
 
-def tail_snapshots(accepted: DataFrame) -> DataFrame:
-    """Streaming snapshot changes from accepted status and data snapshots (scope_value, ledger_name, updated_at, fetched_at, seq)."""
-    use_rocksdb(accepted.sparkSession)
-    return accepted.select(*FETCH_KEY, "updated_at", "fetched_at", "seq").groupBy(*FETCH_KEY).transformWithStateInPandas(
-        statefulProcessor=SnapshotCursor(), outputStructType="device_id string, kind string, time timestamp, summary string",
-        outputMode="Append", timeMode="None",
+def snapshot_batch(accepted: DataFrame, batch_id: int, out: str, cursor_path: str) -> None:
+    """Write the snapshot changes of a batch and keep the last snapshot time of every device's ledger.
+
+    What came before inside the batch is a running value (large keys are cut into slices); the stored time counts before the first.
+    """
+    rows = accepted.filter(F.col("updated_at").isNotNull()).persist()
+    seen = scan(rows, FETCH_KEY, FETCH_ORDER, {"before": previous(F.col("updated_at"))})
+    saved = tables.read_version(accepted.sparkSession, cursor_path, FETCH_KEY, batch_id)
+    if saved is not None:
+        seen = seen.join(saved.withColumnRenamed("updated_at", "_saved"), FETCH_KEY, "left").withColumn("before", F.coalesce("before", "_saved")).drop("_saved")
+    tables.write_batch(changed_snapshots(seen), out, batch_id)
+    newest = rows.groupBy(*FETCH_KEY).agg(F.max_by("updated_at", F.struct(*FETCH_ORDER)).alias("updated_at"))
+    tables.write_version(newest, cursor_path, batch_id, FETCH_KEY)
+    rows.unpersist()
+
+
+def start_snapshot_tail(accepted: DataFrame, out: str, **trigger) -> StreamingQuery:
+    """Continuous snapshot changes from accepted snapshots (scope_value, ledger_name, updated_at, fetched_at, seq)."""
+    return (
+        accepted.writeStream.option("checkpointLocation", f"{out}-checkpoint")
+        .foreachBatch(lambda df, batch_id: snapshot_batch(df, batch_id, out, f"{out}-cursors"))
+        .trigger(**(trigger or {"processingTime": "3 seconds"})).start()
     )
