@@ -71,17 +71,17 @@ def derive_history(states: DataFrame) -> DataFrame:
 def sync_failures(failures: DataFrame, time_text: Column, triggers: DataFrame | None = None) -> DataFrame:
     """LEDGER_SYNC_FAILED rows for failed device-status fetches (columns of classified fetches).
 
-    With ``triggers`` (arrivals) a failure takes time and id of the arrival that caused the fetch: same device,
-    received when the fetch was made.
+    With ``triggers`` (arrivals) a failure takes time and id of the arrival that caused the fetch, whose event id the
+    fetch carries as ``trigger_event_id``; without a trigger it keeps its own time.
     """
-    rows = failures.select(F.col("scope_value").alias("device_id"), "fetched_at", "outcome", "http_status", time_text.alias("_text"))
+    named = failures if "trigger_event_id" in failures.columns else failures.withColumn("trigger_event_id", F.lit(None).cast("string"))
+    rows = named.select(F.col("scope_value").alias("device_id"), "fetched_at", "outcome", "http_status", time_text.alias("_text"), "trigger_event_id")
     if triggers is None:
         event_id, time, text = F.lit(None).cast("string"), F.col("fetched_at"), F.col("_text")
     else:
-        cause = triggers.select(
-            "device_id", F.col("received_at").alias("fetched_at"), F.col("event_id"), "event_time", "event_time_text"
-        )
-        rows = rows.join(cause, ["device_id", "fetched_at"], "left")
+        # A delivery that came twice is one trigger.
+        cause = triggers.select("event_id", "event_time", "event_time_text").dropDuplicates(["event_id"])
+        rows = rows.join(cause, F.col("trigger_event_id") == F.col("event_id"), "left")
         event_id, time, text = F.col("event_id"), F.coalesce("event_time", "fetched_at"), F.coalesce("event_time_text", "_text")
     kind, status = F.col("outcome"), F.col("http_status")
     content = canonical({"errorKind": kind, "httpStatus": status})

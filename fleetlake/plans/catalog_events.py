@@ -123,19 +123,27 @@ _register("p18_index_record", [
 ])
 
 
-@query("p02_ingest_payload", sql=arr_sql("""SELECT event_id, readable OR et = 'click' AS parsed,
-  CASE WHEN readable THEN 5 + CASE WHEN n % 10 <> 9 THEN 2 ELSE 0 END + CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END WHEN et = 'click' THEN 3 END::BIGINT AS fields
-  FROM arr"""))
+# Every field of a payload that can be read, in document order.
+FIELDS = """CASE WHEN readable THEN concat_ws(',', CASE WHEN n % 6 = 0 THEN 'Battery=' ELSE 'battery=' END || ks, 'connecttime=' || CAST(value AS VARCHAR), 'resets=' || (n // 1000),
+    'alerts=' || CASE WHEN k % 10 = 0 THEN '1' ELSE '0' END, CASE WHEN n % 10 <> 9 THEN 'occupancy=' || (k % 7) || ',dailyoccupancy=' || (k * 2) END,
+    CASE WHEN n % 5 = 0 THEN 'temperature=' ELSE 'temp=' END || CAST(CAST(20 + k / 4.0 AS DOUBLE) AS VARCHAR), CASE WHEN n % 2 = 0 THEN 'fw_version=' || fw END)
+  WHEN et = 'click' THEN 'cloudRecoverStage=' || (k % 5) || ',networkState=up,queueDepth=' || ks END AS fields"""
+
+
+def field_text(payload):
+    return F.array_join(F.transform(F.map_entries(payload), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+
+
+@query("p02_ingest_payload", sql=arr_sql(f"SELECT event_id, {FIELDS} FROM arr"))
 def p02(spark, sf_dir):
     rows = inputs.arrivals_from_raw(spark, sf_dir)
-    parsed = ingest_payload(F.col("data"), F.lit(True))
-    return rows.select("event_id", parsed.isNotNull().alias("parsed"), F.when(parsed.isNotNull(), F.size(parsed)).cast("bigint").alias("fields"))
+    return rows.select("event_id", ingest_payload(F.col("data"), F.lit(True)).alias("payload")).select("event_id", field_text(F.col("payload")).alias("fields"))
 
 
-@query("p03_analytics_payload", sql=arr_sql("SELECT event_id, readable OR et = 'click' AS parsed FROM arr"))
+@query("p03_analytics_payload", sql=arr_sql(f"SELECT event_id, {FIELDS} FROM arr"))
 def p03(spark, sf_dir):
     rows = inputs.arrivals_from_raw(spark, sf_dir)
-    return rows.select("event_id", analytics_payload(F.col("data")).isNotNull().alias("parsed"))
+    return rows.select("event_id", analytics_payload(F.col("data")).alias("payload")).select("event_id", field_text(F.col("payload")).alias("fields"))
 
 
 @query("p04_field_lookup", sql=arr_sql("""SELECT event_id, CASE WHEN readable THEN ks END AS battery,

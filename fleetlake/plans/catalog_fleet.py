@@ -77,7 +77,7 @@ def triggered(spark, sf_dir):
     triggers = inputs.arrivals(spark, sf_dir).filter(F.col("event_name") == "sensor-hook")
     letter = F.substring("event_id", 1, 1)
     fetches = triggers.select(
-        F.col("device_id").alias("scope_value"), F.lit("device-status").alias("ledger_name"), F.col("received_at").alias("fetched_at"),
+        F.col("device_id").alias("scope_value"), F.lit("device-status").alias("ledger_name"), F.timestamp_micros(F.unix_micros("received_at") + 250_000).alias("fetched_at"), F.col("event_id").alias("trigger_event_id"),
         F.when(letter < "3", 503).when(letter < "4", 404).when(letter < "5", F.lit(None)).otherwise(200).alias("http_status"), F.lit("{}").alias("body"),
     )
     return triggers, ledgers.classify_fetches(fetches)

@@ -218,20 +218,25 @@ def r6(spark, sf_dir):
     return folded(spark, sf_dir).select("event_id", "own_status")
 
 
-@query("s5_state_upsert", sql=arr_sql(f"""SELECT coalesce(b.project_id, a.project_id) AS project_id, coalesce(b.device_id, a.device_id) AS device_id,
-    coalesce(b.battery, a.battery) AS battery, coalesce(b.fw_version, a.fw_version) AS fw_version, coalesce(b.network_state, a.network_state) AS network_state
-  FROM (SELECT * FROM one) a FULL OUTER JOIN two b ON a.project_id = b.project_id AND a.device_id = b.device_id""",
-    """one AS MATERIALIZED (SELECT project_id, device_id, arg_max(battery, received_at) AS battery, arg_max(fw_version, received_at) AS fw_version, arg_max(network_state, received_at) AS network_state FROM arr WHERE received_at < TIMESTAMP '2024-01-25 00:00:00' GROUP BY 1, 2),
-  two AS MATERIALIZED (SELECT project_id, device_id, arg_max(battery, received_at) AS battery, arg_max(fw_version, received_at) AS fw_version, arg_max(network_state, received_at) AS network_state FROM arr WHERE received_at >= TIMESTAMP '2024-01-25 00:00:00' GROUP BY 1, 2)"""))
-def s5(spark, sf_dir):
-    columns = ["battery", "fw_version", "network_state"]
+UPSERTED = [*METRICS, "fw_version", "network_state", "severity", "serial_category", "device_name"]
+
+
+def _upsert_sql() -> str:
+    last = ", ".join(f"arg_max({c}, (received_at, event_time, event_id)) FILTER ({c} IS NOT NULL) AS {c}" for c in UPSERTED)
+    parts = ", ".join(f"{name} AS MATERIALIZED (SELECT project_id, device_id, {last} FROM arr WHERE received_at {op} TIMESTAMP '2024-01-25 00:00:00' GROUP BY 1, 2)" for name, op in (("one", "<"), ("two", ">=")))
+    merged = ", ".join(f"coalesce(b.{c}, a.{c}) AS {c}" for c in ["project_id", "device_id", *UPSERTED])
+    return arr_sql(f"SELECT {merged} FROM one a FULL OUTER JOIN two b ON a.project_id = b.project_id AND a.device_id = b.device_id", parts)
 
+
+@query("s5_state_upsert", sql=_upsert_sql())
+def s5(spark, sf_dir):
     def last(condition):
         rows = inputs.arrivals(spark, sf_dir).filter(condition)
-        return rows.groupBy(*state.KEY).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("received_at"))).alias(c) for c in columns])
+        position = F.struct(*state.ARRIVAL_ORDER)
+        return rows.groupBy(*state.KEY).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(c) for c in UPSERTED])
 
     cut = F.lit("2024-01-25").cast("timestamp")
-    return state.merge_state(last(F.col("received_at") < cut), last(F.col("received_at") >= cut), columns)
+    return state.merge_state(last(F.col("received_at") < cut), last(F.col("received_at") >= cut), UPSERTED)
 
 
 # ---- history

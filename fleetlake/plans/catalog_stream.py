@@ -13,7 +13,7 @@ from fleetlake.plans import inputs
 from fleetlake.plans.catalog_fleet import CHANGES, FETCH, plain
 from fleetlake.plans.catalog_sequence import FLAGS, FOLD, RAW_ITEMS
 from fleetlake.plans.catalog_events import KIND, SUMMARY
-from fleetlake.plans.oracle import arr_sql, idx_sql, iso
+from fleetlake.plans.oracle import SENT, arr_sql, idx_sql, iso
 from fleetlake.plans.registry import query
 from fleetlake.session import shared_folder
 from fleetlake.sources import inventory, tables, webhook
@@ -71,9 +71,9 @@ def ingested(spark: SparkSession, sf_dir: str) -> ingest.Store:
     return _ingested(spark.sparkContext.applicationId, sf_dir)
 
 
-@query("s2_stream_source", sql=arr_sql("SELECT event_name, count(*) AS n FROM arr GROUP BY 1"))
+@query("s2_stream_source", sql=arr_sql(f"SELECT archive_key, event_name, device_id, data_type, data, {iso('received_at')} AS received_at FROM arr JOIN sent ON sent_n = n", SENT))
 def s2(spark, sf_dir):
-    return ingested(spark, sf_dir).archive(spark).groupBy("event_name").agg(F.count(F.lit(1)).alias("n"))
+    return ingested(spark, sf_dir).archive(spark).select("archive_key", "event_name", "device_id", "data_type", "data", "received_at")
 
 
 @query("t1_stream_index", sql=idx_sql(f"SELECT event_id, device_id, {iso('event_time')} AS event_time, event_type, battery, connect_time, fw_version, severity FROM idx"))
