@@ -8,7 +8,7 @@ from fleetlake.functions.values import age_text, blank_to_null, micros_between
 from fleetlake.operators.filters import HEALTH_STATUSES, health_status, offline, recent
 from fleetlake.operators.ledgers import is_object, json_at, json_number, json_text
 from fleetlake.operators.presentation import present
-from fleetlake.operators.schedule import next_report
+from fleetlake.operators.schedule import next_report, zone_rules
 
 RISK = {"critical": 4, "warning": 3, "unknown": 2, "healthy": 1}
 TRANSPORT_ALLOWANCE_SECONDS = 60
@@ -98,14 +98,19 @@ def inventory_order(devices: DataFrame) -> DataFrame:
 
 
 def with_ledgers(devices: DataFrame, snapshots: DataFrame, configuration: DataFrame) -> DataFrame:
-    """Attach the status snapshot, when the data snapshot was updated, and the two configuration documents."""
+    """Attach the status snapshot, when the data snapshot was updated, and what the two configuration documents say."""
     status = snapshots.filter(F.col("ledger_name") == "device-status").select(
         F.col("scope_value").alias("device_id"), F.col("updated_at").alias("status_updated_at"),
         F.col("fetched_at").alias("status_fetched_at"), F.col("data").alias("status_data"),
     )
     data = snapshots.filter((F.col("ledger_name") == "device-data") & F.coalesce("updated_at", "fetched_at").isNotNull()).select(
         F.col("scope_value").alias("device_id"), F.coalesce("updated_at", "fetched_at").alias("device_data_updated_at"))
-    return devices.join(status, "device_id", "left").join(data, "device_id", "left").join(configuration, "device_id", "left")
+    # Devices share configurations: each distinct pair of documents is read, and its zone resolved, once.
+    documents = ["product_defaults", "device_settings"]
+    read = zone_rules(with_configuration(configuration.select(*documents).distinct()), "time_zone").withColumnsRenamed({d: f"_{d}" for d in documents})
+    same = [F.col(d).eqNullSafe(F.col(f"_{d}")) for d in documents]
+    resolved = configuration.join(read, same, "left").drop(*[f"_{d}" for d in documents])
+    return devices.join(status, "device_id", "left").join(data, "device_id", "left").join(resolved, "device_id", "left")
 
 
 def effective(path: tuple[str, str], read) -> Column:
@@ -145,9 +150,10 @@ def with_configuration(devices: DataFrame) -> DataFrame:
 
 def reporting_expectation(devices: DataFrame, as_of: str, allowance: float = TRANSPORT_ALLOWANCE_SECONDS) -> DataFrame:
     """Next and expected report of every device, and whether it is overdue."""
+    devices = devices if "reporting_interval_seconds" in devices.columns else with_configuration(devices)
     last = F.coalesce("last_application_report_at", F.when(F.col("last_plane") == "telemetry", F.col("last_event_time")))
     reported = next_report(
-        with_configuration(devices).withColumn("last_application_report_at", last),
+        devices.withColumn("last_application_report_at", last),
         "last_application_report_at", "reporting_interval_seconds", "open_hour", "close_hour", "time_zone",
     )
     complete = F.col("last_application_report_at").isNotNull() & F.col("reporting_interval_seconds").isNotNull() & F.col("connection_budget_seconds").isNotNull()
