@@ -150,6 +150,28 @@ def offline_candidate(event_time: Column, as_of: Column, hours: float = OFFLINE_
     return F.unix_micros(event_time) < F.unix_micros(as_of) - F.lit(int(hours * 3_600_000_000))
 
 
+# Ledgers and the prefix of their columns in a stored state.
+LEDGER_COLUMNS = {"device-status": "device_status", "device-data": "device_data", "product-defaults": "product_defaults", "device-settings": "device_settings"}
+
+
+def stored_row(states: DataFrame, snapshots: DataFrame, resets: DataFrame, updated_at: str = "last_ingest_time") -> DataFrame:
+    """The whole stored state of a device: the fold, when it was written, and what its ledgers project onto it.
+
+    ``snapshots`` has one row per scope and ledger, ``resets`` one per scope. A device was an offline candidate if its last
+    event was more than three hours old when the row was written.
+    """
+    own = {name: F.when(F.col("ledger_name") == name, F.struct("updated_at", "fetched_at", "size_bytes", "data")) for name in LEDGER_COLUMNS}
+    per_device = snapshots.groupBy(F.col("scope_value").alias("_scope")).agg(*[F.first(c, ignorenulls=True).alias(f"_{LEDGER_COLUMNS[name]}") for name, c in own.items()])
+    fields = [F.col(f"_{p}.{f}").alias(f"{p}_{f}") for p in LEDGER_COLUMNS.values() for f in ("updated_at", "fetched_at", "size_bytes", "data")]
+    counted = resets.select(F.col("scope_value").alias("_counted"), "firmware_reset_count", "startup_reset_count")
+    dated = states.withColumn("updated_at", F.col(updated_at))
+    joined = dated.join(per_device, F.col("device_id") == F.col("_scope"), "left").join(counted, F.col("device_id") == F.col("_counted"), "left")
+    return joined.select(
+        *dated.columns, offline_candidate(F.col("last_event_time"), F.col("updated_at")).alias("offline_candidate"),
+        *fields, "firmware_reset_count", "startup_reset_count",
+    )
+
+
 def with_names(devices: DataFrame, names: DataFrame) -> DataFrame:
     """A stored name is kept; devices without one take the looked-up name."""
     looked_up = names.select(F.col("device_id"), F.nullif(F.trim("device_name"), F.lit("")).alias("_name"))

@@ -94,6 +94,25 @@ def h5_triggered(spark, sf_dir):
     return rows.select("device_id", "report_time", "error_kind", F.col("http_status").cast("bigint").alias("http_status"), "history_key")
 
 
+def _ledger_sql(alias: str, prefix: str) -> str:
+    updated = f"CASE WHEN {alias}.effect = 'updated' THEN {alias}.updated_at END"
+    return f"{iso(updated)} AS {prefix}_updated_at, {iso(alias + '.fetched_at')} AS {prefix}_fetched_at"
+
+
+@query("w7_stored_state", sql=arr_sql(f"""SELECT c.project_id, c.device_id, c.health_status, {iso('c.received_at')} AS updated_at, c.event_time < c.received_at - INTERVAL 3 HOUR AS offline_candidate,
+    {_ledger_sql('s', 'device_status')}, {_ledger_sql('x', 'device_data')}, {_ledger_sql('t', 'device_settings')}, firmware_reset_count, startup_reset_count
+  FROM cur c LEFT JOIN (SELECT * FROM stored WHERE ledger_name = 'device-status') s ON s.scope_value = c.device_id
+    LEFT JOIN (SELECT * FROM stored WHERE ledger_name = 'device-data') x ON x.scope_value = c.device_id
+    LEFT JOIN (SELECT * FROM stored WHERE ledger_name = 'device-settings') t ON t.scope_value = c.device_id
+    LEFT JOIN (SELECT scope_value, arg_max(CAST(seq % 9 AS DOUBLE), (fetched_at, seq)) AS firmware_reset_count, arg_max(CAST(seq % 6 AS DOUBLE), (fetched_at, seq)) FILTER (seq % 5 = 0) AS startup_reset_count
+      FROM acc WHERE effect = 'updated' AND ledger_name = 'device-status' AND seq % 3 <> 2 GROUP BY 1) r ON r.scope_value = c.device_id""", FOLD, FETCH))
+def w7_stored(spark, sf_dir):
+    fetched = accepted(spark, sf_dir)
+    rows = state.stored_row(inputs.states(spark, sf_dir), ledgers.stored_snapshots(fetched), ledgers.reset_projection(fetched))
+    ledger = [f"{p}_{f}" for p in ("device_status", "device_data", "device_settings") for f in ("updated_at", "fetched_at")]
+    return rows.select(*state.KEY, "health_status", "updated_at", "offline_candidate", *ledger, "firmware_reset_count", "startup_reset_count")
+
+
 CHANGES = """SELECT scope_value AS device_id, CASE ledger_name WHEN 'device-status' THEN 'RUNTIME' ELSE 'DATA' END AS kind, {time} AS time, ledger_name || CASE WHEN before IS NULL THEN ' snapshot available' ELSE ' snapshot updated' END AS summary
   FROM (SELECT scope_value, ledger_name, updated_at, lag(updated_at) OVER (PARTITION BY scope_value, ledger_name ORDER BY fetched_at, seq) AS before FROM acc WHERE effect = 'updated' AND ledger_name <> 'device-settings')"""
 
