@@ -131,7 +131,8 @@ class Labeller:
         if not k:
             return [], np.zeros(0)
         words = WORDS.findall(text)
-        if not words:
+        # The pattern also takes numeric signs; a text has to hold a letter.
+        if not any(map(str.isalpha, words)) and not any(c.isalpha() for w in words for c in w):
             return [], np.zeros(k)
         if len(self.slot) > self.most:
             self.forget()

@@ -213,7 +213,8 @@ def test_language_spans_and_scripts():
     text = "the and that with, nicht auch sich werden. это что как"
     spans, letters = labeller.spans(text)
     assert [(text[a:b], MODEL["langs"][j]) for a, b, j in spans] == [("the and that with", "en"), ("nicht auch sich werden", "de"), ("это что как", "ru")]
-    assert labeller.spans("123 ... !")[0] == []
+    assert all(labeller.spans(t)[0] == [] for t in ("123 ... !", "½ ² Ⅷ", "", " "))
+    assert labeller.spans("½a")[0] != []
 
 
 def test_language_special_rows(odd, empty):
