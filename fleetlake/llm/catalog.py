@@ -1,8 +1,11 @@
-"""The registered queries of this package and their DuckDB twins."""
+"""The registered queries of this package and their DuckDB twins.
+
+SQL has no twin for edit distance, learnt scores, crc32 folds, merges or digests; tests/llm holds those queries against brute force.
+"""
 
 from __future__ import annotations
 
-from fleetlake.llm import bpe, decontaminate, fingerprint, katz, language, licenses, near, quality, repeats, secrets
+from fleetlake.llm import bpe, decontaminate, fingerprint, katz, language, licenses, near, oracle, quality, repeats, secrets
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -16,4 +19,4 @@ QUERIES = {
     "op9_repeats": repeats.query,
     "op10_fingerprint": fingerprint.query,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {"op5_near_duplicates": oracle.NEAR, "op9_repeats": oracle.REPEATS}
