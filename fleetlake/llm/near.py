@@ -14,7 +14,7 @@ with a probability of 6e-8. Texts with equal shingle sets count once (``classes`
 So no link between different texts is left out for the size of a bucket, and no row per pair of a bucket is made.
 
 Hot groups: counting and smallest keys are aggregated before the shuffle, a first text with many partners is copied to slots of them, and
-neighbourhoods are cut into blocks. Components are found by rounds of joins that are checkpointed; nothing is collected.
+buckets and neighbourhoods are cut into blocks that meet in pairs. Components are found by rounds of joins that are checkpointed; nothing is collected.
 
 Defined results: null and empty texts have no shingles, are their own component and linked with nothing. Texts with fewer words than a
 shingle have one shingle, their whole sequence. A key that occurs more than once is linked by any of its texts. Rows without a key are
@@ -35,6 +35,7 @@ from fleetlake.llm.common import Hasher, checkpointed, distinct, documents, mixe
 ROWS, BANDS, MANTISSA = 5, 42, 10
 REGISTERS = ROWS * BANDS
 SLOT = 256  # partners of one text that are confirmed together
+BUCKET = 1000  # texts of a bucket whose registers are compared together
 BLOCK = 2000  # texts of a neighbourhood that are indexed together
 FEW_KEYS = 1_000_000  # up to 8 MB of keys are sent to every task, more are joined by a shuffle
 # Fixed value: chance that two different smallest values share a register, in units of 2**-MANTISSA, for sets of one size.
@@ -165,26 +166,34 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: int, key:
 
 
 def _tied(table: pa.Table, least: float) -> pa.Table:
-    """Texts of one bucket with a likely partner in another component, each with the first text of its neighbourhood."""
+    """Texts of one bucket (or of two of its blocks) with a likely partner in another component, each with the first text of its neighbourhood."""
     order = np.lexsort((table.column("k").to_numpy(), table.column("component").to_numpy()))
-    k, component = table.column("k").to_numpy()[order], table.column("component").to_numpy()[order]
+    k, component, side = (table.column(c).to_numpy()[order] for c in ("k", "component", "side"))
     packed = table.column("registers").to_pylist()
     found = np.frombuffer(b"".join(packed[i] for i in order), np.uint16).reshape(-1, REGISTERS)
     root = np.arange(len(k))
+    two = side.max() > side.min()
     names, sizes = np.unique(component, return_counts=True)
     main = names[sizes.argmax()]
-    for i in np.flatnonzero(component != main):  # every pair of components has a text outside the largest one
-        near = np.empty(len(k), bool)
-        for at in range(0, len(k), 4096):
-            near[at : at + 4096] = estimate((found[at : at + 4096] == found[i]).mean(axis=1)) >= least
-        near &= component != component[i]
-        if near.any():
-            near[i] = True
+    # Of two blocks one side's texts meet the other's; in one block every pair of components has a text outside the largest one.
+    for i in np.flatnonzero(side == side.min()) if two else np.flatnonzero(component != main):
+        others = np.flatnonzero((component != component[i]) & (side != side[i] if two else True))
+        near = others[estimate((found[others] == found[i]).mean(axis=1)) >= least]
+        if len(near):
+            near = np.append(near, i)
             root[np.isin(root, root[near])] = root[near].min()
     tied = np.isin(root, np.flatnonzero(np.bincount(root, minlength=len(k)) > 1))
     return pa.table({"a": pa.array(k[root[tied]], pa.int64()), "b": pa.array(k[tied], pa.int64())})
 
 
+def in_blocks(rows: DataFrame, group: str, size: int, *columns: str) -> DataFrame:
+    """Rows of a group dealt to blocks of about ``size``, each pair of blocks (low, high) a group of its own; ``side`` tells the two apart."""
+    blocks = rows.groupBy(group).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, group).withColumn("side", F.pmod(F.xxhash64("k"), "blocks").cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.select(group, *columns, "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
+
+
 def _between(table: pa.Table, size: int, threshold: int) -> pa.Table:
     """Links between texts of different components in one block (or between two), by an index of their shingles."""
     k, component, side = (table.column(c).to_numpy() for c in ("k", "component", "side"))
@@ -242,14 +251,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, key: st
     # Buckets that still hold several components.
     members = shared.join(joined, "k", "left").select("key", "k", F.coalesce("component", "k").alias("component"))
     open_keys = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    open_rows = members.join(open_keys, "key").join(sketch, "k").select("key", "k", "component", "registers")
-    ties = checkpointed(open_rows.groupBy("key").applyInArrow(lambda t: _tied(t, least), "a long, b long"))
+    open_rows = in_blocks(members.join(open_keys, "key"), "key", BUCKET, "k", "component").join(sketch, "k")
+    ties = checkpointed(open_rows.groupBy("key", "low", "high").applyInArrow(lambda t: _tied(t, least), "a long, b long"))
     hoods = components(ties).withColumnRenamed("component", "hood")
     placed = hoods.join(joined, "k", "left").select("k", "hood", F.coalesce("component", "k").alias("component"))
-    blocks = hoods.groupBy("hood").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = placed.join(blocks, "hood").withColumn("block", F.pmod(F.xxhash64("k"), "blocks").cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "k", "hood", "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.col("block").alias("side"))
+    met = in_blocks(placed, "hood", BLOCK, "k", "component")
     whole = texts_of(docs, hoods.select("k"), key, text)
     further = met.join(whole, "k").groupBy("hood", "low", "high").applyInArrow(lambda t: _between(t, size, threshold), "a long, b long")
     last = components(links.unionAll(checkpointed(further)))

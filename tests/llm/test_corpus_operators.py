@@ -226,6 +226,7 @@ def chain(draw, n, words):
 @pytest.mark.parametrize("block", [near.BLOCK, 16])
 def test_dense_groups_lose_no_link(spark, monkeypatch, block):
     monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "BUCKET", block)
     monkeypatch.setattr(near, "SLOT", 7)
     draw = np.random.default_rng(7)
     rows = [(k + 1000 * g, t) for g in range(3) for k, t in chain(draw, 60, 40 + 20 * g)]
