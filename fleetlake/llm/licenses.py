@@ -41,6 +41,7 @@ UNIT_ENDS = r"\n+|(?<=[.!?])\s+"
 TERM_ENDS = r"[\x00-/:-@\[-`{-~]+"  # ASCII but letters and digits; a bit table decides, other letters belong to words
 LEAST = 0.7
 MOSTLY = 0.9
+FEW_FOLDERS = 100_000  # some ten MB at most
 
 
 def terms(text: Column) -> Column:
@@ -123,7 +124,9 @@ def scan(files: DataFrame, key: str = "path", path: str = "path", text: str = "t
     # Directories repeat far less than files: each distinct one looks for its nearest ancestor once.
     folders = named.where("license is null and p is not null").select(parent.alias("folder")).distinct()
     above = folders.select("folder", F.posexplode(ancestors(F.concat(F.col("folder"), F.when(F.col("folder") == "", "").otherwise("/")))).alias("up", "at"))
-    nearest = above.join(given, "at").groupBy("folder").agg(F.min(F.struct("up", "at", "given")).alias("found"))
+    nearest = checkpointed(above.join(given, "at").groupBy("folder").agg(F.min(F.struct("up", "at", "given")).alias("found")))
+    # One folder may hold a third of all files: few folders go to the files, many meet them in a join that splits large keys.
+    nearest = F.broadcast(nearest) if nearest.count() <= FEW_FOLDERS else nearest
     joined = named.withColumn("folder", F.when(F.col("license").isNull(), parent)).join(nearest, "folder", "left")
     return joined.select(
         F.col("k").alias(key), F.coalesce("license", F.col("found.given.license")).alias("license"),
