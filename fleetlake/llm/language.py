@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from fleetlake.llm.common import documents, fold, mixed, slices, uniform
 
 UNKNOWN = "und"
+FEW_LANGUAGES = 10_000
 BITS = 16
 WORDS = re.compile(r"[^\W\d_]+")
 # First code points of the ranges of scripts (name, start, end), by the Unicode blocks.
@@ -152,10 +153,14 @@ class Labeller:
 
 
 def sample_of(rows: DataFrame, lang: str, text: str, per_language: int) -> list[tuple[str, str]]:
-    """At most about ``per_language`` labelled texts of each language, chosen by a hash of their values."""
+    """At most about ``per_language`` labelled texts of each language, chosen by a hash of their values.
+
+    A language may hold most rows, so the shares go to the texts; only beyond FEW_LANGUAGES names do both meet in a shuffle.
+    """
     known = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     counts = known.groupBy("lang").count().select("lang", (F.lit(float(per_language)) / F.col("count")).alias("share"))
-    chosen = known.join(counts, "lang").where(uniform("lang", "text") < F.col("share")).select("lang", "text")
+    few = counts.limit(FEW_LANGUAGES + 1).count() <= FEW_LANGUAGES
+    chosen = known.join(F.broadcast(counts) if few else counts, "lang").where(uniform("lang", "text") < F.col("share")).select("lang", "text")
     return [(r["lang"], r["text"]) for r in chosen.toLocalIterator()]
 
 
