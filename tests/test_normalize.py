@@ -152,6 +152,9 @@ def test_types_and_numbers(spark):
 
 def test_last_received_wins(spark):
     rows = spark.createDataFrame(
-        [("d", datetime(2026, 1, 1), datetime(2026, 1, 1, 0, 0, s), e) for s, e in ((1, "x"), (9, "y"), (5, "z"))],
-        "device_id string, event_time timestamp, received_at timestamp, event_id string")
-    assert [r.event_id for r in N.event_index(rows).collect()] == ["y"]
+        [("d", text, datetime(2026, 1, 1, 0, 0, s), e) for text, s, e in (
+            ("2026-01-01T00:00:00Z", 1, "x"), ("2026-01-01T00:00:00Z", 9, "y"), ("2026-01-01T00:00:00Z", 5, "z"),
+            ("2026-01-01T01:00:00+01:00", 2, "same instant"), ("no time", 3, "a"), ("no time 2", 4, "b"))],
+        "device_id string, event_time_text string, received_at timestamp, event_id string")
+    dated = rows.withColumn("event_time", F.col("event_time_text").try_cast("timestamp"))
+    assert sorted(r.event_id for r in N.event_index(dated).collect()) == ["a", "b", "same instant", "y"]
