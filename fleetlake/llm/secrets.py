@@ -31,8 +31,8 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALLOWED = (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
     r"[0-9+=_-]+",  # numbers and rules
-    r"([A-Za-z]?[a-z]+[-_/=+]*)+",  # words, paths of words, camel case
-    r"([A-Z]+[-_/=+]*)+",  # words in capitals
+    r"(?:[A-Z]?[a-z]++[-_/=+]*+)++",  # words, paths of words, camel case; possessive, so that no run is tried in many ways
+    r"(?:[A-Z]++[-_/=+]*+)++",  # words in capitals
     r".*(?i:example|placeholder|changeme|xxxx).*",
 )
 WINDOW = 20

@@ -4,6 +4,9 @@ import hashlib
 import math
 import re
 import struct
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from fleetlake.llm import bpe, decontaminate, fingerprint, language, quality, secrets
 
 SF = "/root/testdata/sf0.001"
+ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def sha(data: bytes) -> str:
@@ -169,6 +173,20 @@ def test_entropy_and_allow_list(text, kinds):
     assert secrets.Scanner(allow=[text.split()[-2] if " " in text else text]).spans(text) == [s for s in secrets.Scanner().spans(text) if s[2] != "entropy"]
 
 
+def test_allow_list_on_long_runs():
+    """Each text once took exponential time; run apart, so that the old patterns fail here and do not hang."""
+    runs = ["g" * 30 + "1", "A" * 35 + "1", "com/news/understanding-distributed-systems-2024", "g" * 5000 + "1", "A" * 5000 + "/9", "aB" * 2000 + "7", "ab-" * 2000 + "7"]
+    code = f"import sys; sys.path.insert(0, {ROOT!r}); from fleetlake.llm import secrets; scanner = secrets.Scanner(); print([scanner.spans(t) for t in {runs!r}])"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=30, check=True)
+    assert done.stdout.startswith("[[], [], [(0, 20, 'entropy'), (27, 47, 'entropy')], [], [], [], []]")
+
+
+@pytest.mark.parametrize("text", ["", "a", "aB", "AbC", "Ab", "abC", "abCd", "a-b", "-a", "A-", "A-B", "ABc", "AB_cD", "Ab/Cd=", "aBBc", "a1", "a--b", "A--BC=", "Ab-cd+EF"])
+def test_allow_list_keeps_its_language(text):
+    for old, new in zip((r"([A-Za-z]?[a-z]+[-_/=+]*)+", r"([A-Z]+[-_/=+]*)+"), secrets.ALLOWED[2:4]):
+        assert bool(re.fullmatch(old, text)) == bool(re.fullmatch(new, text))
+
+
 def test_secrets_special_rows(odd, empty):
     assert {r["doc_id"] for r in secrets.find_secrets(odd).where(F.size("spans") > 0).collect()} == set()
     assert secrets.redact(odd).collect() == odd.collect()
