@@ -3,8 +3,9 @@
 A candidate is a run of at least WINDOW characters of base64, URL-safe base64 or hexadecimal text. Its character class (hex, upper-case
 code, mixed code) sets the entropy a window must reach. The window moves one character at a time; two counts change per step, and
 the sum of c*log2(c) is kept up to date by a table. Windows that reach the threshold are joined into spans. Allow-listed
-strings (identifiers in UUID form, numbers, words and paths, placeholders, one's own list) are suppressed, and so are spans that
-meet a pattern's match: the pattern's span stays.
+strings (identifiers in UUID form, numbers, words and paths, one's own list) are suppressed. A placeholder word suppresses its part of a
+candidate, as separators bound it; what stands before and after is a candidate of its own, and so is what windows without
+the word see of a longer part. Where a span meets a pattern's match, the pattern's span stays and the rest of the span on both sides.
 
 Spans are code point offsets into the whole text, end exclusive, ordered by start and then by kind. Null and empty texts have no spans.
 Repeated rows give repeated results. ``find_secrets`` returns the key and its own columns only; ``redact`` keeps all columns.
@@ -33,8 +34,9 @@ ALLOWED = (
     r"[0-9+=_-]+",  # numbers and rules
     r"(?:[A-Z]?[a-z]++[-_/=+]*+)++",  # words, paths of words, camel case; possessive, so that no run is tried in many ways
     r"(?:[A-Z]++[-_/=+]*+)++",  # words in capitals
-    r".*(?i:example|placeholder|changeme|xxxx).*",
 )
+PLACEHOLDER = r"(?=(example|placeholder|changeme|xxxx))"
+SEPARATORS = "-_/=+"
 WINDOW = 20
 THRESHOLDS = {"hex": 2.9, "upper": 3.4, "mixed": 3.6}
 
@@ -51,6 +53,7 @@ class Scanner:
         self.hex = re.compile(r"[0-9a-f]{%d,}" % LEAST["hex"])  # runs are greedy, so the length can be asked for at once
         self.candidate = re.compile(CANDIDATE)
         self.allowed = re.compile("|".join(f"(?:{p})" for p in ALLOWED))
+        self.placeholder, self.part = re.compile(PLACEHOLDER, re.ASCII | re.IGNORECASE), re.compile(f"[^{SEPARATORS}]+")
         self.allow, self.window, self.thresholds = frozenset(allow), window, thresholds or THRESHOLDS
         self.weight = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
 
@@ -74,22 +77,62 @@ class Scanner:
                     spans.append((i - w + 1, i + 1))
         return spans
 
+    def pieces(self, run: str) -> list[tuple[int, int]]:
+        """What a candidate is without its placeholders: (start, end), in order of the starts."""
+        words = [m.span(1) for m in self.placeholder.finditer(run)]
+        if not words:
+            return [(0, len(run))]
+        out, at, i = [], 0, 0
+
+        def between(start: int, end: int) -> None:
+            kept = run[start:end]
+            out.append((start + len(kept) - len(kept.lstrip(SEPARATORS)), start + len(kept.rstrip(SEPARATORS))))
+
+        for part in self.part.finditer(run):
+            if i < len(words) and words[i][0] < part.end():
+                between(at, part.start())
+                start = part.start()
+                while i < len(words) and words[i][0] < part.end():  # windows that do not hold the whole word
+                    out.append((start, words[i][1] - 1))
+                    start = words[i][0] + 1
+                    i += 1
+                out.append((start, part.end()))
+                at = part.end()
+        between(at, len(run))
+        return [(s, e) for s, e in out if e - s >= self.window]
+
+    def candidates(self, text: str) -> list[tuple[int, int]]:
+        """Joined spans of all candidates that are not allow-listed."""
+        out = []
+        for m in self.candidate.finditer(text):
+            if m.group() in self.allow:
+                continue
+            for at, end in self.pieces(m.group()):
+                piece = m.group()[at:end]
+                if piece in self.allow or self.allowed.fullmatch(piece):
+                    continue
+                for s, e in self.windows(piece):
+                    s, e = s + at + m.start(), e + at + m.start()
+                    if out and s < out[-1][1]:  # pieces around a word share some letters of it
+                        out[-1] = (out[-1][0], e)
+                    else:
+                        out.append((s, e))
+        return out
+
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         found = [(m.start(), m.end(), "assign") for m in self.assign.finditer(text) if m.end(2) - m.start(2) >= LEAST["assign"]]
         found += [(m.start(), m.end(), "access") for m in self.access.finditer(text) if m.end() - m.start() >= LEAST["access"]]
         found += [(m.start(), m.end(), "hex") for m in self.hex.finditer(text)]
         base = sorted(found)
-        extra, b, reach = [], 0, -1
-        for m in self.candidate.finditer(text):
-            if m.group() in self.allow or self.allowed.fullmatch(m.group()):
-                continue
-            for s, e in self.windows(m.group()):
-                s, e = s + m.start(), e + m.start()
-                while b < len(base) and base[b][0] < e:
-                    reach = max(reach, base[b][1])
-                    b += 1
-                if reach <= s:
-                    extra.append((s, e, "entropy"))
+        extra, b, reach = [], 0, 0  # reach: the end of what the matches so far cover
+        for s, e in self.candidates(text):
+            while b < len(base) and base[b][0] < e:
+                if (at := max(s, reach)) < base[b][0]:
+                    extra.append((at, base[b][0], "entropy"))
+                reach = max(reach, base[b][1])
+                b += 1
+            if (at := max(s, reach)) < e:
+                extra.append((at, e, "entropy"))
         return sorted(base + extra, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
@@ -112,7 +155,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", allow
 
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", allow: list[str] = ()) -> DataFrame:
-    """All rows and columns; every secret in the text gives way to the mask (overlapping spans to one)."""
+    """All rows and columns; every secret in the text gives way to the mask (overlapping and touching spans to one)."""
     names, types = docs.columns, [f.dataType.simpleString() for f in docs.schema]
 
     def run(batches):
@@ -123,7 +166,7 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", allow: l
                 return t
             out, at = [], 0
             for s, e, _ in spans:
-                if s >= at:
+                if s > at or not out:
                     out += [t[at:s], mask]
                 at = max(at, e)
             return "".join(out) + t[at:]
