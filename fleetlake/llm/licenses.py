@@ -1,10 +1,12 @@
 """License scans by DataFrame functions alone: TF-IDF cosine to templates, then inheritance along directories.
 
 A file's text is cut into sentences and lines (``units``). A unit's cosine to a template is taken over sparse TF-IDF vectors; idf comes from
-the document frequency of every template term in the whole input, and all terms that no template has weigh as the rarest. Before
-vectors are made, a unit must hold one of the terms that a cosine of ``least`` needs: a template's lighter terms alone cannot reach
-it (their norm is below ``least`` times the template's), so nothing is lost. The best template of the best unit is the file's
-own licence. Ties go to the smallest template name.
+the document frequency of every term in the whole input. Before vectors are made, a unit must hold one of the terms that a cosine of
+``least`` needs: a template's lighter terms alone cannot reach it (their norm is below ``least`` times the template's), and it must reach
+``least`` if all terms that no template has weighed 1, the least weight there is: nothing is lost. Weights of other terms
+are looked up for what remains. The best template of the best unit is the file's own licence. Ties go to the smallest template name.
+
+All terms cross the network once, counted per task first, and their counts are checkpointed; texts do not.
 
 A file named like a licence file, or one that is nearly all licence text, gives its licence to its directory. A file without an own licence takes
 that of its nearest ancestor directory: the path is joined once per level with the directories that have a licence.
@@ -42,6 +44,7 @@ TERM_ENDS = r"[\x00-/:-@\[-`{-~]+"  # ASCII but letters and digits; a bit table
 LEAST = 0.7
 MOSTLY = 0.9
 FEW_FOLDERS = 100_000  # some ten MB at most
+FEW_TERMS = 100_000
 
 
 def terms(text: Column) -> Column:
@@ -61,48 +64,83 @@ def template_terms(templates: dict[str, list[str]]) -> tuple[list[tuple[str, dic
     return counted, sorted({w for _, c in counted for w in c})
 
 
-def idf_of(files: DataFrame, text: str, vocabulary: list[str]) -> tuple[dict[str, float], float]:
-    """Inverse document frequency of the templates' terms over all files, and that of a term in no file."""
-    import math
+def frequencies(files: DataFrame, text: str) -> DataFrame:
+    """(term, count): how many files hold each term."""
+    return checkpointed(files.select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term")).groupBy("term").count())
+
 
-    held = files.select(F.explode(F.array_intersect(terms(F.col(text)), F.array(*map(F.lit, vocabulary)))).alias("term"))
-    counts = {r["term"]: r["count"] for r in held.groupBy("term").count().collect()}  # a row for each template term at most
-    total = files.count()
-    weigh = lambda n: math.log((1 + total) / (1 + n)) + 1
-    return {t: weigh(counts.get(t, 0)) for t in vocabulary}, weigh(0)
+def weight(total: int, count: Column) -> Column:
+    """Inverse document frequency, at least 1."""
+    return F.log((1 + F.lit(total)) / (1 + count)) + 1
 
 
 def own_licenses(files: DataFrame, key: str = "path", text: str = "text", templates: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
     """(key, license, cosine, share): the best template of each file that has one, and the share of its text in licence units."""
     counted, vocabulary = template_terms(templates or TEMPLATES)
-    idf, rarest = idf_of(files, text, vocabulary)
-    weights = [(name, {t: n * idf[t] for t, n in c.items()}) for name, c in counted]
-    needed = set()
-    for _, w in weights:
-        norm, light = sum(x * x for x in w.values()) ** 0.5, 0.0
-        for t in sorted(w, key=lambda t: (w[t], t)):
-            light += w[t] ** 2
-            if light**0.5 >= least * norm - 1e-9:
-                needed.add(t)
+    held, total = frequencies(files, text), files.count()
+    idf = idf_of(held, total, vocabulary)
     rows = files.select(F.col(key).alias("k"), F.col(text).alias("text"))
-    wanted = F.array(*map(F.lit, sorted(needed)))
+    wanted = F.array(*map(F.lit, needed(counted, idf, least)))
     units = rows.where(F.arrays_overlap(terms(F.col("text")), wanted)).select("k", F.length("text").alias("whole"), F.explode(F.split("text", UNIT_ENDS)).alias("unit"))
     split = units.select("k", "whole", F.length("unit").alias("size"), terms(F.col("unit")).alias("terms")).where(F.arrays_overlap("terms", wanted))
-    table = F.create_map(*(x for t in vocabulary for x in (F.lit(t), F.lit(idf[t]))))
-    # A unit as a sparse vector: its different terms, each with count * idf.
-    vector = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("t"), (F.size(F.filter("terms", lambda o: o == t)) * F.coalesce(F.element_at(table, t), F.lit(rarest))).alias("w")))
-    vectors = split.select("k", "whole", "size", vector.alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    scores = []
-    for name, w in weights:
-        size = sum(x * x for x in w.values()) ** 0.5
-        own = F.create_map(*(x for t in w for x in (F.lit(t), F.lit(w[t] / size))))
-        scores.append(F.struct((-F.round(_dot(own) / norm, 9)).alias("minus"), F.lit(name).alias("license")))
-    best = vectors.select("k", "whole", "size", F.array_min(F.array(*scores)).alias("best")).where(F.col("best.minus") <= -least)
+    best = scored(split, counted, idf, held, total, least)
     return best.groupBy("k").agg(F.min("best").alias("best"), (F.sum("size") / F.max("whole")).alias("share")).select(
         F.col("k").alias(key), F.col("best.license").alias("license"), (-F.col("best.minus")).alias("cosine"), "share")
 
 
+def idf_of(held: DataFrame, total: int, vocabulary: list[str]) -> dict[str, float]:
+    """Weights of the templates' terms."""
+    import math
+
+    counts = {r["term"]: r["count"] for r in held.where(F.col("term").isin(vocabulary)).collect()}  # a row for each template term at most
+    return {t: math.log((1 + total) / (1 + counts.get(t, 0))) + 1 for t in vocabulary}
+
+
+def needed(counted: list[tuple[str, dict[str, int]]], idf: dict[str, float], least: float) -> list[str]:
+    """Terms of which a unit must hold one."""
+    out = set()
+    for _, c in counted:
+        w = {t: n * idf[t] for t, n in c.items()}
+        norm, light = sum(x * x for x in w.values()) ** 0.5, 0.0
+        for t in sorted(w, key=lambda t: (w[t], t)):
+            light += w[t] ** 2
+            if light**0.5 >= least * norm - 1e-9:
+                out.add(t)
+    return sorted(out)
+
+
+def scored(units: DataFrame, counted: list[tuple[str, dict[str, int]]], idf: dict[str, float], held: DataFrame, total: int, least: float) -> DataFrame:
+    """The units (with their ``terms``) whose cosine to a template is ``least`` or more: their other columns and ``best`` (minus the cosine, license)."""
+    names, table = [c for c in units.columns if c != "terms"], F.create_map(*(x for t in idf for x in (F.lit(t), F.lit(idf[t]))))
+
+    def times(t: Column) -> Column:
+        return F.size(F.filter("terms", lambda o: o == t))
+
+    # A unit as a sparse vector: its different template terms, each with its count and count * idf.
+    known = F.transform(F.array_intersect("terms", F.array(*map(F.lit, idf))), lambda t: F.struct(t.alias("t"), times(t).alias("n"), (times(t) * F.element_at(table, t)).alias("w")))
+    vectors = units.withColumn("v", known)
+    dots = []
+    for name, c in counted:
+        size = sum((n * idf[t]) ** 2 for t, n in c.items()) ** 0.5
+        own = F.create_map(*(x for t, n in c.items() for x in (F.lit(t), F.lit(n * idf[t] / size))))
+        dots.append(F.struct((-_dot(own)).alias("minus"), F.lit(name).alias("license")))
+    vectors = vectors.withColumn("best", F.array_min(F.array(*dots)))  # the norm is the same for all templates, so the largest product is the best
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])
+    others = F.size("terms") - F.aggregate("v", F.lit(0), lambda a, x: a + x["n"])
+    near = vectors.withColumn("square", square).where(-F.col("best.minus") >= (least - 1e-6) * F.sqrt(F.col("square") + others))
+    other = F.array_except("terms", F.array(*map(F.lit, idf)))
+    near = checkpointed(near.select(F.monotonically_increasing_id().alias("id"), *names, "best", "square", F.transform(other, lambda t: F.struct(t.alias("term"), times(t).alias("n"))).alias("other")))
+    asked = near.select("id", F.inline("other"))
+    few = asked.select("term").distinct()
+    few = F.broadcast(few) if few.count() <= FEW_TERMS else few
+    weights = held.join(few, "term").select("term", weight(total, F.col("count")).alias("idf"))
+    weights = checkpointed(weights)
+    weights = F.broadcast(weights) if weights.count() <= FEW_TERMS else weights
+    rest = asked.join(weights, "term").groupBy("id").agg(F.sum((F.col("n") * F.col("idf")) ** 2).alias("rest"))
+    cosine = near.join(rest, "id", "left").withColumn("minus", F.round(F.col("best.minus") / F.sqrt(F.col("square") + F.coalesce("rest", F.lit(0.0))), 9))
+    return cosine.where(F.col("minus") <= -least).select(*names, F.struct("minus", F.col("best.license").alias("license")).alias("best"))
+
+
 def _dot(weights: Column) -> Column:
     return F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.element_at(weights, x["t"]), F.lit(0.0)))
 

@@ -305,6 +305,46 @@ def test_licenses_equal_brute_force(spark, texts):
     assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
 
 
+def full_idf_cosines(rows, wordings):
+    """The best (license, cosine) of each file by plain TF-IDF over lines and sentences; every term has its own document frequency."""
+    import re
+
+    def terms(t):
+        return Counter(w for w in re.split(licenses.TERM_ENDS, t.lower()) if w)
+
+    held = Counter()
+    for _, t in rows:
+        held.update(set(terms(t or "")))
+
+    def vector(t):
+        return {w: n * (math.log((1 + len(rows)) / (1 + held[w])) + 1) for w, n in terms(t).items()}
+
+    def norm(v):
+        return math.sqrt(sum(x * x for x in v.values()))
+
+    sides = [(name, vector(t)) for name, ts in wordings.items() for t in ts]
+    out = {}
+    for k, t in rows:
+        for v in filter(None, map(vector, re.split(licenses.UNIT_ENDS, t or ""))):
+            for name, o in sides:
+                cos = round(sum(x * o.get(w, 0) for w, x in v.items()) / norm(v) / norm(o), 9)
+                if cos >= licenses.LEAST:
+                    out[k] = min(out.get(k, (0, "")), (-cos, name))
+    return out
+
+
+@pytest.mark.parametrize("times", [1, 40])
+def test_notices_inside_sentences_at_two_sizes(spark, times):
+    notices = ["It was released under the MIT License.", "This project is released under the MIT License.", "Our code is licensed under CC BY 4.0.", "All of it is licensed under the Apache License, Version 2.0, as it was before.",
+               "It was, it was, it was and it was released here under the old License."]
+    common = ["it was a day and this is the project", "it was here, is it", "all of it was as it was before", "our code is here"] * 5
+    rows = list(enumerate(notices + common * times))
+    got = {r["path"]: (-r["cosine"], r["license"]) for r in licenses.own_licenses(spark.createDataFrame(rows, "path long, text string")).collect()}
+    want = full_idf_cosines(rows, licenses.TEMPLATES)
+    assert {k: n for k, (_, n) in got.items()} == {k: n for k, (_, n) in want.items()} and {0, 1, 2, 3} <= got.keys()
+    assert all(abs(got[k][0] - want[k][0]) < 1e-8 for k in want)
+
+
 def test_license_query_finds_notices(spark, texts):
     got = {r["doc_id"]: r["license"] for r in licenses.query(spark, SF).collect()}
     assert got.keys() == texts.keys()
