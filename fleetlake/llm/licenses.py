@@ -1,6 +1,7 @@
 """License scans by DataFrame functions alone: TF-IDF cosine to templates, then inheritance along directories.
 
-A file's text is cut into sentences and lines (``units``). A unit's cosine to a template is taken over sparse TF-IDF vectors; idf comes from
+A file's text is cut into sentences and lines; these and runs of them are its ``units``, so that wrapped wordings are seen as one; a
+file named like a licence file is also one unit, held against whole licence texts, which then go first. A unit's cosine to a template is taken over sparse TF-IDF vectors; idf comes from
 the document frequency of every term in the whole input. Before vectors are made, a unit must hold one of the terms that a cosine of
 ``least`` needs: a template's lighter terms alone cannot reach it (their norm is below ``least`` times the template's), and it must reach
 ``least`` if all terms that no template has weighed 1, the least weight there is: nothing is lost. Weights of other terms
@@ -18,9 +19,11 @@ columns are returned.
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import re
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlake.llm.common import checkpointed, documents
@@ -53,9 +56,7 @@ def terms(text: Column) -> Column:
 
 
 def template_terms(templates: dict[str, list[str]]) -> tuple[list[tuple[str, dict[str, int]]], list[str]]:
-    """Term counts of each wording, and all terms (a few hundred; they are part of the query)."""
-    import re
-
+    """Term counts of each wording, and all terms (some hundreds or few thousands; they are part of the query)."""
     counted = []
     for name in sorted(templates):
         for text in templates[name]:
@@ -74,18 +75,74 @@ def weight(total: int, count: Column) -> Column:
     return F.log((1 + F.lit(total)) / (1 + count)) + 1
 
 
-def own_licenses(files: DataFrame, key: str = "path", text: str = "text", templates: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
-    """(key, license, cosine, share): the best template of each file that has one, and the share of its text in licence units."""
+def own_licenses(
+    files: DataFrame, key: str = "path", text: str = "text", templates: dict[str, list[str]] | None = None, least: float = LEAST, path: str | None = None
+) -> DataFrame:
+    """(key, license, cosine, share): the best template of each file that has one, and the share of its text in licence units.
+
+    With a ``path`` column, files named like licence files are held against whole licence texts too.
+    """
     counted, vocabulary = template_terms(templates or TEMPLATES)
     held, total = frequencies(files, text), files.count()
     idf = idf_of(held, total, vocabulary)
-    rows = files.select(F.col(key).alias("k"), F.col(text).alias("text"))
+    rows = files.select(F.col(key).alias("k"), F.col(text).alias("text"), (F.col(path) if path else F.lit(None).cast("string")).alias("p"))
     wanted = F.array(*map(F.lit, needed(counted, idf, least)))
-    units = rows.where(F.arrays_overlap(terms(F.col("text")), wanted)).select("k", F.length("text").alias("whole"), F.explode(F.split("text", UNIT_ENDS)).alias("unit"))
-    split = units.select("k", "whole", F.length("unit").alias("size"), terms(F.col("unit")).alias("terms")).where(F.arrays_overlap("terms", wanted))
-    best = scored(split, counted, idf, held, total, least)
-    return best.groupBy("k").agg(F.min("best").alias("best"), (F.sum("size") / F.max("whole")).alias("share")).select(
-        F.col("k").alias(key), F.col("best.license").alias("license"), (-F.col("best.minus")).alias("cosine"), "share")
+    near = rows.where(F.arrays_overlap(terms(F.col("text")), wanted)).select("k", "text").withColumn("row", F.monotonically_increasing_id())
+    found = scored(windows(near, wanted, max(sum(c.values()) for _, c in counted)), counted, idf, held, total, least)
+    # Windows whose first and last unit both add to the cosine; others hold text beside the notice.
+    shorter = [F.lag(F.struct("best.minus", "width")).over(Window.partitionBy("row", side).orderBy("width")) for side in ("at", "end")]
+    found = found.withColumn("end", F.col("at") + F.col("width")).withColumns({"a": shorter[0], "b": shorter[1]})
+    found = found.where(" and ".join(f"({s} is null or {s}.width < width - 1 or best.minus < {s}.minus)" for s in "ab"))
+    units = found.select("k", "whole", "best", "at", F.posexplode("sizes").alias("i", "size")).groupBy("k", (F.col("at") + F.col("i")).alias("place"))
+    best = units.agg(F.min("best").alias("best"), F.max("size").alias("size"), F.max("whole").alias("whole")).groupBy("k").agg(
+        F.min(F.struct(F.lit(1).alias("rank"), "best")).alias("best"), (F.sum("size") / F.max("whole")).alias("share"))
+    if path and templates is None:
+        counted, vocabulary = template_terms(whole_templates())
+        texts = rows.where(named_license(F.col("p"))).select(F.monotonically_increasing_id().alias("row"), "k", terms(F.col("text")).alias("terms"))
+        words = texts.select("row", "k", F.explode("terms").alias("t")).groupBy("row", "k", "t").agg(F.count("*").cast("int").alias("n"))
+        full = scored(words.groupBy("row", "k").agg(F.collect_list(F.struct("t", "n")).alias("bag")), counted, idf_of(held, total, vocabulary), held, total, least)
+        full = full.groupBy("k").agg(F.min(F.struct(F.lit(0).alias("rank"), "best")).alias("best"))
+        # A whole licence says more than the wordings in it.
+        best = best.unionByName(full.withColumn("share", F.lit(1.0))).groupBy("k").agg(F.min("best").alias("best"), F.max("share").alias("share"))
+    return best.select(F.col("k").alias(key), F.col("best.best.license").alias("license"), (-F.col("best.best.minus")).alias("cosine"), "share")
+
+
+def windows(rows: DataFrame, wanted: Column, longest: int) -> DataFrame:
+    """Every unit and every run of consecutive units with at most ``longest`` terms between its first and its last, if it holds a wanted term.
+
+    A wording's inner lines lie between those two, so that it is seen as one however it is wrapped. Comment marks are no terms.
+    """
+    parts = F.transform(F.split("text", UNIT_ENDS), lambda u: F.struct(F.length(u).alias("size"), terms(u).alias("terms")))
+    rows = rows.select("row", "k", F.length("text").alias("whole"), F.filter(parts, lambda p: F.size(p["terms"]) > 0).alias("parts"))
+    rows = rows.where(F.size("parts") > 0).withColumn("hit", F.transform("parts", lambda p: F.arrays_overlap(p["terms"], wanted)))
+    reach = longest + 2
+
+    def inner(i: Column) -> Column:
+        """How many units after the next one the window from i on may go."""
+        start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"))
+        return F.aggregate(
+            F.slice("parts", i + 2, reach), start,
+            lambda a, p: F.struct((a["sum"] + F.size(p["terms"])).alias("sum"), (a["n"] + F.when(a["sum"] + F.size(p["terms"]) <= longest, 1).otherwise(0)).alias("n")), lambda a: a["n"])
+
+    starts = F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.exists(F.slice("hit", i + 1, reach), lambda h: h))
+    spots = rows.select("row", "k", "whole", F.inline(F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice("parts", i + 1, inner(i) + 2).alias("near")))))
+    runs = F.transform(F.sequence(F.lit(1), F.size("near")), lambda w: F.struct(
+        w.alias("width"), F.transform(F.slice("near", 1, w), lambda p: p["size"]).alias("sizes"), F.flatten(F.transform(F.slice("near", 1, w), lambda p: p["terms"])).alias("terms")))
+    return spots.select("row", "k", "whole", "at", F.inline(runs)).where(F.arrays_overlap("terms", wanted))
+
+
+def whole_templates() -> dict[str, list[str]]:
+    """Whole licence texts by SPDX name, from the files beside this module.
+
+    The AGPL's is the GPL's text with its own name, which is what sets their terms apart.
+    """
+    texts = {f.stem: f.read_text(encoding="utf-8") for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+    texts["AGPL-3.0"] = re.sub(r"GNU\s+GENERAL\s+PUBLIC", "GNU Affero General Public", texts["GPL-3.0"], flags=re.IGNORECASE)
+    return {name: [text] for name, text in texts.items()}
+
+
+def named_license(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1).rlike(LICENSE_FILE)
 
 
 def idf_of(held: DataFrame, total: int, vocabulary: list[str]) -> dict[str, float]:
@@ -110,26 +167,33 @@ def needed(counted: list[tuple[str, dict[str, int]]], idf: dict[str, float], lea
 
 
 def scored(units: DataFrame, counted: list[tuple[str, dict[str, int]]], idf: dict[str, float], held: DataFrame, total: int, least: float) -> DataFrame:
-    """The units (with their ``terms``) whose cosine to a template is ``least`` or more: their other columns and ``best`` (minus the cosine, license)."""
-    names, table = [c for c in units.columns if c != "terms"], F.create_map(*(x for t in idf for x in (F.lit(t), F.lit(idf[t]))))
+    """The units whose cosine to a template is ``least`` or more: their other columns and ``best`` (minus the cosine, license).
+
+    Units have their ``terms`` or, long ones, their ``bag`` of (t, n), as counting within an array takes its length times its different terms.
+    """
+    names, table, vocabulary = [c for c in units.columns if c not in ("terms", "bag")], literal(idf, "map<string,double>"), literal(list(idf), "array<string>")
 
     def times(t: Column) -> Column:
         return F.size(F.filter("terms", lambda o: o == t))
 
     # A unit as a sparse vector: its different template terms, each with its count and count * idf.
-    known = F.transform(F.array_intersect("terms", F.array(*map(F.lit, idf))), lambda t: F.struct(t.alias("t"), times(t).alias("n"), (times(t) * F.element_at(table, t)).alias("w")))
-    vectors = units.withColumn("v", known)
+    if "bag" in units.columns:
+        counts, size = F.filter("bag", lambda b: F.array_contains(vocabulary, b["t"])), F.aggregate("bag", F.lit(0), lambda a, b: a + b["n"])
+        rare = F.filter("bag", lambda b: ~F.array_contains(vocabulary, b["t"]))
+    else:
+        counts, size = F.transform(F.array_intersect("terms", vocabulary), lambda t: F.struct(t.alias("t"), times(t).alias("n"))), F.size("terms")
+        rare = F.transform(F.array_except("terms", vocabulary), lambda t: F.struct(t.alias("t"), times(t).alias("n")))
+    vectors = units.withColumn("v", F.transform(counts, lambda c: F.struct(c["t"].alias("t"), c["n"].alias("n"), (c["n"] * F.element_at(table, c["t"])).alias("w"))))
     dots = []
     for name, c in counted:
         size = sum((n * idf[t]) ** 2 for t, n in c.items()) ** 0.5
-        own = F.create_map(*(x for t, n in c.items() for x in (F.lit(t), F.lit(n * idf[t] / size))))
+        own = literal({t: n * idf[t] / size for t, n in c.items()}, "map<string,double>")
         dots.append(F.struct((-_dot(own)).alias("minus"), F.lit(name).alias("license")))
     vectors = vectors.withColumn("best", F.array_min(F.array(*dots)))  # the norm is the same for all templates, so the largest product is the best
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])
-    others = F.size("terms") - F.aggregate("v", F.lit(0), lambda a, x: a + x["n"])
+    others = size - F.aggregate("v", F.lit(0), lambda a, x: a + x["n"])
     near = vectors.withColumn("square", square).where(-F.col("best.minus") >= (least - 1e-6) * F.sqrt(F.col("square") + others))
-    other = F.array_except("terms", F.array(*map(F.lit, idf)))
-    near = checkpointed(near.select(F.monotonically_increasing_id().alias("id"), *names, "best", "square", F.transform(other, lambda t: F.struct(t.alias("term"), times(t).alias("n"))).alias("other")))
+    near = checkpointed(near.select(F.monotonically_increasing_id().alias("id"), *names, "best", "square", F.transform(rare, lambda r: F.struct(r["t"].alias("term"), r["n"].alias("n"))).alias("other")))
     asked = near.select("id", F.inline("other"))
     few = asked.select("term").distinct()
     few = F.broadcast(few) if few.count() <= FEW_TERMS else few
@@ -141,6 +205,11 @@ def scored(units: DataFrame, counted: list[tuple[str, dict[str, int]]], idf: dic
     return cosine.where(F.col("minus") <= -least).select(*names, F.struct("minus", F.col("best.license").alias("license")).alias("best"))
 
 
+def literal(values: dict | list, kind: str) -> Column:
+    """One constant, however many values it holds."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def _dot(weights: Column) -> Column:
     return F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.element_at(weights, x["t"]), F.lit(0.0)))
 
@@ -154,10 +223,10 @@ def ancestors(path: Column) -> Column:
 def scan(files: DataFrame, key: str = "path", path: str = "path", text: str = "text", templates: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
     """(key, license, cosine, origin, directory) of all files: ``own``, ``inherited`` (with the directory it comes from) or null."""
     rows = files.select(F.col(key).alias("k"), F.col(path).alias("p"), F.col(text).alias("text"))
-    own = checkpointed(own_licenses(rows, "k", "text", templates, least))  # one row per licensed file, used three times
+    own = checkpointed(own_licenses(rows, "k", "text", templates, least, "p"))  # one row per licensed file, used three times
     named = rows.select("k", "p").join(own.withColumnRenamed("k", "own key"), F.col("k") == F.col("own key"), "left").drop("own key")
     parent = F.element_at(ancestors(F.col("p")), 1)
-    gives = F.col("license").isNotNull() & F.col("p").isNotNull() & (F.element_at(F.split("p", "/"), -1).rlike(LICENSE_FILE) | (F.col("share") >= MOSTLY))
+    gives = F.col("license").isNotNull() & F.col("p").isNotNull() & (named_license(F.col("p")) | (F.col("share") >= MOSTLY))
     given = named.where(gives).groupBy(parent.alias("at")).agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "license")).alias("given"))
     # Directories repeat far less than files: each distinct one looks for its nearest ancestor once.
     folders = named.where("license is null and p is not null").select(parent.alias("folder")).distinct()

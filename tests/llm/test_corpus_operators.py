@@ -345,6 +345,31 @@ def test_notices_inside_sentences_at_two_sizes(spark, times):
     assert all(abs(got[k][0] - want[k][0]) < 1e-8 for k in want)
 
 
+@pytest.mark.parametrize("columns,mark", [(66, "# "), (60, " * "), (55, "// "), (40, ""), (18, "; "), (1, "")])
+def test_wrapped_notices(spark, columns, mark):
+    import textwrap
+
+    def header(notice):
+        return "\n".join(["#!/bin/sh", mark.strip(), *(mark + line for line in textwrap.wrap(notice, columns, break_long_words=False)), mark.strip(), "import os and run it"])
+
+    rows = [(f"{name} {i}", header(notice)) for name, ts in licenses.TEMPLATES.items() for i, notice in enumerate(ts)]
+    rows += [(f"none {i}", "import os and run it\nwith use of the source\nfor this and that") for i in range(60)]
+    got = {r["path"]: r for r in licenses.own_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {k: r["license"] for k, r in got.items()} == {k: k.split()[0] for k, _ in rows if not k.startswith("none")}
+    assert all(r["share"] <= 1 and r["share"] < len(t) / (len(t) + 1) for r, t in ((got[k], t) for k, t in rows if k in got))
+
+
+def test_whole_license_files(spark):
+    wholes = {name: ts[0] for name, ts in licenses.whole_templates().items()}
+    assert wholes.keys() >= {"MIT", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "AGPL-3.0", "ISC", "Unlicense", "Apache-2.0"}
+    rows = [(f"{name}/LICENSE", "Copyright (c) 2020 Some Body\n\n" + text) for name, text in wholes.items()]
+    rows += [(f"{name}/code.py", "import os") for name in wholes] + [("Other/LICENSE", "All rights are ours alone."), ("Other/ISC.py", "x = 1")]
+    got = {r["path"]: (r["license"], r["origin"]) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for name in wholes:
+        assert got[f"{name}/LICENSE"] == (name, "own") and got[f"{name}/code.py"] == (name, "inherited")
+    assert got["Other/LICENSE"] == got["Other/ISC.py"] == (None, None)
+
+
 def test_license_query_finds_notices(spark, texts):
     got = {r["doc_id"]: r["license"] for r in licenses.query(spark, SF).collect()}
     assert got.keys() == texts.keys()
