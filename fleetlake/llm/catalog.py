@@ -5,7 +5,7 @@ SQL has no twin for edit distance, learnt scores, crc32 folds, merges or digests
 
 from __future__ import annotations
 
-from fleetlake.llm import bpe, decontaminate, fingerprint, katz, language, licenses, near, oracle, quality, repeats, secrets
+from fleetlake.llm import bpe, decontaminate, fingerprint, katz, language, licenses, near, oracle, quality, ranking, repeats, secrets
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -18,5 +18,6 @@ QUERIES = {
     "op8_bpe": bpe.query,
     "op9_repeats": repeats.query,
     "op10_fingerprint": fingerprint.query,
+    "op11_ranking": ranking.query,
 }
-ORACLE = {"op5_near_duplicates": oracle.NEAR, "op9_repeats": oracle.REPEATS}
+ORACLE = {"op5_near_duplicates": oracle.NEAR, "op9_repeats": oracle.REPEATS, "op11_ranking": oracle.RANKED}

@@ -29,3 +29,14 @@ NEAR = f"""WITH RECURSIVE words AS MATERIALIZED {words(LOWER)},
   SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c.least, d.doc_id) AS component_id, coalesce(c.least, d.doc_id) = d.doc_id AS kept
   FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, min(other) AS least FROM reached GROUP BY doc_id) c ON c.doc_id = d.doc_id"""
 
+TERMS = f"regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+RANKED = f"""WITH docs AS MATERIALIZED (SELECT doc_id, {TERMS} AS list FROM documents), sized AS MATERIALIZED (SELECT doc_id, len(list) AS n FROM docs WHERE len(list) > 0),
+  totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sized),
+  asked AS MATERIALIZED (SELECT DISTINCT item_id, unnest({TERMS}) AS t FROM benchmark),
+  held AS MATERIALIZED (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(list) AS t FROM docs) WHERE t IN (SELECT t FROM asked) GROUP BY doc_id, t),
+  weights AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM held GROUP BY t), totals),
+  gains AS MATERIALIZED (SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // terms))) AS gain
+    FROM held JOIN weights USING (t) JOIN sized USING (doc_id), totals),
+  scored AS (SELECT item_id, doc_id, sum(gain)::BIGINT AS score FROM asked JOIN gains USING (t) GROUP BY item_id, doc_id),
+  placed AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0)
+  SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 50"""
