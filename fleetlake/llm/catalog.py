@@ -5,7 +5,7 @@ SQL has no twin for edit distance, learnt scores, crc32 folds, merges or digests
 
 from __future__ import annotations
 
-from fleetlake.llm import bpe, decontaminate, fingerprint, katz, language, licenses, near, oracle, quality, ranking, repeats, secrets
+from fleetlake.llm import bpe, decontaminate, fingerprint, katz, language, licenses, near, neighbours, oracle, quality, ranking, repeats, secrets, whitening
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -19,5 +19,7 @@ QUERIES = {
     "op9_repeats": repeats.query,
     "op10_fingerprint": fingerprint.query,
     "op11_ranking": ranking.query,
+    "op12_whitening": whitening.query,
+    "op13_neighbours": neighbours.query,
 }
 ORACLE = {"op5_near_duplicates": oracle.NEAR, "op9_repeats": oracle.REPEATS, "op11_ranking": oracle.RANKED}
