@@ -46,8 +46,7 @@ UNIT_ENDS = r"\n+|(?<=[.!?])\s+"
 TERM_ENDS = r"[\x00-/:-@\[-`{-~]+"  # ASCII but letters and digits; a bit table decides, other letters belong to words
 LEAST = 0.7
 MOSTLY = 0.9
-FEW_FOLDERS = 100_000  # some ten MB at most
-FEW_TERMS = 100_000
+BROADCAST_BYTES = 4 << 20  # of text and 32 bytes a row
 
 
 def terms(text: Column) -> Column:
@@ -186,8 +185,8 @@ def scored(units: DataFrame, counted: list[tuple[str, dict[str, int]]], idf: dic
     vectors = units.withColumn("v", F.transform(counts, lambda c: F.struct(c["t"].alias("t"), c["n"].alias("n"), (c["n"] * F.element_at(table, c["t"])).alias("w"))))
     dots = []
     for name, c in counted:
-        size = sum((n * idf[t]) ** 2 for t, n in c.items()) ** 0.5
-        own = literal({t: n * idf[t] / size for t, n in c.items()}, "map<string,double>")
+        length = sum((n * idf[t]) ** 2 for t, n in c.items()) ** 0.5
+        own = literal({t: n * idf[t] / length for t, n in c.items()}, "map<string,double>")
         dots.append(F.struct((-_dot(own)).alias("minus"), F.lit(name).alias("license")))
     vectors = vectors.withColumn("best", F.array_min(F.array(*dots)))  # the norm is the same for all templates, so the largest product is the best
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])
@@ -195,16 +194,20 @@ def scored(units: DataFrame, counted: list[tuple[str, dict[str, int]]], idf: dic
     near = vectors.withColumn("square", square).where(-F.col("best.minus") >= (least - 1e-6) * F.sqrt(F.col("square") + others))
     near = checkpointed(near.select(F.monotonically_increasing_id().alias("id"), *names, "best", "square", F.transform(rare, lambda r: F.struct(r["t"].alias("term"), r["n"].alias("n"))).alias("other")))
     asked = near.select("id", F.inline("other"))
-    few = asked.select("term").distinct()
-    few = F.broadcast(few) if few.count() <= FEW_TERMS else few
-    weights = held.join(few, "term").select("term", weight(total, F.col("count")).alias("idf"))
-    weights = checkpointed(weights)
-    weights = F.broadcast(weights) if weights.count() <= FEW_TERMS else weights
+    few = checkpointed(asked.select("term").distinct())
+    weights = checkpointed(held.join(where_small(few, "term"), "term").select("term", weight(total, F.col("count")).alias("idf")))
+    weights = where_small(weights, "term")
     rest = asked.join(weights, "term").groupBy("id").agg(F.sum((F.col("n") * F.col("idf")) ** 2).alias("rest"))
     cosine = near.join(rest, "id", "left").withColumn("minus", F.round(F.col("best.minus") / F.sqrt(F.col("square") + F.coalesce("rest", F.lit(0.0))), 9))
     return cosine.where(F.col("minus") <= -least).select(*names, F.struct("minus", F.col("best.license").alias("license")).alias("best"))
 
 
+def where_small(rows: DataFrame, *texts: str) -> DataFrame:
+    """The rows with a broadcast hint, if their texts and their number stay within BROADCAST_BYTES."""
+    size = sum((F.coalesce(F.octet_length(t), F.lit(0)) for t in texts), F.lit(32))
+    return F.broadcast(rows) if (rows.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES else rows
+
+
 def literal(values: dict | list, kind: str) -> Column:
     """One constant, however many values it holds."""
     return F.from_json(F.lit(json.dumps(values)), kind)
@@ -233,7 +236,7 @@ def scan(files: DataFrame, key: str = "path", path: str = "path", text: str = "t
     above = folders.select("folder", F.posexplode(ancestors(F.concat(F.col("folder"), F.when(F.col("folder") == "", "").otherwise("/")))).alias("up", "at"))
     nearest = checkpointed(above.join(given, "at").groupBy("folder").agg(F.min(F.struct("up", "at", "given")).alias("found")))
     # One folder may hold a third of all files: few folders go to the files, many meet them in a join that splits large keys.
-    nearest = F.broadcast(nearest) if nearest.count() <= FEW_FOLDERS else nearest
+    nearest = where_small(nearest, "folder", "found.at")
     joined = named.withColumn("folder", F.when(F.col("license").isNull(), parent)).join(nearest, "folder", "left")
     return joined.select(
         F.col("k").alias(key), F.coalesce("license", F.col("found.given.license")).alias("license"),

@@ -268,69 +268,80 @@ def test_near_special_rows(odd, empty):
 # Licenses
 
 
-def brute_cosines(rows):
+def brute_cosines(rows, wordings=licenses.TEMPLATES, least=licenses.LEAST):
+    """The best (license, cosine) of each file by plain TF-IDF over its units and all runs of consecutive units; every term has its own document frequency."""
     import re
 
-    def terms(t):
-        return [w for w in re.split(licenses.TERM_ENDS, t.lower()) if w]
+    def words(t):
+        return Counter(w for w in re.split(licenses.TERM_ENDS, t.lower()) if w)
+
+    held = Counter()
+    for _, t in rows:
+        held.update(set(words(t or "")))
+    weigh = {w: math.log((1 + len(rows)) / (1 + held[w])) + 1 for w in set(held).union(*(words(t) for ts in wordings.values() for t in ts))}
 
-    counted, vocabulary = licenses.template_terms(licenses.TEMPLATES)
-    held = Counter(w for _, t in rows if t for w in set(terms(t)) & set(vocabulary))
-    weigh = {w: math.log((1 + len(rows)) / (1 + held[w])) + 1 for w in vocabulary}
-    rarest = math.log(1 + len(rows)) + 1
+    def norm(c):
+        return math.sqrt(sum((n * weigh[w]) ** 2 for w, n in c.items()))
+
+    sides = [(name, words(t)) for name, ts in wordings.items() for t in ts]
+    sides = [(name, c, norm(c)) for name, c in sides]
+    longest, theirs = max(sum(c.values()) for _, c, _ in sides), set().union(*(c for _, c, _ in sides))
     out = {}
     for k, t in rows:
-        best = None
-        for unit in re.split(licenses.UNIT_ENDS, t or ""):
-            c = Counter(terms(unit))
-            v = {w: n * weigh.get(w, rarest) for w, n in c.items()}
-            norm = math.sqrt(sum(x * x for x in v.values()))
-            for name, tc in counted if v else ():
-                tv = {w: n * weigh[w] for w, n in tc.items()}
-                cos = sum(x * tv.get(w, 0) for w, x in v.items()) / norm / math.sqrt(sum(x * x for x in tv.values()))
-                if round(cos, 9) >= licenses.LEAST and (best is None or (-round(cos, 9), name) < best):
-                    best = (-round(cos, 9), name)
-        if best:
-            out[k] = (best[1], -best[0])
-    return out
+        units = [c for c in map(words, re.split(licenses.UNIT_ENDS, t or "")) if c]
+        for i in range(len(units)):
+            run, inner = Counter(), 0
+            for j in range(i, len(units)):
+                inner += sum(units[j - 1].values()) if j > i + 1 else 0
+                if inner > longest:  # a wording's inner lines have no more terms than it
+                    break
+                run = run + units[j]
+                if theirs & run.keys():
+                    for name, c, length in sides:
+                        cos = round(sum(n * weigh[w] ** 2 * run[w] for w, n in c.items()) / norm(run) / length, 9)
+                        if cos >= least:
+                            out[k] = min(out.get(k, (0, "")), (-cos, name))
+    return {k: (name, -minus) for k, (minus, name) in out.items()}
+
+
+def same_licenses(spark, rows, least=licenses.LEAST, path_type="long"):
+    docs = spark.createDataFrame(rows, f"path {path_type}, text string")
+    got = {r["path"]: (r["license"], r["cosine"]) for r in licenses.own_licenses(docs, least=least).collect()}
+    want = brute_cosines(rows, least=least)
+    assert {k: n for k, (n, _) in got.items()} == {k: n for k, (n, _) in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
+    return got
+
+
+NOTICES = ["Licensed under the Apache License", "Licensed by the MIT under version 3", "GNU Lesser General Public License, version 3.0 or later", "# SPDX: Released under the MIT License. Next.", "Licensed under CC BY",
+           "This is licensed\nunder the Apache License, Version 2.0,\nby us", "the terms of the GNU General Public License as published", "Source Code Form subject to the Mozilla Public License v. 2.0 today"]
 
 
 def test_licenses_equal_brute_force(spark, texts):
-    noise = {100_000 + i: t for i, t in enumerate(["Licensed under the Apache License", "Licensed by the MIT under version 3", "GNU Lesser General Public License, version 3.0 or later", "# SPDX: Released under the MIT License. Next."])}
-    rows = [*texts.items(), *noise.items()]
-    docs = spark.createDataFrame(rows, "path long, text string")
-    got = {r["path"]: (r["license"], r["cosine"]) for r in licenses.own_licenses(docs).collect()}
-    want = brute_cosines(rows)
-    assert got.keys() == want.keys() and any(k in texts for k in want)
-    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
-
-
-def full_idf_cosines(rows, wordings):
-    """The best (license, cosine) of each file by plain TF-IDF over lines and sentences; every term has its own document frequency."""
-    import re
-
-    def terms(t):
-        return Counter(w for w in re.split(licenses.TERM_ENDS, t.lower()) if w)
+    rows = [*texts.items(), *((100_000 + i, t) for i, t in enumerate(NOTICES))]
+    assert any(k in texts for k in same_licenses(spark, rows))
 
-    held = Counter()
-    for _, t in rows:
-        held.update(set(terms(t or "")))
 
-    def vector(t):
-        return {w: n * (math.log((1 + len(rows)) / (1 + held[w])) + 1) for w, n in terms(t).items()}
+@pytest.mark.parametrize("size", [20, 205, 1500])
+def test_notices_near_the_threshold_at_three_sizes(spark, size):
+    """Notices with more and more other words, so that cosines lie on both sides of the threshold, beside files of ordinary text."""
+    common = "it was a day and this is the project of our code and all that license text here by version".split()
+    beside = ["", " here", " it was", " of our project", " by all that code of this day", " zebra", " unheard zebra words"]
+    cut = [n.split() for n in NOTICES + [ts[0] for ts in licenses.TEMPLATES.values()]]
+    rows = list(enumerate(" ".join(w[: len(w) - drop]) + b for w in cut for drop in (0, 1, 2) for b in beside))
+    rows += [(10_000 + i, " ".join(common[(i * j) % len(common)] for j in range(1, 8))) for i in range(size)]
+    got = same_licenses(spark, rows)
+    near = [c for _, c in got.values() if c <= 0.78]
+    assert len(near) > 5 and len(got) < len(rows) - size
+    lower = same_licenses(spark, rows, least=0.6)
+    assert {k: v for k, v in lower.items() if v[1] >= licenses.LEAST} == got  # one threshold never contradicts another
 
-    def norm(v):
-        return math.sqrt(sum(x * x for x in v.values()))
 
-    sides = [(name, vector(t)) for name, ts in wordings.items() for t in ts]
-    out = {}
-    for k, t in rows:
-        for v in filter(None, map(vector, re.split(licenses.UNIT_ENDS, t or ""))):
-            for name, o in sides:
-                cos = round(sum(x * o.get(w, 0) for w, x in v.items()) / norm(v) / norm(o), 9)
-                if cos >= licenses.LEAST:
-                    out[k] = min(out.get(k, (0, "")), (-cos, name))
-    return out
+def test_joins_without_broadcasts(spark, texts, monkeypatch):
+    rows = [*list(texts.items())[:40], *((100_000 + i, t) for i, t in enumerate(NOTICES))]
+    want = same_licenses(spark, rows)
+    monkeypatch.setattr(licenses, "BROADCAST_BYTES", 0)
+    assert same_licenses(spark, rows) == want
 
 
 @pytest.mark.parametrize("times", [1, 40])
@@ -339,10 +350,7 @@ def test_notices_inside_sentences_at_two_sizes(spark, times):
                "It was, it was, it was and it was released here under the old License."]
     common = ["it was a day and this is the project", "it was here, is it", "all of it was as it was before", "our code is here"] * 5
     rows = list(enumerate(notices + common * times))
-    got = {r["path"]: (-r["cosine"], r["license"]) for r in licenses.own_licenses(spark.createDataFrame(rows, "path long, text string")).collect()}
-    want = full_idf_cosines(rows, licenses.TEMPLATES)
-    assert {k: n for k, (_, n) in got.items()} == {k: n for k, (_, n) in want.items()} and {0, 1, 2, 3} <= got.keys()
-    assert all(abs(got[k][0] - want[k][0]) < 1e-8 for k in want)
+    assert {0, 1, 2, 3} <= same_licenses(spark, rows).keys()
 
 
 @pytest.mark.parametrize("columns,mark", [(66, "# "), (60, " * "), (55, "// "), (40, ""), (18, "; "), (1, "")])
