@@ -1,8 +1,12 @@
 """Secret scans: fixed patterns plus sliding-window Shannon entropy over candidate strings.
 
-A candidate is a run of at least WINDOW characters of base64, URL-safe base64 or hexadecimal text. Its character class (hex, upper-case
-code, mixed code) sets the entropy a window must reach. The window moves one character at a time; two counts change per step, and
-the sum of c*log2(c) is kept up to date by a table. Windows that reach the threshold are joined into spans. Allow-listed
+A candidate is a run of at least WINDOW characters of base64, URL-safe base64 or hexadecimal text. A window moves over it one character at a
+time; two counts change per step, and the sum of c*log2(c) is kept up to date by a table. The characters in the window give its class (hex,
+lower case and digits, upper case and digits, both cases, all three), and the class sets what it must reach: an entropy, and a number of
+switches. A switch is a character of another kind (lower, upper, digit) than the one before, but not a capital's small letter, and not a word's capital after a digit; words, camel case,
+numbers and dates switch a few times in 20 characters, keys at every other one. Entropy alone cannot tell them apart: plain words reach 3.6 bits.
+Windows of one kind alone, or with more than MOST_SEPARATORS separators, are words, numbers, dates or paths. Windows that reach their class's
+entropy and lower number of switches are joined into spans, and a span with a window that reaches the upper one is a secret. Allow-listed
 strings (identifiers in UUID form, numbers, words and paths, one's own list) are suppressed. A placeholder word suppresses its part of a
 candidate, as separators bound it; what stands before and after is a candidate of its own, and so is what windows without
 the word see of a longer part. Where a span meets a pattern's match, the pattern's span stays and the rest of the span on both sides.
@@ -38,17 +42,40 @@ ALLOWED = (
 PLACEHOLDER = r"(?=(example|placeholder|changeme|xxxx))"
 SEPARATORS = "-_/=+"
 WINDOW = 20
-THRESHOLDS = {"hex": 2.9, "upper": 3.4, "mixed": 3.6}
+MOST_SEPARATORS = 3
+# Of each class: the entropy of a window, and the switches that a window of a span and the span's best window need.
+THRESHOLDS = {"hex": (2.9, 3, 5), "lower": (3.3, 3, 5), "upper": (3.3, 3, 5), "cases": (3.5, 4, 8), "all": (3.6, 4, 7)}
 
 
-def class_of(text: str) -> str:
-    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
+def kind_of(c: str) -> str:
+    return "digit" if c.isdigit() else "lower" if c.islower() else "upper" if c.isupper() else "separator"
+
+
+def class_of(window: str) -> str | None:
+    """The class of a window by its characters but separators; None for one kind alone."""
+    kinds = {kind_of(c) for c in window} - {"separator"}
+    if len(kinds) < 2:
+        return None
+    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", window):
         return "hex"
-    return "upper" if re.fullmatch(r"[A-Z0-9]+", text) else "mixed"
+    return "all" if len(kinds) == 3 else "cases" if "digit" not in kinds else "lower" if "lower" in kinds else "upper"
+
+
+def switches(text: str) -> list[bool]:
+    """For each character whether it is a switch after the one before it."""
+    kinds = [kind_of(c) for c in text]
+    out = [False]
+    for a, b, after in zip(kinds, kinds[1:], [*kinds[2:], None]):
+        word = a == "upper" and b == "lower" or a == "digit" and b == "upper" and after == "lower"
+        out.append(a != b and "separator" not in (a, b) and not word)
+    return out[: len(text)]
+
+
+KIND_OF = {c: ("lower", "upper", "digit", "separator").index(kind_of(c)) for c in map(chr, range(128))}
 
 
 class Scanner:
-    def __init__(self, allow: list[str] = (), window: int = WINDOW, thresholds: dict[str, float] | None = None):
+    def __init__(self, allow: list[str] = (), window: int = WINDOW, thresholds: dict[str, tuple[float, int, int]] | None = None):
         self.assign, self.access = re.compile(ASSIGN, re.ASCII | re.IGNORECASE), re.compile(ACCESS)
         self.hex = re.compile(r"[0-9a-f]{%d,}" % LEAST["hex"])  # runs are greedy, so the length can be asked for at once
         self.candidate = re.compile(CANDIDATE)
@@ -58,24 +85,43 @@ class Scanner:
         self.weight = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
 
     def windows(self, text: str) -> list[tuple[int, int]]:
-        """Joined windows whose entropy reaches the threshold of the candidate's class."""
+        """Joined windows that reach the lower thresholds of their class, where one of them reaches the upper."""
         w, weight, counts = self.window, self.weight, {}
-        most = w * (math.log2(w) - self.thresholds[class_of(text)])  # entropy = log2(w) - sum(c log2 c) / w
-        total, spans = 0.0, []
+        kinds = [KIND_OF[c] for c in text]
+        # Whether each character is a switch, and whether it is in no lower-case or no upper-case hexadecimal number.
+        turns = switches(text)
+        odd = [c not in "0123456789abcdef" for c in text], [c not in "0123456789ABCDEF" for c in text]
+        held, turned, strange, total, spans = [0, 0, 0, 0], 0, [0, 0], 0.0, []
         for i, c in enumerate(text):
             if i >= w:
                 n = counts[old := text[i - w]]
                 counts[old] = n - 1
                 total += weight[n - 1] - weight[n]
+                held[kinds[i - w]] -= 1
+                turned -= turns[i - w + 1]
+                strange[0] -= odd[0][i - w]
+                strange[1] -= odd[1][i - w]
             n = counts.get(c, 0)
             counts[c] = n + 1
             total += weight[n + 1] - weight[n]
-            if i >= w - 1 and total <= most + 1e-9:
+            held[kinds[i]] += 1
+            turned += turns[i] if i else 0
+            strange[0] += odd[0][i]
+            strange[1] += odd[1][i]
+            if i < w - 1 or held[3] > MOST_SEPARATORS:
+                continue
+            lower, upper, digit, _ = held
+            if (lower > 0) + (upper > 0) + (digit > 0) < 2:
+                continue
+            name = "hex" if not (strange[0] and strange[1]) else "cases" if not digit else "upper" if not lower else "lower" if not upper else "all"
+            entropy, some, many = self.thresholds[name]
+            # entropy = log2(w) - sum(c log2 c) / w
+            if turned >= some and math.log2(w) - total / w >= entropy - 1e-9:
                 if spans and i - w + 1 <= spans[-1][1]:
-                    spans[-1] = (spans[-1][0], i + 1)
+                    spans[-1] = (spans[-1][0], i + 1, spans[-1][2] or turned >= many)
                 else:
-                    spans.append((i - w + 1, i + 1))
-        return spans
+                    spans.append((i - w + 1, i + 1, turned >= many))
+        return [(s, e) for s, e, sure in spans if sure]
 
     def pieces(self, run: str) -> list[tuple[int, int]]:
         """What a candidate is without its placeholders: (start, end), in order of the starts."""
