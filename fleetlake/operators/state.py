@@ -85,7 +85,7 @@ def state_history(arrivals: DataFrame, slices: Slices | str | None = AUTO, store
     flags = [F.col(f"eff_{f}") for f in ("watchdog_detected", "reconnect_detected", "reset_detected")]
     judged = folded.withColumns({
         "own_status": own_health(F.col("plane"), *effective, F.col("severity"), *flags),
-        "anomalies": state_anomalies(*effective, F.col("severity"), *flags),
+        "anomalies": effective_anomalies(),
     })
     carried = scan(judged, KEY, ARRIVAL_ORDER, {"carried_status": last_known(F.col("own_status"))}, slices)
     saved_status = [] if stored is None else [F.col("_saved.health_status")]
@@ -108,13 +108,13 @@ def _continued(folded: DataFrame) -> DataFrame:
     return folded.withColumns(filled)
 
 
-def after_event(history: DataFrame) -> DataFrame:
-    """Stored form of the state after each arrival."""
-    return history.select(
-        *KEY,
+def state_columns() -> list[Column]:
+    """The stored form of the state after an arrival, from the columns of ``state_history``."""
+    return [
+        *[F.col(k) for k in KEY],
         F.col("eff_device_name").alias("device_name"),
         F.col("event_time").alias("last_event_time"),
-        "last_application_report_at",
+        F.col("last_application_report_at"),
         F.col("received_at").alias("last_ingest_time"),
         F.col("event_id").alias("last_event_id"),
         F.col("event_type").alias("last_event_type"),
@@ -125,12 +125,23 @@ def after_event(history: DataFrame) -> DataFrame:
         F.col("eff_severity").alias("severity"),
         F.col("eff_network_state").alias("network_state"),
         F.col("eff_category.v").alias("serial_category"),
-        "last_serial_log_line", "recent_serial_error_count",
+        F.col("last_serial_log_line"), F.col("recent_serial_error_count"),
         *[F.col(f"eff_{f}").alias(f) for f in FLAGS],
-        "health_status",
+        F.col("health_status"),
         F.size("anomalies").alias("anomaly_count"),
-        "anomalies",
-    )
+        F.col("anomalies"),
+    ]
+
+
+def effective_anomalies() -> Column:
+    """Anomalies of the effective state after an arrival, from the columns of ``state_history``."""
+    effective = [F.col(f"eff_{m}") for m in ("battery", "connect_time", "alert_count")]
+    return state_anomalies(*effective, F.col("severity"), *[F.col(f"eff_{f}") for f in ("watchdog_detected", "reconnect_detected", "reset_detected")])
+
+
+def after_event(history: DataFrame) -> DataFrame:
+    """Stored form of the state after each arrival."""
+    return history.select(*state_columns())
 
 
 def last_states(states: DataFrame) -> DataFrame:

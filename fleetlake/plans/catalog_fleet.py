@@ -13,6 +13,7 @@ from fleetlake.plans.registry import query
 from fleetlake.sources.inventory import INVENTORY_COLUMNS, explode_pages
 
 PRODUCT = "product-default"
+TRIGGER_NAME = "sensor-hook"
 
 
 def plain(body: str, *ctes: str) -> str:
@@ -72,24 +73,27 @@ def h5(spark, sf_dir):
     return rows.select("device_id", "report_time", "error_kind", F.col("http_status").cast("bigint").alias("http_status"))
 
 
-def triggered(spark, sf_dir):
+def triggered_fetches(spark, sf_dir):
     """Refresh triggers, and what each fetch returned by the first letter of its event id."""
-    triggers = inputs.arrivals(spark, sf_dir).filter(F.col("event_name") == "sensor-hook")
+    triggers = inputs.arrivals(spark, sf_dir).filter(F.col("event_name") == TRIGGER_NAME)
     letter = F.substring("event_id", 1, 1)
-    fetches = triggers.select(
-        F.col("device_id").alias("scope_value"), F.lit("device-status").alias("ledger_name"), F.timestamp_micros(F.unix_micros("received_at") + 250_000).alias("fetched_at"), F.col("event_id").alias("trigger_event_id"),
+    return triggers, triggers.select(
+        "project_id", F.col("device_id").alias("scope_value"), F.lit("device-status").alias("ledger_name"), F.timestamp_micros(F.unix_micros("received_at") + 250_000).alias("fetched_at"), F.col("event_id").alias("trigger_event_id"),
         F.when(letter < "3", 503).when(letter < "4", 404).when(letter < "5", F.lit(None)).otherwise(200).alias("http_status"), F.lit("{}").alias("body"),
     )
-    return triggers, ledgers.classify_fetches(fetches)
+
+
+TRIGGERED = """trig AS MATERIALIZED (SELECT *, CASE WHEN c < '3' THEN 503 WHEN c < '4' THEN 404 WHEN c < '5' THEN NULL ELSE 200 END AS http_status,
+      CASE WHEN c < '3' THEN 'retryable_failure' WHEN c < '4' THEN 'missing_ledger' WHEN c < '5' THEN 'network_failure' ELSE 'permanent_failure' END AS error_kind
+    FROM (SELECT *, substr(event_id, 1, 1) AS c FROM arr WHERE et = 'view'))"""
 
 
 @query("h5_triggered_failures", sql=arr_sql(f"""SELECT device_id, {iso('event_time')} AS report_time, error_kind, CAST(http_status AS BIGINT) AS http_status,
     event_time_text || '#LEDGER_SYNC_FAILED#' || event_id || '#' || substr(sha256('errorKind=' || error_kind || coalesce('&httpStatus=' || http_status, '')), 1, 32) AS history_key
-  FROM (SELECT *, CASE WHEN c < '3' THEN 503 WHEN c < '4' THEN 404 WHEN c < '5' THEN NULL ELSE 200 END AS http_status,
-      CASE WHEN c < '3' THEN 'retryable_failure' WHEN c < '4' THEN 'missing_ledger' WHEN c < '5' THEN 'network_failure' ELSE 'permanent_failure' END AS error_kind
-    FROM (SELECT *, substr(event_id, 1, 1) AS c FROM arr WHERE et = 'view'))"""))
+  FROM trig""", TRIGGERED))
 def h5_triggered(spark, sf_dir):
-    triggers, fetches = triggered(spark, sf_dir)
+    triggers, raw = triggered_fetches(spark, sf_dir)
+    fetches = ledgers.classify_fetches(raw)
     rows = history.sync_failures(fetches.filter(F.col("outcome") != "ok"), iso_text(F.col("fetched_at")), triggers)
     return rows.select("device_id", "report_time", "error_kind", F.col("http_status").cast("bigint").alias("http_status"), "history_key")
 

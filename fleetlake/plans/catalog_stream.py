@@ -10,7 +10,7 @@ from fleetlake.operators import ledgers
 from fleetlake.operators.normalize import METRICS
 from fleetlake.operators.presentation import present
 from fleetlake.plans import inputs
-from fleetlake.plans.catalog_fleet import CHANGES, FETCH, plain
+from fleetlake.plans.catalog_fleet import CHANGES, FETCH, TRIGGER_NAME, TRIGGERED, plain, triggered_fetches
 from fleetlake.plans.catalog_sequence import FLAGS, FOLD, RAW_ITEMS
 from fleetlake.plans.catalog_events import KIND, SUMMARY
 from fleetlake.plans.oracle import SENT, arr_sql, idx_sql, iso
@@ -30,14 +30,18 @@ def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{sf_dir.strip('/').replace('/', '-')}"
 
 
+def _deliveries(rows: DataFrame, time: str, cuts: list[str] = CUTS) -> list[DataFrame]:
+    """The rows of each delivery, by arrival time."""
+    at = F.col(time)
+    return [
+        rows.filter((F.lit(True) if begin is None else at >= F.lit(begin).cast("timestamp")) & (F.lit(True) if end is None else at < F.lit(end).cast("timestamp")))
+        for begin, end in zip([None, *cuts], [*cuts, None])
+    ]
+
+
 def _drain(rows: DataFrame, time: str, landing: str, start, cuts: list[str] = CUTS) -> None:
     """Land the rows in deliveries by arrival time and drain the stream after each, restarting from its checkpoint."""
-    for begin, end in zip([None, *cuts], [*cuts, None]):
-        part = rows
-        if begin:
-            part = part.filter(F.col(time) >= F.lit(begin).cast("timestamp"))
-        if end:
-            part = part.filter(F.col(time) < F.lit(end).cast("timestamp"))
+    for part in _deliveries(rows, time, cuts):
         part.write.mode("append").json(landing)
         start().awaitTermination()
 
@@ -53,16 +57,22 @@ def webhook_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select(body.alias("body"), "received_at")
 
 
+FETCHED = "project_id string, scope_value string, ledger_name string, fetched_at timestamp, trigger_event_id string, http_status int, body string"
+
+
 @lru_cache(maxsize=8)
 def _ingested(application: str, sf_dir: str) -> ingest.Store:
     spark = SparkSession.active()
-    landing = _folder(spark, sf_dir, "landing")
+    landing, fetched = _folder(spark, sf_dir, "landing"), _folder(spark, sf_dir, "fetched")
     store = ingest.Store(_folder(spark, sf_dir, "store"))
-
-    def start():
-        return ingest.start_ingest(webhook.stream_landing(spark, landing, max_files=MAX_FILES), store, availableNow=True)
-
-    _drain(webhook_bodies(spark, sf_dir), "received_at", landing, start)
+    fetches = triggered_fetches(spark, sf_dir)[1]
+    for bodies, answers in zip(_deliveries(webhook_bodies(spark, sf_dir), "received_at"), _deliveries(fetches, "fetched_at")):
+        bodies.write.mode("append").json(landing)
+        answers.write.mode("append").json(fetched)
+        ingest.start_ingest(
+            webhook.stream_landing(spark, landing, max_files=MAX_FILES), store, trigger_names=[TRIGGER_NAME],
+            fetches=ledgers.classify_fetches(spark.readStream.schema(FETCHED).json(fetched)), availableNow=True,
+        ).awaitTermination()
     return store
 
 
@@ -92,9 +102,11 @@ def t2(spark, sf_dir):
     )
 
 
-@query("t3_stream_history", sql=arr_sql(f"SELECT device_id, event_type, {iso('event_time')} AS report_time, from_fw AS from_fw_version, to_fw AS to_fw_version, battery_level FROM items", FOLD, RAW_ITEMS))
+@query("t3_stream_history", sql=arr_sql(f"""SELECT device_id, event_type, {iso('event_time')} AS report_time, from_fw AS from_fw_version, to_fw AS to_fw_version, battery_level, NULL::VARCHAR AS error_kind, NULL::BIGINT AS http_status FROM items
+  UNION ALL SELECT device_id, 'LEDGER_SYNC_FAILED', {iso('event_time')}, NULL, NULL, NULL, error_kind, http_status FROM trig""", FOLD, RAW_ITEMS, TRIGGERED))
 def t3(spark, sf_dir):
-    return ingested(spark, sf_dir).history(spark).select("device_id", "event_type", "report_time", "from_fw_version", "to_fw_version", "battery_level")
+    rows = ingested(spark, sf_dir).history(spark)
+    return rows.select("device_id", "event_type", "report_time", "from_fw_version", "to_fw_version", "battery_level", "error_kind", F.col("http_status").cast("bigint").alias("http_status"))
 
 
 TAIL_COLUMNS = ["device_id", "event_time", "event_id", "event_name", "event_type", "source_type", "source_event_type", "plane", "severity", "serial_log_line", "log_line", *METRICS]

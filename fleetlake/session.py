@@ -17,6 +17,7 @@ def local_session(cores: str = "*", app: str = "fleetlake", **conf: str) -> Spar
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.driver.extraJavaOptions", "-Xss4m")  # plans of streaming batches are analysed on threads of their own
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")

@@ -1,16 +1,14 @@
-"""Stored tables: layout, append and upsert without a table format.
+"""Stored tables: layout and append without a table format.
 
 Layouts follow the reads: the archive and the index are partitioned by date and sorted by device inside, so a
-device and time filter prunes directories and row groups. State and history are written per batch id; writing
-the same batch again replaces it, so a replay after a failure changes nothing.
+device and time filter prunes directories and row groups. What a stream passes on is written per batch id; writing
+the same batch again replaces it, so a replay after a failure changes nothing. Tables of the newest row per key are in ``versions``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlake.operators.ordered import newest
-
 BATCH = "batch_id"
 
 
@@ -61,52 +59,3 @@ def write_dated_batch(df: DataFrame, path: str, batch_id: int, *order: str) -> N
 
 def read_batches(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return (spark.read.schema(schema) if schema else spark.read).option("basePath", path).parquet(path)
-
-
-def _batch_ids(spark: SparkSession, path: str) -> list[int]:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(target):
-        return []
-    names = [s.getPath().getName() for s in files.listStatus(target)]
-    done = [n for n in names if n.startswith(f"{BATCH}=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return sorted(int(n.split("=")[1]) for n in done)
-
-
-def write_version(changed: DataFrame, path: str, batch_id: int, key: list[str], full_every: int = 50) -> None:
-    """Store the rows a batch changed; every ``full_every`` batches also all rows, so that reads stay short."""
-    write_batch(changed, f"{path}/delta", batch_id)
-    if batch_id % full_every == full_every - 1:
-        write_batch(read_version(changed.sparkSession, path, key, batch_id + 1), f"{path}/full", batch_id)
-
-
-def read_version(spark: SparkSession, path: str, key: list[str], before: int | None = None) -> DataFrame | None:
-    """Latest row per key: the last full batch and the deltas after it, optionally as of the batches before one."""
-    def earlier(kind: str) -> list[int]:
-        return [i for i in _batch_ids(spark, f"{path}/{kind}") if before is None or i < before]
-
-    def read(kind: str, ids: list[int]) -> DataFrame:
-        root = f"{path}/{kind}"
-        return spark.read.option("basePath", root).parquet(*[f"{root}/{BATCH}={i}" for i in ids])
-
-    base = max(earlier("full"), default=-1)
-    deltas = [i for i in earlier("delta") if i > base]
-    parts = ([read("full", [base])] if base >= 0 else []) + ([read("delta", deltas)] if deltas else [])
-    if not parts:
-        return None
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return newest(rows, key, [F.col(BATCH).desc()]).drop(BATCH)
-
-
-def append_once(df: DataFrame, path: str, batch_id: int, key: list[str], date: str) -> None:
-    """Append rows whose key earlier batches do not hold; idempotent for replays and duplicates.
-
-    Stored by the date in ``date``; only the dates of the new rows are read back.
-    """
-    spark = df.sparkSession
-    fresh = df.dropDuplicates(key)
-    if path_exists(spark, path):
-        dates = [r[0] for r in df.select(date).distinct().collect()]
-        stored = read_batches(spark, path).filter((F.col(BATCH) != batch_id) & F.col(date).isin(dates))
-        fresh = fresh.join(stored.select(*key), key, "left_anti")
-    fresh.write.mode("overwrite").partitionBy(date).parquet(f"{path}/{BATCH}={batch_id}")

@@ -1,21 +1,22 @@
-"""Continuous ingestion: landed bodies to archive, event index, current state and history.
+"""Continuous ingestion: landed bodies to archive and event index, and to current state and history.
 
-One query with one checkpoint. Every output is written under its batch id, so a batch that runs again
-after a failure replaces what it wrote before.
+Two queries read the landing, each with its own checkpoint: a stateless one for quarantine, archive and index, and the fold of every device
+(``device``). Every output is written under its batch id, so a batch that runs again after a failure replaces what it wrote before.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fleetlake.operators import history, state
 from fleetlake.operators.archive import archive_records
 from fleetlake.operators.normalize import DEFAULTS, Settings, event_index, normalize
-from fleetlake.operators.ordered import plan_slices
 from fleetlake.sources import tables, webhook
+from fleetlake.sources.versions import DatedVersions
+from fleetlake.streaming import device
 
 
 @dataclass(frozen=True)
@@ -31,50 +32,68 @@ class Store:
     def checkpoint(self) -> str:
         return f"{self.root}/_checkpoint"
 
-    def index(self, spark: SparkSession) -> DataFrame:
-        """Event index over all batches, last received wins."""
-        return event_index(tables.read_batches(spark, self.table("index")).drop(tables.BATCH))
+    def index_table(self, spark: SparkSession) -> DatedVersions:
+        return DatedVersions(spark, self.table("index"), ["device_id", "event_time_text"])
+
+    def index(self, spark: SparkSession, dates: list[str] | None = None) -> DataFrame:
+        """Event index over all batches, last received wins; stored that way, so reading it takes no window."""
+        return self.index_table(spark).read(dates=dates)
 
     def archive(self, spark: SparkSession) -> DataFrame:
         return tables.read_batches(spark, self.table("archive")).drop(tables.BATCH)
 
     def states(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
         """Latest state per device, optionally as of the batches before one."""
-        return tables.read_version(spark, self.table("state"), state.KEY, before)
+        return device.state_table(spark, self.root).read(before)
 
-    def history(self, spark: SparkSession) -> DataFrame:
-        return tables.read_batches(spark, self.table("history")).drop(tables.BATCH)
+    def history(self, spark: SparkSession) -> DataFrame | None:
+        return device.history_table(spark, self.root).read()
 
     def quarantine(self, spark: SparkSession) -> DataFrame:
         return tables.read_batches(spark, self.table("quarantine")).drop(tables.BATCH)
 
 
 def ingest_batch(landed: DataFrame, batch_id: int, store: Store, settings: Settings = DEFAULTS) -> None:
-    """All outputs of one micro-batch."""
-    spark = landed.sparkSession
+    """Quarantine, archive and index of one micro-batch."""
     parsed = webhook.parse_bodies(landed).persist()
     tables.write_batch(webhook.quarantined(parsed), store.table("quarantine"), batch_id)
     arrivals = normalize(webhook.accepted(parsed), settings).drop("payload").persist()
     tables.write_dated_batch(archive_records(arrivals), store.table("archive"), batch_id, "device_id", "archive_key")
-    tables.write_dated_batch(arrivals.withColumn("event_date", F.to_date("event_time")), store.table("index"), batch_id, "device_id", "event_time")
-
-    stored = store.states(spark, before=batch_id)
-    if stored is not None:
-        # Only devices of this batch continue; the others keep their stored row.
-        stored = stored.join(arrivals.select(*state.KEY).distinct(), state.KEY, "left_semi")
-    slices = plan_slices(arrivals, state.KEY, "received_at")
-    folded = state.state_history(arrivals, slices, stored).persist()
-    items = history.derive_history(folded).withColumn("report_date", F.to_date("report_time"))
-    tables.append_once(items, store.table("history"), batch_id, ["device_id", "history_key"], "report_date")
-    tables.write_version(state.last_states(state.after_event(folded)), store.table("state"), batch_id, state.KEY)
-    for df in (folded, arrivals, parsed):
+    store.index_table(landed.sparkSession).merge(arrivals, batch_id, event_index, "device_id", "event_time")
+    for df in (arrivals, parsed):
         df.unpersist()
 
 
-def start_ingest(landing: DataFrame, store: Store, settings: Settings = DEFAULTS, **trigger) -> StreamingQuery:
-    """Start the query; ``availableNow=True`` drains what has landed."""
-    return (
+class Ingest:
+    """The running queries of one store."""
+
+    def __init__(self, queries: list[StreamingQuery]):
+        self.queries = queries
+
+    def awaitTermination(self) -> None:
+        for q in self.queries:
+            q.awaitTermination()
+
+    def stop(self) -> None:
+        for q in self.queries:
+            q.stop()
+
+
+def start_ingest(
+    landing: DataFrame, store: Store, settings: Settings = DEFAULTS, fetches: DataFrame | None = None, trigger_names: Sequence[str] = (),
+    initial: DataFrame | None = None, **trigger,
+) -> Ingest:
+    """Start both queries; ``availableNow=True`` drains what has landed.
+
+    ``fetches`` are classified ledger fetches (a stream, with project_id and trigger_event_id), whose failures become history;
+    ``initial`` are stored states that a new store continues from.
+    """
+    indexed = (
         landing.writeStream.option("checkpointLocation", store.checkpoint)
         .foreachBatch(lambda df, batch_id: ingest_batch(df, batch_id, store, settings))
         .trigger(**(trigger or {"processingTime": "10 seconds"})).start()
     )
+    arrivals = device.device_rows(normalize(webhook.accepted(webhook.parse_bodies(landing)), settings), trigger_names)
+    rows = device.with_fetches(arrivals, None if fetches is None else device.fetch_rows(fetches))
+    folded = device.start_fold(rows, store.root, initial, fetches is not None, **trigger)
+    return Ingest([indexed, folded])

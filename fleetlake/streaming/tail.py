@@ -1,64 +1,99 @@
-"""Tails: events after a per-device cursor, and snapshot changes after a per-ledger one."""
+"""Tails: events after a per-device cursor, snapshot changes after a per-ledger one, and a tail of bounded state.
+
+Cursors lie in the state store; what a batch passes on is written under its batch id.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import partial
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
 from fleetlake.operators.ledgers import FETCH_KEY, FETCH_ORDER, changed_snapshots
-from fleetlake.operators.ordered import previous, scan
 from fleetlake.sources import tables
+from fleetlake.streaming.keyed import Memory, from_micros, in_micros, keyed
 
-def cursors(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """Latest (time, id) cursor per device, optionally as of the batches before one."""
-    return tables.read_version(spark, path, ["device_id"], before)
+POSITION = ["event_time", "event_id"]
 
 
-def tail_batch(events: DataFrame, batch_id: int, out: str, cursor_path: str) -> None:
-    """Write the events after each device's cursor, once and in order, and move the cursors.
+def after_cursor(rows: pd.DataFrame, saved: dict | None, memory: Memory | None = None) -> tuple[pd.DataFrame, dict | None]:
+    """The events of one device after its cursor, once each and in order; an event without a time comes before all others."""
+    rows = rows.drop_duplicates(POSITION)
+    times = rows["event_time"].astype("Int64")
+    if saved:
+        at, ident = saved["event_time"], saved["event_id"]
+        known = times.notna()
+        if at is None:
+            rows = rows[known | (rows["event_id"] > ident)]
+        else:
+            same = known & (times.fillna(0) == at)
+            rows = rows[(known & (times.fillna(0) > at)) | (same & (rows["event_id"] > ident))]
+    if rows.empty:
+        return rows, None
+    last = rows.iloc[-1]
+    return rows, {"event_time": None if pd.isna(last["event_time"]) else int(last["event_time"]), "event_id": last["event_id"]}
+
+
+def _typed(rows: pd.DataFrame, integers: list[str]) -> pd.DataFrame:
+    return rows.assign(**{c: rows[c].astype("Int64") for c in integers})
+
+
+def _step(rows, saved, memory, step, integers):
+    out, new = step(rows, saved, memory)
+    return _typed(out, integers), new
 
-    A join and a maximum per device instead of a per-device loop, so a device that fills the batch stays spread.
-    """
-    position = F.struct("event_time", "event_id")
-    fresh = events.dropDuplicates(["device_id", "event_time", "event_id"])
-    saved = cursors(events.sparkSession, cursor_path, before=batch_id)
-    if saved is not None:
-        fresh = fresh.join(saved, "device_id", "left").filter(F.col("cursor").isNull() | (position > F.col("cursor"))).drop("cursor")
-    fresh = fresh.persist()
-    tables.write_batch(fresh.sortWithinPartitions("event_time", "event_id"), out, batch_id)
-    tables.write_version(fresh.groupBy("device_id").agg(F.max(position).alias("cursor")), cursor_path, batch_id, ["device_id"])
-    fresh.unpersist()
+
+def _keyed(rows: DataFrame, key: list[str], step, state: str, order: list[str], schema: StructType) -> DataFrame:
+    """``keyed`` for steps that return columns of the rows; instants come back as such."""
+    instants = [f.name for f in schema if isinstance(f.dataType, TimestampType)]
+    sent = StructType([StructField(f.name, f.dataType if f.name not in instants else LongType()) for f in schema])
+    integers = [f.name for f in sent if f.dataType.typeName() in ("long", "integer")]
+    return from_micros(keyed(in_micros(rows), key, partial(_step, step=step, integers=integers), state, order, sent), instants)
 
 
 def start_tail(events: DataFrame, out: str, **trigger) -> StreamingQuery:
-    """Continuous tail; late events (behind the cursor) are dropped."""
+    """Continuous tail (device_id, event_time, event_id and any other columns); late events (behind the cursor) are dropped."""
+    fresh = _keyed(events, ["device_id"], after_cursor, "event_time long, event_id string", POSITION, events.schema)
     return (
-        events.writeStream.option("checkpointLocation", f"{out}-checkpoint")
-        .foreachBatch(lambda df, batch_id: tail_batch(df, batch_id, out, f"{out}-cursors"))
-        .trigger(**(trigger or {"processingTime": "3 seconds"})).start()
+        fresh.writeStream.option("checkpointLocation", f"{out}-checkpoint")
+        .foreachBatch(lambda df, batch_id: tables.write_batch(df.sortWithinPartitions(*POSITION), out, batch_id))
+        .outputMode("append").trigger(**(trigger or {"processingTime": "3 seconds"})).start()
     )
 
 
-def snapshot_batch(accepted: DataFrame, batch_id: int, out: str, cursor_path: str) -> None:
-    """Write the snapshot changes of a batch and keep the last snapshot time of every device's ledger.
+def bounded_tail(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Every event once, by built-in operators: state is kept for ``late`` behind the newest event time, whatever the number of devices.
 
-    What came before inside the batch is a running value (large keys are cut into slices); the stored time counts before the first.
+    Events later than that are dropped and counted by the query's progress (``numRowsDroppedByWatermark``), copies within it too.
     """
-    rows = accepted.filter(F.col("updated_at").isNotNull()).persist()
-    seen = scan(rows, FETCH_KEY, FETCH_ORDER, {"before": previous(F.col("updated_at"))})
-    saved = tables.read_version(accepted.sparkSession, cursor_path, FETCH_KEY, batch_id)
-    if saved is not None:
-        seen = seen.join(saved.withColumnRenamed("updated_at", "_saved"), FETCH_KEY, "left").withColumn("before", F.coalesce("before", "_saved")).drop("_saved")
-    tables.write_batch(changed_snapshots(seen), out, batch_id)
-    newest = rows.groupBy(*FETCH_KEY).agg(F.max_by("updated_at", F.struct(*FETCH_ORDER)).alias("updated_at"))
-    tables.write_version(newest, cursor_path, batch_id, FETCH_KEY)
-    rows.unpersist()
+    return events.withWatermark("event_time", late).dropDuplicatesWithinWatermark(["device_id", "event_time", "event_id"])
+
+
+def start_bounded_tail(events: DataFrame, out: str, late: str = "1 hour", **trigger) -> StreamingQuery:
+    return (
+        bounded_tail(events, late).writeStream.option("checkpointLocation", f"{out}-checkpoint")
+        .foreachBatch(lambda df, batch_id: tables.write_batch(df.sortWithinPartitions(*POSITION), out, batch_id))
+        .outputMode("append").trigger(**(trigger or {"processingTime": "3 seconds"})).start()
+    )
+
+
+def with_before(rows: pd.DataFrame, saved: dict | None, memory: Memory | None = None) -> tuple[pd.DataFrame, dict]:
+    """The snapshots of one ledger with the time of the one before."""
+    times = [int(t) for t in rows["updated_at"]]
+    before = [saved["updated_at"] if saved else None, *times[:-1]]
+    return rows.assign(before=pd.array(before, "Int64")), {"updated_at": times[-1]}
 
 
 def start_snapshot_tail(accepted: DataFrame, out: str, **trigger) -> StreamingQuery:
     """Continuous snapshot changes from accepted snapshots (scope_value, ledger_name, updated_at, fetched_at, seq)."""
+    rows = accepted.filter(F.col("updated_at").isNotNull())
+    schema = StructType([*rows.schema.fields, StructField("before", TimestampType())])
+    seen = _keyed(rows, FETCH_KEY, with_before, "updated_at long", FETCH_ORDER, schema)
     return (
-        accepted.writeStream.option("checkpointLocation", f"{out}-checkpoint")
-        .foreachBatch(lambda df, batch_id: snapshot_batch(df, batch_id, out, f"{out}-cursors"))
-        .trigger(**(trigger or {"processingTime": "3 seconds"})).start()
+        changed_snapshots(seen).writeStream.option("checkpointLocation", f"{out}-checkpoint")
+        .foreachBatch(lambda df, batch_id: tables.write_batch(df, out, batch_id))
+        .outputMode("append").trigger(**(trigger or {"processingTime": "3 seconds"})).start()
     )
