@@ -3,12 +3,14 @@
 A plain ``Window.partitionBy(device)`` puts one device in one task. ``plan_slices`` counts rows per
 device first; a device above the limit is cut into consecutive time slices, every slice is its own
 window partition, and what crosses a slice border (last value, running sum, ...) is carried over by
-a table with one row per slice. Devices below the limit keep the plain window.
+a table with one row per slice. Slices are cut at bucket borders; a bucket that alone holds far more rows than the limit is
+cut inside, at places of the full order. Devices below the limit keep the plain window.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -19,6 +21,7 @@ ROWS_PER_SLICE = 500_000
 BROADCAST_ROWS = 200_000
 SLICE = "_slice"
 COLD = -1
+INSIDE = 1_000_000  # slices inside a slice at most
 
 
 @dataclass(frozen=True)
@@ -32,6 +35,7 @@ class Slices:
     buckets: int
     max_slices: int
     rows: int = ROWS_PER_SLICE
+    dense: DataFrame | None = None  # slices (key..., _slice) with more than twice the rows, which one bucket holds
 
     def _small(self, df: DataFrame, rows: int) -> DataFrame:
         return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -46,6 +50,33 @@ class Slices:
             .drop("_bucket")
         )
 
+    def covering(self, df: DataFrame) -> Slices:
+        """The same slices for rows of the large keys whose buckets held none before: they belong to the slice that goes before them."""
+        of_bucket = [*self.key, "_bucket"]
+        buckets = df.select(*self.key, bucket_of(F.col(self.time), self.bucket_micros).alias("_bucket"), F.lit(None).cast("int").alias(SLICE)).distinct()
+        all_ = self.table.select(*of_bucket, SLICE).unionByName(buckets).groupBy(*of_bucket).agg(F.max(SLICE).alias(SLICE))
+        up_to = Window.partitionBy(*self.key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        table = cut_lineage(all_.withColumn(SLICE, F.last(SLICE, ignorenulls=True).over(up_to)))
+        return replace(self, table=table, buckets=table.count())
+
+    def cut_inside(self, sliced: DataFrame, order: list[str]) -> DataFrame:
+        """Number the slices anew, with the dense ones cut at places of the order; rows that are equal in all of it stay together.
+
+        One range partitioning of the dense rows finds places that leave about half the limit between them; one row per dense slice has them.
+        """
+        if self.dense is None:
+            return sliced
+        of_slice = [*self.key, SLICE]
+        crowded = sliced.join(F.broadcast(self.dense), of_slice, "left_semi").select(*of_slice, *[o for o in order if o not in of_slice])
+        total = crowded.count()
+        parts = max(1, math.ceil(2 * total / self.rows))
+        dealt = crowded.repartitionByRange(parts, *of_slice, *order).withColumn("_part", F.spark_partition_id())
+        firsts = dealt.groupBy(*of_slice, "_part").agg(F.min(F.struct(*order)).alias("first"))
+        cuts = cut_lineage(firsts.groupBy(*of_slice).agg(F.sort_array(F.collect_list("first")).alias("_cuts")))
+        place = F.size(F.filter(F.col("_cuts"), lambda c: c <= F.struct(*order)))
+        numbered = F.when(F.col(SLICE) == COLD, F.lit(COLD).cast("bigint")).otherwise(F.col(SLICE).cast("bigint") * INSIDE + F.coalesce(place, F.lit(0)))
+        return sliced.join(F.broadcast(cuts), of_slice, "left").withColumn(SLICE, numbered).drop("_cuts")
+
     def per_slice(self, df: DataFrame) -> DataFrame:
         """Hint for a table with one row per slice."""
         return self._small(df, self.buckets)
@@ -81,11 +112,13 @@ def plan_slices(
     before = F.sum("_n").over(by_bucket.rowsBetween(Window.unboundedPreceding, -1))
     share = F.floor(F.coalesce(before, F.lit(0)) / F.lit(rows_per_slice))
     consecutive = F.dense_rank().over(Window.partitionBy(*key).orderBy("_share")) - 1
-    table = cut_lineage(
-        per_bucket.withColumn("_share", share).select(*key, "_bucket", consecutive.alias(SLICE))
+    counted = cut_lineage(
+        per_bucket.withColumn("_share", share).select(*key, "_bucket", consecutive.alias(SLICE), "_n")
     )
-    buckets, top = table.agg(F.count(F.lit(1)), F.max(SLICE)).first()
-    return Slices(table, tuple(key), time, micros, buckets, top + 1, rows_per_slice)
+    buckets, top = counted.agg(F.count(F.lit(1)), F.max(SLICE)).first()
+    dense = counted.groupBy(*key, SLICE).agg(F.sum("_n").alias("_n")).filter(F.col("_n") > 2 * rows_per_slice).select(*key, SLICE)
+    crowded = dense.limit(1).count() > 0
+    return Slices(counted.drop("_n"), tuple(key), time, micros, buckets, top + 1, rows_per_slice, dense if crowded else None)
 
 
 def resolved(slices: Slices | str | None, df: DataFrame, key: list[str], time: str, bucket_seconds: int = 60) -> Slices | None:
@@ -138,7 +171,7 @@ def scan(
         done = {n: F.col(f"_local_{n}.v") if outputs[n].kind == "previous" else F.col(f"_local_{n}") for n in names}
         return local.withColumns(done).drop(*inputs.values(), *[f"_local_{n}" for n in names])
 
-    sliced = slices.assign(df)
+    sliced = slices.cut_inside(slices.assign(df), order)
     local = _windowed(sliced, [*key, SLICE], order, outputs, inputs)
     carried = _carry(sliced.filter(F.col(SLICE) != COLD), key, order, outputs, inputs)
     joined = local.join(slices.per_slice(carried), [*key, SLICE], "left")

@@ -153,3 +153,49 @@ def test_current_state_from_saved_state_equals_one_pass(spark):
     continued = state.current_state(late, stored=saved)
     whole = state.current_state(rows).join(touched, state.KEY, "left_semi")
     assert continued.exceptAll(whole).count() == 0 and whole.exceptAll(continued).count() == 0
+
+
+# ---- one device with most rows inside one bucket
+
+
+def dense_events(seed, n, spread_seconds, within_seconds):
+    """Nine tenths of all rows are one device's, and nine tenths of those fall within a short time."""
+    rng = random.Random(seed)
+    start = datetime(2024, 1, 1)
+    rows = []
+    for i in range(n):
+        device = "hot" if rng.random() < 0.9 else f"cold{rng.randrange(2)}"
+        burst = device == "hot" and rng.random() < 0.9
+        at = start + timedelta(milliseconds=spread_seconds * 500 + rng.randrange(within_seconds * 1000) if burst else rng.randrange(spread_seconds * 1000))
+        rows.append((device, at, f"e{i:05d}", rng.choice(["a", "b", None]), rng.choice([None, float(rng.randrange(100))])))
+    return rows
+
+
+@pytest.mark.parametrize("within,bucket", [(59, 60), (3600, 86_400)])  # one minute, and one day cut by the day
+def test_dense_bucket_is_cut_inside(spark, within, bucket):
+    limit = 25
+    rows = dense_events(31, 900, 86_000, within)
+    events = frame(spark, rows)
+    slices = plan_slices(events, ["device_id"], "event_time", limit, bucket_seconds=bucket)
+    assert slices.dense is not None
+    order = ["event_time", "event_id"]
+    sizes = slices.cut_inside(slices.assign(events), order).filter("_slice >= 0").groupBy("device_id", "_slice").count()
+    assert sizes.agg(F.max("count")).first()[0] < 2 * limit
+    outputs = {"prev": previous(F.col("event_name")), "last": last_known(F.col("v")), "total": running_sum(F.coalesce("v", F.lit(0.0))), "top": running_max(F.col("v"))}
+    sliced, plain = (sorted(scan(events, ["device_id"], order, outputs, s).collect(), key=str) for s in (slices, None))
+    assert sliced == plain and len(plain) == 900
+
+
+@pytest.mark.parametrize("width,min_size", [(1, 1), (600, 1), (600, 3), (20, 4), (20_000, 2)])
+def test_windows_over_many_dense_slices_equal_the_loop(spark, width, min_size):
+    """Windows shorter than a slice, and windows that cover many slices."""
+    rows = dense_events(32, 700, 86_000, 59)
+    events = frame(spark, rows)
+    slices = plan_slices(events, ["device_id"], "event_time", 25, bucket_seconds=60)
+    got = {(r.device_id, r.event_id): r.window_start for r in sequence.burst_events(events, width / 60, min_size, slices).collect()}
+    want = {}
+    for device in {r[0] for r in rows}:
+        own = sorted((r[1], r[2]) for r in rows if r[0] == device)
+        labels = walk([t for t, _ in own], timedelta(seconds=width), min_size)
+        want |= {(device, e): labels[t] for t, e in own if t in labels}
+    assert got == want
