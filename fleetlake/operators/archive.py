@@ -39,22 +39,34 @@ def payload_columns(data: Column, body: Column) -> tuple[Column, dict[str, Colum
     return content, {m: metric(fields) for m, fields in PAYLOAD_METRICS.items()}
 
 
-def with_payload(events: DataFrame, archive: DataFrame) -> DataFrame:
-    """Events with what their archived payload says; events whose object is missing keep nulls, none has more than one.
+def payloads(archive: DataFrame) -> DataFrame:
+    """What the object of every archive key says: numbers and the few fields of status reports, not the text.
 
-    Payloads are read before the join: numbers and the few fields of status reports travel, the text does not.
+    Written once by ``tables.write_payloads``, so that neither the last-received rule nor the reading is repeated by each question.
     """
     content, metrics = payload_columns(F.col("data"), F.col("body_fields"))
     name = F.lower("event_name")
-    stored = objects(archive).withColumn("content", content).select(
+    return objects(archive).withColumn("content", content).select(
         "archive_key", F.lit(True).alias("has_payload"), F.col("fw_version").alias("archived_fw_version"),
         F.when(name.contains("status") | name.contains("state"), F.col("content")).alias("content"),
         *[c.alias(f"archived_{m}") for m, c in metrics.items()],
         *[F.col(c).alias(f"archived_{c}") for c in ("reset_cause", "details", "message") if c in archive.columns],
     )
+
+
+def join_payloads(events: DataFrame, stored: DataFrame) -> DataFrame:
+    """Events with what their payload says; events whose object is missing keep nulls, none has more than one.
+
+    Payloads stored in buckets of the archive key stay where they are; only the events move.
+    """
     return events.join(stored, "archive_key", "left").withColumn("has_payload", F.coalesce("has_payload", F.lit(False)))
 
 
+def with_payload(events: DataFrame, archive: DataFrame) -> DataFrame:
+    """``join_payloads`` straight from archive records."""
+    return join_payloads(events, payloads(archive))
+
+
 def payload_metrics(joined: DataFrame) -> DataFrame:
     """The metrics of the archived payload in place of the indexed ones."""
     return joined.withColumns({m: F.col(f"archived_{m}") for m in PAYLOAD_METRICS})

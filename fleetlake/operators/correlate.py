@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlake.functions.values import iso, micros_between, number_text
-from fleetlake.operators.archive import payload_metrics, with_payload
+from fleetlake.operators.archive import join_payloads, payload_metrics
 from fleetlake.operators.ordered import AUTO, Slices
 from fleetlake.operators.sequence import anchored_windows
 
@@ -76,10 +76,9 @@ def details(events: DataFrame) -> DataFrame:
     })
 
 
-def window_members(events: DataFrame, archive: DataFrame, minutes: float = 5, slices: Slices | str | None = AUTO) -> DataFrame:
-    """Every event with its window, class and extracted details."""
-    detailed = details(payload_metrics(with_payload(events, archive)))
-    return anchored_windows(detailed, minutes, slices)
+def window_members(events: DataFrame, payloads: DataFrame, minutes: float = 5, slices: Slices | str | None = AUTO) -> DataFrame:
+    """Every event with its window, class and extracted details. Windows come first, so that payloads are joined once."""
+    return details(payload_metrics(join_payloads(anchored_windows(events, minutes, slices), payloads)))
 
 
 def windows(members: DataFrame) -> DataFrame:
@@ -147,7 +146,8 @@ def inferences(windows_: DataFrame) -> DataFrame:
         F.when(r7, inference(7, "WARNING", "connectivity", F.lit("High cellular connection time detected"))),
         F.when(r8, inference(8, "CRITICAL", "power", F.lit("Critical battery level detected"))),
     ))
-    return windows_.select(*WINDOW, "first_resets", "last_resets", F.explode(found).alias("i")).select(*WINDOW, "i.*", "first_resets", "last_resets")
+    kept = ["event_count", "first_resets", "last_resets"]
+    return windows_.select(*WINDOW, *kept, F.explode(found).alias("i")).select(*WINDOW, "i.*", *kept)
 
 
 def inference_summary(found: DataFrame) -> DataFrame:

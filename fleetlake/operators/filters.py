@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 HEALTH_STATUSES = ("healthy", "warning", "critical", "unknown")
 SEVERITIES = ("low", "medium", "high")
@@ -144,24 +144,26 @@ def select_devices(devices: DataFrame, selectors: DataFrame) -> DataFrame:
     have, then verified, so a prefix that all names share is no join key.
     """
     shown = F.coalesce(F.nullif(F.trim("device_name"), F.lit("")), F.col("device_id"))
-    named = devices.select("device_id", F.lower(shown).alias("_name"))
     wanted = selectors.select("selector").distinct()
-    by_id = wanted.filter(F.col("selector").rlike(FULL_ID)).join(named, F.col("selector") == F.col("device_id")).select("selector", "device_id", F.lit("id").alias("match"))
-    rest = wanted.filter(~F.col("selector").rlike(FULL_ID)).join(by_id.select("selector"), "selector", "left_anti")
-    exact = rest.join(named, F.lower("selector") == F.col("_name")).select("selector", "device_id", F.lit("exact").alias("match"))
-    rest = rest.join(exact.select("selector").distinct(), "selector", "left_anti")
-    grams = named.withColumn("_gram", F.explode(_grams(F.col("_name"))))
-    use = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_uses"))
-    whole = F.filter(_grams(F.lower("selector")), lambda g: F.length(g) == F.least(F.length("selector"), F.lit(GRAM)))
+    full, lower = F.col("selector").rlike(FULL_ID), F.lower("selector")
+    asked = wanted.filter(~full).withColumn("_gram", F.explode(F.filter(_grams(lower), lambda g: F.length(g) == F.least(F.length("selector"), F.lit(GRAM)))))
+    named = devices.select("device_id", F.lower(shown).alias("_name"))
+    use = named.select(F.explode(_grams(F.col("_name"))).alias("_gram")).join(asked.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_uses"))
     rarest = F.min(F.struct(F.coalesce("_uses", F.lit(0)), "_gram"))["_gram"]
-    wanted_gram = rest.withColumn("_gram", F.explode(whole)).join(use, "_gram", "left").groupBy("selector").agg(rarest.alias("_gram"))
-    partial = wanted_gram.join(grams, "_gram").filter(F.col("_name").contains(F.lower("selector"))).select(
-        "selector", "device_id", F.lit("partial").alias("match")
-    )
-    hits = by_id.unionByName(exact).unionByName(partial)
-    found = hits.groupBy("selector").agg(
-        F.count(F.lit(1)).alias("matches"), F.min("device_id").alias("device_id"), F.min("match").alias("match")
-    )
+    chosen = asked.join(use, "_gram", "left").groupBy("selector").agg(rarest.alias("_gram"))
+
+    def key(kind: str, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("match"), text.alias("_key"))
+
+    keys = F.when(full, F.array(key("id", F.col("selector")))).otherwise(F.array(key("exact", lower), key("partial", F.col("_gram"))))
+    asks = wanted.join(chosen, "selector", "left").select("selector", F.inline(keys)).filter(F.col("_key").isNotNull())
+    # One join for all three kinds; only keys that are asked for leave the device table.
+    held = F.concat(F.array(key("id", F.col("device_id")), key("exact", F.col("_name"))), F.transform(_grams(F.col("_name")), lambda g: key("partial", g)))
+    offered = named.select("device_id", "_name", F.inline(held)).join(asks.select("match", "_key").distinct(), ["match", "_key"], "left_semi")
+    hits = asks.join(offered, ["match", "_key"]).filter((F.col("match") != "partial") | F.col("_name").contains(lower))
+    per_kind = hits.groupBy("selector", "match").agg(F.count(F.lit(1)).alias("matches"), F.min("device_id").alias("device_id"))
+    rank = F.when(F.col("match") == "id", 0).when(F.col("match") == "exact", 1).otherwise(2)
+    found = per_kind.groupBy("selector").agg(F.min_by(F.struct("matches", "device_id", "match"), rank).alias("_best")).select("selector", "_best.*")
     return wanted.join(found, "selector", "left").select(
         "selector",
         F.when(F.col("matches") == 1, F.col("device_id")).alias("device_id"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetlake.operators.filters import QueryWindow
 from fleetlake.plans import device, inputs
-from fleetlake.plans.catalog_events import ARCHIVE_SQL, reported_archive
+from fleetlake.plans.catalog_events import ARCHIVE_SQL
 from fleetlake.plans.catalog_sequence import BURST_SQL, BURSTS, TIMELINE_ANOMALIES, WINDOW_MINUTES, event_slices
 from fleetlake.plans.oracle import ANOMALIES, idx_sql, iso, num
 from fleetlake.plans.registry import query
@@ -90,6 +90,12 @@ def a3(spark, sf_dir):
     return device.name_counts(inputs.index(spark, sf_dir))
 
 
+@query("a1_counts_in_one_pass", sql=idx_sql("""SELECT device_id, 'type' AS kind, event_type AS value, count(*) AS n FROM idx GROUP BY 1, 3 UNION ALL SELECT device_id, 'plane', plane, count(*) FROM idx GROUP BY 1, 3
+  UNION ALL SELECT device_id, 'name', event_name, count(*) FROM idx GROUP BY 1, 3"""))
+def a1_counts(spark, sf_dir):
+    return device.counts(inputs.index(spark, sf_dir))
+
+
 @query("a4_firmware_versions", sql=idx_sql("""SELECT device_id, coalesce(string_agg(DISTINCT fw_version, ',' ORDER BY fw_version), '') AS normalized,
   coalesce(string_agg(DISTINCT coalesce(fw_version, legacy_fw_version), ',' ORDER BY coalesce(fw_version, legacy_fw_version)), '') AS with_legacy,
   coalesce(string_agg(DISTINCT legacy_fw_version, ',' ORDER BY legacy_fw_version), '') AS legacy FROM idx GROUP BY device_id"""))
@@ -143,7 +149,7 @@ PAYLOAD = f"""pay AS MATERIALIZED (SELECT device_id, event_time, CASE WHEN reada
 
 @query("q9_payload_stats", sql=idx_sql(f"SELECT device_id, {', '.join(_stats(m) for m in device.HEALTH_METRICS)} FROM pay GROUP BY device_id", ARCHIVE_SQL, PAYLOAD))
 def q9_stats(spark, sf_dir):
-    return _rounded(device.payload_stats(inputs.index(spark, sf_dir), reported_archive(spark, sf_dir)))
+    return _rounded(device.payload_stats(inputs.index(spark, sf_dir), inputs.payloads(spark, sf_dir)))
 
 
 PAYLOAD_FINDINGS = f"""per AS MATERIALIZED (SELECT device_id,
@@ -163,7 +169,7 @@ PAYLOAD_FINDINGS = f"""per AS MATERIALIZED (SELECT device_id,
   UNION ALL SELECT device_id, CASE WHEN a1 > 0 THEN 'HIGH' ELSE 'MEDIUM' END, 'alerts', 'Active alerts detected: ' || an || ' event(s) with alerts > 0 (latest: ' || {num('a1')} || ')', a1, NULL, NULL FROM per WHERE an > 0
   UNION ALL SELECT device_id, 'LOW', 'firmware', 'Firmware changed from ' || ov || ' to ' || nv, NULL, ov || ' → ' || nv, {iso('changed')} FROM fwp""", ARCHIVE_SQL, PAYLOAD, PAYLOAD_FINDINGS))
 def r3(spark, sf_dir):
-    return device.payload_health(inputs.index(spark, sf_dir), reported_archive(spark, sf_dir), event_slices(spark, sf_dir))
+    return device.payload_health(inputs.index(spark, sf_dir), inputs.payloads(spark, sf_dir), event_slices(spark, sf_dir))
 
 
 @query("q9_payload_health", sql=idx_sql(f"""SELECT i.device_id, event_count, {iso('first_event')} AS first_event, {iso('last_event')} AS last_event, round(epoch_ms(last_event - first_event) / 3600000.0, 1) AS hours,
@@ -171,5 +177,5 @@ def r3(spark, sf_dir):
   FROM (SELECT device_id, count(*) AS event_count, min(event_time) AS first_event, max(event_time) AS last_event FROM idx GROUP BY 1) i
   LEFT JOIN (SELECT device_id, string_agg(DISTINCT fw_version, ',' ORDER BY fw_version) AS firmware_versions, {', '.join(_stats(m) for m in device.HEALTH_METRICS)} FROM pay GROUP BY 1) p ON p.device_id = i.device_id""", ARCHIVE_SQL, PAYLOAD))
 def q9(spark, sf_dir):
-    rows = device.payload_summary(inputs.index(spark, sf_dir), reported_archive(spark, sf_dir))
+    rows = device.payload_summary(inputs.index(spark, sf_dir), inputs.payloads(spark, sf_dir))
     return rows.select("device_id", "event_count", "first_event", "last_event", "hours", "firmware_versions", *[f"{m}_{s}" for m in device.HEALTH_METRICS for s in ("latest", "count")])

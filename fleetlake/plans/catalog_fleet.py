@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetlake.operators import filters, fleet, history, ledgers, schedule, state
+from fleetlake.operators import filters, fleet, history, ledgers, overlay, schedule, state
 from fleetlake.functions.values import age_text, iso as iso_text
 from fleetlake.plans import inputs
 from fleetlake.plans.catalog_sequence import FOLD
@@ -308,6 +308,37 @@ def j8(spark, sf_dir):
     return rows.select("device_id", "reporting_interval_seconds", "connection_budget_seconds", F.col("open_hour").cast("bigint").alias("open_hour"), F.col("close_hour").cast("bigint").alias("close_hour"), "time_zone")
 
 
+OVERLAY = """docs AS (SELECT CAST(c_custkey AS VARCHAR) AS device_id, '{"timing":{"reportingIntervalSec":' || CASE WHEN c_nationkey % 2 = 0 THEN 3600 ELSE 7200 END || ',"window":{"open":6,"close":22,"days":["mon","tue"]}},"radio":{"bands":[' || c_nationkey || '],"power":null,"apn":{}},"label":"n' || c_nationkey || '"}' AS defaults,
+    CASE c_custkey % 8 WHEN 1 THEN '{"timing":{"reportingIntervalSec":null,"window":{"open":8}}}' WHEN 2 THEN '{"timing":5,"extra":{"deep":{"deeper":{"x":' || c_custkey || '}}}}'
+      WHEN 3 THEN '{"radio":{"apn":{"name":"iot"},"power":{"tx":3}},"label":{"text":"a","lang":"en"}}' WHEN 4 THEN '{"timing":{},"radio":{"apn":{},"bands":{}},"label":{}}'
+      WHEN 6 THEN '[1,2]' WHEN 7 THEN '{"timing":{"window":null},"unknown":[{"a":1}]}' END AS settings FROM customer),
+  dl AS MATERIALIZED (SELECT device_id, substr(t.fullkey, 3) AS path, CASE WHEN t.type = 'NULL' THEN 'null' ELSE CAST(json(t.value) AS VARCHAR) END AS value FROM docs, json_tree(CAST(defaults AS JSON)) t
+    WHERE t.fullkey <> '$' AND NOT contains(t.fullkey, '[') AND (t.type <> 'OBJECT' OR CAST(json(t.value) AS VARCHAR) = '{}')),
+  ol AS MATERIALIZED (SELECT device_id, substr(t.fullkey, 3) AS path, CASE WHEN t.type = 'NULL' THEN 'null' ELSE CAST(json(t.value) AS VARCHAR) END AS value FROM (SELECT * FROM docs WHERE settings LIKE '{%'), json_tree(CAST(settings AS JSON)) t
+    WHERE t.fullkey <> '$' AND NOT contains(t.fullkey, '[') AND (t.type <> 'OBJECT' OR CAST(json(t.value) AS VARCHAR) = '{}'))"""
+
+
+@query("j8_overlay_any_path", sql=plain("""SELECT device_id, path, value, 'default' AS source FROM dl WHERE NOT EXISTS (SELECT 1 FROM ol WHERE ol.device_id = dl.device_id
+      AND ((ol.value <> '{}' AND (dl.path = ol.path OR starts_with(dl.path, ol.path || '.'))) OR starts_with(ol.path, dl.path || '.') OR (ol.value = '{}' AND ol.path = dl.path)))
+    UNION ALL SELECT device_id, path, value, 'override' FROM ol WHERE NOT (value = '{}' AND EXISTS (SELECT 1 FROM dl WHERE dl.device_id = ol.device_id AND starts_with(dl.path, ol.path || '.')))""", OVERLAY))
+def j8_overlay(spark, sf_dir):
+    """Nested documents with keys that no fixed path names: effective values by path."""
+    c = inputs.table(spark, sf_dir, "customer")
+    key, nk = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    interval = F.when(F.col("c_nationkey") % 2 == 0, "3600").otherwise("7200")
+    defaults = F.concat(F.lit('{"timing":{"reportingIntervalSec":'), interval, F.lit(',"window":{"open":6,"close":22,"days":["mon","tue"]}},"radio":{"bands":['), nk, F.lit('],"power":null,"apn":{}},"label":"n'), nk, F.lit('"}'))
+    settings = (
+        F.when(key % 8 == 1, '{"timing":{"reportingIntervalSec":null,"window":{"open":8}}}')
+        .when(key % 8 == 2, F.concat(F.lit('{"timing":5,"extra":{"deep":{"deeper":{"x":'), key.cast("string"), F.lit("}}}}")))
+        .when(key % 8 == 3, '{"radio":{"apn":{"name":"iot"},"power":{"tx":3}},"label":{"text":"a","lang":"en"}}')
+        .when(key % 8 == 4, '{"timing":{},"radio":{"apn":{},"bands":{}},"label":{}}').when(key % 8 == 5, "not json")
+        .when(key % 8 == 6, "[1,2]").when(key % 8 == 7, '{"timing":{"window":null},"unknown":[{"a":1}]}')
+    )
+    docs = c.select(key.cast("string").alias("device_id"), defaults.alias("defaults"), settings.alias("settings"))
+    merged = overlay.overlaid(overlay.leaves(docs, "device_id", "defaults"), overlay.leaves(docs, "device_id", "settings"), "device_id")
+    return merged.select("device_id", F.array_join("path", ".").alias("path"), "value", "source")
+
+
 ZONES = ["America/New_York", "UTC", "Asia/Kolkata", inputs.POSIX_EASTERN, "Australia/Sydney", "Nowhere/None", ""]
 
 
@@ -358,9 +389,10 @@ def j10(spark, sf_dir):
 
 @query("j10_posix_offsets", sql=plain(POSIX_OFFSETS, CASES))
 def j10_offsets(spark, sf_dir):
-    """The same offsets computed in place from the zone's rules, without a join."""
-    ruled = schedule.zone_rules(posix_cases(spark, sf_dir), "zone")
-    return ruled.select("seq", schedule.posix_offset(F.unix_seconds("last"), F.col("posix")).cast("bigint").alias("offset_seconds"))
+    """The same offsets from the ranges around each instant, without a join."""
+    ruled = schedule.zone_rules(posix_cases(spark, sf_dir), "zone").withColumn("second", F.unix_seconds("last"))
+    ruled = ruled.withColumn("ranges", schedule.ranges_around(F.col("second"), F.col("posix")))
+    return ruled.select("seq", schedule.offset_at(F.col("second"), F.col("ranges")).cast("bigint").alias("offset_seconds"))
 
 
 @query("r11_relative_age", sql=arr_sql(f"""SELECT event_id, CASE WHEN s < 60 THEN s || ' sec' WHEN s < 3600 THEN s // 60 || ' min' WHEN s < 172800 THEN s // 3600 || ' hr' WHEN s // 86400 = 1 THEN '1 day' ELSE s // 86400 || ' days' END AS age

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fleetlake.operators import correlate, history, ledgers, rules, sequence, state
 from fleetlake.operators.normalize import METRICS
 from fleetlake.plans import inputs
-from fleetlake.plans.catalog_events import ARCHIVE_SQL, reported_archive
+from fleetlake.plans.catalog_events import ARCHIVE_SQL
 from fleetlake.plans.device import correlation
 from fleetlake.plans.oracle import ANOMALIES, SENT, arr_sql, idx_sql, iso, num
 from fleetlake.plans.registry import query
@@ -218,13 +218,18 @@ def r6(spark, sf_dir):
     return folded(spark, sf_dir).select("event_id", "own_status")
 
 
-UPSERTED = [*METRICS, "fw_version", "network_state", "severity", "serial_category", "device_name"]
+UPSERTED = [
+    *METRICS, *FLAGS, "fw_version", "network_state", "severity", "serial_category", "device_name", "serial_log_line", "event_type", "plane", "source_type",
+    "event_id", "event_time", "received_at",
+]
+INSTANTS = ("event_time", "received_at")
 
 
 def _upsert_sql() -> str:
     last = ", ".join(f"arg_max({c}, (received_at, event_time, event_id)) FILTER ({c} IS NOT NULL) AS {c}" for c in UPSERTED)
     parts = ", ".join(f"{name} AS MATERIALIZED (SELECT project_id, device_id, {last} FROM arr WHERE received_at {op} TIMESTAMP '2024-01-25 00:00:00' GROUP BY 1, 2)" for name, op in (("one", "<"), ("two", ">=")))
-    merged = ", ".join(f"coalesce(b.{c}, a.{c}) AS {c}" for c in ["project_id", "device_id", *UPSERTED])
+    both = {c: f"coalesce(b.{c}, a.{c})" for c in ["project_id", "device_id", *UPSERTED]}
+    merged = ", ".join(f"{iso(v) if c in INSTANTS else v} AS {c}" for c, v in both.items())
     return arr_sql(f"SELECT {merged} FROM one a FULL OUTER JOIN two b ON a.project_id = b.project_id AND a.device_id = b.device_id", parts)
 
 
@@ -323,9 +328,9 @@ inf AS MATERIALIZED (
 CORRELATION = (ARCHIVE_SQL, WINDOWS_SQL, MEMBER_SQL)
 
 
-def correlated(spark, sf_dir):
+def correlated(spark, sf_dir, reused=False):
     return correlation(
-        inputs.index(spark, sf_dir), reported_archive(spark, sf_dir), WINDOW_MINUTES, event_slices(spark, sf_dir, WINDOW_MINUTES)
+        inputs.index(spark, sf_dir), inputs.payloads(spark, sf_dir), WINDOW_MINUTES, event_slices(spark, sf_dir, WINDOW_MINUTES), reused
     )
 
 
@@ -369,7 +374,7 @@ for _rule, _name in INFERENCE_RULES.items():
     WHERE line IS NOT NULL) e JOIN inf i ON i.device_id = m.device_id AND i.window_start = m.window_start AND i.rule = e.rule
   UNION ALL SELECT device_id, {iso('window_start')}, 4, 2, 'reset count: ' || {num('first_resets')} || ' → ' || {num('last_resets')} FROM fired WHERE r4""", *CORRELATION))
 def i9(spark, sf_dir):
-    members, _, found = correlated(spark, sf_dir)
+    members, _, found = correlated(spark, sf_dir, reused=True)
     return correlate.evidence(members, found).select("device_id", "window_start", "rule", "part", "line")
 
 
@@ -384,10 +389,8 @@ def a13(spark, sf_dir):
 @query("q10_correlation", sql=idx_sql(f"""SELECT w.device_id, {iso('w.window_start')} AS window_start, w.event_count, i.rule, i.severity, i.category, i.message
   FROM win w JOIN inf i ON i.device_id = w.device_id AND i.window_start = w.window_start""", *CORRELATION))
 def q10(spark, sf_dir):
-    _, windows, found = correlated(spark, sf_dir)
-    return windows.select("device_id", "window_start", "event_count").join(
-        found.select("device_id", "window_start", "rule", "severity", "category", "message"), ["device_id", "window_start"]
-    )
+    _, _, found = correlated(spark, sf_dir)
+    return found.select("device_id", "window_start", "event_count", "rule", "severity", "category", "message")
 
 
 # ---- throttled refresh, product ids

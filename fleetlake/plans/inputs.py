@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import zlib
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlake.functions.values import iso
 from fleetlake.operators import state
+from fleetlake.operators.archive import archive_records, payloads as payloads_of
 from fleetlake.operators.normalize import event_index, normalize
 from fleetlake.operators.ordered import Slices, plan_slices
 from fleetlake.session import shared_folder
-from fleetlake.sources.tables import read_event_index, write_arrivals, write_event_index, write_states
+from fleetlake.sources.tables import read_event_index, write_arrivals, write_event_index, write_payloads, write_states
 
 AS_OF = "2024-01-31 00:00:00"
 POSIX_EASTERN = "EST5EDT,M3.2.0/2:00:00,M11.1.0/2:00:00"
@@ -141,6 +143,34 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "states")
 
 
+def reported_archive(spark, sf_dir):
+    """Archive objects with watchdog details; one in sixteen objects is missing."""
+    rows = arrivals(spark, sf_dir)
+    number = F.conv(F.substring("event_id", 1, 1), 16, 10).cast("int")
+    wd = F.col("event_name") == "watchdog-v2"
+    return archive_records(rows).join(
+        rows.select("archive_key", number.alias("n"), wd.alias("wd")), "archive_key"
+    ).filter(F.col("n") != 0).withColumns({
+        "reset_cause": F.when(F.col("wd") & (F.col("n") % 2 == 0), F.concat(F.lit("cause-"), F.col("n").cast("string"))),
+        "details": F.when(F.col("wd") & (F.col("n") % 3 == 0), "stack"),
+        "message": F.when(F.col("wd"), "timer expired"),
+    }).drop("n", "wd")
+
+
+@lru_cache(maxsize=64)
+def _payloads(application: str, sf_dir: str) -> str:
+    spark, place = SparkSession.active(), sf_dir.strip("/").replace("/", "-")
+    name = f"payloads_{zlib.crc32(f'{application}/{place}'.encode()):08x}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    write_payloads(payloads_of(reported_archive(spark, sf_dir)), f"{shared_folder(spark).rstrip('/')}/{application}/{name}-{place}", name, buckets)
+    return name
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archive's payloads say, one row per archive key, stored in buckets of the key."""
+    return spark.table(_payloads(spark.sparkContext.applicationId, sf_dir))
+
+
 @lru_cache(maxsize=64)
 def _slices(application: str, sf_dir: str, source: str, key: tuple[str, ...], time: str, rows: int | None, bucket: int) -> Slices | None:
     spark = SparkSession.active()

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from fleetlake.operators import fleet, presentation
+from fleetlake.operators.archive import payloads
 from fleetlake.operators.filters import QueryWindow
 from fleetlake.operators.ordered import AUTO, Slices
 from fleetlake.plans import device
@@ -72,11 +73,15 @@ class Lake:
         return device.timeline_analytics(self.index, gap_minutes, burst_minutes, self.slices)
 
     def payload_health(self) -> DataFrame:
-        return device.payload_health(self.index, self.archive, self.slices)
+        return device.payload_health(self.index, self._payloads(), self.slices)
 
     def correlation(self, minutes: float = 5):
         """Members, windows and inferences."""
-        return device.correlation(self.index, self.archive, minutes, self.slices)
+        return device.correlation(self.index, self._payloads(), minutes, self.slices)
+
+    def _payloads(self) -> DataFrame:
+        """Stored payloads, or those of plain archive records."""
+        return self.archive if "has_payload" in self.archive.columns else payloads(self.archive)
 
     def report(self, product_id: str, allowance: float = fleet.TRANSPORT_ALLOWANCE_SECONDS) -> dict[str, DataFrame]:
         return fleet_report(self.inventory, self.states, self.snapshots, self.configuration, product_id, self.as_of, allowance)

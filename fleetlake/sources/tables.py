@@ -37,6 +37,13 @@ def write_states(states: DataFrame, path: str, mode: str = "append") -> None:
     states.sortWithinPartitions("project_id", "device_id").write.mode(mode).parquet(path)
 
 
+def write_payloads(payloads: DataFrame, path: str, name: str, buckets: int) -> DataFrame:
+    """One row per archive key in sorted buckets of the key, as the table ``name``: a join on the key moves the other side alone."""
+    dealt = payloads.repartition(buckets, "archive_key")
+    dealt.write.mode("overwrite").option("path", path).bucketBy(buckets, "archive_key").sortBy("archive_key").saveAsTable(name)
+    return payloads.sparkSession.table(name)
+
+
 def read_event_index(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 

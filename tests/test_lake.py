@@ -7,7 +7,7 @@ from conftest import SF
 from fleetlake.operators.filters import QueryWindow
 from fleetlake.operators import ledgers
 from fleetlake.plans import inputs
-from fleetlake.plans.catalog_events import reported_archive
+from fleetlake.plans.inputs import reported_archive
 from fleetlake.plans.catalog_fleet import accepted
 from fleetlake.plans.lake import Lake
 

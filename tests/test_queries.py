@@ -42,3 +42,33 @@ def test_range_query_prunes_and_pushes_down(spark):
 def test_top_per_device_is_trimmed_before_the_shuffle(spark):
     plan = QUERIES["l1_newest_per_device"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def plan_of(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["j1_payload_join", "q9_payload_stats", "q9_payload_health", "q10_correlation", "i1_modem_connectivity"])
+def test_payloads_are_read_once_and_stay_in_their_buckets(spark, name):
+    """The archive is scanned once and never shuffled or sorted by its receipt; only the events move to its buckets."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as it is at any size but this one
+    try:
+        plan = plan_of(QUERIES[name](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    initial = plan.split("Initial Plan")[-1]
+    assert initial.count("Bucketed: true") == 1
+    below = initial.split("Bucketed: true")[0].split("SortMergeJoin")[-1]
+    assert "archived_fw_version" not in "".join(line for line in initial.splitlines() if "Exchange" in line)
+    assert "Window" not in below
+
+
+def test_counts_take_one_scan_and_one_shuffle(spark):
+    plan = plan_of(QUERIES["a1_counts_in_one_pass"](spark, SF)).split("Initial Plan")[-1]
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and "Expand" in plan
+
+
+def test_selectors_scan_each_table_twice(spark):
+    plan = plan_of(QUERIES["f9_device_selector"](spark, SF)).split("Initial Plan")[-1]
+    assert plan.count("FileScan") <= 12
