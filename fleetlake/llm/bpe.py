@@ -4,6 +4,8 @@ The symbols of all new words of a slice lie in one flat array. In every round th
 binary search over the sorted pair keys, every word merges all occurrences of its lowest-ranked pair (left to right, without
 overlap), and words without a known pair leave the array. This equals merging one pair at a time whenever a merge that uses
 a symbol ranks behind the merge that makes it, which holds for trained merge lists and is checked when the file is read.
+A word takes a round for every rank that occurs in it, so words of more than LONG bytes stay out of the array: their merges come one by
+one from a heap of (rank, place) over linked symbols, and cost the word's length times its logarithm.
 
 Null text is empty text: no ids, decoded to the empty text. Rows with equal ids are kept as they are. Only the id column and the
 result columns are returned, so other columns of the input cannot clash.
@@ -11,10 +13,11 @@ result columns are returned, so other columns of the input cannot clash.
 
 from __future__ import annotations
 
+import heapq
 import json
-import os
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +28,8 @@ from fleetlake.llm.common import documents, ranges, slices
 # The splitting pattern of byte-level BPE and the bytes that stand for themselves in vocabulary files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 PRINTABLE = (range(0x21, 0x7F), range(0xA1, 0xAD), range(0xAE, 0x100))
-TOKENIZER = os.environ.get("BYTE_BPE_FILE", "/opt/tokenizers/byte_bpe_50k.json")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+LONG = 2048  # bytes of a word beyond which rounds over the whole array would cost more than single merges
 
 
 def byte_of_symbol() -> dict[str, int]:
@@ -71,7 +75,7 @@ class Codec:
 
     def __init__(self, tables: dict, most: int = 300_000):
         self.t = tables
-        self.most = most
+        self.most, self.known = most, None
         self.split = regex.compile(PATTERN, regex.V0)
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(tables["added"], key=len, reverse=True))) if tables["added"] else None
         self.forget()
@@ -98,8 +102,50 @@ class Codec:
 
     def merge(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, one after the other, and how many each has."""
-        t = self.t
         raw = [p.encode() for p in pieces]
+        long = {i: self.merge_long(r) for i, r in enumerate(raw) if len(r) > LONG}
+        if not long:
+            return self.merge_rounds(raw)
+        ids, counts = self.merge_rounds([r for i, r in enumerate(raw) if i not in long])
+        ends, out, sizes, short = np.append(0, np.cumsum(counts)), [], [], 0
+        for i in range(len(raw)):
+            if i in long:
+                out.append(long[i])
+            else:
+                out.append(ids[ends[short] : ends[short + 1]])
+                short += 1
+            sizes.append(len(out[-1]))
+        return np.concatenate(out).astype(np.uint32), np.array(sizes, np.int64)
+
+    def merge_long(self, raw: bytes) -> np.ndarray:
+        """Ids of one long word: always the lowest rank first, the leftmost of equal ones."""
+        t = self.t
+        if self.known is None:
+            self.known = {k: (r, m) for k, r, m in zip(t["keys"].tolist(), t["ranks"].tolist(), t["made"].tolist())}
+        known, size = self.known, t["size"]
+        sym = t["of_byte"][np.frombuffer(raw, np.uint8)].tolist()
+        n = len(sym)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(found[0], i, a, b) for i, (a, b) in enumerate(zip(sym, sym[1:])) if (found := known.get(a * size + b))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if sym[i] != a or j >= n or sym[j] != b:  # one of the two is merged already
+                continue
+            sym[i], sym[j] = known[a * size + b][1], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if found := known.get(sym[i] * size + sym[k]):
+                    heapq.heappush(heap, (found[0], i, sym[i], sym[k]))
+            if (h := before[i]) >= 0 and (found := known.get(sym[h] * size + sym[i])):
+                heapq.heappush(heap, (found[0], h, sym[h], sym[i]))
+        return np.array([x for x in sym if x >= 0], np.uint32)
+
+    def merge_rounds(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for many short words at once."""
+        t = self.t
         counts = np.array([len(r) for r in raw], np.int64)
         sym = t["of_byte"][np.frombuffer(b"".join(raw), np.uint8)]
         word = np.repeat(np.arange(len(raw)), counts)
