@@ -9,7 +9,8 @@ Texts and items are compared in lower case, with runs of white space as one blan
 set that is checked: they are dealt to blocks of BLOCK_CHARS characters, and each block is one automaton and one pass over the documents.
 A document may match many items; each pair is returned once, with its smallest distance (then its first place).
 
-Null or empty texts match nothing and null or blank items are matched by nothing. Items too short for an edit match exactly.
+Null or empty texts match nothing and null or blank items are matched by nothing. Items of fewer than LEAST characters match exactly and as
+whole words only (no letter or digit beside them), since a few letters lie inside many words.
 Repeated items give repeated pairs, repeated rows repeated results. ``matches`` returns named columns only; ``clean`` keeps the input's.
 """
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from fleetlake.llm.common import documents, parts, slices, total_chars
 
 SPAN = 10
+LEAST = 20
 BLOCK_CHARS = 4 << 20
 
 
@@ -87,7 +89,7 @@ class Matcher:
         import ahocorasick
 
         self.items = [(i, p) for i, t in items if (p := plain(t))]
-        self.errors = [len(p) // span for _, p in self.items]
+        self.errors = [len(p) // span if len(p) >= LEAST else 0 for _, p in self.items]
         self.patterns: dict[tuple[int, int, int], Pattern] = {}
         self.automaton, places = ahocorasick.Automaton(), {}
         for n, (_, p) in enumerate(self.items):
@@ -129,8 +131,10 @@ class Matcher:
         """Smallest distance of the item near the given starts, with its first place; nothing beyond its errors."""
         item, errors, best = self.items[n][1], self.errors[n], None
         for s in starts:
-            if s >= 0 and text.startswith(item, s):
+            if s >= 0 and text.startswith(item, s) and (len(item) >= LEAST or _apart(text, s, s + len(item))):
                 return 0, s, s + len(item)
+        if len(item) < LEAST:
+            return None
         for s in starts:
             low, high = max(0, s - errors), min(len(text), s + len(item) + errors)
             if len(item) - (high - low) > errors:
@@ -142,6 +146,13 @@ class Matcher:
         return best
 
 
+def _apart(text: str, start: int, end: int) -> bool:
+    """Whether no letter or digit stands beside a passage, where it ends in one itself."""
+    before = start > 0 and text[start].isalnum() and text[start - 1].isalnum()
+    after = end < len(text) and text[end - 1].isalnum() and text[end].isalnum()
+    return not before and not after
+
+
 def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of bounded size, one after the other."""
     rows = items.select(F.col(key).alias("i"), F.col(text).alias("t")).where("t is not null")
