@@ -8,25 +8,39 @@ language; languages that were never seen with the word's script are out, unless
 A text is labelled by its best single language at once if no run of another language gains more than the penalty, and no first and last
 run together: n runs cost n - 1 penalties, and so no labelling is better. Ties go to the first language in order.
 
-Null texts and texts without a letter have no spans and the label ``und`` with score 0. Rows without text or language are not learnt
+Combining marks belong to the words of their letters. Null texts and texts without a letter have no spans and the label ``und`` with score 0. Rows without text or language are not learnt
 from; without any learnt language every text is ``und``. Repeated rows give repeated results. Only named columns are returned.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlake.llm.common import documents, fold, mixed, slices, uniform
 
 UNKNOWN = "und"
 FEW_LANGUAGES = 10_000
+MOST_LANGUAGES = 400  # a model has 256 KB for each: 100 MB
 BITS = 16
 WORDS = re.compile(r"[^\W\d_]+")
+
+
+def mark_ranges() -> str:
+    """The combining marks of Unicode as ranges of a character class: vowel signs and accents that belong to the letter before them."""
+    marks = [i for i in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(i))[0] == "M"]
+    edges = [(a, b) for a, b in zip([-2, *marks], [*marks, -2]) if b != a + 1]
+    return "".join(f"{chr(b)}-{chr(c)}" for (_, b), (c, _) in zip(edges, edges[1:]))
+
+
+MARK = re.compile(f"[{mark_ranges()}]")
+MARKED_WORDS = re.compile(f"(?:[^\\W\\d_]+[{mark_ranges()}]*)+")
 # First code points of the ranges of scripts (name, start, end), by the Unicode blocks.
 SCRIPTS = (
     ("latin", 0x41, 0x24F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x370, 0x3FF), ("greek", 0x1F00, 0x1FFF), ("cyrillic", 0x400, 0x52F),
@@ -37,6 +51,11 @@ SCRIPTS = (
 NAMES = sorted({n for n, _, _ in SCRIPTS})
 
 
+def word_pattern(text: str) -> re.Pattern:
+    """Words of letters; in texts that hold combining marks, of letters and marks."""
+    return WORDS if text.isascii() or not MARK.search(text) else MARKED_WORDS
+
+
 def scripts_of(points: np.ndarray) -> np.ndarray:
     """Script number of each code point, by range; len(NAMES) for any other."""
     spans = sorted((a, b, NAMES.index(n)) for n, a, b in SCRIPTS)
@@ -62,13 +81,15 @@ def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def learn(sample: list[tuple[str, str]], smooth: float = 0.02) -> dict:
     """Tables of a model from (language, text) pairs: a fixed 2^16 cells for each language."""
     langs = sorted({lang for lang, _ in sample})
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"{len(langs)} languages make a model beyond {MOST_LANGUAGES} languages (100 MB)")
     table = np.zeros((1 << BITS, len(langs)), np.float32)
     uses = np.zeros((len(NAMES) + 1, len(langs)), bool)
     for j, lang in enumerate(langs):
         counts = np.zeros(1 << BITS)
         script = np.zeros(len(NAMES) + 1)
         for _, text in (x for x in sample if x[0] == lang):
-            words = WORDS.findall(text.lower())
+            words = word_pattern(text).findall(text.lower())
             if words:
                 cells, _, scripts = trigrams(words)
                 counts += np.bincount(cells, minlength=1 << BITS)
@@ -131,7 +152,8 @@ class Labeller:
         k = len(self.m["langs"])
         if not k:
             return [], np.zeros(0)
-        words = WORDS.findall(text)
+        pattern = word_pattern(text)
+        words = pattern.findall(text)
         # The pattern also takes numeric signs; a text has to hold a letter.
         if not any(map(str.isalpha, words)) and not any(c.isalpha() for w in words for c in w):
             return [], np.zeros(k)
@@ -144,7 +166,7 @@ class Labeller:
         slots = np.array([slot[w] for w in words])
         labels = self.labels(self.scores[slots])
         letters = np.bincount(labels, weights=self.sizes[slots], minlength=k)
-        found = list(WORDS.finditer(text)) if labels.min() != labels.max() else [WORDS.search(text)]
+        found = list(pattern.finditer(text)) if labels.min() != labels.max() else [pattern.search(text)]
         if len(found) == 1:
             end = text.rfind(words[-1]) + len(words[-1])
             return [(found[0].start(), end, int(labels[0]))], letters
@@ -152,16 +174,19 @@ class Labeller:
         return [(found[a].start(), found[b - 1].end(), int(labels[a])) for a, b in zip(cuts, cuts[1:])], letters
 
 
-def sample_of(rows: DataFrame, lang: str, text: str, per_language: int) -> list[tuple[str, str]]:
-    """At most about ``per_language`` labelled texts of each language, chosen by a hash of their values.
+def sample_of(rows: DataFrame, lang: str, text: str, per_language: int, key: str = "doc_id") -> list[tuple[str, str]]:
+    """About ``per_language`` labelled texts of each language and at most twice as many, chosen by a hash of key and text.
 
-    A language may hold most rows, so the shares go to the texts; only beyond FEW_LANGUAGES names do both meet in a shuffle.
+    A language may hold most rows, so the shares go to the texts; only beyond FEW_LANGUAGES names do both meet in a shuffle. Copies of a text
+    are drawn row by row; rows equal in key and text are drawn together, which the limit bounds.
     """
-    known = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
+    known = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text).alias("h")).where("lang is not null and text is not null")
     counts = known.groupBy("lang").count().select("lang", (F.lit(float(per_language)) / F.col("count")).alias("share"))
     few = counts.limit(FEW_LANGUAGES + 1).count() <= FEW_LANGUAGES
-    chosen = known.join(F.broadcast(counts) if few else counts, "lang").where(uniform("lang", "text") < F.col("share")).select("lang", "text")
-    return [(r["lang"], r["text"]) for r in chosen.toLocalIterator()]
+    chosen = known.join(F.broadcast(counts) if few else counts, "lang").where(uniform("h") < F.col("share"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    bounded = chosen.withColumn("place", place).where(F.col("place") <= 2 * per_language)
+    return [(r["lang"], r["text"]) for r in bounded.select("lang", "text").toLocalIterator()]
 
 
 def identify(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", penalty: float = 12.0) -> DataFrame:

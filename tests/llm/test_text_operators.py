@@ -10,6 +10,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ def sha(data: bytes) -> str:
 
 @pytest.fixture(scope="module")
 def library():
-    return pytest.importorskip("tokenizers").Tokenizer.from_file(bpe.TOKENIZER)
+    return pytest.importorskip("tokenizers").Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_bpe_equals_the_library(spark, library, texts):
@@ -497,3 +498,75 @@ def test_decontamination_in_blocks(spark, odd, empty, monkeypatch):
         left = decontaminate.clean(odd, items)
         assert left.count() == odd.count() - 4 and left.columns == odd.columns
     assert decontaminate.matches(empty, items).collect() == [] and decontaminate.matches(odd, items.limit(0)).collect() == []
+
+
+# Long words, marks, short items
+
+
+def test_long_words_equal_the_library(library):
+    """Words beyond LONG merge by a heap; the ids are the library's, in time that follows the length."""
+    import random
+    import time
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(letters, k=n)) for letters in ("ACGT", "ab", string.ascii_letters + string.digits, "aé中") for n in (bpe.LONG - 1, bpe.LONG + 1, 9_000)]
+    texts += ["a" * 50_000, "x " + "".join(rng.choices(string.ascii_letters, k=5_000)) + " end of it", " " * 6_000 + "b"]
+    codec, known = bpe.Codec(bpe.read_tables(bpe.TOKENIZER)), library
+    ids, counts = codec.encode(texts)
+    cuts = np.append(0, np.cumsum(counts))
+    for i, t in enumerate(texts):
+        assert ids[cuts[i] : cuts[i + 1]].tolist() == known.encode(t, add_special_tokens=False).ids
+    assert codec.decode(ids, counts) == texts
+    start = time.perf_counter()
+    codec.encode(["".join(rng.choices(string.ascii_letters, k=200_000))])
+    assert time.perf_counter() - start < 10  # 39 s by rounds
+
+
+@pytest.mark.parametrize("text,words", [
+    ("हिन्दी में लिखना बहुत अच्छा है", 6), ("தமிழ் மொழி", 2), ("ภาษาไทย ดีมาก", 2), ("e\u0301te\u0301 d'hiver", 3), ("naïve café 12 x_y", 4),
+])
+def test_marks_belong_to_words(text, words):
+    found = language.word_pattern(text).findall(text)
+    assert len(found) == words and all(w in text for w in found)
+
+
+def test_marked_text_is_one_span():
+    model = language.learn([("hi", "हिन्दी में लिखना बहुत अच्छा है और यह भाषा है"), ("ta", "தமிழ் மொழி மிகவும் பழமையான மொழி ஆகும்"), ("en", "the and of this that with from have being there which")] * 3)
+    labeller, text = language.Labeller(model), "हिन्दी में लिखना अच्छा है the being of which that तमिल"
+    spans, _ = labeller.spans(text)
+    assert [model["langs"][j] for *_, j in spans] == ["hi", "en", "hi"] or [model["langs"][j] for *_, j in spans] == ["hi", "en"]
+    assert text[spans[0][0] : spans[0][1]].strip() == "हिन्दी में लिखना अच्छा है"
+
+
+def test_sample_is_bounded_whatever_the_copies(spark):
+    rows = spark.createDataFrame([(7, "same text of all", "en")] * 5000 + [(i, f"text {i}", "de") for i in range(5000)], "doc_id long, text string, lang string")
+    for per in (3, 50):
+        drawn = language.sample_of(rows, "lang", "text", per)
+        assert all(sum(1 for lang, _ in drawn if lang == x) <= 2 * per for x in ("en", "de")) and any(lang == "de" for lang, _ in drawn)
+    with pytest.raises(ValueError, match="languages"):
+        language.learn([(f"l{i}", "abc") for i in range(language.MOST_LANGUAGES + 1)])
+
+
+@pytest.mark.parametrize("item,text,hit", [
+    ("the cat", "a thecat and the catalog", False), ("the cat", "see The  cat.", True), ("a", "banana", False), ("a", "b a c", True), ("c++", "in c++11 it is", True),
+    ("the cat sat on a mat", "xthe cat sat on a matx", True),
+])
+def test_short_items_match_whole_words(item, text, hit):
+    assert (next(decontaminate.Matcher([(1, item)]).matches(text), None) is not None) == hit
+
+
+def test_items_at_their_full_edit_budget_are_found():
+    import random
+
+    rng, found = random.Random(9), 0
+    for _ in range(60):
+        item = "".join(rng.choices("abcdefghij ", k=rng.randrange(30, 120))).strip()
+        plain = decontaminate.plain(item)
+        letters, budget = list(plain), len(plain) // decontaminate.SPAN
+        for at in sorted(rng.sample(range(1, len(letters) - 1), budget), reverse=True):
+            kind = rng.randrange(3)
+            letters[at : at + (kind != 0)] = [] if kind == 1 else ["Z"]
+        text = "some words before " + "".join(letters) + " and after"
+        hits = list(decontaminate.Matcher([(1, item)]).matches(text))
+        found += bool(hits) and hits[0][1] <= budget
+    assert found == 60
