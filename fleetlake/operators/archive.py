@@ -54,19 +54,16 @@ def payloads(archive: DataFrame) -> DataFrame:
     )
 
 
-def join_payloads(events: DataFrame, stored: DataFrame) -> DataFrame:
+def with_payload(events: DataFrame, archive: DataFrame) -> DataFrame:
     """Events with what their payload says; events whose object is missing keep nulls, none has more than one.
 
-    Payloads stored in buckets of the archive key stay where they are; only the events move.
+    ``archive`` are stored ``payloads`` or archive records, which are read here. Payloads stored in buckets of the archive key stay
+    where they are; only the events move.
     """
+    stored = archive if "has_payload" in archive.columns else payloads(archive)
     return events.join(stored, "archive_key", "left").withColumn("has_payload", F.coalesce("has_payload", F.lit(False)))
 
 
-def with_payload(events: DataFrame, archive: DataFrame) -> DataFrame:
-    """``join_payloads`` straight from archive records."""
-    return join_payloads(events, payloads(archive))
-
-
 def payload_metrics(joined: DataFrame) -> DataFrame:
     """The metrics of the archived payload in place of the indexed ones."""
     return joined.withColumns({m: F.col(f"archived_{m}") for m in PAYLOAD_METRICS})

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlake.functions.values import iso, micros_between, number_text
-from fleetlake.operators.archive import join_payloads, payload_metrics
+from fleetlake.operators.archive import payload_metrics, with_payload
 from fleetlake.operators.ordered import AUTO, Slices
 from fleetlake.operators.sequence import anchored_windows
 
@@ -76,9 +76,9 @@ def details(events: DataFrame) -> DataFrame:
     })
 
 
-def window_members(events: DataFrame, payloads: DataFrame, minutes: float = 5, slices: Slices | str | None = AUTO) -> DataFrame:
+def window_members(events: DataFrame, archive: DataFrame, minutes: float = 5, slices: Slices | str | None = AUTO) -> DataFrame:
     """Every event with its window, class and extracted details. Windows come first, so that payloads are joined once."""
-    return details(payload_metrics(join_payloads(anchored_windows(events, minutes, slices), payloads)))
+    return details(payload_metrics(with_payload(anchored_windows(events, minutes, slices), archive)))
 
 
 def windows(members: DataFrame) -> DataFrame:

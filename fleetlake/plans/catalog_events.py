@@ -198,7 +198,7 @@ ARCHIVE_SQL = """hex AS MATERIALIZED (SELECT *, strpos('0123456789abcdef', subst
   CASE WHEN et = 'click' AND h <> 0 THEN CAST(k AS DOUBLE) END AS status_queue_depth,
   CASE WHEN et = 'signup' THEN source_event_type END AS lifecycle FROM hex""", ARCHIVE_SQL))
 def p22(spark, sf_dir):
-    joined = archive.join_payloads(inputs.index(spark, sf_dir), inputs.payloads(spark, sf_dir))
+    joined = archive.with_payload(inputs.index(spark, sf_dir), inputs.payloads(spark, sf_dir))
     rows = correlate.details(archive.payload_metrics(joined))
     return rows.select(
         "event_id", "class", "reset_cause", F.when(F.col("class") == "watchdog", F.col("detail")).alias("watchdog_detail"),
@@ -208,7 +208,7 @@ def p22(spark, sf_dir):
 
 @query("j1_payload_join", sql=idx_sql("SELECT event_id, h <> 0 AS has_payload, CASE WHEN h <> 0 THEN legacy_fw_version END AS archived_fw_version FROM hex", ARCHIVE_SQL))
 def j1(spark, sf_dir):
-    joined = archive.join_payloads(inputs.index(spark, sf_dir), inputs.payloads(spark, sf_dir))
+    joined = archive.with_payload(inputs.index(spark, sf_dir), inputs.payloads(spark, sf_dir))
     return joined.select("event_id", "has_payload", "archived_fw_version")
 
 

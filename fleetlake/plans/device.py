@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlake.functions.values import hours_between
 from fleetlake.operators import correlate, rules, sequence
-from fleetlake.operators.archive import join_payloads, payload_metrics
+from fleetlake.operators.archive import payload_metrics, with_payload
 from fleetlake.operators.filters import QueryWindow, events_between
 from fleetlake.operators.ordered import AUTO, Slices, newest
 from fleetlake.session import cut_lineage
@@ -150,32 +150,32 @@ def timeline_analytics(
     return base
 
 
-def payload_health(events: DataFrame, payloads: DataFrame, slices: Slices | str | None = AUTO) -> DataFrame:
+def payload_health(events: DataFrame, archive: DataFrame, slices: Slices | str | None = AUTO) -> DataFrame:
     """Findings over archived payloads; firmware comes from the payload records."""
-    joined = join_payloads(events, payloads).filter("has_payload")
+    joined = with_payload(events, archive).filter("has_payload")
     metrics = payload_metrics(joined)
     versions = joined.withColumn("fw_version", F.nullif(F.col("archived_fw_version"), F.lit("")))
     return rules.payload_anomalies(metrics, rules.firmware_changes(versions, slices))
 
 
-def payload_stats(events: DataFrame, payloads: DataFrame) -> DataFrame:
+def payload_stats(events: DataFrame, archive: DataFrame) -> DataFrame:
     """Payload metric statistics per device."""
-    metrics = payload_metrics(join_payloads(events, payloads).filter("has_payload"))
+    metrics = payload_metrics(with_payload(events, archive).filter("has_payload"))
     return metrics.groupBy("device_id").agg(*[c for m in HEALTH_METRICS for c in metric_stats(m)])
 
 
-def payload_summary(events: DataFrame, payloads: DataFrame) -> DataFrame:
+def payload_summary(events: DataFrame, archive: DataFrame) -> DataFrame:
     """Time span over all events; versions and statistics over those with a payload."""
-    rows = payload_metrics(join_payloads(events, payloads))
+    rows = payload_metrics(with_payload(events, archive))
     return rows.withColumns({m: F.when(F.col("has_payload"), F.col(m)) for m in HEALTH_METRICS}).groupBy("device_id").agg(
         F.count(F.lit(1)).alias("event_count"), F.min("event_time").alias("first_event"), F.max("event_time").alias("last_event"),
         version_list("archived_fw_version").alias("firmware_versions"), *[c for m in HEALTH_METRICS for c in metric_stats(m)],
     ).withColumn("hours", F.round(hours_between(F.col("first_event"), F.col("last_event")), 1))
 
 
-def correlation(events: DataFrame, payloads: DataFrame, minutes: float = 5, slices: Slices | str | None = AUTO, reused: bool = False):
+def correlation(events: DataFrame, archive: DataFrame, minutes: float = 5, slices: Slices | str | None = AUTO, reused: bool = False):
     """Members, windows and inferences of anchored windows; ``reused`` members are written once for all that reads them."""
-    members = correlate.window_members(events, payloads, minutes, slices)
+    members = correlate.window_members(events, archive, minutes, slices)
     members = cut_lineage(members) if reused else members
     windows = correlate.windows(members)
     return members, windows, correlate.inferences(windows)
