@@ -3,6 +3,7 @@
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 from llm.test_corpus_operators import brute_components, sets_of
 from llm.test_text_operators import plain_base
 
@@ -74,5 +75,23 @@ def test_run_equals_the_stages(spark, staged):
 
 def test_registered():
     assert {*catalog.QUERIES, "pipeline"} <= set(entry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 14))
     assert set(catalog.ORACLE) <= set(entry.oracle_sql())
+
+
+@pytest.mark.parametrize("rows", ["odd", "empty"])
+def test_stages_on_odd_rows(spark, request, tmp_path, rows):
+    """Null, empty, very long, repeated and keyless rows, clashing columns and an empty table pass all stages; each stage keeps the columns and changes no other row."""
+    docs = request.getfixturevalue(rows).withColumn("n_chars", F.length("text").cast("long"))
+    before = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == before
+        kept.write.parquet(f"{tmp_path}/{name}")
+        after = spark.read.parquet(f"{tmp_path}/{name}")
+        if name != "secrets":
+            assert after.exceptAll(docs).count() == 0
+        docs = after
+    ids = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert ids.count() == docs.count() and {"doc_id", "n_tokens", "ids"} <= set(ids.columns)
+    assert all((r["n_tokens"] == 0) == (len(r["ids"]) == 0) for r in ids.collect())
