@@ -113,39 +113,41 @@ def with_ledgers(devices: DataFrame, snapshots: DataFrame, configuration: DataFr
     return devices.join(status, "device_id", "left").join(data, "device_id", "left").join(resolved, "device_id", "left")
 
 
-def effective(path: tuple[str, str], read) -> Column:
-    """Value of a configuration path: an override key wins even when null; objects are merged key by key."""
-    parent, full = path[0], ".".join(path)
-    own, group, default = json_at(F.col("_settings"), full), json_at(F.col("_settings"), parent), json_at(F.col("_defaults"), full)
-    replaced = group.isNotNull() & ~is_object(group)
-    return F.when(own.isNotNull(), read(own)).when(~replaced, read(default))
-
+def with_configuration(devices: DataFrame) -> DataFrame:
+    """Reporting interval, connection budget, hours and zone from defaults overlaid with device settings.
 
-def _seconds(paths: list[tuple[str, str]]) -> Column:
-    def valid(v: Column) -> Column:
-        n = json_number(v)
-        return F.when(n >= 0, n)
+    An override key wins even when null; objects are merged key by key. What the documents hold is fetched first and read then, so that
+    no expression holds another twice.
+    """
+    hours, zone = {"open_hour": ("timing", "openHour"), "close_hour": ("timing", "closeHour")}, ("timing", "timezone")
+    numbers = [*INTERVAL_PATHS, *INTERVAL_MINUTE_PATHS, *BUDGET_PATHS, *hours.values()]
+    name = {p: f"_{p[0]}_{p[1]}" for p in [*numbers, zone]}
+    groups = sorted({p[0] for p in name})
+    parsed = devices.withColumns({"_defaults": F.try_parse_json("product_defaults"), "_settings": F.try_parse_json("device_settings")})
+    fetched = parsed.withColumns({
+        **{f"{n}_own": json_at(F.col("_settings"), ".".join(p)) for p, n in name.items()}, **{f"{n}_default": json_at(F.col("_defaults"), ".".join(p)) for p, n in name.items()},
+        **{f"_group_{g}": json_at(F.col("_settings"), g) for g in groups},
+    })
+    replaced = fetched.withColumns({f"_replaced_{g}": F.col(f"_group_{g}").isNotNull() & ~is_object(F.col(f"_group_{g}")) for g in groups})
 
-    return F.coalesce(*[effective(p, valid) for p in paths])
+    def effective(p: tuple[str, str], read) -> Column:
+        own, default = F.col(f"{name[p]}_own"), F.col(f"{name[p]}_default")
+        return F.when(own.isNotNull(), read(own)).when(~F.col(f"_replaced_{p[0]}"), read(default))
 
+    values = replaced.withColumns({name[p]: effective(p, json_number) for p in numbers} | {name[zone]: effective(zone, json_text)})
 
-def _hour(path: tuple[str, str]) -> Column:
-    h = _seconds([path])
-    return F.when((h == F.floor(h)) & (h <= 23), h.cast("int"))
+    def first(paths: list[tuple[str, str]]) -> Column:
+        return F.coalesce(*[F.when(F.col(name[p]) >= 0, F.col(name[p])) for p in paths])
 
+    def hour(p: tuple[str, str]) -> Column:
+        h = F.col(name[p])
+        return F.when((h >= 0) & (h == F.floor(h)) & (h <= 23), h.cast("int"))
 
-def with_configuration(devices: DataFrame) -> DataFrame:
-    """Reporting interval, connection budget, hours and zone from defaults overlaid with device settings."""
-    parsed = devices.withColumns({
-        "_defaults": F.try_parse_json("product_defaults"), "_settings": F.try_parse_json("device_settings"),
+    done = values.withColumns({
+        "reporting_interval_seconds": F.coalesce(first(INTERVAL_PATHS), first(INTERVAL_MINUTE_PATHS) * 60), "connection_budget_seconds": first(BUDGET_PATHS),
+        **{h: hour(p) for h, p in hours.items()}, "time_zone": F.col(name[zone]),
     })
-    return parsed.withColumns({
-        "reporting_interval_seconds": F.coalesce(_seconds(INTERVAL_PATHS), _seconds(INTERVAL_MINUTE_PATHS) * 60),
-        "connection_budget_seconds": _seconds(BUDGET_PATHS),
-        "open_hour": _hour(("timing", "openHour")),
-        "close_hour": _hour(("timing", "closeHour")),
-        "time_zone": effective(("timing", "timezone"), json_text),
-    }).drop("_defaults", "_settings")
+    return done.drop("_defaults", "_settings", *[f"{n}{end}" for n in name.values() for end in ("", "_own", "_default")], *[f"_{kind}_{g}" for g in groups for kind in ("group", "replaced")])
 
 
 def reporting_expectation(devices: DataFrame, as_of: str, allowance: float = TRANSPORT_ALLOWANCE_SECONDS) -> DataFrame:
