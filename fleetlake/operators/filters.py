@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 HEALTH_STATUSES = ("healthy", "warning", "critical", "unknown")
 SEVERITIES = ("low", "medium", "high")
 FULL_ID = "^[a-fA-F0-9]{24}$"
-GRAM = 3
 
 
 def utc(text: str | datetime) -> datetime:
@@ -139,45 +138,43 @@ def select_devices(devices: DataFrame, selectors: DataFrame) -> DataFrame:
     """Match selectors to devices: full id, then exact name, then partial name, ignoring case.
 
     Returns one row per selector: ``device_id`` when unique, ``matches`` and ``match`` (id, exact, partial,
-    ambiguous or none). Only a full id is taken for an id; a device without a name goes by its id. Ids and exact names
-    are equality joins; a partial match is an equality join on the selector's letter triple that the fewest names
-    have, then verified, so a prefix that all names share is no join key.
+    ambiguous or none). Only a full id is taken for an id; a device without a name goes by its id. All three kinds are equality
+    joins: a name offers its parts of the lengths that selectors have, so a partial match needs no check and no part that all names share is
+    compared with each of them. Both sides of the join grow with their tables and are shuffled; only the distinct lengths reach the driver.
     """
     shown = F.coalesce(F.nullif(F.trim("device_name"), F.lit("")), F.col("device_id"))
     wanted = selectors.select("selector").distinct()
     full, lower = F.col("selector").rlike(FULL_ID), F.lower("selector")
-    asked = wanted.filter(~full).withColumn("_gram", F.explode(F.filter(_grams(lower), lambda g: F.length(g) == F.least(F.length("selector"), F.lit(GRAM)))))
     named = devices.select("device_id", F.lower(shown).alias("_name"))
-    use = named.select(F.explode(_grams(F.col("_name"))).alias("_gram")).join(asked.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_uses"))
-    rarest = F.min(F.struct(F.coalesce("_uses", F.lit(0)), "_gram"))["_gram"]
-    chosen = asked.join(use, "_gram", "left").groupBy("selector").agg(rarest.alias("_gram"))
+    lengths = wanted.filter(~full & (F.length(lower) > 0)).agg(F.collect_set(F.length(lower))).scalar()
 
     def key(kind: str, text: Column) -> Column:
         return F.struct(F.lit(kind).alias("match"), text.alias("_key"))
 
-    keys = F.when(full, F.array(key("id", F.col("selector")))).otherwise(F.array(key("exact", lower), key("partial", F.col("_gram"))))
-    asks = wanted.join(chosen, "selector", "left").select("selector", F.inline(keys)).filter(F.col("_key").isNotNull())
-    # One join for all three kinds; only keys that are asked for leave the device table.
-    held = F.concat(F.array(key("id", F.col("device_id")), key("exact", F.col("_name"))), F.transform(_grams(F.col("_name")), lambda g: key("partial", g)))
-    offered = named.select("device_id", "_name", F.inline(held)).join(asks.select("match", "_key").distinct(), ["match", "_key"], "left_semi")
-    hits = asks.join(offered, ["match", "_key"]).filter((F.col("match") != "partial") | F.col("_name").contains(lower))
-    per_kind = hits.groupBy("selector", "match").agg(F.count(F.lit(1)).alias("matches"), F.min("device_id").alias("device_id"))
-    rank = F.when(F.col("match") == "id", 0).when(F.col("match") == "exact", 1).otherwise(2)
-    found = per_kind.groupBy("selector").agg(F.min_by(F.struct("matches", "device_id", "match"), rank).alias("_best")).select("selector", "_best.*")
-    return wanted.join(found, "selector", "left").select(
+    keys = F.when(full, F.array(key("id", F.col("selector")))).otherwise(F.array(key("exact", lower), key("partial", lower)))
+    asks = wanted.select("selector", F.inline(keys)).filter(F.col("_key").isNotNull())
+    whole = named.select("device_id", F.inline(F.array(key("id", F.col("device_id")), key("exact", F.col("_name")))))
+    sized = named.withColumn("_size", F.explode(lengths)).filter(F.col("_size") <= F.length("_name"))
+    offered = whole.unionByName(sized.select("device_id", F.lit("partial").alias("match"), F.explode(_parts(F.col("_name"), F.col("_size"))).alias("_key")))
+    # The estimate of an exploded table knows nothing of its rows: without the hint it may be broadcast at any size.
+    hits = offered.join(asks.hint("shuffle_hash"), ["match", "_key"]).select("selector", "match", "device_id")
+    none = F.lit(None).cast("string")
+    of = {k: F.when(F.col("match") == k, F.struct("device_id")) for k in ("id", "exact", "partial")}
+    found = hits.unionByName(wanted.select("selector", none.alias("match"), none.alias("device_id"))).groupBy("selector").agg(
+        *[F.struct(F.count(c).alias("matches"), F.min(c["device_id"]).alias("device_id"), F.lit(k).alias("match")).alias(k) for k, c in of.items()]
+    )
+    best = F.when(F.col("id.matches") > 0, F.col("id")).when(F.col("exact.matches") > 0, F.col("exact")).otherwise(F.col("partial"))
+    return found.select("selector", best.alias("_best")).select("selector", "_best.*").select(
         "selector",
         F.when(F.col("matches") == 1, F.col("device_id")).alias("device_id"),
-        F.coalesce("matches", F.lit(0)).cast("bigint").alias("matches"),
-        F.when(F.col("matches") > 1, "ambiguous").otherwise(F.coalesce("match", F.lit("none"))).alias("match"),
+        "matches",
+        F.when(F.col("matches") > 1, "ambiguous").when(F.col("matches") == 1, F.col("match")).otherwise("none").alias("match"),
     )
 
 
-def _grams(text):
-    """Distinct letter groups of one, two and three letters."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    return F.array_distinct(F.flatten(F.transform(starts, lambda s: F.transform(
-        F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substr(text, s, n)
-    ))))
+def _parts(text: Column, size: Column) -> Column:
+    """Distinct parts of a text that have ``size`` letters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda s: F.substr(text, s, size)))
 
 
 def truncated(df: DataFrame, key: list[str], limit: int) -> DataFrame:

@@ -72,3 +72,9 @@ def test_counts_take_one_scan_and_one_shuffle(spark):
 def test_selectors_scan_each_table_twice(spark):
     plan = plan_of(QUERIES["f9_device_selector"](spark, SF)).split("Initial Plan")[-1]
     assert plan.count("FileScan") <= 12
+
+
+def test_selectors_broadcast_nothing(spark):
+    """Exploded keys are many more rows than the estimate knows of."""
+    plan = plan_of(QUERIES["f9_device_selector"](spark, SF)).split("Initial Plan")[-1]
+    assert "Broadcast" not in plan and plan.count("ShuffledHashJoin") == 1
