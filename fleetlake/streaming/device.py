@@ -11,7 +11,6 @@ import uuid
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,7 +18,7 @@ from fleetlake.functions.values import iso
 from fleetlake.operators import history, ledgers, state
 from fleetlake.operators.normalize import METRICS
 from fleetlake.sources.versions import BATCH, Files, Versions
-from fleetlake.streaming.keyed import Memory, carried, from_micros, in_micros, keyed, struct, texts_of
+from fleetlake.streaming.keyed import Memory, from_micros, in_micros, keyed, struct
 
 ARRIVAL = [
     *state.KEY, "received_at", "event_time", "event_time_text", "event_id", "event_type", "plane", "source_type", "payload_digest", "device_name",
@@ -45,65 +44,49 @@ FOLDED = ", ".join([
 ])
 
 
-FOLDED_NAMES = struct(FOLDED).names
-INTEGERS = {**{c: "Int64" for c in (*INSTANTS, "recent_serial_error_count")}, "http_status": "Int32"}
-WHOLE = ("last_event_time", "last_application_report_at", "recent_serial_error_count")
+AFTER = ("serial_category", "last_serial_log_line", "recent_serial_error_count", "last_application_report_at", "health_status")
+NUMBERS = ("battery", "connect_time", "alert_count")
+SIGNS = ("watchdog_detected", "reconnect_detected", "reset_detected")
 
 
-def own_status(plane, battery, connect_time, alert_count, severity, watchdog, reconnect, reset) -> np.ndarray:
-    """``state.own_health`` over arrays; absent values are None."""
-    def number(values) -> np.ndarray:
-        return np.array([np.nan if v is None else v for v in values], float)
+def own_status(*columns) -> np.ndarray:
+    """``state.own_health`` over columns of values; absent values are None."""
+    out = np.empty(len(columns[0]), object)
+    out[:] = [_status(*values) for values in zip(*columns)]
+    return out
 
-    def true(values) -> np.ndarray:
-        return np.array([v is True or v is np.True_ for v in values], bool)
 
-    battery, connect_time, alert_count = number(battery), number(connect_time), number(alert_count)
-    error, warn, serial = severity == "ERROR", severity == "WARN", plane == "serial"
-    with np.errstate(invalid="ignore"):
-        critical = np.where(serial, error | true(watchdog), (battery < 20) | (alert_count > 0) | (connect_time > 300) | error)
-        warning = np.where(serial, warn | true(reconnect) | true(reset), (battery < 30) | (connect_time > 180) | warn)
-    signal = ~np.isnan(battery) | ~np.isnan(connect_time) | ~np.isnan(alert_count) | np.array([s is not None for s in severity], bool)
-    out = np.where(critical, "critical", np.where(warning, "warning", np.where(signal, "healthy", "unknown"))).astype(object)
-    out[serial & ~critical.astype(bool) & ~warning.astype(bool)] = None
-    return out
+def _status(plane, battery, connect_time, alert_count, severity, watchdog, reconnect, reset) -> str | None:
+    serial = plane == "serial"
+    if serial:
+        critical, warning = severity == "ERROR" or watchdog is True, severity == "WARN" or reconnect is True or reset is True
+    else:
+        low, slow = 100 if battery is None else battery, 0 if connect_time is None else connect_time
+        critical = severity == "ERROR" or low < 20 or slow > 300 or alert_count is not None and alert_count > 0
+        warning = severity == "WARN" or low < 30 or slow > 180
+    if critical or warning or serial:
+        return "critical" if critical else "warning" if warning else None
+    return "unknown" if battery is None and connect_time is None and alert_count is None and severity is None else "healthy"
 
 
-def fold(rows: pd.DataFrame, saved: dict | None, triggers: Memory | None = None) -> tuple[pd.DataFrame, dict | None]:
+def fold(rows: list[dict], saved: dict | None, triggers: Memory | None = None) -> tuple[list[dict], dict | None]:
     """The rows of one device in arrival order, continued from its saved state; failed fetches take time and id of their trigger."""
-    arrivals = rows[rows["kind"] == "arrival"].reset_index(drop=True)
-    fetches = rows[rows["kind"] == "fetch"].reset_index(drop=True)
-    out, new = [], None
-    if len(arrivals):
-        done = _folded(arrivals, saved)
-        last = done.iloc[-1]
-        new = {
-            "device_name": last["eff_device_name"], "last_event_time": last["event_time"], "last_application_report_at": last["last_application_report_at"],
-            **{c: last[f"eff_{c}"] for c in LAST}, "serial_category": last["serial_category"], "last_serial_log_line": last["last_serial_log_line"],
-            "recent_serial_error_count": last["recent_serial_error_count"], "health_status": last["health_status"],
-        }
-        new = {k: int(v) if k in WHOLE and not pd.isna(v) else v for k, v in new.items()}
-        out.append(done)
-    if len(fetches) or triggers is not None:
+    arrivals = [r for r in rows if r["kind"] == "arrival"]
+    fetches = [r for r in rows if r["kind"] == "fetch"]
+    out, new = _folded(arrivals, saved) if arrivals else ([], None)
+    if fetches or triggers is not None:
         # A fetch may land with its trigger or in a later batch.
-        waiting = {e: (None if pd.isna(t) else int(t), text, int(r)) for e, t, text, r, wanted in zip(
-            *(arrivals[c] for c in ("event_id", "event_time", "event_time_text", "received_at", "is_trigger"))) if wanted is True or wanted is np.True_}
-        causes = {e: waiting.get(e) or (triggers.get(e) if triggers is not None else None) for e in fetches["trigger_event_id"] if not pd.isna(e)}
+        waiting = {r["event_id"]: (r["event_time"], r["event_time_text"], r["received_at"]) for r in arrivals if r["is_trigger"]}
+        asked = {r["trigger_event_id"] for r in fetches} - {None}
+        causes = {e: waiting.get(e) or (triggers.get(e) if triggers is not None else None) for e in asked}
         if triggers is not None:
-            _remember(triggers, waiting, set(causes), rows["received_at"].max())
-        failed = fetches[fetches["outcome"] != "ok"].astype(object)
-        if len(failed):
-            found = [causes.get(e) for e in failed["trigger_event_id"]]
-            out.append(failed.assign(
-                event_id=[e if c else None for e, c in zip(failed["trigger_event_id"], found)],
-                event_time=[c[0] if c else None for c in found], event_time_text=[c[1] if c else None for c in found],
-            ))
-    if not out:
-        return pd.DataFrame({c: pd.Series(dtype=object) for c in FOLDED_NAMES}), new
-    done = pd.concat([o.reindex(columns=FOLDED_NAMES) for o in out], ignore_index=True) if len(out) > 1 else out[0].reindex(columns=FOLDED_NAMES)
-    for c, kind in INTEGERS.items():
-        done[c] = pd.array([None if pd.isna(v) else int(v) for v in done[c]], kind)
-    return done, new
+            _remember(triggers, waiting, asked, max((r["received_at"] for r in rows if r["received_at"] is not None), default=0))
+        for r in fetches:
+            if r["outcome"] != "ok":
+                cause = causes.get(r["trigger_event_id"])
+                event_id, (time, text, _) = (r["trigger_event_id"], cause) if cause else (None, (None, None, None))
+                out.append({**r, "event_id": event_id, "event_time": time, "event_time_text": text})
+    return out, new
 
 
 def _remember(triggers: Memory, waiting: dict, answered: set, now) -> None:
@@ -116,34 +99,35 @@ def _remember(triggers: Memory, waiting: dict, answered: set, now) -> None:
         triggers.put(e, v)
     if left:
         for e, (_, _, received) in triggers.items():
-            if received < now - TRIGGER_HOURS * 3_600_000_000:
+            if received is not None and received < now - TRIGGER_HOURS * 3_600_000_000:
                 triggers.drop(e)
 
 
-def _folded(rows: pd.DataFrame, saved: dict | None) -> pd.DataFrame:
-    saved = saved or {}
-    own = {c: texts_of(rows[c]) for c in rows.columns}
-    n, plane, kind = len(rows), own["plane"], own["event_type"]
-    out = {c: own[c] for c in ("kind", *state.KEY, "received_at", "event_time", "event_time_text", "event_id", "event_type", "plane", "source_type", "payload_digest", "fw_version", "severity")}
-    before = {}
-    for c in LAST:
-        out[f"eff_{c}"], before[c] = carried(own[c], saved.get(c))
-    category = np.empty(n, object)
-    category[:] = [(v,) if p == "serial" else None for v, p in zip(own["serial_category"], plane)]
-    out["serial_category"] = np.array([v[0] for v in carried(category, (saved.get("serial_category"),))[0]], object)
-    out["last_serial_log_line"] = carried(np.where(kind == "serial.log", own["serial_log_line"], None), saved.get("last_serial_log_line"))[0]
-    named = next((v for v in own["device_name"] if v is not None), None)
-    first = next((i for i, v in enumerate(own["device_name"]) if v is not None), n)
-    out["eff_device_name"] = np.array([saved["device_name"] if saved.get("device_name") is not None else named if i >= first else None for i in range(n)], object)
-    out["recent_serial_error_count"] = (saved.get("recent_serial_error_count") or 0) + np.cumsum(own["severity"] == "ERROR")
-    out["last_application_report_at"] = carried(np.where(plane == "telemetry", own["event_time"], None), saved.get("last_application_report_at"))[0]
-    out["prev_fw_version"], out["prev_battery"] = before["fw_version"], before["battery"]
-    out["prev_event_time"] = np.concatenate([np.array([saved.get("last_event_time")], object), own["event_time"][:-1]])
-    status = own_status(plane, *(out[f"eff_{c}"] for c in ("battery", "connect_time", "alert_count")), own["severity"],
-                        *(out[f"eff_{c}"] for c in ("watchdog_detected", "reconnect_detected", "reset_detected")))
-    out["health_status"] = np.array([v or "unknown" for v in carried(status, saved.get("health_status"))[0]], object)
-    out["newest"] = np.arange(n) == n - 1
-    return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in out.items()})
+def _folded(rows: list[dict], saved: dict | None) -> tuple[list[dict], dict]:
+    """Every row with the state after it, and the last state."""
+    now = dict(saved) if saved else dict.fromkeys(struct(STATE).names)
+    now["recent_serial_error_count"] = now["recent_serial_error_count"] or 0
+    out = []
+    for r in rows:
+        before = {"prev_fw_version": now["fw_version"], "prev_battery": now["battery"], "prev_event_time": now["last_event_time"]}
+        for c in LAST:
+            if r[c] is not None:
+                now[c] = r[c]
+        if r["plane"] == "serial":
+            now["serial_category"] = r["serial_category"]
+        if r["event_type"] == "serial.log" and r["serial_log_line"] is not None:
+            now["last_serial_log_line"] = r["serial_log_line"]
+        if now["device_name"] is None:
+            now["device_name"] = r["device_name"]
+        if r["severity"] == "ERROR":
+            now["recent_serial_error_count"] += 1
+        if r["plane"] == "telemetry" and r["event_time"] is not None:
+            now["last_application_report_at"] = r["event_time"]
+        now["last_event_time"] = r["event_time"]
+        now["health_status"] = _status(r["plane"], *map(now.get, NUMBERS), r["severity"], *map(now.get, SIGNS)) or now["health_status"] or "unknown"
+        out.append({**r, **{c: now[c] for c in AFTER}, **{f"eff_{c}": now[c] for c in (*LAST, "device_name")}, **before, "newest": False})
+    out[-1]["newest"] = True
+    return out, now
 
 
 def device_rows(arrivals: DataFrame, trigger_names: Sequence[str] = ()) -> DataFrame:

@@ -1,8 +1,9 @@
 """Keyed state of the streaming jobs: a state store holds what each key needs, so that a batch costs what its own rows cost.
 
-A step sees the rows of one key in one batch, in order, and the key's saved value; it returns rows and the value to save. The state store is RocksDB
-with change logs, so a batch writes the keys it touched. Spark deals keys to tasks and hands a key's rows over in Arrow batches; the
-rows of one key in one batch are held by its task, which the trigger bounds (``maxFilesPerTrigger``). Backlogs
+A step sees the rows of one key in one batch, as dicts in order, and the key's saved value; it returns rows and the value to save. The state store is
+RocksDB with change logs, so a batch writes the keys it touched. Spark deals keys to tasks and hands rows over one by one: most keys have few rows
+in a batch, so that a data frame for each key would cost many times the work on its rows. The rows of one key in one batch are
+held by its task, which the trigger bounds (``maxFilesPerTrigger``). Backlogs
 are folded in batch first, where large keys are cut into slices, and continue from there (``initial``).
 
 Instants travel as microseconds. Steps are pure: a batch that runs again starts from the same saved values and gives the same rows.
@@ -12,9 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
@@ -43,20 +42,9 @@ def from_micros(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumns({n: F.timestamp_micros(n) for n in names if n in df.columns})
 
 
-def texts_of(values: pd.Series) -> np.ndarray:
-    """Values as objects, absent ones as None."""
-    out = values.to_numpy(dtype=object, copy=True)
-    out[pd.isna(out)] = None
-    return out
-
-
-def carried(values: np.ndarray, seed) -> tuple[np.ndarray, np.ndarray]:
-    """The last value up to each row, and up to the row before it; ``seed`` counts before the first."""
-    seen = np.array([v is not None for v in values], bool)
-    at = np.maximum.accumulate(np.where(seen, np.arange(1, len(values) + 1), 0)) if len(values) else np.zeros(0, np.int64)
-    pool = np.empty(len(values) + 1, object)
-    pool[0], pool[1:] = seed, values
-    return pool[at], pool[np.concatenate([[0], at[:-1]]).astype(np.int64)] if len(values) else pool[at]
+def place(row: dict, order: list[str]) -> tuple:
+    """Where a row stands in an order; absent values come first."""
+    return tuple(v for c in order for v in (row[c] is not None, row[c]))
 
 
 class Memory:
@@ -78,44 +66,45 @@ class Memory:
         return [(k[0], v) for k, v in self.values.iterator()]
 
 
+Step = Callable[[list[dict], dict | None, Memory | None], tuple[list[dict], dict | None]]
+
+
 class Keyed(StatefulProcessor):
-    """Applies ``step(rows, saved, memory)`` per key; ``saved`` is a dict of the state's fields, or None."""
+    """Applies ``step(rows, saved, memory)`` per key; rows and ``saved`` are dicts, ``saved`` is None for a new key."""
 
-    def __init__(self, step: Callable[[pd.DataFrame, dict | None, Memory | None], tuple[pd.DataFrame, dict | None]], state: str, order: list[str], remembered: str | None):
-        self.step, self.schema, self.order, self.remembered = step, state, order, remembered
+    def __init__(self, step: Step, state: str, order: list[str], output: list[str], remembered: str | None):
+        self.step, self.schema, self.order, self.output, self.remembered = step, state, order, output, remembered
         self.fields = struct(state).names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value, self.memory = handle.getValueState("saved", self.schema), None
+        self.value, self.memory, self.row = handle.getValueState("saved", self.schema), None, Row(*self.output)
         if self.remembered:
             self.memory = Memory(handle.getMapState("remembered", "name string", self.remembered))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable", na_position="first", ignore_index=True)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        ordered = sorted((dict(zip(r.__fields__, r)) for r in rows), key=lambda r: place(r, self.order))
         saved = self.value.get()
-        out, new = self.step(frame, dict(zip(self.fields, saved)) if saved is not None else None, self.memory)
+        out, new = self.step(ordered, dict(zip(self.fields, saved)) if saved is not None else None, self.memory)
         if new is not None:
-            self.value.update(tuple(None if pd.isna(v) else v for v in (new[f] for f in self.fields)))
-        # Columns without a value are floats to pandas, whatever their type is to Spark.
-        empty = out.columns[out.isna().all()]
-        yield out.astype({c: object for c in out.columns if c in empty or isinstance(out[c].dtype, pd.StringDtype)})
+            self.value.update(tuple(new[f] for f in self.fields))
+        return (self.row(*map(r.get, self.output)) for r in out)
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.iloc[0]
-        self.value.update(tuple(None if pd.isna(row[f]) else row[f].item() if isinstance(row[f], np.generic) else row[f] for f in self.fields))
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.value.update(tuple(initialState[f] for f in self.fields))
 
     def close(self) -> None:
         pass
 
 
-def keyed(rows: DataFrame, key: list[str], step, state: str, order: list[str], output: str | StructType, initial: DataFrame | None = None,
+def keyed(rows: DataFrame, key: list[str], step: Step, state: str, order: list[str], output: str | StructType, initial: DataFrame | None = None,
           remembered: str | None = None) -> DataFrame:
     """The rows that ``step`` returns for the keys of every batch.
 
     ``initial`` has the state's fields of keys to start from; ``remembered`` is the type of the small values that a key may remember.
     """
     use_state_store(rows.sparkSession)
-    return rows.groupBy(*key).transformWithStateInPandas(
-        statefulProcessor=Keyed(step, state, order, remembered), outputStructType=struct(output) if isinstance(output, str) else output,
+    made = struct(output) if isinstance(output, str) else output
+    return rows.groupBy(*key).transformWithState(
+        statefulProcessor=Keyed(step, state, order, made.names, remembered), outputStructType=made,
         outputMode="append", timeMode="none", initialState=initial.groupBy(*key) if initial is not None else None,
     )

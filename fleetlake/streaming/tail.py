@@ -5,53 +5,33 @@ Cursors lie in the state store; what a batch passes on is written under its batc
 
 from __future__ import annotations
 
-from functools import partial
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
 from fleetlake.operators.ledgers import FETCH_KEY, FETCH_ORDER, changed_snapshots
 from fleetlake.sources import tables
-from fleetlake.streaming.keyed import Memory, from_micros, in_micros, keyed
+from fleetlake.streaming.keyed import Memory, from_micros, in_micros, keyed, place
 
 POSITION = ["event_time", "event_id"]
 
 
-def after_cursor(rows: pd.DataFrame, saved: dict | None, memory: Memory | None = None) -> tuple[pd.DataFrame, dict | None]:
+def after_cursor(rows: list[dict], saved: dict | None, memory: Memory | None = None) -> tuple[list[dict], dict | None]:
     """The events of one device after its cursor, once each and in order; an event without a time comes before all others."""
-    rows = rows.drop_duplicates(POSITION)
-    times = rows["event_time"].astype("Int64")
-    if saved:
-        at, ident = saved["event_time"], saved["event_id"]
-        known = times.notna()
-        if at is None:
-            rows = rows[known | (rows["event_id"] > ident)]
-        else:
-            same = known & (times.fillna(0) == at)
-            rows = rows[(known & (times.fillna(0) > at)) | (same & (rows["event_id"] > ident))]
-    if rows.empty:
-        return rows, None
-    last = rows.iloc[-1]
-    return rows, {"event_time": None if pd.isna(last["event_time"]) else int(last["event_time"]), "event_id": last["event_id"]}
-
-
-def _typed(rows: pd.DataFrame, integers: list[str]) -> pd.DataFrame:
-    return rows.assign(**{c: rows[c].astype("Int64") for c in integers})
-
-
-def _step(rows, saved, memory, step, integers):
-    out, new = step(rows, saved, memory)
-    return _typed(out, integers), new
+    fresh, last = [], place(saved, POSITION) if saved else None
+    for r in rows:
+        at = place(r, POSITION)
+        if last is None or at > last:
+            fresh.append(r)
+            last = at
+    return fresh, {c: fresh[-1][c] for c in POSITION} if fresh else None
 
 
 def _keyed(rows: DataFrame, key: list[str], step, state: str, order: list[str], schema: StructType) -> DataFrame:
     """``keyed`` for steps that return columns of the rows; instants come back as such."""
     instants = [f.name for f in schema if isinstance(f.dataType, TimestampType)]
     sent = StructType([StructField(f.name, f.dataType if f.name not in instants else LongType()) for f in schema])
-    integers = [f.name for f in sent if f.dataType.typeName() in ("long", "integer")]
-    return from_micros(keyed(in_micros(rows), key, partial(_step, step=step, integers=integers), state, order, sent), instants)
+    return from_micros(keyed(in_micros(rows), key, step, state, order, sent), instants)
 
 
 def start_tail(events: DataFrame, out: str, **trigger) -> StreamingQuery:
@@ -80,11 +60,11 @@ def start_bounded_tail(events: DataFrame, out: str, late: str = "1 hour", **trig
     )
 
 
-def with_before(rows: pd.DataFrame, saved: dict | None, memory: Memory | None = None) -> tuple[pd.DataFrame, dict]:
+def with_before(rows: list[dict], saved: dict | None, memory: Memory | None = None) -> tuple[list[dict], dict]:
     """The snapshots of one ledger with the time of the one before."""
-    times = [int(t) for t in rows["updated_at"]]
+    times = [r["updated_at"] for r in rows]
     before = [saved["updated_at"] if saved else None, *times[:-1]]
-    return rows.assign(before=pd.array(before, "Int64")), {"updated_at": times[-1]}
+    return [{**r, "before": b} for r, b in zip(rows, before)], {"updated_at": times[-1]}
 
 
 def start_snapshot_tail(accepted: DataFrame, out: str, **trigger) -> StreamingQuery:
