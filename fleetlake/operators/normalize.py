@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -190,9 +191,14 @@ def normalize(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     )
 
 
-def event_index(arrivals: DataFrame) -> DataFrame:
+INDEX_ORDER = ["event_date", "device_id", "event_time", "event_time_text"]
+
+
+def event_index(arrivals: DataFrame, dealt: Sequence[str] = ()) -> DataFrame:
     """One row per (device, event time as sent), the last received wins.
 
-    The text is the key: times that cannot be read, or that name one instant in two ways, are different events.
+    The text is the key: times that cannot be read, or that name one instant in two ways, are different events. ``dealt`` names columns
+    that the key fixes, by whose ranges the rows are dealt already (``INDEX_ORDER``): rows of one key lie together and do not move again.
     """
-    return newest(arrivals, ["device_id", "event_time_text"], [F.col("received_at").desc(), F.col("event_id").desc()])
+    key = dealt or ["device_id", "event_time_text"]
+    return newest(arrivals, [*key], [F.col("received_at").desc(), F.col("event_id").desc()])

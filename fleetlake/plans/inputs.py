@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from functools import lru_cache
 
@@ -10,22 +11,30 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fleetlake.functions.values import iso
 from fleetlake.operators import state
 from fleetlake.operators.archive import archive_records, payloads as payloads_of
-from fleetlake.operators.normalize import event_index, normalize
+from fleetlake.operators.normalize import INDEX_ORDER, event_index, normalize
 from fleetlake.operators.ordered import Slices, plan_slices
 from fleetlake.session import shared_folder
-from fleetlake.sources.tables import read_event_index, write_arrivals, write_event_index, write_payloads, write_states
+from fleetlake.sources.tables import read_event_index, write_arrivals, write_dealt_index, write_payloads, write_states
 
 AS_OF = "2024-01-31 00:00:00"
 POSIX_EASTERN = "EST5EDT,M3.2.0/2:00:00,M11.1.0/2:00:00"
 
 
+ROWS_PER_TASK = 50_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, *order: str) -> DataFrame:
+    """Ranges of about ``ROWS_PER_TASK`` rows of a stored table, however its files are split: tasks grow in number, not in time and memory."""
+    return rows.repartitionByRange(max(1, math.ceil(rows.count() / ROWS_PER_TASK)), *order)
+
+
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Webhook bodies: JSON payloads plain, entity-encoded, without opening brace or truncated; serial lines."""
-    e = table(spark, sf_dir, "events").withColumns({
+    e = dealt(table(spark, sf_dir, "events"), "ts", "event_id").withColumns({
         "n": F.col("event_id"),
         "ks": F.regexp_extract("props", "([0-9]+)", 1),
         "et": F.col("event_type"),
@@ -103,7 +112,8 @@ def arrivals_from_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_from_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The de-duplicated event index of the stored arrivals: bodies are parsed once."""
-    return event_index(arrivals(spark, sf_dir).drop("event_date"))
+    rows = arrivals(spark, sf_dir).withColumn("event_date", F.to_date("event_time"))
+    return event_index(dealt(rows, *INDEX_ORDER), INDEX_ORDER).drop("event_date")
 
 
 def states_from_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +131,7 @@ def _stored(application: str, sf_dir: str, name: str) -> str:
     return path
 
 
-TABLES = {"arrivals": (arrivals_from_raw, write_arrivals), "index": (index_from_arrivals, write_event_index), "states": (states_from_arrivals, write_states)}
+TABLES = {"arrivals": (arrivals_from_raw, write_arrivals), "index": (index_from_arrivals, write_dealt_index), "states": (states_from_arrivals, write_states)}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

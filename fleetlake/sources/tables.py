@@ -32,6 +32,11 @@ def write_event_index(index: DataFrame, path: str, mode: str = "append") -> None
     _write_by_date(dated.repartitionByRange("event_date", "device_id", "event_time"), path, mode, "device_id", "event_time")
 
 
+def write_dealt_index(index: DataFrame, path: str, mode: str = "append") -> None:
+    """The same layout for an index whose rows were dealt by date, device and time before the de-duplication: nothing moves again."""
+    _write_by_date(index.withColumn("event_date", F.to_date("event_time")), path, mode, "device_id", "event_time")
+
+
 def write_states(states: DataFrame, path: str, mode: str = "append") -> None:
     """One row per device, sorted by project and device inside the files."""
     states.sortWithinPartitions("project_id", "device_id").write.mode(mode).parquet(path)
