@@ -2,7 +2,8 @@
 
 A step sees the rows of one key in one batch, as dicts in order, and the key's saved value; it returns rows and the value to save. The state store is
 RocksDB with change logs, so a batch writes the keys it touched. Spark deals keys to tasks and hands rows over one by one: most keys have few rows
-in a batch, so that a data frame for each key would cost many times the work on its rows. The rows of one key in one batch are
+in a batch, so that a data frame for each key would cost many times the work on its rows. Spark turns every cell of a row into a Python value by a call
+of its own, which costs more than the steps do; plain columns therefore travel as one text a row, both ways. The rows of one key in one batch are
 held by its task, which the trigger bounds (``maxFilesPerTrigger``). Backlogs
 are folded in batch first, where large keys are cut into slices, and continue from there (``initial``).
 
@@ -11,6 +12,7 @@ Instants travel as microseconds. Steps are pure: a batch that runs again starts
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
@@ -28,6 +30,29 @@ def struct(columns: str) -> StructType:
     return StructType([StructField(name, KINDS[kind]) for name, kind in (c.split() for c in columns.split(","))])
 
 
+PACKED = "_packed"
+PLAIN = (StringType, LongType, IntegerType, DoubleType, BooleanType)  # types whose values keep their kind and every digit as JSON
+
+
+def loose(schema: StructType) -> StructType:
+    """The columns that travel as such."""
+    return StructType([f for f in schema if not isinstance(f.dataType, PLAIN)])
+
+
+def packed(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The key, the columns that are not plain, and the plain ones as one JSON text; absent values are left out of it."""
+    apart = loose(rows.schema).names
+    text = F.to_json(F.struct(*[c for c in rows.columns if c not in apart], F.lit(1).alias(PACKED)))
+    return rows.select(*key, *[c for c in apart if c not in key], text.alias(PACKED))
+
+
+def unpacked(rows: DataFrame, schema: StructType) -> DataFrame:
+    apart = loose(schema).names
+    plain = StructType([f for f in schema if f.name not in apart])
+    read = rows.withColumn(PACKED, F.from_json(PACKED, plain))
+    return read.select(*[F.col(c if c in apart else f"{PACKED}.{c}").alias(c) for c in schema.names])
+
+
 def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
@@ -72,22 +97,32 @@ Step = Callable[[list[dict], dict | None, Memory | None], tuple[list[dict], dict
 class Keyed(StatefulProcessor):
     """Applies ``step(rows, saved, memory)`` per key; rows and ``saved`` are dicts, ``saved`` is None for a new key."""
 
-    def __init__(self, step: Step, state: str, order: list[str], output: list[str], remembered: str | None):
-        self.step, self.schema, self.order, self.output, self.remembered = step, state, order, output, remembered
-        self.fields = struct(state).names
+    def __init__(self, step: Step, state: str, order: list[str], columns: list[str], output: StructType, remembered: str | None):
+        self.step, self.schema, self.order, self.remembered = step, state, order, remembered
+        self.fields, self.absent, self.apart = struct(state).names, dict.fromkeys(columns), loose(output).names
+        self.plain = [c for c in output.names if c not in self.apart]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value, self.memory, self.row = handle.getValueState("saved", self.schema), None, Row(*self.output)
+        self.value, self.memory, self.row = handle.getValueState("saved", self.schema), None, Row(*self.apart, PACKED)
         if self.remembered:
             self.memory = Memory(handle.getMapState("remembered", "name string", self.remembered))
 
+    def read(self, row: Row) -> dict:
+        cells = dict(zip(row.__fields__, row))
+        read = {**self.absent, **cells, **json.loads(cells[PACKED])}
+        del read[PACKED]
+        return read
+
+    def written(self, row: dict) -> Row:
+        return self.row(*map(row.get, self.apart), json.dumps({c: row[c] for c in self.plain if row.get(c) is not None}))
+
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        ordered = sorted((dict(zip(r.__fields__, r)) for r in rows), key=lambda r: place(r, self.order))
+        ordered = sorted(map(self.read, rows), key=lambda r: place(r, self.order))
         saved = self.value.get()
         out, new = self.step(ordered, dict(zip(self.fields, saved)) if saved is not None else None, self.memory)
         if new is not None:
             self.value.update(tuple(new[f] for f in self.fields))
-        return (self.row(*map(r.get, self.output)) for r in out)
+        return map(self.written, out)
 
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:
         self.value.update(tuple(initialState[f] for f in self.fields))
@@ -104,7 +139,9 @@ def keyed(rows: DataFrame, key: list[str], step: Step, state: str, order: list[s
     """
     use_state_store(rows.sparkSession)
     made = struct(output) if isinstance(output, str) else output
-    return rows.groupBy(*key).transformWithState(
-        statefulProcessor=Keyed(step, state, order, made.names, remembered), outputStructType=made,
+    sent = StructType([*loose(made), StructField(PACKED, StringType())])
+    returned = packed(rows, key).groupBy(*key).transformWithState(
+        statefulProcessor=Keyed(step, state, order, rows.columns, made, remembered), outputStructType=sent,
         outputMode="append", timeMode="none", initialState=initial.groupBy(*key) if initial is not None else None,
     )
+    return unpacked(returned, made)
