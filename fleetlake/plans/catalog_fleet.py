@@ -323,7 +323,7 @@ OVERLAY = """docs AS (SELECT CAST(c_custkey AS VARCHAR) AS device_id, '{"timing"
     UNION ALL SELECT device_id, path, value, 'override' FROM ol WHERE NOT (value = '{}' AND EXISTS (SELECT 1 FROM dl WHERE dl.device_id = ol.device_id AND starts_with(dl.path, ol.path || '.')))""", OVERLAY))
 def j8_overlay(spark, sf_dir):
     """Nested documents with keys that no fixed path names: effective values by path."""
-    c = inputs.table(spark, sf_dir, "customer")
+    c = inputs.dealt(inputs.table(spark, sf_dir, "customer"), "c_custkey")
     key, nk = F.col("c_custkey"), F.col("c_nationkey").cast("string")
     interval = F.when(F.col("c_nationkey") % 2 == 0, "3600").otherwise("7200")
     defaults = F.concat(F.lit('{"timing":{"reportingIntervalSec":'), interval, F.lit(',"window":{"open":6,"close":22,"days":["mon","tue"]}},"radio":{"bands":['), nk, F.lit('],"power":null,"apn":{}},"label":"n'), nk, F.lit('"}'))

@@ -197,7 +197,7 @@ def slices(spark: SparkSession, sf_dir: str, key: list[str], time: str, bucket_s
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vendor inventory rows as they arrive (ids and names under alternative fields)."""
-    c = table(spark, sf_dir, "customer")
+    c = dealt(table(spark, sf_dir, "customer"), "c_custkey")
     key = F.col("c_custkey")
     text = key.cast("string")
     return c.select(
@@ -215,7 +215,7 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ledger_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landing table of snapshot fetches: status and body, one row per order."""
-    o = table(spark, sf_dir, "orders")
+    o = dealt(table(spark, sf_dir, "orders"), "o_orderkey")
     key = F.col("o_orderkey")
     updated = iso(F.col("o_orderdate").cast("timestamp"))
     soc = F.pmod(F.floor("o_totalprice").cast("bigint"), F.lit(120)).cast("string")
@@ -247,7 +247,7 @@ def ledger_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Configuration JSON per device: defaults by nation, overrides for some devices."""
-    c = table(spark, sf_dir, "customer")
+    c = dealt(table(spark, sf_dir, "customer"), "c_custkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey")
     key, nk = F.col("c_custkey"), F.col("n_nationkey")
     zone = F.when(nk % 4 == 0, "America/New_York").when(nk % 4 == 1, "UTC").when(nk % 4 == 2, "Asia/Kolkata").otherwise(POSIX_EASTERN)

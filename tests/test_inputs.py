@@ -5,7 +5,7 @@ import datetime
 import pytest
 
 from fleetlake.operators.normalize import event_index
-from fleetlake.plans import inputs
+from fleetlake.plans import catalog_fleet, inputs
 
 PARTS = 6
 
@@ -32,7 +32,7 @@ def _rows(df):
     return sorted(map(repr, df.collect()))
 
 
-@pytest.mark.parametrize("built", [inputs.raw_events])
+@pytest.mark.parametrize("built", [inputs.raw_events, inputs.ledger_fetches, inputs.inventory])
 def test_tables_are_dealt_by_rows(spark, tmp_path, monkeypatch, built):
     sf_dir = _tables(spark, tmp_path)
     whole = _rows(built(spark, sf_dir))
@@ -50,3 +50,12 @@ def test_index_moves_rows_once(spark, tmp_path, monkeypatch):
     plan = built._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange") == 1
     assert _rows(built) == _rows(event_index(inputs.arrivals(spark, sf_dir).drop("event_date")))
+
+
+def test_overlay_reads_customers_in_parts(spark, tmp_path, monkeypatch):
+    sf_dir, seen, leaves = _tables(spark, tmp_path), [], catalog_fleet.overlay.leaves
+    whole = _rows(catalog_fleet.j8_overlay(spark, sf_dir))
+    monkeypatch.setattr(inputs, "ROWS_PER_TASK", 10, raising=False)
+    monkeypatch.setattr(catalog_fleet.overlay, "leaves", lambda docs, *a: (seen.append(docs.rdd.getNumPartitions()), leaves(docs, *a))[1])
+    assert _rows(catalog_fleet.j8_overlay(spark, sf_dir)) == whole
+    assert seen == [PARTS, PARTS]
