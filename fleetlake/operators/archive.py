@@ -15,12 +15,13 @@ PAYLOAD_METRICS = {
 }
 
 
-def archive_records(arrivals: DataFrame) -> DataFrame:
-    """One archive object per arrival: the payload as received, keyed and dated."""
+def archive_records(arrivals: DataFrame, details: dict[str, Column] | None = None) -> DataFrame:
+    """One archive object per arrival: the payload as received, keyed and dated. ``details``: further columns, read from the arrival."""
     return arrivals.select(
         "archive_key", F.substring("event_time_text", 1, 10).alias("event_date"), "device_id", "event_name",
         F.col("event_time_text").alias("published_at"), "received_at", "data", "data_type",
         F.col("legacy_fw_version").alias("fw_version"), "body_fields",
+        *[c.alias(name) for name, c in (details or {}).items()],
     )
 
 
