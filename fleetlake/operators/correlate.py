@@ -19,6 +19,11 @@ LOG_CATEGORIES = [
     ("reconnect", ["reconnect", "retry"]), ("modem", ["modem", "cellular"]), ("network", ["network", "connect"]),
     ("power", ["power", "battery"]), ("error", ["error", "fail"]),
 ]
+# What windows and evidence read of a member.
+MEMBER = [
+    *WINDOW, "event_time", "event_name", "log_line", "class", "member", "log_category", "lifecycle", "reset_cause",
+    "battery", "connect_time", "reset_count", "alert_count",
+]
 TELEMETRY_METRICS = ["battery", "connect_time", "temperature", "reset_count", "alert_count", "occupancy"]
 
 

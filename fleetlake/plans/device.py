@@ -174,9 +174,9 @@ def payload_summary(events: DataFrame, archive: DataFrame) -> DataFrame:
 
 
 def correlation(events: DataFrame, archive: DataFrame, minutes: float = 5, slices: Slices | str | None = AUTO, reused: bool = False):
-    """Members, windows and inferences of anchored windows; ``reused`` members are written once for all that reads them."""
+    """Members, windows and inferences of anchored windows; ``reused`` members are written once, with the columns that windows and evidence read."""
     members = correlate.window_members(events, archive, minutes, slices)
-    members = cut_lineage(members) if reused else members
+    members = cut_lineage(members.select(*correlate.MEMBER)) if reused else members
     windows = correlate.windows(members)
     return members, windows, correlate.inferences(windows)
 

@@ -1,10 +1,12 @@
-"""The archive of the registered queries: its rows follow the deliveries."""
+"""The archive of the registered queries: its rows follow the deliveries, and only what evidence reads is written."""
 
 import datetime
 
 from pyspark.sql import functions as F
 
+from fleetlake.operators import correlate
 from fleetlake.plans import inputs
+from fleetlake.plans.device import correlation
 
 COPIES = 12
 
@@ -29,3 +31,14 @@ def test_archive_has_one_row_per_delivery(spark, tmp_path):
         name, n = named[r.archive_key]
         wd = name == "watchdog-v2"
         assert (r.reset_cause, r.details, r.message) == (f"cause-{n}" if wd and n % 2 == 0 else None, "stack" if wd and n % 3 == 0 else None, "timer expired" if wd else None)
+
+
+def test_reused_members_hold_what_is_read(spark, tmp_path):
+    sf_dir = _events(spark, tmp_path)
+    index, archive = inputs.index(spark, sf_dir), inputs.reported_archive(spark, sf_dir)
+    whole = correlation(index, archive, 360)
+    kept = correlation(index, archive, 360, reused=True)
+    assert kept[0].columns == correlate.MEMBER
+    lines = [sorted(map(repr, correlate.evidence(members, found).collect())) for members, _, found in (whole, kept)]
+    assert lines[0] == lines[1]
+    assert sorted(map(repr, whole[1].collect())) == sorted(map(repr, kept[1].collect()))
