@@ -29,7 +29,9 @@ def json_object(text: Column) -> Column:
     """
     bare = F.trim(text, F.lit(JSON_BLANKS))
     rows = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", STRICT_JSON)
-    return F.when(bare.startswith("{") & bare.endswith("}") & (F.size(rows) == 1), F.get(rows, 0))
+    # The array around the rows names them once: size and entry would each parse the text.
+    only = F.get(F.transform(F.array(rows), lambda r: F.when(F.size(r) == 1, F.get(r, 0))), 0)
+    return F.when(bare.startswith("{") & bare.endswith("}"), only)
 
 
 def _single_value(text: Column) -> Column:

@@ -73,9 +73,9 @@ def h5(spark, sf_dir):
     return rows.select("device_id", "report_time", "error_kind", F.col("http_status").cast("bigint").alias("http_status"))
 
 
-def triggered_fetches(spark, sf_dir):
-    """Refresh triggers, and what each fetch returned by the first letter of its event id."""
-    triggers = inputs.arrivals(spark, sf_dir).filter(F.col("event_name") == TRIGGER_NAME)
+def fetches_of(arrivals):
+    """Refresh triggers among the arrivals, and what each fetch returned by the first letter of its event id."""
+    triggers = arrivals.filter(F.col("event_name") == TRIGGER_NAME)
     letter = F.substring("event_id", 1, 1)
     return triggers, triggers.select(
         "project_id", F.col("device_id").alias("scope_value"), F.lit("device-status").alias("ledger_name"), F.timestamp_micros(F.unix_micros("received_at") + 250_000).alias("fetched_at"), F.col("event_id").alias("trigger_event_id"),
@@ -83,6 +83,15 @@ def triggered_fetches(spark, sf_dir):
     )
 
 
+def triggered_fetches(spark, sf_dir):
+    return fetches_of(inputs.arrivals(spark, sf_dir))
+
+
+def landed_fetches(spark, sf_dir):
+    """The same fetches from the raw bodies: they need who and when, so that no payload is read and no table written for them."""
+    return fetches_of(inputs.arrivals_from_raw(spark, sf_dir))[1]
+
+
 TRIGGERED = """trig AS MATERIALIZED (SELECT *, CASE WHEN c < '3' THEN 503 WHEN c < '4' THEN 404 WHEN c < '5' THEN NULL ELSE 200 END AS http_status,
       CASE WHEN c < '3' THEN 'retryable_failure' WHEN c < '4' THEN 'missing_ledger' WHEN c < '5' THEN 'network_failure' ELSE 'permanent_failure' END AS error_kind
     FROM (SELECT *, substr(event_id, 1, 1) AS c FROM arr WHERE et = 'view'))"""

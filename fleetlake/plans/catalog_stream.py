@@ -10,7 +10,7 @@ from fleetlake.operators import ledgers
 from fleetlake.operators.normalize import METRICS
 from fleetlake.operators.presentation import present
 from fleetlake.plans import inputs
-from fleetlake.plans.catalog_fleet import CHANGES, FETCH, TRIGGER_NAME, TRIGGERED, plain, triggered_fetches
+from fleetlake.plans.catalog_fleet import CHANGES, FETCH, TRIGGER_NAME, TRIGGERED, landed_fetches, plain
 from fleetlake.plans.catalog_sequence import FLAGS, FOLD, RAW_ITEMS
 from fleetlake.plans.catalog_events import KIND, SUMMARY
 from fleetlake.plans.oracle import SENT, arr_sql, idx_sql, iso
@@ -65,7 +65,7 @@ def _ingested(application: str, sf_dir: str) -> ingest.Store:
     spark = SparkSession.active()
     landing, fetched = _folder(spark, sf_dir, "landing"), _folder(spark, sf_dir, "fetched")
     store = ingest.Store(_folder(spark, sf_dir, "store"))
-    fetches = triggered_fetches(spark, sf_dir)[1]
+    fetches = landed_fetches(spark, sf_dir)
     for bodies, answers in zip(_deliveries(webhook_bodies(spark, sf_dir), "received_at"), _deliveries(fetches, "fetched_at")):
         bodies.write.mode("append").json(landing)
         answers.write.mode("append").json(fetched)
