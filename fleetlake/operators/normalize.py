@@ -143,8 +143,8 @@ def queue_depth(line: Column) -> Column:
     return F.regexp_extract(line, r"(?i)(?:queue|queued|publishqueue|inflight)[^0-9]*(\d+)", 1).try_cast("double")
 
 
-def normalize(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """The event index row of every arrival: envelope plus normalized columns, raw text kept aside."""
+def normalize(raw: DataFrame, settings: Settings = DEFAULTS, kept: Sequence[str] = ()) -> DataFrame:
+    """The event index row of every arrival: envelope plus normalized columns, raw text kept aside. ``kept`` names further columns that go along."""
     keyed = identity(raw, settings).withColumns({
         "payload": ingest_payload(F.col("data"), F.col("data_is_text")),
         "plane": plane(F.col("event_name"), F.col("sourceType"), settings),
@@ -188,6 +188,7 @@ def normalize(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         when_serial(lower.contains("watchdog")).alias("watchdog_detected"),
         when_serial(lower.rlike("reset|reboot|panic")).alias("reset_detected"),
         when_serial(queue_depth(line)).alias("queue_depth"),
+        *kept,
     )
 
 

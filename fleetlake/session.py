@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import sys
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +42,25 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Shuffle files go when the query that wrote them ends, not when the driver happens to collect garbage; small compressed files are not gathered into long tasks.
+FRUGAL = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.files.maxPartitionBytes": "16m"}
+# A write to two folders keeps a file open for each and does not sort its rows.
+TWO_FOLDERS = {"spark.sql.maxConcurrentOutputFileWriters": "2"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings for what is written inside; streams started inside keep them, the session gets its own back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder the session names; on a local master without one, a folder of our own."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

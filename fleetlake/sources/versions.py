@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from fleetlake.operators.ordered import newest
+from fleetlake.sources.tables import CODEC
 
 BATCH = "batch_id"
 FAN = 4
 KEPT = 10
 SMALL = 4 << 20  # bytes; segments up to this are of the lowest size class
 MANIFESTS = "_manifests"
+MANY = 10_000  # rows of one key in one batch
 
 
 @dataclass(frozen=True)
@@ -147,7 +149,7 @@ class Versions:
         rows = rows.withColumn(BATCH, F.lit(batch_id))
         rows = rows.select(F.struct(*[c for c in rows.columns if c != BATCH]).alias(self.column), BATCH) if self.column else rows
         path = self.new_segment(batch_id)
-        rows.write.parquet(f"{self.files.base}/{path}")
+        rows.write.parquet(f"{self.files.base}/{path}", compression=CODEC)
         self.adopt(path, batch_id, rows.schema.json())
 
     def adopt(self, path: str, batch_id: int, schema: str) -> None:
@@ -163,7 +165,7 @@ class Versions:
         if merge:
             path = self.new_segment(batch_id)
             rows = self._newest(merge, schema)
-            (rows.select(F.struct(*[c for c in rows.columns if c != BATCH]).alias(self.column), BATCH) if self.column else rows).write.parquet(f"{self.files.base}/{path}")
+            (rows.select(F.struct(*[c for c in rows.columns if c != BATCH]).alias(self.column), BATCH) if self.column else rows).write.parquet(f"{self.files.base}/{path}", compression=CODEC)
             live = [s for s in live if s not in merge] + [Segment(path, batch_id, self.files.size(path))]
             retired += [[s.path, batch_id] for s in merge]
         old = [v for v in versions if v < batch_id - self.kept]
@@ -196,21 +198,27 @@ class DatedVersions(Versions):
         rows = reader.option("basePath", f"{self.files.base}/{self.inside}".rstrip("/")).parquet(*[f"{self.files.base}/{s.path}" for s in segments])
         return rows.drop("segment")
 
-    def merge(self, rows: DataFrame, batch_id: int, combine: Callable[[DataFrame], DataFrame], *order: str) -> None:
-        """Writes the dates of these rows anew: ``combine`` of what is stored and the rows. A batch has few dates; no other date is read."""
+    def merge(self, rows: DataFrame, batch_id: int, combine: Callable[..., DataFrame], *order: str) -> None:
+        """Writes the dates of these rows anew: ``combine`` of what is stored and the rows. A batch has few dates; no other date is read.
+
+        ``order`` holds the key. Rows are dealt once, by date and order, and combined where they lie (``combine`` takes these columns too);
+        only if a key came very often, its rows are first combined where they are read, so that none gathers them.
+        """
         part = F.coalesce(F.date_format("event_time", "yyyy-MM-dd"), F.lit(self.NONE))
         rows = rows.withColumn(self.PART, part)
-        dates = sorted(r[0] for r in rows.select(self.PART).distinct().toLocalIterator())
+        most = dict(rows.groupBy(self.PART, *self.key).count().groupBy(self.PART).agg(F.max("count")).collect())
+        dates = sorted(most)
         found = self.manifest(batch_id)
         stored = [Segment(**s) for s in found["segments"] if s["date"] in dates]
         if stored:
             rows = rows.unionByName(self._stored(stored, found["schema"]))
         if not dates:
             return
+        if max(most.values()) > MANY:
+            rows = combine(rows)
         folder = self._name(f"segment={batch_id:010d}-{uuid.uuid4().hex[:8]}")
-        merged = combine(rows)
-        dealt = merged.repartitionByRange(self.PART, *order).sortWithinPartitions(self.PART, *order)
-        dealt.write.partitionBy(self.PART).parquet(f"{self.files.base}/{folder}")
+        merged = combine(rows.repartitionByRange(self.PART, *order), [self.PART, *order])
+        merged.sortWithinPartitions(self.PART, *order).write.partitionBy(self.PART).parquet(f"{self.files.base}/{folder}", compression=CODEC)
         new = [Segment(f"{folder}/{self.PART}={d}", batch_id, 0, d) for d in dates]
         self.publish(batch_id, new, [s.path for s in stored], merged.drop(self.PART).schema.json())
 
