@@ -15,7 +15,7 @@ from fleetlake.plans.catalog_sequence import FLAGS, FOLD, RAW_ITEMS
 from fleetlake.plans.catalog_events import KIND, SUMMARY
 from fleetlake.plans.oracle import SENT, arr_sql, idx_sql, iso
 from fleetlake.plans.registry import query
-from fleetlake.session import shared_folder
+from fleetlake.session import FRUGAL, settings, shared_folder
 from fleetlake.sources import inventory, tables, webhook
 from fleetlake.streaming import ingest, tail
 from fleetlake.streaming import ledgers as ledger_stream
@@ -65,14 +65,15 @@ def _ingested(application: str, sf_dir: str) -> ingest.Store:
     spark = SparkSession.active()
     landing, fetched = _folder(spark, sf_dir, "landing"), _folder(spark, sf_dir, "fetched")
     store = ingest.Store(_folder(spark, sf_dir, "store"))
-    fetches = landed_fetches(spark, sf_dir)
-    for bodies, answers in zip(_deliveries(webhook_bodies(spark, sf_dir), "received_at"), _deliveries(fetches, "fetched_at")):
-        bodies.write.mode("append").json(landing)
-        answers.write.mode("append").json(fetched)
-        ingest.start_ingest(
-            webhook.stream_landing(spark, landing, max_files=MAX_FILES), store, trigger_names=[TRIGGER_NAME],
-            fetches=ledgers.classify_fetches(spark.readStream.schema(FETCHED).json(fetched)), availableNow=True,
-        ).awaitTermination()
+    with settings(spark, FRUGAL):
+        fetches = landed_fetches(spark, sf_dir)
+        for bodies, answers in zip(_deliveries(webhook_bodies(spark, sf_dir), "received_at"), _deliveries(fetches, "fetched_at")):
+            bodies.write.mode("append").json(landing, compression="gzip")
+            answers.write.mode("append").json(fetched, compression="gzip")
+            ingest.start_ingest(
+                webhook.stream_landing(spark, landing, max_files=MAX_FILES), store, trigger_names=[TRIGGER_NAME],
+                fetches=ledgers.classify_fetches(spark.readStream.schema(FETCHED).json(fetched)), availableNow=True,
+            ).awaitTermination()
     return store
 
 

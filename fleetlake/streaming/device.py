@@ -17,6 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 from fleetlake.functions.values import iso
 from fleetlake.operators import history, ledgers, state
 from fleetlake.operators.normalize import METRICS
+from fleetlake.session import TWO_FOLDERS, settings
+from fleetlake.sources.tables import CODEC
 from fleetlake.sources.versions import BATCH, Files, Versions
 from fleetlake.streaming.keyed import Memory, from_micros, in_micros, keyed, struct
 
@@ -191,7 +193,8 @@ def write_outputs(folded: DataFrame, batch_id: int, root: str) -> None:
     """Both outputs of a batch by one job, then one more segment for each table."""
     spark, folder = folded.sparkSession, f"{OUTPUTS}/{batch_id:010d}-{uuid.uuid4().hex[:8]}"
     rows = outputs(folded).withColumn(BATCH, F.lit(batch_id))
-    rows.write.partitionBy("output").parquet(f"{root}/{folder}")
+    with settings(spark, TWO_FOLDERS):
+        rows.write.partitionBy("output").parquet(f"{root}/{folder}", compression=CODEC)
     schema = rows.drop("output").schema.json()
     written = Files(spark, root).names(folder)
     for name, table in (("state", state_table(spark, root)), ("item", history_table(spark, root))):

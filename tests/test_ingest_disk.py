@@ -1,18 +1,41 @@
-"""What the ingest stream keeps on disk: no drafts, and one shuffle of its rows."""
+"""What the ingest stream keeps on disk: compressed files, no drafts, no shuffle files of what has ended."""
 
 import datetime
 import pathlib
 
+from fleetlake.plans import catalog_stream, inputs
 from fleetlake.sources import versions, webhook
 from fleetlake.streaming import ingest
 
 START = datetime.datetime(2024, 1, 1)
 
 
+def shuffles(spark) -> set:
+    return set(spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().keySet().mkString(",").split(","))
+
+
 def files(folder) -> list[str]:
     return [str(p) for p in pathlib.Path(str(folder).removeprefix("file:")).rglob("*") if p.is_file() and not p.name.startswith((".", "_"))]
 
 
+def test_stream_leaves_compressed_files_only(spark, tmp_path):
+    events = [(n, START + datetime.timedelta(hours=5 * n), n % 5, ("view", "click", "error", "view")[n % 4], n / 4, f'{{"k": {n}}}') for n in range(120)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    cleaned, held = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", shuffles(spark)
+    before = spark.conf.get(cleaned, None)
+    store = catalog_stream.ingested(spark, str(tmp_path))
+    assert not shuffles(spark) - held and spark.conf.get(cleaned, None) in (before, "false")
+    for name in ("landing", "fetched"):
+        landed = files(catalog_stream._folder(spark, str(tmp_path), name))
+        assert landed and all(f.endswith(".json.gz") for f in landed)
+    for name in ("index", "archive", "quarantine", "outputs"):
+        stored = [f for f in files(store.table(name)) if f.endswith(".parquet")]
+        assert all(f.endswith(".zstd.parquet") for f in stored) and (stored or name == "quarantine")
+    assert not files(store.table(ingest.DRAFTS))
+    assert store.index(spark).count() == inputs.index(spark, str(tmp_path)).count() > 100
+    assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.allowFAllocate") == "false"
+
+
 def test_rejected_bodies_stay_as_received(spark, tmp_path):
     texts = ['{"event": "a", "coreid": "1", "published_at": "2024-01-01T00:00:00Z", "data": "{\\"battery\\": 5}"}', "{broken", None, "[1]", " ", '{"a": 1} tail', "null"]
     landed = spark.createDataFrame([(t, START) for t in texts], webhook.LANDING_SCHEMA)
